@@ -17,6 +17,12 @@ DECLARED_TYPES = {
 }
 
 
+def record(**columns: str) -> T.StructType:
+    """A nullable schema from column names and simple type names; needs no running session."""
+    plain = {**DECLARED_TYPES, "binary": T.BinaryType()}
+    return T.StructType([T.StructField(name, plain[kind]) for name, kind in columns.items()])
+
+
 def declared_type(name: str) -> T.DataType:
     """Spark type for a declared type name; an unknown name is an error before any job runs."""
     if name not in DECLARED_TYPES:

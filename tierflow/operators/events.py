@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tierflow.functions.hashing import hash_key
+from tierflow.functions.types import record
 
 # Parts of an event id in their hashed order, and the state of a new event.
 EVENT_ID_PARTS = [
@@ -20,23 +20,18 @@ EVENT_ID_PARTS = [
 ]
 UNRESOLVED = "Sin Resolver"
 
-EVENT_SCHEMA = T.StructType(
-    [
-        T.StructField(name, T.StringType())
-        for name in [
-            "error_event_id",
-            "batch_id",
-            "screen_code",
-            "catalog_name",
-            "schema_name",
-            "table_name",
-            "column_name",
-            "record_identifier",
-            "original_value",
-            "replaced_value",
-            "error_condition",
-        ]
-    ]
+EVENT_SCHEMA = record(
+    error_event_id="string",
+    batch_id="string",
+    screen_code="string",
+    catalog_name="string",
+    schema_name="string",
+    table_name="string",
+    column_name="string",
+    record_identifier="string",
+    original_value="string",
+    replaced_value="string",
+    error_condition="string",
 )
 
 

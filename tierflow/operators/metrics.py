@@ -6,26 +6,24 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tierflow.functions.types import record
 from tierflow.plans.spec import TableSpec
 
-METRIC_SCHEMA = T.StructType(
-    [
-        T.StructField("table_id", T.IntegerType()),
-        T.StructField("catalog_name", T.StringType()),
-        T.StructField("schema_name", T.StringType()),
-        T.StructField("table_name", T.StringType()),
-        T.StructField("rundate", T.StringType()),
-        T.StructField("batch_id", T.StringType()),
-        T.StructField("loaded_at", T.TimestampType()),
-        T.StructField("etl_module", T.StringType()),
-        T.StructField("write_mode", T.StringType()),
-        T.StructField("initial_rows", T.LongType()),
-        T.StructField("final_rows", T.LongType()),
-        T.StructField("accumulated_rows", T.LongType()),
-        T.StructField("quality", T.StringType()),
-    ]
+METRIC_SCHEMA = record(
+    table_id="integer",
+    catalog_name="string",
+    schema_name="string",
+    table_name="string",
+    rundate="string",
+    batch_id="string",
+    loaded_at="timestamp",
+    etl_module="string",
+    write_mode="string",
+    initial_rows="long",
+    final_rows="long",
+    accumulated_rows="long",
+    quality="string",
 )
 METRIC_KEY = ["catalog_name", "schema_name", "table_name", "batch_id"]
 # Batch id in the metrics of a table that is maintained as a whole.

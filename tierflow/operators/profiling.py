@@ -30,8 +30,8 @@ def column_summary(counts: DataFrame) -> DataFrame:
 
 def key_summary(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows and distinct keys, as a whole or per group such as the file (NULL counts as a key)."""
-    per_key = df.groupBy(*by, key).agg(F.count("*").alias("n"))
-    return per_key.groupBy(*by).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_distinct"))
+    per_key = df.groupBy(*by, key).agg(F.count("*").alias("_n"))
+    return per_key.groupBy(*by).agg(F.sum("_n").alias("n_rows"), F.count("*").alias("n_distinct"))
 
 
 def approximate_key_summary(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:

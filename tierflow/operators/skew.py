@@ -83,4 +83,4 @@ def semi_join(
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with no NULL part. Counts combine before the shuffle."""
     complete = df.dropna(subset=list(keys))
-    return complete.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return complete.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")

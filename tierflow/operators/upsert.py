@@ -23,13 +23,17 @@ def _one_per_key(source: DataFrame, keys: Sequence[str], allow_null_keys: bool)
     others = [c for c in source.columns if c not in keys]
     packed = F.struct(*others) if others else F.struct(F.lit(1).alias("_none"))
     grouped = source.groupBy(*keys).agg(F.any_value(packed).alias("_s"), F.count("*").alias("_n"))
-    repeated = F.raise_error(F.concat(F.lit("Several source rows for one key: "), F.to_json(F.struct(*keys))))
-    # Kept as a filter: a projected check could be pruned away together with its column.
-    valid = F.when(F.col("_n") > 1, repeated.cast("boolean"))
+    checks = []
     if not allow_null_keys:
         empty = F.raise_error(F.lit(f"NULL in a key column of the source: {', '.join(keys)}"))
-        valid = valid.when(_any_null(keys), empty.cast("boolean"))
-    return grouped.where(valid.otherwise(F.lit(True)))
+        checks.append((_any_null(keys), empty))
+    repeated = F.raise_error(F.concat(F.lit("Several source rows for one key: "), F.to_json(F.struct(*keys))))
+    checks.append((F.col("_n") > 1, repeated))
+    # Kept as a filter: a projected check could be pruned away together with its column.
+    valid = F.lit(True)
+    for broken, error in reversed(checks):
+        valid = F.when(broken, error.cast("boolean")).otherwise(valid)
+    return grouped.where(valid)
 
 
 def upsert(

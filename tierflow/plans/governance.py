@@ -7,8 +7,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tierflow.functions.types import record
 from tierflow.operators.events import EVENT_SCHEMA
 from tierflow.operators.keys import assign_ids, lookup_ids
 from tierflow.operators.metrics import METRIC_SCHEMA
@@ -28,22 +28,54 @@ ENVIRONMENTS = {"governance": ["prod"], "domain": ["dev", "prod"]}
 GOVERNANCE_SCHEMAS = ["metadata", "metrics"]
 MEDALS = ["bronze", "silver", "gold"]
 
-CATALOG_SCHEMA = T.StructType.fromDDL(
-    "catalog_id int, catalog_name string, domain string, environment string, description string, "
-    "location string, created_at string, owner string"
+CATALOG_SCHEMA = record(
+    catalog_id="integer",
+    catalog_name="string",
+    domain="string",
+    environment="string",
+    description="string",
+    location="string",
+    created_at="string",
+    owner="string",
 )
-SCHEMA_SCHEMA = T.StructType.fromDDL(
-    "schema_id int, catalog_id int, schema_name string, description string, created_at string, owner string"
+SCHEMA_SCHEMA = record(
+    schema_id="integer",
+    catalog_id="integer",
+    schema_name="string",
+    description="string",
+    created_at="string",
+    owner="string",
 )
-TABLE_SCHEMA = T.StructType.fromDDL(
-    "table_id int, schema_id int, table_name string, etl_module string, write_mode string, quality string, "
-    "table_type string, version int, current_flag boolean, valid_from timestamp, valid_to timestamp, "
-    "description string, owner string, retention_policy string"
+TABLE_SCHEMA = record(
+    table_id="integer",
+    schema_id="integer",
+    table_name="string",
+    etl_module="string",
+    write_mode="string",
+    quality="string",
+    table_type="string",
+    version="integer",
+    current_flag="boolean",
+    valid_from="timestamp",
+    valid_to="timestamp",
+    description="string",
+    owner="string",
+    retention_policy="string",
 )
-DETAIL_SCHEMA = T.StructType.fromDDL(
-    "table_id int, column_id int, column_name string, rename_from string, data_type string, "
-    "ordinal_position int, is_primary_key boolean, is_nullable boolean, is_partition boolean, is_pii boolean, "
-    "validations string, track_changes boolean, comment string"
+DETAIL_SCHEMA = record(
+    table_id="integer",
+    column_id="integer",
+    column_name="string",
+    rename_from="string",
+    data_type="string",
+    ordinal_position="integer",
+    is_primary_key="boolean",
+    is_nullable="boolean",
+    is_partition="boolean",
+    is_pii="boolean",
+    validations="string",
+    track_changes="boolean",
+    comment="string",
 )
 
 COMMENTS: dict[str, Mapping[str, str]] = {

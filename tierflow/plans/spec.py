@@ -9,9 +9,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tierflow.functions.types import declared_type
+from tierflow.functions.types import declared_type, record
 
 LAYERS = ["raw", "audit", "historic"]
 # Naming of the layers, and the end date of an open validity period.
@@ -21,29 +20,27 @@ OPEN_END = "2200-01-01 00:00:00"
 INHERITED = ["data_type", "is_primary_key", "is_nullable", "is_partition", "is_pii", "comment"]
 
 # One row per (asset, layer, column), as read from the spec files.
-SPEC_SCHEMA = T.StructType(
-    [
-        T.StructField("asset", T.StringType()),
-        T.StructField("domain", T.StringType()),
-        T.StructField("subdomain", T.StringType()),
-        T.StructField("layer", T.StringType()),
-        T.StructField("write_mode", T.StringType()),
-        T.StructField("version", T.IntegerType()),
-        T.StructField("description", T.StringType()),
-        T.StructField("owner", T.StringType()),
-        T.StructField("retention_policy", T.StringType()),
-        T.StructField("column_name", T.StringType()),
-        T.StructField("ordinal_position", T.IntegerType()),
-        T.StructField("rename_from", T.StringType()),
-        T.StructField("data_type", T.StringType()),
-        T.StructField("is_primary_key", T.BooleanType()),
-        T.StructField("is_nullable", T.BooleanType()),
-        T.StructField("is_partition", T.BooleanType()),
-        T.StructField("is_pii", T.BooleanType()),
-        T.StructField("validations", T.StringType()),
-        T.StructField("track_changes", T.BooleanType()),
-        T.StructField("comment", T.StringType()),
-    ]
+SPEC_SCHEMA = record(
+    asset="string",
+    domain="string",
+    subdomain="string",
+    layer="string",
+    write_mode="string",
+    version="integer",
+    description="string",
+    owner="string",
+    retention_policy="string",
+    column_name="string",
+    ordinal_position="integer",
+    rename_from="string",
+    data_type="string",
+    is_primary_key="boolean",
+    is_nullable="boolean",
+    is_partition="boolean",
+    is_pii="boolean",
+    validations="string",
+    track_changes="boolean",
+    comment="string",
 )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -19,7 +20,7 @@ RUNTIME_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings every operator expects (UTC, AQE, string partition values)."""
+    """Apply the runtime settings every operator expects (UTC, AQE, partition handling)."""
     for name, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(name, None) != value:
             spark.conf.set(name, value)

@@ -4,9 +4,9 @@ Open-source Spark's session catalog has one namespace level, so catalog and sche
 name a database. Tables are external, below one root folder that all executors can reach; use
 a session with a persistent catalog (a metastore) to find them again later.
 
-Writes replace whole partitions or whole versions. A whole-table write goes to a new folder,
-then the table's location moves there: readers see the old or the new state, never a mix, and
-a failed write leaves the old one. A partition write is staged by Spark and moved on commit.
+Writes replace whole partitions or whole tables. A whole-table write goes to a new folder, then
+the table is pointed there: a failed write leaves the old state, and a query may read the table
+it replaces. A partition write is staged by Spark and moved into place on commit.
 """
 
 from __future__ import annotations
@@ -89,20 +89,23 @@ class Tables:
         self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {database} LOCATION '{self.root}/_databases/{database.strip('`')}'")
         ordered = [f for f in schema.fields if f.name not in partition_by]
         ordered += [schema[c] for c in partition_by]
-        columns = T.StructType(ordered).toDDL()
+        self._define(name, T.StructType(ordered), partition_by, self._new_location(name), description)
+        self.comment(name, comments)
+
+    def _define(
+        self, name: str, schema: T.StructType, partition_by: Sequence[str], location: str, description: str | None = None
+    ) -> None:
         partitioned = f"PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)})" if partition_by else ""
-        about = "COMMENT '{}'".format(description.replace("'", "\\'")) if description else ""
+        about = f"COMMENT {self._literal(description)}" if description else ""
         self.spark.sql(
-            f"CREATE TABLE {self.table(name)} ({columns}) USING parquet {partitioned} {about} "
-            f"LOCATION '{self._new_location(name)}'"
+            f"CREATE TABLE {self.table(name)} ({schema.toDDL()}) USING parquet {partitioned} {about} "
+            f"LOCATION '{location}'"
         )
-        self.comment(name, comments)
 
     def comment(self, name: str, comments: Mapping[str, str]) -> None:
         """Set column comments."""
         for column, text in comments.items():
-            quoted = text.replace("\\", "\\\\").replace("'", "\\'")
-            self.spark.sql(f"ALTER TABLE {self.table(name)} ALTER COLUMN `{column}` COMMENT '{quoted}'")
+            self.spark.sql(f"ALTER TABLE {self.table(name)} ALTER COLUMN `{column}` COMMENT {self._literal(text)}")
 
     def comments(self, name: str) -> dict[str, str]:
         columns = self.spark.catalog.listColumns(self.table(name).replace("`", ""))
@@ -144,8 +147,7 @@ class Tables:
         (
             df.select(*self.spark.read.table(self.table(name)).columns)
             .hint("rebalance", *partition_by)
-            .write.option("partitionOverwriteMode", "dynamic")
-            .insertInto(self.table(name).replace("`", ""), overwrite=True)
+            .write.insertInto(self.table(name).replace("`", ""), overwrite=True)
         )
         self.spark.catalog.refreshTable(self.table(name).replace("`", ""))
 
@@ -173,9 +175,14 @@ class Tables:
         ordered = df.select(*self.read(name).columns)
         writer = (ordered.hint("rebalance", *partitions) if partitions else ordered).write.mode("error")
         (writer.partitionBy(*partitions) if partitions else writer).parquet(location)
-        self.spark.sql(f"ALTER TABLE {self.table(name)} SET LOCATION '{location}'")
-        if partitions and self.spark.conf.get("spark.sql.catalogImplementation") == "hive":
+        if partitions:
+            # The catalog knows each partition's folder, so the table is defined anew over the new ones.
+            schema = self.read(name).schema
+            self.drop([name])
+            self._define(name, schema, partitions, location)
             self.spark.sql(f"MSCK REPAIR TABLE {self.table(name)}")
+        else:
+            self.spark.sql(f"ALTER TABLE {self.table(name)} SET LOCATION '{location}'")
         self.spark.catalog.refreshTable(self.table(name).replace("`", ""))
 
     def append_partition(self, df: DataFrame, name: str, partition_by: Sequence[str]) -> None:
@@ -230,4 +237,5 @@ class Tables:
 
 def write_csv(df: DataFrame, path: str, separator: str = ",", partition_by: Sequence[str] = ()) -> None:
     writer = df.write.mode("error").option("header", True).option("sep", separator).option("escape", '"')
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tierflow.functions.types import record
 from tierflow.plans.runs import Asset, Run, process_files
 from tierflow.session import configure
 from tierflow.sources.landing import batch_of
 
-FILE_SCHEMA = T.StructType.fromDDL("path string, modificationTime timestamp, length bigint, content binary")
+FILE_SCHEMA = record(path="string", modificationTime="timestamp", length="long", content="binary")
 
 
 def file_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
