@@ -41,7 +41,7 @@ from tierflow.operators.profiling import (
     value_counts,
 )
 from tierflow.operators.screening import failing_rows
-from tierflow.operators.skew import lookup_join
+from tierflow.operators.skew import SMALL_ROWS, lookup_join
 from tierflow.operators.summary import visitor_summary
 from tierflow.operators.upsert import upsert
 from tierflow.plans.governance import (
@@ -53,9 +53,9 @@ from tierflow.plans.governance import (
     seed_rows,
     table_rows,
 )
-from tierflow.plans.layers import audit_frames, passed_rows
+from tierflow.plans.layers import audit_events, audit_rows, passed_rows
 from tierflow.plans.spec import SPEC_SCHEMA, layer_attributes, resolve_layers
-from tierflow.session import shared_dir
+from tierflow.session import materialize, shared_dir
 from tierflow.sources.landing import discover, read_files
 from tierflow.sources.tables import Tables, write_csv
 
@@ -150,11 +150,11 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit_frames(raw(spark, sf_dir), f.AUDIT, f.LOADED_AT, f.HOOK)[0]
+    return audit_rows(raw(spark, sf_dir), f.AUDIT, f.LOADED_AT, f.HOOK)
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit_frames(raw(spark, sf_dir), f.AUDIT, f.LOADED_AT, f.HOOK)[1]
+    return audit_events(raw(spark, sf_dir), f.AUDIT, f.HOOK)
 
 
 @query(
@@ -294,7 +294,7 @@ def error_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hashed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    named = lookup_join(table(spark, sf_dir, "customer"), nations, ["c_nationkey"], "left")
+    named = lookup_join(table(spark, sf_dir, "customer"), nations, ["c_nationkey"], "left", small_rows=SMALL_ROWS)
     return named.select("c_custkey", hash_key(["n_name", "c_mktsegment", "c_name", "c_custkey"]).alias("customer_key"))
 
 
@@ -326,7 +326,7 @@ def dimension_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name"
     )
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    named = lookup_join(customers, names, ["c_nationkey"], "inner").drop("c_nationkey")
+    named = lookup_join(customers, names, ["c_nationkey"], "inner", small_rows=SMALL_ROWS).drop("c_nationkey")
     in_region = lookup_ids(named, regions, ["r_name"], "r_regionkey", required=True)
     in_nation = nations.withColumnRenamed("n_regionkey", "r_regionkey")
     return lookup_ids(in_region, in_nation, ["r_regionkey", "n_name"], "n_nationkey", required=True)
@@ -758,7 +758,7 @@ REGISTERED = f"""{PARTS}, t AS (
 def registered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(resolved specs, table rows) for an empty registry."""
     catalogs, schemas = seed_rows("analytics", "team", "2025-01-01 00:00:00", "lake")
-    resolved = layer_attributes(resolve_layers(part_specs(spark, sf_dir)))
+    resolved = materialize(layer_attributes(resolve_layers(part_specs(spark, sf_dir))), "specs")
     entries = table_rows(
         resolved,
         spark.createDataFrame(catalogs, CATALOG_SCHEMA),
@@ -793,7 +793,7 @@ def spec_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spec_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved, entries = registered(spark, sf_dir)
     out = ["table_id", "column_id", "column_name", "rename_from", "data_type", "ordinal_position", "is_primary_key", "is_nullable", "is_pii"]
-    return column_rows(resolved, entries, spark.createDataFrame([], DETAIL_SCHEMA)).select(*out)
+    return column_rows(resolved, materialize(entries, "entries"), spark.createDataFrame([], DETAIL_SCHEMA)).select(*out)
 
 
 # ---- all layers in one plan
@@ -805,5 +805,5 @@ def spec_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivered rows through conforming, cleaning, screening and key check to the visitor summary."""
-    rows, _ = audit_frames(raw(spark, sf_dir), f.AUDIT, f.LOADED_AT, f.HOOK)
+    rows = audit_rows(raw(spark, sf_dir), f.AUDIT, f.LOADED_AT, f.HOOK)
     return visitor_summary(rows.where(F.col(PASSED)), "Email", "FechaEnvio", f.RUNDATE)

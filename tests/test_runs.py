@@ -107,7 +107,7 @@ def test_run_that_failed_in_audit_is_resumed(setup, monkeypatch):
         raise RuntimeError("lost")
 
     with monkeypatch.context() as patch:
-        patch.setattr(runs, "audit_frames", fail)
+        patch.setattr(runs, "audit_rows", fail)
         with pytest.raises(RuntimeError):
             process(run, asset, str(landing / "1"))
     assert process(run, asset, str(landing / "1")) == []

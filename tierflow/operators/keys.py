@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierflow.functions.hashing import hash_key
-from tierflow.operators.skew import HOT_ROWS, lookup_join
+from tierflow.operators.skew import HOT_ROWS, SMALL_ROWS, lookup_join
 
 # New keys are numbered in this many parts by hash prefix (three hex digits).
 PREFIX_DIGITS = 3
@@ -44,6 +44,7 @@ def lookup_ids(
     id_column: str,
     required: bool = False,
     hot_rows: int = HOT_ROWS,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """`df` with the dimension's id for its base values (compared trimmed, as text), else NULL.
 
@@ -52,7 +53,8 @@ def lookup_ids(
     base = list(base)
     keys = [f"_b{i}" for i in range(len(base))]
     valid = require_base_values(df, base).withColumns({k: F.trim(_text(c)) for k, c in zip(keys, base)})
-    found = lookup_join(valid, _by_base(dimension, base, id_column, "_id"), keys, "left", hot_rows)
+    ids = _by_base(dimension, base, id_column, "_id")
+    found = lookup_join(valid, ids, keys, "left", hot_rows, small_rows=small_rows)
     value = F.col("_id")
     if required:
         error = F.raise_error(F.concat(F.lit(f"No {id_column} for "), F.to_json(F.struct(*base))))
@@ -72,14 +74,13 @@ def assign_ids(
     id_column: str,
     group: Column | None = None,
     order: Sequence[str | Column] | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(base..., id, is_new): the id of every distinct base value combination in `df`.
 
-    Known combinations keep their id; new ones get the next free numbers, without gaps. New
-    rows are numbered within groups (by default a hash prefix, so the work is spread) in the
-    given order, and each group starts where the one before ends; only one row per group
-    passes through a single task.
+    Known combinations keep their id; new ones get the next free numbers, without gaps. Rows
+    are numbered within groups (by default a hash prefix, so the work is spread) in the given
+    order, and each group starts where the one before ends; only one row per group passes
+    through a single task. A group of one's own must be small enough for one task.
     """
     base = list(base)
     carried = [c for c in df.columns if c not in base] if order or group is not None else []
@@ -89,23 +90,18 @@ def assign_ids(
     else:
         distinct = trimmed.select(*base).distinct()
     known = _by_base(dimension, base, id_column, "_id").withColumnsRenamed({f"_b{i}": c for i, c in enumerate(base)})
-    matched = distinct.join(known, base, "left")
-
-    fresh = matched.where(F.col("_id").isNull()).withColumn(
-        "_group", group if group is not None else F.substring(hash_key(base), 1, PREFIX_DIGITS)
+    matched = distinct.join(known, base, "left").withColumns(
+        {"is_new": F.col("_id").isNull(), "_group": group if group is not None else F.substring(hash_key(base), 1, PREFIX_DIGITS)}
     )
-    in_group = Window.partitionBy("_group").orderBy(*(order or base))
-    sizes = fresh.groupBy("_group").agg(F.count("*").alias("_size"))
+    in_group = Window.partitionBy("_group", "is_new").orderBy(*(order or base))
+    numbered = matched.withColumn("_rank", F.row_number().over(in_group))
     # One row per group: the running total needs a single task, whatever the number of new keys.
+    sizes = numbered.where("is_new").groupBy("_group").agg(F.max("_rank").alias("_size"))
     before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_group", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     id_type = dimension.schema[id_column].dataType
     highest = F.coalesce(max_value(dimension, id_column).scalar(), F.lit(0))
-    numbered = fresh.withColumn("_rank", F.row_number().over(in_group)).join(offsets, "_group")
-    new = numbered.select(
-        *base, (highest + F.col("_offset") + F.col("_rank")).cast(id_type).alias(id_column), F.lit(True).alias("is_new")
-    )
-    old = matched.where(F.col("_id").isNotNull()).select(
-        *base, F.col("_id").alias(id_column), F.lit(False).alias("is_new")
+    next_id = (highest + F.col("_offset") + F.col("_rank")).cast(id_type)
+    return numbered.join(offsets, "_group", "left").select(
+        *base, F.coalesce(F.col("_id"), next_id).alias(id_column), "is_new"
     )
-    return old.unionByName(new)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tierflow.functions.checks import SCREEN_ORDER, fails
 from tierflow.operators.conform import PASSED
-from tierflow.operators.skew import HOT_ROWS, lookup_join, repeated_keys
+from tierflow.operators.skew import HOT_ROWS, SMALL_ROWS, lookup_join, repeated_keys
 
 Screen = tuple[str, str, Mapping[str, Any]]
 Plan = Sequence[Screen]
@@ -54,21 +54,28 @@ def _scope(batch: str | None, columns: Sequence[str]) -> list[str]:
 
 
 def _with_flags(
-    df: DataFrame, plan: Plan, batch: str | None, references: References, hot_rows: int
+    df: DataFrame,
+    plan: Plan,
+    batch: str | None,
+    references: References,
+    hot_rows: int,
+    small_rows: int = SMALL_ROWS,
 ) -> tuple[DataFrame, dict[tuple[str, str], str]]:
     """Add one boolean column per screen that needs other rows or another table."""
     flags: dict[tuple[str, str], str] = {}
+    delivered = df
     for item in plan:
         column, screen, params = item
         flag = f"_flag_{len(flags)}"
         if screen == "is_unique":
             keys = _scope(batch, group_members(item))
-            lookup = repeated_keys(df, keys).withColumn(flag, F.lit(True))
-            joined = lookup_join(df, lookup, keys, "left", hot_rows)
+            lookup = repeated_keys(delivered, keys).withColumn(flag, F.lit(True))
+            joined = lookup_join(df, lookup, keys, "left", hot_rows, like=delivered)
             failing = F.coalesce(F.col(flag), F.lit(False))
         elif screen == "is_in_foreign_column":
-            lookup = reference_values(params, references).withColumnRenamed("value", column).withColumn(flag, F.lit(True))
-            joined = lookup_join(df, lookup, [column], "left", hot_rows)
+            allowed = reference_values(params, references).withColumnRenamed("value", column)
+            lookup = allowed.withColumn(flag, F.lit(True))
+            joined = lookup_join(df, lookup, [column], "left", hot_rows, like=delivered, small_rows=small_rows)
             failing = F.col(column).isNotNull() & F.col(flag).isNull()
         else:
             continue
@@ -143,46 +150,65 @@ def _apply(
     )
 
 
-def screen(
+def audited_rows(
     df: DataFrame,
     plan: Plan,
     key: Sequence[str],
     batch: str | None = None,
     references: References = {},
     hot_rows: int = HOT_ROWS,
-) -> tuple[DataFrame, DataFrame]:
-    """(audited rows, failures).
-
-    Audited rows carry nulled fields and the pass flag; rows of repeated keys are discarded, all
-    others are kept. Failures have one row per failing field, with the record's key as it was
-    delivered, and one row per repeated key. Both read `df` anew, each pruned to what it needs.
-    """
-    key, columns = list(key), df.columns
-    keyed = any(p[1] == "is_primary_key" for p in plan)
+) -> DataFrame:
+    """Rows with failing fields nulled and the pass flag; rows of repeated keys are discarded."""
+    kept, flags = _with_flags(df, plan, batch, references, hot_rows)
+    if any(p[1] == "is_primary_key" for p in plan):
+        scope = _scope(batch, key)
+        kept = lookup_join(kept, repeated_keys(df, scope), scope, "left_anti", hot_rows, like=df)
+    return _apply(kept, df.columns, plan, key, flags).drop(FAILURES)
+
+
+def failures(
+    df: DataFrame,
+    plan: Plan,
+    key: Sequence[str],
+    batch: str | None = None,
+    references: References = {},
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """One row per failing field, with the record's key as delivered, and one per repeated key."""
     flagged, flags = _with_flags(df, plan, batch, references, hot_rows)
     scope = [F.col(batch)] if batch else []
-
-    failures = (
-        _apply(flagged, columns, plan, key, flags)
+    by_row = (
+        _apply(flagged, df.columns, plan, key, flags)
         .where(~F.col(PASSED))
         .select(*scope, F.explode(FAILURES).alias("f"))
         .select(*scope, "f.*")
     )
-    kept = flagged
-    if keyed:
-        violations = repeated_keys(df, _scope(batch, key))
-        kept = lookup_join(flagged, violations, _scope(batch, key), "left_anti", hot_rows)
-        failures = failures.unionByName(
-            violations.select(
-                *scope,
-                identifier(key).alias("record_identifier"),
-                F.lit(",".join(key)).alias("column_name"),
-                F.lit("is_primary_key").alias("screen_code"),
-                identifier(key).alias("original_value"),
-            )
+    if not any(p[1] == "is_primary_key" for p in plan):
+        return by_row
+    return by_row.unionByName(
+        repeated_keys(df, _scope(batch, key)).select(
+            *scope,
+            identifier(key).alias("record_identifier"),
+            F.lit(",".join(key)).alias("column_name"),
+            F.lit("is_primary_key").alias("screen_code"),
+            identifier(key).alias("original_value"),
         )
-    audited = _apply(kept, columns, plan, key, flags).drop(FAILURES)
-    return audited, failures
+    )
+
+
+def screen(
+    df: DataFrame,
+    plan: Plan,
+    key: Sequence[str],
+    batch: str | None = None,
+    references: References = {},
+    hot_rows: int = HOT_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """(audited rows, failures). Each reads `df` anew, pruned to the columns it needs."""
+    return (
+        audited_rows(df, plan, key, batch, references, hot_rows),
+        failures(df, plan, key, batch, references, hot_rows),
+    )
 
 
 def failing_rows(
@@ -191,6 +217,7 @@ def failing_rows(
     batch: str | None = None,
     references: References = {},
     hot_rows: int = HOT_ROWS,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Rows of `df` that fail one screen, all columns as delivered."""
     column, name, params = item
@@ -199,5 +226,6 @@ def failing_rows(
         return lookup_join(df, repeated_keys(df, keys), keys, "left_semi", hot_rows).select(*df.columns)
     if name == "is_in_foreign_column":
         lookup = reference_values(params, references).withColumnRenamed("value", column)
-        return lookup_join(df.dropna(subset=[column]), lookup, [column], "left_anti", hot_rows).select(*df.columns)
+        given = df.where(F.col(column).isNotNull())
+        return lookup_join(given, lookup, [column], "left_anti", hot_rows, small_rows=small_rows).select(*df.columns)
     return df.where(fails(name, F.col(column), params))

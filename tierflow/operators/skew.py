@@ -3,7 +3,8 @@
 A join that shuffles by key sends all rows of a key to one task. `hot_keys` finds keys too
 large for that with one narrow scan (a frequent-items sketch, merged in parallel), and
 `lookup_join` takes their rows out of the shuffle. No key is ever dropped, and a key the
-sketch misses is still joined, on the shuffled side.
+sketch misses is still joined, on the shuffled side. (Spark's own skew handling does not apply
+where one side is an aggregate by the join key, which is the usual case here.)
 """
 
 from __future__ import annotations
@@ -19,8 +20,16 @@ HOT_ROWS = 2_000_000
 SLICES = 32
 TOP_PER_SLICE = 64
 TRACKED_PER_SLICE = 4096
-# Largest list that is sent to every task as a whole.
+# A side that is sent to every task as a whole has at most this many rows and bytes (as JSON).
 SMALL_ROWS = 100_000
+SMALL_BYTES = 32 * 1024 * 1024
+
+
+def is_small(df: DataFrame, small_rows: int = SMALL_ROWS) -> bool:
+    """Whether a frame may be sent to every task; measured by one aggregate over it."""
+    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n_rows, n_bytes = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n_rows <= small_rows and n_bytes <= SMALL_BYTES
 
 
 def key_hash(keys: Sequence[str]) -> Column:
@@ -31,9 +40,12 @@ def key_hash(keys: Sequence[str]) -> Column:
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
     """Hashes of the keys with at least `hot_rows` rows, 2,048 at most.
 
-    Runs one job over the key columns. Each task sends one small sketch per slice, so neither
-    the shuffle nor the result grows with the number of keys.
+    Counts the rows first (no column is read): with fewer than `hot_rows` there is nothing to
+    find. Then one job reads the key columns. Each task sends one small sketch per slice, so
+    neither the shuffle nor the result grows with the number of keys.
     """
+    if df.count() < hot_rows:
+        return []
     hashed = df.select(key_hash(keys).alias("h"))
     sketches = hashed.groupBy(F.pmod("h", F.lit(SLICES)).alias("slice")).agg(
         F.expr(f"approx_top_k(h, {TOP_PER_SLICE}, {TRACKED_PER_SLICE})").alias("top")
@@ -48,16 +60,24 @@ def lookup_join(
     keys: Sequence[str],
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    like: DataFrame | None = None,
+    small_rows: int | None = None,
 ) -> DataFrame:
     """Join `rows` to a lookup that holds each key at most once, whatever the spread of keys.
 
-    Rows of hot keys (or of a frequent NULL) never shuffle: they meet only the lookup rows of
-    those keys, at most 2,048, which can be sent to every task. All other rows join by shuffle.
+    With `small_rows`, a lookup that measures small goes to every task and nothing shuffles.
+    Otherwise rows of hot keys (or of a frequent NULL) stay where they are and meet only the
+    lookup rows of those keys, at most 2,048, while all other rows join by shuffle.
+
+    Hot keys are looked for in `like` if given: a frame with the same keys that is cheaper to
+    scan than `rows`.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"Unsupported join for a lookup: {how}")
     keys = list(keys)
-    hot = hot_keys(rows, keys, hot_rows)
+    if small_rows is not None and is_small(lookup, small_rows):
+        return rows.join(F.broadcast(lookup), keys, how)
+    hot = hot_keys(rows if like is None else like, keys, hot_rows)
     if not hot:
         return rows.join(lookup, keys, how)
     is_hot = key_hash(keys).isin(hot)
@@ -69,15 +89,8 @@ def lookup_join(
 def semi_join(
     rows: DataFrame, members: DataFrame, key: str, small_rows: int = SMALL_ROWS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Rows whose key is in a distinct one-column list.
-
-    The list goes to every task only when counting shows that it is small (which also lets
-    Spark prune partitions by it); a longer one goes through `lookup_join`.
-    """
-    members = members.select(key)
-    if members.limit(small_rows + 1).count() <= small_rows:
-        return rows.join(F.broadcast(members), key, "left_semi")
-    return lookup_join(rows, members.distinct(), [key], "left_semi", hot_rows)
+    """Rows whose key is in a list. A short list also lets Spark skip partitions it rules out."""
+    return lookup_join(rows, members.select(key).distinct(), [key], "left_semi", hot_rows, small_rows=small_rows)
 
 
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

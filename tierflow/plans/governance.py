@@ -13,6 +13,7 @@ from tierflow.operators.events import EVENT_SCHEMA
 from tierflow.operators.keys import assign_ids, lookup_ids
 from tierflow.operators.metrics import METRIC_SCHEMA
 from tierflow.plans.spec import LAYERS, OPEN_END, TableSpec, layer_attributes, resolve_layers, table_spec
+from tierflow.session import materialize
 from tierflow.sources.tables import Tables
 
 GOVERNANCE = "governance_prod"
@@ -78,6 +79,9 @@ DETAIL_SCHEMA = record(
     comment="string",
 )
 
+# New columns are numbered in groups of one table and this many positions.
+COLUMNS_PER_GROUP = 1000
+
 COMMENTS: dict[str, Mapping[str, str]] = {
     CATALOGS: {"catalog_id": "Catalog key", "catalog_name": "Domain and environment", "location": "Where it is kept"},
     SCHEMAS: {"schema_id": "Schema key", "catalog_id": "Catalog the schema belongs to"},
@@ -188,7 +192,7 @@ def column_rows(resolved: DataFrame, tables: DataFrame, registered: DataFrame) -
         registered,
         base,
         "column_id",
-        F.col("_table"),
+        F.struct("_table", F.floor(F.col("ordinal_position") / COLUMNS_PER_GROUP)),
         ["ordinal_position"],
     ).select(F.col("table_id").cast("int").alias("table_id"), "column_name", "column_id")
     no = F.lit(False)
@@ -203,7 +207,7 @@ def column_rows(resolved: DataFrame, tables: DataFrame, registered: DataFrame) -
 
 def register_specs(tables: Tables, spec_rows: DataFrame, now: datetime | str, environment: str = "dev") -> None:
     """Write all tables and columns of the given spec rows to the governance tables."""
-    resolved = layer_attributes(resolve_layers(spec_rows), environment)
+    resolved = materialize(layer_attributes(resolve_layers(spec_rows), environment), "specs")
     entries = table_rows(resolved, tables.read(CATALOGS), tables.read(SCHEMAS), tables.read(TABLES), now)
     tables.upsert(TABLES, entries, ["table_id"])
     details = column_rows(resolved, entries_by_name(tables), tables.read(DETAILS))

@@ -5,7 +5,6 @@ Nothing is read or written here; `tierflow.plans.runs` adds the tables.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -24,7 +23,7 @@ from tierflow.operators.conform import (
     with_comments,
 )
 from tierflow.operators.events import error_events
-from tierflow.operators.screening import screen
+from tierflow.operators.screening import References, audited_rows, failures
 from tierflow.operators.skew import HOT_ROWS
 from tierflow.plans.spec import TableSpec, screen_plan
 
@@ -35,22 +34,38 @@ def audit_plan(spec: TableSpec) -> list:
     return key + screen_plan(spec)
 
 
-def audit_frames(
+def _cleaned(raw: DataFrame, spec: TableSpec, hook: Hook | None) -> DataFrame:
+    named = rename_from_spec(drop_technical(raw, keep=[BATCH]), spec)
+    return named.transform(hook) if hook else named
+
+
+def audit_rows(
     raw: DataFrame,
     spec: TableSpec,
     loaded_at: datetime | str,
     hook: Hook | None = None,
-    references: Mapping[str, DataFrame] = {},
+    references: References = {},
     hot_rows: int = HOT_ROWS,
-) -> tuple[DataFrame, DataFrame]:
-    """(audit-layer rows, error events) of raw-layer rows, for any number of batches at once."""
-    named = rename_from_spec(drop_technical(raw, keep=[BATCH]), spec)
-    cleaned = named.transform(hook) if hook else named
-    audited, failures = screen(cleaned, audit_plan(spec), spec.key, BATCH, references, hot_rows)
+) -> DataFrame:
+    """Audit-layer rows of raw-layer rows, for any number of batches at once."""
+    cleaned = _cleaned(raw, spec, hook)
+    audited = audited_rows(cleaned, audit_plan(spec), spec.key, BATCH, references, hot_rows)
     typed = with_audit_technical(cast_audit(audited, spec), loaded_at, spec.etl_module)
-    ordered = typed.select(*spec.names, *AUDIT_TECHNICAL[:2], *RAW_TECHNICAL, *AUDIT_TECHNICAL[2:])
-    events = error_events(failures, BATCH, spec.catalog_name, spec.schema_name, spec.table_name)
-    return with_comments(ordered, {**spec.comments, **TECHNICAL_COMMENTS}), events
+    ordered = [*spec.names, *AUDIT_TECHNICAL[:2], *RAW_TECHNICAL, *AUDIT_TECHNICAL[2:]]
+    return with_comments(typed.select(*ordered), {**spec.comments, **TECHNICAL_COMMENTS})
+
+
+def audit_events(
+    raw: DataFrame,
+    spec: TableSpec,
+    hook: Hook | None = None,
+    references: References = {},
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Error events of raw-layer rows."""
+    cleaned = _cleaned(raw, spec, hook)
+    found = failures(cleaned, audit_plan(spec), spec.key, BATCH, references, hot_rows)
+    return error_events(found, BATCH, spec.catalog_name, spec.schema_name, spec.table_name)
 
 
 def passed_rows(audited: DataFrame) -> DataFrame:
