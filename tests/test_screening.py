@@ -38,9 +38,13 @@ PLAN = [
 ]
 
 
-@pytest.mark.parametrize("hot_rows", [2_000_000, 1])
-def test_single_pass_equals_sequential_screens(spark, hot_rows):
-    audited, failures = screen(frame(spark), PLAN, ["k"], "b", hot_rows=hot_rows)
+# Lookups sent whole, joined by shuffle, and joined with every key counted as hot.
+WAYS = [{}, {"small_rows": 0}, {"small_rows": 0, "hot_rows": 1}]
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_single_pass_equals_sequential_screens(spark, way):
+    audited, failures = screen(frame(spark), PLAN, ["k"], "b", **way)
     assert rows(audited) == sorted(
         [
             ("1", "a@x.y", 5, "SI", True),
@@ -79,25 +83,25 @@ def test_composite_key(spark):
     assert rows(failures) == [("1||1", "x,y", "is_primary_key", "1||1")]
 
 
-@pytest.mark.parametrize("hot_rows", [2_000_000, 1])
-def test_unique_group_marks_rows_and_keeps_values(spark, hot_rows):
+@pytest.mark.parametrize("way", WAYS)
+def test_unique_group_marks_rows_and_keeps_values(spark, way):
     df = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 2, 1), ("d", None, 1), ("e", None, 1)], "k string, x int, y int")
     item = ("x,y", "is_unique", {"columns": ["x", "y"]})
-    audited, failures = screen(df, [item], ["k"], hot_rows=hot_rows)
+    audited, failures = screen(df, [item], ["k"], **way)
     assert rows(audited) == [("a", 1, 1, False), ("b", 1, 1, False), ("c", 2, 1, True), ("d", None, 1, True), ("e", None, 1, True)]
     assert rows(failures, "record_identifier", "column_name", "original_value") == [("a", "x,y", "1||1"), ("b", "x,y", "1||1")]
-    assert rows(failing_rows(df, item, hot_rows=hot_rows), "k") == [("a",), ("b",)]
+    assert rows(failing_rows(df, item, **way), "k") == [("a",), ("b",)]
 
 
-@pytest.mark.parametrize("hot_rows", [2_000_000, 1])
-def test_foreign_column(spark, hot_rows):
+@pytest.mark.parametrize("way", WAYS)
+def test_foreign_column(spark, way):
     df = spark.createDataFrame([("a", 1), ("b", 9), ("c", None), ("d", 1), ("e", 9)], "k string, f int")
     refs = {"s.t": spark.createDataFrame([(1,), (1,), (2,), (None,)], "id int")}
     item = ("f", "is_in_foreign_column", {"schema": "s", "table": "t", "reference": "id"})
-    audited, failures = screen(df, [item], ["k"], references=refs, hot_rows=hot_rows)
+    audited, failures = screen(df, [item], ["k"], references=refs, **way)
     assert rows(audited) == [("a", 1, True), ("b", None, False), ("c", None, True), ("d", 1, True), ("e", None, False)]
     assert rows(failures, "record_identifier", "original_value") == [("b", "9"), ("e", "9")]
-    assert rows(failing_rows(df, item, references=refs, hot_rows=hot_rows), "k") == [("b",), ("e",)]
+    assert rows(failing_rows(df, item, references=refs, **way), "k") == [("b",), ("e",)]
     with pytest.raises(ValueError, match="Unknown reference table"):
         screen(df, [item], ["k"])
 

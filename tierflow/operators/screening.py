@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tierflow.functions.checks import SCREEN_ORDER, fails
 from tierflow.operators.conform import PASSED
+from tierflow.session import materialize
 from tierflow.operators.skew import HOT_ROWS, SMALL_ROWS, lookup_join, repeated_keys
 
 Screen = tuple[str, str, Mapping[str, Any]]
@@ -53,6 +54,15 @@ def _scope(batch: str | None, columns: Sequence[str]) -> list[str]:
     return ([batch] if batch else []) + list(columns)
 
 
+def key_violations(df: DataFrame, key: Sequence[str], batch: str | None = None) -> DataFrame:
+    """Keys that occur more than once in their batch, written out: they are few and read often.
+
+    Finding them shuffles one count per key and task. Once they measure small they go to every
+    task, and the rows themselves never shuffle.
+    """
+    return materialize(repeated_keys(df, _scope(batch, key)), "repeated-keys")
+
+
 def _with_flags(
     df: DataFrame,
     plan: Plan,
@@ -69,8 +79,8 @@ def _with_flags(
         flag = f"_flag_{len(flags)}"
         if screen == "is_unique":
             keys = _scope(batch, group_members(item))
-            lookup = repeated_keys(delivered, keys).withColumn(flag, F.lit(True))
-            joined = lookup_join(df, lookup, keys, "left", hot_rows, like=delivered)
+            lookup = key_violations(delivered, group_members(item), batch).withColumn(flag, F.lit(True))
+            joined = lookup_join(df, lookup, keys, "left", hot_rows, like=delivered, small_rows=small_rows)
             failing = F.coalesce(F.col(flag), F.lit(False))
         elif screen == "is_in_foreign_column":
             allowed = reference_values(params, references).withColumnRenamed("value", column)
@@ -157,12 +167,17 @@ def audited_rows(
     batch: str | None = None,
     references: References = {},
     hot_rows: int = HOT_ROWS,
+    small_rows: int = SMALL_ROWS,
+    violations: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows with failing fields nulled and the pass flag; rows of repeated keys are discarded."""
-    kept, flags = _with_flags(df, plan, batch, references, hot_rows)
+    """Rows with failing fields nulled and the pass flag; rows of repeated keys are discarded.
+
+    `violations` are the keys found by `key_violations`, if they are known already.
+    """
+    kept, flags = _with_flags(df, plan, batch, references, hot_rows, small_rows)
     if any(p[1] == "is_primary_key" for p in plan):
-        scope = _scope(batch, key)
-        kept = lookup_join(kept, repeated_keys(df, scope), scope, "left_anti", hot_rows, like=df)
+        repeated = key_violations(df, key, batch) if violations is None else violations
+        kept = lookup_join(kept, repeated, _scope(batch, key), "left_anti", hot_rows, df, small_rows)
     return _apply(kept, df.columns, plan, key, flags).drop(FAILURES)
 
 
@@ -173,9 +188,11 @@ def failures(
     batch: str | None = None,
     references: References = {},
     hot_rows: int = HOT_ROWS,
+    small_rows: int = SMALL_ROWS,
+    violations: DataFrame | None = None,
 ) -> DataFrame:
     """One row per failing field, with the record's key as delivered, and one per repeated key."""
-    flagged, flags = _with_flags(df, plan, batch, references, hot_rows)
+    flagged, flags = _with_flags(df, plan, batch, references, hot_rows, small_rows)
     scope = [F.col(batch)] if batch else []
     by_row = (
         _apply(flagged, df.columns, plan, key, flags)
@@ -185,8 +202,9 @@ def failures(
     )
     if not any(p[1] == "is_primary_key" for p in plan):
         return by_row
+    repeated = repeated_keys(df, _scope(batch, key)) if violations is None else violations
     return by_row.unionByName(
-        repeated_keys(df, _scope(batch, key)).select(
+        repeated.select(
             *scope,
             identifier(key).alias("record_identifier"),
             F.lit(",".join(key)).alias("column_name"),
@@ -203,12 +221,12 @@ def screen(
     batch: str | None = None,
     references: References = {},
     hot_rows: int = HOT_ROWS,
+    small_rows: int = SMALL_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(audited rows, failures). Each reads `df` anew, pruned to the columns it needs."""
-    return (
-        audited_rows(df, plan, key, batch, references, hot_rows),
-        failures(df, plan, key, batch, references, hot_rows),
-    )
+    keyed = any(p[1] == "is_primary_key" for p in plan)
+    options = (references, hot_rows, small_rows, key_violations(df, key, batch) if keyed else None)
+    return audited_rows(df, plan, key, batch, *options), failures(df, plan, key, batch, *options)
 
 
 def failing_rows(
@@ -222,10 +240,13 @@ def failing_rows(
     """Rows of `df` that fail one screen, all columns as delivered."""
     column, name, params = item
     if name in GROUP_SCREENS:
-        keys = _scope(batch, group_members(item))
-        return lookup_join(df, repeated_keys(df, keys), keys, "left_semi", hot_rows).select(*df.columns)
+        members = group_members(item)
+        repeated = key_violations(df, members, batch)
+        found = lookup_join(df, repeated, _scope(batch, members), "left_semi", hot_rows, small_rows=small_rows)
+        return found.select(*df.columns)
     if name == "is_in_foreign_column":
         lookup = reference_values(params, references).withColumnRenamed("value", column)
         given = df.where(F.col(column).isNotNull())
-        return lookup_join(given, lookup, [column], "left_anti", hot_rows, small_rows=small_rows).select(*df.columns)
+        found = lookup_join(given, lookup, [column], "left_anti", hot_rows, small_rows=small_rows)
+        return found.select(*df.columns)
     return df.where(fails(name, F.col(column), params))

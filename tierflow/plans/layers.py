@@ -24,7 +24,6 @@ from tierflow.operators.conform import (
 )
 from tierflow.operators.events import error_events
 from tierflow.operators.screening import References, audited_rows, failures
-from tierflow.operators.skew import HOT_ROWS
 from tierflow.plans.spec import TableSpec, screen_plan
 
 
@@ -34,7 +33,8 @@ def audit_plan(spec: TableSpec) -> list:
     return key + screen_plan(spec)
 
 
-def _cleaned(raw: DataFrame, spec: TableSpec, hook: Hook | None) -> DataFrame:
+def cleaned_rows(raw: DataFrame, spec: TableSpec, hook: Hook | None = None) -> DataFrame:
+    """Raw rows under their audit names, cleaned by the hook."""
     named = rename_from_spec(drop_technical(raw, keep=[BATCH]), spec)
     return named.transform(hook) if hook else named
 
@@ -45,11 +45,11 @@ def audit_rows(
     loaded_at: datetime | str,
     hook: Hook | None = None,
     references: References = {},
-    hot_rows: int = HOT_ROWS,
+    violations: DataFrame | None = None,
 ) -> DataFrame:
     """Audit-layer rows of raw-layer rows, for any number of batches at once."""
-    cleaned = _cleaned(raw, spec, hook)
-    audited = audited_rows(cleaned, audit_plan(spec), spec.key, BATCH, references, hot_rows)
+    cleaned = cleaned_rows(raw, spec, hook)
+    audited = audited_rows(cleaned, audit_plan(spec), spec.key, BATCH, references, violations=violations)
     typed = with_audit_technical(cast_audit(audited, spec), loaded_at, spec.etl_module)
     ordered = [*spec.names, *AUDIT_TECHNICAL[:2], *RAW_TECHNICAL, *AUDIT_TECHNICAL[2:]]
     return with_comments(typed.select(*ordered), {**spec.comments, **TECHNICAL_COMMENTS})
@@ -60,11 +60,11 @@ def audit_events(
     spec: TableSpec,
     hook: Hook | None = None,
     references: References = {},
-    hot_rows: int = HOT_ROWS,
+    violations: DataFrame | None = None,
 ) -> DataFrame:
     """Error events of raw-layer rows."""
-    cleaned = _cleaned(raw, spec, hook)
-    found = failures(cleaned, audit_plan(spec), spec.key, BATCH, references, hot_rows)
+    cleaned = cleaned_rows(raw, spec, hook)
+    found = failures(cleaned, audit_plan(spec), spec.key, BATCH, references, violations=violations)
     return error_events(found, BATCH, spec.catalog_name, spec.schema_name, spec.table_name)
 
 

@@ -17,9 +17,10 @@ from tierflow.operators.conform import BATCH, LOADED_AT, conform, require_not_nu
 from tierflow.operators.export import events_differential, run_batches, statistic_differential, visitor_differential
 from tierflow.operators.history import VALIDITY, empty_history, scd2_changes
 from tierflow.operators.metrics import ALL_BATCHES, METRIC_KEY, ingestion_metrics, pending_batches, table_metrics
+from tierflow.operators.screening import key_violations
 from tierflow.operators.summary import visitor_summary
 from tierflow.plans.governance import EVENT_ERRORS, INGESTIONS
-from tierflow.plans.layers import audit_events, audit_rows
+from tierflow.plans.layers import audit_events, audit_rows, cleaned_rows
 from tierflow.plans.spec import TableSpec
 from tierflow.sources.landing import COMMA, CsvReader, discover, read_files
 from tierflow.sources.tables import Tables
@@ -74,8 +75,9 @@ def raw_to_audit(run: Run, asset: Asset, batches: list[str]) -> None:
     """Screen raw batches; merge the audited rows and the error events."""
     spec, tables = asset.audit, run.tables
     raw = tables.read(asset.raw.name).where(F.col(BATCH).isin(batches))
-    audited = audit_rows(raw, spec, run.loaded_at, asset.hook, asset.references)
-    events = audit_events(raw, spec, asset.hook, asset.references)
+    violations = key_violations(cleaned_rows(raw, spec, asset.hook), spec.key, BATCH) if spec.key else None
+    audited = audit_rows(raw, spec, run.loaded_at, asset.hook, asset.references, violations)
+    events = audit_events(raw, spec, asset.hook, asset.references, violations)
     tables.upsert(
         spec.name,
         audited,
