@@ -1,5 +1,3 @@
-import itertools
-
 import pytest
 from pyspark.sql import SparkSession
 
@@ -14,6 +12,8 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[8]")
         .appName("tierflow-tests")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.warehouse.dir", str(base / "warehouse"))
@@ -24,12 +24,9 @@ def spark(tmp_path_factory):
     return configure(session)
 
 
-_numbers = itertools.count()
-
-
 @pytest.fixture
 def tables(spark, tmp_path):
-    """A table store whose names no other test uses."""
+    """A table store; its databases are dropped afterwards."""
     store = Tables(spark, str(tmp_path / "tables"))
     yield store
     for database in spark.sql("SHOW DATABASES").collect():

@@ -33,6 +33,8 @@ def test_lookup_errors(spark):
     df = spark.createDataFrame([("a", 1)], "name string, version int")
     with pytest.raises(Exception, match="Unicity violation"):
         lookup_ids(df, dim, ["name", "version"], "id").collect()
+    other = spark.createDataFrame([("b", 1)], "name string, version int")
+    assert rows(lookup_ids(other, dim, ["name", "version"], "id")) == [("b", 1, None)]
     for blank in (None, "  "):
         bad = spark.createDataFrame([(blank, 1)], "name string, version int")
         with pytest.raises(Exception, match="cannot be null or empty"):

@@ -115,6 +115,33 @@ def test_run_that_failed_in_audit_is_resumed(setup, monkeypatch):
     assert read_history(tables, asset.historic.name).count() == 1
 
 
+def test_history_that_failed_is_caught_up_by_the_next_run(setup, monkeypatch):
+    tables, asset, landing = setup
+
+    def fail(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(runs, "scd2_changes", fail)
+        with pytest.raises(RuntimeError):
+            process(Run(tables, "20130208_000000", "2013-02-08 20:00:00"), asset, str(landing / "1"))
+    assert process(Run(tables, "20130214_000000", "2013-03-02 00:00:00"), asset, str(landing / "2")) == ["9"]
+    assert rows(read_history(tables, asset.historic.name), "Email", "Opens", "is_current") == [
+        ("ana@x.y", 3, True),
+        ("cyd@x.y", 0, True),
+    ]
+
+
+def test_run_reads_only_its_batches_for_the_history(setup, monkeypatch):
+    tables, asset, landing = setup
+    process(Run(tables, "20130208_000000", "2013-02-08 20:00:00"), asset, str(landing / "1"))
+    seen = []
+    real = runs.scd2_changes
+    monkeypatch.setattr(runs, "scd2_changes", lambda current, snapshot, *a: seen.append(snapshot) or real(current, snapshot, *a))
+    process(Run(tables, "20130214_000000", "2013-03-02 00:00:00"), asset, str(landing / "2"))
+    assert rows(seen[0].select("metadata_batch_id").distinct()) == [("9",)]
+
+
 def test_audit_again_updates_instead_of_adding(setup):
     tables, asset, landing = setup
     run = Run(tables, "20130208_000000", "2013-02-08 20:00:00")

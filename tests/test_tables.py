@@ -56,6 +56,13 @@ def test_replace_of_a_partitioned_table(spark, tables):
     assert rows(tables.read(NAME)) == [(12, "8"), (4, "9")]
 
 
+def test_vacuum_keeps_the_current_state(spark, tables):
+    for v in (1, 2, 3):
+        tables.replace(spark.createDataFrame([(v,)], "v int"), NAME)
+    assert len(tables.vacuum(NAME)) == 2
+    assert rows(tables.read(NAME)) == [(3,)] and tables.vacuum(NAME) == []
+
+
 def test_failed_replace_leaves_the_old_state(spark, tables):
     tables.replace(spark.createDataFrame([(1,), (2,)], "v int"), NAME)
     broken = tables.read(NAME).withColumn("v", F.when(F.col("v") == 1, 5).otherwise(F.raise_error(F.lit("no")).cast("int")))

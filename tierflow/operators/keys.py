@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tierflow.functions.hashing import hash_key
@@ -27,14 +28,17 @@ def require_base_values(df: DataFrame, base: Sequence[str]) -> DataFrame:
     return df.where(F.when(blank, error).otherwise(F.lit(True)))
 
 
-def _by_base(dimension: DataFrame, base: Sequence[str], id_column: str, out: str) -> DataFrame:
-    """One row per base value combination, with its id; two ids for one combination fail the job."""
-    grouped = dimension.groupBy(*[_text(c).alias(f"_b{i}") for i, c in enumerate(base)]).agg(
-        F.min(id_column).alias(out), F.count("*").alias("_n")
-    )
+def _by_base(dimension: DataFrame, base: Sequence[str]) -> DataFrame:
+    """(_b0..., _id, _n): one row per base value combination of a dimension, values as text."""
+    return dimension.select("_id", *[_text(c).alias(f"_b{i}") for i, c in enumerate(base)]).groupBy(
+        *[f"_b{i}" for i in range(len(base))]
+    ).agg(F.min("_id").alias("_id"), F.count("*").alias("_n"))
+
+
+def _single_id(id_type: T.DataType, base: Sequence[str]) -> Column:
+    """The id found by a lookup; a combination that the dimension holds twice fails the job."""
     error = F.raise_error(F.lit(f"Unicity violation on surrogate key search: {', '.join(base)}"))
-    checked = F.when(F.col("_n") > 1, error.cast(dimension.schema[id_column].dataType)).otherwise(F.col(out))
-    return grouped.withColumn(out, checked).drop("_n")
+    return F.when(F.col("_n") > 1, error.cast(id_type)).otherwise(F.col("_id"))
 
 
 def lookup_ids(
@@ -53,9 +57,9 @@ def lookup_ids(
     base = list(base)
     keys = [f"_b{i}" for i in range(len(base))]
     valid = require_base_values(df, base).withColumns({k: F.trim(_text(c)) for k, c in zip(keys, base)})
-    ids = _by_base(dimension, base, id_column, "_id")
+    ids = _by_base(dimension.withColumn("_id", F.col(id_column)), base)
     found = lookup_join(valid, ids, keys, "left", hot_rows, small_rows=small_rows)
-    value = F.col("_id")
+    value = _single_id(dimension.schema[id_column].dataType, base)
     if required:
         error = F.raise_error(F.concat(F.lit(f"No {id_column} for "), F.to_json(F.struct(*base))))
         value = F.coalesce(value, error.cast(dimension.schema[id_column].dataType))
@@ -89,7 +93,8 @@ def assign_ids(
         distinct = trimmed.groupBy(*base).agg(*[F.min(c).alias(c) for c in carried])
     else:
         distinct = trimmed.select(*base).distinct()
-    known = _by_base(dimension, base, id_column, "_id").withColumnsRenamed({f"_b{i}": c for i, c in enumerate(base)})
+    known = _by_base(dimension.withColumn("_id", F.col(id_column)), base)
+    known = known.withColumnsRenamed({f"_b{i}": c for i, c in enumerate(base)})
     matched = distinct.join(known, base, "left").withColumns(
         {"is_new": F.col("_id").isNull(), "_group": group if group is not None else F.substring(hash_key(base), 1, PREFIX_DIGITS)}
     )
@@ -102,6 +107,7 @@ def assign_ids(
     id_type = dimension.schema[id_column].dataType
     highest = F.coalesce(max_value(dimension, id_column).scalar(), F.lit(0))
     next_id = (highest + F.col("_offset") + F.col("_rank")).cast(id_type)
+    known_id = _single_id(id_type, base)
     return numbered.join(offsets, "_group", "left").select(
-        *base, F.coalesce(F.col("_id"), next_id).alias(id_column), "is_new"
+        *base, F.coalesce(known_id, next_id).alias(id_column), "is_new"
     )

@@ -23,6 +23,8 @@ TABLES = f"{GOVERNANCE}.metadata.tables"
 DETAILS = f"{GOVERNANCE}.metadata.tables_detail"
 INGESTIONS = f"{GOVERNANCE}.metrics.ingestions"
 EVENT_ERRORS = f"{GOVERNANCE}.metrics.event_errors"
+# Batch control of history tables, which the metrics count as a whole.
+HISTORY_BATCHES = f"{GOVERNANCE}.metrics.history_batches"
 
 # The environments per domain, and the schemas of each kind of domain.
 ENVIRONMENTS = {"governance": ["prod"], "domain": ["dev", "prod"]}
@@ -79,6 +81,10 @@ DETAIL_SCHEMA = record(
     comment="string",
 )
 
+HISTORY_BATCH_SCHEMA = record(
+    catalog_name="string", schema_name="string", table_name="string", batch_id="string", rundate="string"
+)
+
 # New columns are numbered in groups of one table and this many positions.
 COLUMNS_PER_GROUP = 1000
 
@@ -138,15 +144,17 @@ def init_governance(tables: Tables, subdomain: str, owner: str, created_at: str)
     tables.create(DETAILS, DETAIL_SCHEMA)
     tables.create(INGESTIONS, METRIC_SCHEMA)
     tables.create(EVENT_ERRORS, EVENT_SCHEMA, ["batch_id"])
+    tables.create(HISTORY_BATCHES, HISTORY_BATCH_SCHEMA)
     for name, comments in COMMENTS.items():
         tables.comment(name, comments)
 
 
 def reset(tables: Tables, names: list[str]) -> None:
-    """Drop layer tables and empty the ingestion metrics."""
+    """Drop layer tables and empty the ingestion metrics and batch control."""
     tables.drop(names)
-    if tables.exists(INGESTIONS):
-        tables.clear(INGESTIONS)
+    for name in (INGESTIONS, HISTORY_BATCHES):
+        if tables.exists(name):
+            tables.clear(name)
 
 
 # ---- registration of specs, all tables and columns at once

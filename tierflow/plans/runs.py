@@ -16,10 +16,10 @@ from tierflow.functions.cleaning import Hook
 from tierflow.operators.conform import BATCH, LOADED_AT, conform, require_not_null
 from tierflow.operators.export import events_differential, run_batches, statistic_differential, visitor_differential
 from tierflow.operators.history import VALIDITY, empty_history, scd2_changes
-from tierflow.operators.metrics import ALL_BATCHES, METRIC_KEY, ingestion_metrics, pending_batches, table_metrics
+from tierflow.operators.metrics import METRIC_KEY, ingestion_metrics, pending_batches, table_metrics
 from tierflow.operators.screening import key_violations
 from tierflow.operators.summary import visitor_summary
-from tierflow.plans.governance import EVENT_ERRORS, INGESTIONS
+from tierflow.plans.governance import EVENT_ERRORS, HISTORY_BATCH_SCHEMA, HISTORY_BATCHES, INGESTIONS
 from tierflow.plans.layers import audit_events, audit_rows, cleaned_rows
 from tierflow.plans.spec import TableSpec
 from tierflow.sources.landing import COMMA, CsvReader, discover, read_files
@@ -96,32 +96,52 @@ def raw_to_audit(run: Run, asset: Asset, batches: list[str]) -> None:
     run.record(ingestion_metrics(raw, kept, tables.read(spec.name), BATCH, spec, run.rundate, run.loaded_at))
 
 
-def audit_to_historic(run: Run, asset: Asset, deletes: bool = True) -> None:
+def audit_to_historic(run: Run, asset: Asset, batches: Iterable[str] | None = None, deletes: bool = True) -> None:
     """Bring the history up to the passed rows; only current versions are read and rewritten.
 
+    With `batches`, only their rows are compared and keys without one stay as they are: a run
+    reads what it loaded, not the whole audit table. Without, all passed rows are compared and
+    keys that have none left are closed (unless `deletes` is off).
+
     Versions closed by this run go to a partition of their own, so running it again replaces
     them instead of adding to them.
     """
-    spec, tables = asset.historic, run.tables
+    spec, tables, key = asset.historic, run.tables, asset.audit.key
     passed = tables.read(asset.audit.name, "read_audit_passed")
+    if batches is None:
+        batches = [r[0] for r in _audited_batches(run, asset).collect()]
+    else:
+        batches, deletes = sorted(set(batches)), False
+        passed = passed.where(F.col(BATCH).isin(batches))
     snapshot = passed.withColumn("_batch_length", F.length(BATCH))
-    key = asset.audit.key
     if not tables.exists(spec.name):
         start = empty_history(snapshot, key, spec.tracked).withColumn(CLOSED_BY, F.lit(OPEN))
         tables.create(spec.name, start.schema, ["is_current", CLOSED_BY], spec.comments)
-    history = tables.read(spec.name)
-    before = history.count()
+    before = tables.read(spec.name).count()
+    current = tables.read(spec.name).where("is_current").select(*dict.fromkeys([*key, *spec.tracked]), *VALIDITY)
+    # Batch ids are text: the shorter is the lower number.
     order = [LOADED_AT, "_batch_length", BATCH]
-    current = history.where("is_current").select(*dict.fromkeys([*key, *spec.tracked]), *VALIDITY)
     versions = scd2_changes(current, snapshot, key, spec.tracked, run.loaded_at, order, deletes)
     placed = versions.withColumn(CLOSED_BY, F.when(F.col("is_current"), OPEN).otherwise(run.rundate))
     # Without passed rows no version stays current, and the open partition has to be emptied.
     empties = deletes and passed.isEmpty()
-    tables.append_partition(placed, spec.name, ["is_current", CLOSED_BY])
+    tables.write_partitions(placed, spec.name, ["is_current", CLOSED_BY])
     if empties:
         tables.clear_partition(spec.name, {"is_current": True, CLOSED_BY: OPEN})
     after = tables.read(spec.name).count()
     run.record(table_metrics(tables.spark, spec, run.rundate, run.loaded_at, before, after))
+    done = [(spec.catalog_name, spec.schema_name, spec.table_name, b, run.rundate) for b in batches]
+    tables.upsert(HISTORY_BATCHES, tables.spark.createDataFrame(done, HISTORY_BATCH_SCHEMA), METRIC_KEY)
+
+
+def _audited_batches(run: Run, asset: Asset) -> DataFrame:
+    """Batches that the audit table has metrics for."""
+    spec = asset.audit
+    return run.tables.read(INGESTIONS).where(
+        (F.col("catalog_name") == spec.catalog_name)
+        & (F.col("schema_name") == spec.schema_name)
+        & (F.col("table_name") == spec.table_name)
+    ).select("batch_id")
 
 
 def read_history(tables: Tables, name: str) -> DataFrame:
@@ -129,11 +149,11 @@ def read_history(tables: Tables, name: str) -> DataFrame:
     return tables.read(name).drop(CLOSED_BY)
 
 
-def process_files(run: Run, asset: Asset, files: DataFrame, deletes: bool = True) -> list[str]:
+def process_files(run: Run, asset: Asset, files: DataFrame) -> list[str]:
     """Take the given files' batches through all layers; returns the batches landed by this call.
 
-    Each layer takes the batches that it has no metrics for, so a batch whose audit failed is
-    audited by the next run although it has landed already.
+    Each layer takes the batches that it has not recorded: a batch whose audit or history step
+    failed is caught up by the next run, although it has landed already.
     """
     found = [r[0] for r in files.select("batch_id").distinct().collect()]
     new = run.pending(found, asset.raw)
@@ -142,19 +162,16 @@ def process_files(run: Run, asset: Asset, files: DataFrame, deletes: bool = True
     unaudited = run.pending(found, asset.audit)
     if unaudited:
         raw_to_audit(run, asset, unaudited)
-    if unaudited or not _history_done(run, asset):
-        audit_to_historic(run, asset, deletes)
+    applied = run.tables.read(HISTORY_BATCHES)
+    open_batches = pending_batches(_audited_batches(run, asset), applied, asset.historic).collect()
+    if open_batches:
+        audit_to_historic(run, asset, [r[0] for r in open_batches])
     return new
 
 
-def _history_done(run: Run, asset: Asset) -> bool:
-    done = run_batches(run.tables.read(INGESTIONS), run.rundate, asset.historic)
-    return not done.where(F.col("batch_id") == ALL_BATCHES).isEmpty()
-
-
-def process(run: Run, asset: Asset, path: str, deletes: bool = True) -> list[str]:
+def process(run: Run, asset: Asset, path: str) -> list[str]:
     """Take all new files below a landing folder through the layers."""
-    return process_files(run, asset, discover(run.tables.spark, path), deletes)
+    return process_files(run, asset, discover(run.tables.spark, path))
 
 
 def summarize(run: Run, asset: Asset, name: str, at: str) -> None:

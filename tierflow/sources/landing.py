@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tierflow.operators.conform import BATCH, conformed_names, require_columns
 from tierflow.operators.profiling import column_summary, key_summary, value_counts
-from tierflow.session import configure
+from tierflow.session import configure, file_system
 
 # The batch id is the second `_` part of the file's stem: report_7.txt -> 7.
 BATCH_PATTERN = r"^[^_.]*_([^_.]+)"
@@ -45,11 +45,7 @@ def discover(spark: SparkSession, path: str, file_glob: str = "*") -> DataFrame:
 
 
 def _first_line(path: str) -> str:
-    from pyarrow import fs
-
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path[len("file:") :]
-    system, location = fs.FileSystem.from_uri(path)
+    system, location = file_system(path)
     with system.open_input_stream(location) as stream:
         head = b""
         while b"\n" not in head:

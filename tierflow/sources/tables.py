@@ -16,13 +16,14 @@ from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 from typing import Any
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierflow.operators.conform import BATCH, PASSED
 from tierflow.operators.upsert import upsert
-from tierflow.session import configure
+from tierflow.session import configure, file_system
 
 READ_MODES = ("read_all", "read_partition", "read_audit_passed")
 WRITE_MODES = ("overwrite_partition",)
@@ -185,11 +186,21 @@ class Tables:
             self.spark.sql(f"ALTER TABLE {self.table(name)} SET LOCATION '{location}'")
         self.spark.catalog.refreshTable(self.table(name).replace("`", ""))
 
-    def append_partition(self, df: DataFrame, name: str, partition_by: Sequence[str]) -> None:
+    def write_partitions(self, df: DataFrame, name: str, partition_by: Sequence[str]) -> None:
         """Replace the partitions present in `df`; writing the same rows again changes nothing."""
         self.create(name, df.schema, partition_by)
         self._insert_partitions(df, name, partition_by)
 
+    def vacuum(self, name: str) -> list[str]:
+        """Delete the folders that earlier whole-table writes left; no reader may still use them."""
+        detail = self.spark.sql(f"DESCRIBE EXTENDED {self.table(name)}").where("col_name = 'Location'").first()
+        current = detail["data_type"].rstrip("/").rsplit("/", 1)[-1]
+        system, base = file_system(f"{self.root}/{name.replace('.', '/')}")
+        old = [i.path for i in system.get_file_info(fs.FileSelector(base)) if i.base_name != current]
+        for path in old:
+            system.delete_dir(path)
+        return old
+
     def upsert(
         self,
         name: str,

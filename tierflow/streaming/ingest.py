@@ -31,7 +31,6 @@ def ingest_available(
     asset: Asset,
     path: str,
     checkpoint: str,
-    deletes: bool = True,
     max_files: int | None = None,
     process: Callable[..., list[str]] = process_files,
 ) -> StreamingQuery:
@@ -43,7 +42,7 @@ def ingest_available(
 
     def step(files: DataFrame, _: int) -> None:
         if not files.isEmpty():
-            process(run, asset, files, deletes)
+            process(run, asset, files)
 
     stream = file_stream(run.tables.spark, path, max_files)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
