@@ -148,12 +148,6 @@ def scd2_rebuild(
     )
 
 
-def latest_rows(snapshot: DataFrame, key: Sequence[str], tracked: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """The last row per key by `order`; ties (or no order) fall to the highest tracked values."""
-    newest = F.max(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *tracked))
-    return snapshot.groupBy(*key).agg(newest.alias("_l")).select(*key, *[F.col(f"_l.{c}") for c in tracked])
-
-
 def _compared(
     current: DataFrame,
     snapshot: DataFrame,
@@ -162,23 +156,33 @@ def _compared(
     order: Sequence[str],
     deletes: bool,
 ) -> DataFrame:
-    """Current versions against the latest snapshot row per key, with the resulting action.
+    """(key, _old, _new, action): the current version and the latest snapshot row per key.
 
-    Both sides hold each key once, so the join's tasks are as even as the keys.
+    Both inputs go into one aggregate by key instead of a join: a single exchange, to which each
+    task sends one row per key however often the snapshot repeats it, and NULL keys compare
+    equal. The latest row is the highest by `order`, then by the tracked values.
     """
-    old = current.select(*[F.col(k).alias(f"_hk{i}") for i, k in enumerate(key)], _state(tracked).alias("_old"), "valid_from")
-    new = latest_rows(snapshot, key, tracked, order).select(
-        *[F.col(k).alias(f"_sk{i}") for i, k in enumerate(key)], _state(tracked).alias("_new")
+    old = current.select(*key, *tracked, "valid_from", F.lit(False).alias("_given"))
+    new = snapshot.select(
+        *key, *tracked, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.lit(True).alias("_given")
     )
-    same_key = [F.col(f"_hk{i}").eqNullSafe(F.col(f"_sk{i}")) for i in range(len(key))]
+    state = _state(tracked).alias(STATE)
+    newest = F.struct(*[f"_o{i}" for i in range(len(order))], state)
     action = (
         F.when(F.col("_new").isNull(), F.lit("DELETE" if deletes else "NO_ACTION"))
         .when(F.col("_old").isNull(), F.lit("INSERT"))
-        .when(F.col("_old").eqNullSafe(F.col("_new")), F.lit("NO_ACTION"))
+        .when(F.col(f"_old.{STATE}").eqNullSafe(F.col(f"_new.{STATE}")), F.lit("NO_ACTION"))
         .otherwise(F.lit("UPDATE"))
     )
-    keys = [F.coalesce(f"_hk{i}", f"_sk{i}").alias(k) for i, k in enumerate(key)]
-    return old.join(new, same_key, "full").select(*keys, "_old", "_new", "valid_from", action.alias("action"))
+    return (
+        old.unionByName(new, allowMissingColumns=True)
+        .groupBy(*key)
+        .agg(
+            F.max(F.when(~F.col("_given"), F.struct("valid_from", state))).alias("_old"),
+            F.max(F.when(F.col("_given"), newest)).alias("_new"),
+        )
+        .withColumn("action", action)
+    )
 
 
 def scd2_changes(
@@ -192,8 +196,7 @@ def scd2_changes(
 ) -> DataFrame:
     """The versions that follow from the current ones and a snapshot: still open or just closed.
 
-    Versions closed earlier are not needed and not touched. One join; each compared key gives
-    one or two rows.
+    Versions closed earlier are not needed and not touched. Each key gives one or two rows.
     """
     key, tracked = _names(key, tracked)
     at = F.lit(now).cast("timestamp")
@@ -201,14 +204,14 @@ def scd2_changes(
 
     def version(state: str, is_current: bool, valid_from: Column, valid_to: Column) -> Column:
         return F.struct(
-            F.col(state).alias(STATE),
+            F.col(f"{state}.{STATE}").alias(STATE),
             F.lit(is_current).alias("is_current"),
             valid_from.alias("valid_from"),
             valid_to.alias("valid_to"),
         )
 
-    kept = version("_old", True, F.col("valid_from"), open_end())
-    closed = version("_old", False, F.col("valid_from"), at)
+    kept = version("_old", True, F.col("_old.valid_from"), open_end())
+    closed = version("_old", False, F.col("_old.valid_from"), at)
     opened = version("_new", True, at, open_end())
     versions = (
         F.when(F.col("action") == "NO_ACTION", F.array(kept))

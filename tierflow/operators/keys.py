@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tierflow.functions.hashing import hash_key
+from tierflow.session import materialize
 from tierflow.operators.skew import HOT_ROWS, SMALL_ROWS, lookup_join
 
 # New keys are numbered in this many parts by hash prefix (three hex digits).
@@ -95,13 +96,16 @@ def assign_ids(
         distinct = trimmed.select(*base).distinct()
     known = _by_base(dimension.withColumn("_id", F.col(id_column)), base)
     known = known.withColumnsRenamed({f"_b{i}": c for i, c in enumerate(base)})
+    prefix = F.substring(hash_key(base), 1, PREFIX_DIGITS)
     matched = distinct.join(known, base, "left").withColumns(
-        {"is_new": F.col("_id").isNull(), "_group": group if group is not None else F.substring(hash_key(base), 1, PREFIX_DIGITS)}
+        {"is_new": F.col("_id").isNull(), "_group": prefix if group is None else group}
     )
+    # Read twice below, for the ranks and for the sizes of the groups.
+    matched = materialize(matched, "key-values")
     in_group = Window.partitionBy("_group", "is_new").orderBy(*(order or base))
     numbered = matched.withColumn("_rank", F.row_number().over(in_group))
     # One row per group: the running total needs a single task, whatever the number of new keys.
-    sizes = numbered.where("is_new").groupBy("_group").agg(F.max("_rank").alias("_size"))
+    sizes = matched.where("is_new").groupBy("_group").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_group", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     id_type = dimension.schema[id_column].dataType
