@@ -40,7 +40,7 @@ from tierflow.operators.profiling import (
     key_summary,
     value_counts,
 )
-from tierflow.operators.screening import failing_rows
+from tierflow.operators.screening import Screening, failing_rows
 from tierflow.operators.skew import SMALL_ROWS, lookup_join
 from tierflow.operators.summary import visitor_summary
 from tierflow.operators.upsert import upsert
@@ -214,7 +214,7 @@ def feed_failures(column: str, screen: str, params: dict, batch: str | None = No
     return run
 
 
-for name, column, screen, params, condition in [
+for name, column, code, params, condition in [
     ("dq_not_null", "email", "is_not_null", {}, "email IS NULL"),
     ("dq_in_list", "baja", "is_in_list", {"allowed": f.ALLOWED}, BAD_LIST),
     ("dq_email", "email", "is_email_format", {}, BAD_EMAIL),
@@ -222,7 +222,7 @@ for name, column, screen, params, condition in [
     ("dq_date_format", "fechaenvio", "is_date_format", {"format": f.DATE_PATTERN}, BAD_DATE),
 ]:
     query(name, f"{V} SELECT event_id, batch_id, CAST({column} AS VARCHAR) AS value FROM v WHERE {condition}")(
-        feed_failures(column, screen, params)
+        feed_failures(column, code, params)
     )
 
 query(
@@ -268,6 +268,62 @@ def dq_not_lower_than(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failing_rows(dated, ("l_shipdate", "is_not_lower_than", {"reference": "o_orderdate"}))
 
 
+DATED = "SELECT lineitem.*, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+REPEATED_LINE = "count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1"
+FEW_KINDS = "p_size <= 25"
+SCREENED = f"""WITH d AS ({DATED}), x AS (SELECT *, {REPEATED_LINE} AS repeated,
+  l_partkey NOT IN (SELECT p_partkey FROM part WHERE {FEW_KINDS}) AS orphan, l_quantity < 2 OR l_quantity > 40 AS beyond,
+  l_returnflag NOT IN ('A', 'N') AS unlisted, l_shipdate < o_orderdate AS early FROM d)"""
+
+
+def screened_lines(spark: SparkSession, sf_dir: str) -> Screening:
+    """Line items through every kind of screen that the feed does not have, in one plan."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_shipdate"
+    )
+    plan = [
+        ("l_orderkey,l_linenumber", "is_unique", {"columns": ["l_orderkey", "l_linenumber"]}),
+        ("l_partkey", "is_in_foreign_column", {"table": "part", "reference": "p_partkey"}),
+        ("l_quantity", "is_in_bounds", {"min_allowed": 2, "max_allowed": 40}),
+        ("l_returnflag", "is_in_list", {"allowed": "A,N"}),
+        ("l_shipdate", "is_not_lower_than", {"reference": "o_orderdate"}),
+    ]
+    parts = table(spark, sf_dir, "part").where(FEW_KINDS)
+    dated = lookup_join(lines, orders, ["l_orderkey"], "inner")
+    return Screening(dated, plan, ["l_orderkey"], references={"part": parts})
+
+
+@query(
+    "screen_lines",
+    f"""{SCREENED} SELECT l_orderkey, l_linenumber, CASE WHEN NOT orphan THEN l_partkey END AS l_partkey,
+      CASE WHEN NOT beyond THEN l_quantity END AS l_quantity, CASE WHEN NOT unlisted THEN l_returnflag END AS l_returnflag,
+      CASE WHEN NOT early THEN l_shipdate END AS l_shipdate, o_orderdate,
+      NOT (repeated OR orphan OR beyond OR unlisted OR early) AS metadata_audit_passed FROM x""",
+)
+def screen_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screened_lines(spark, sf_dir).audited()
+
+
+@query(
+    "screen_lines_failures",
+    SCREENED
+    + " UNION ALL ".join(
+        f""" SELECT CAST(l_orderkey AS VARCHAR) AS record_identifier, '{column}' AS column_name, '{code}' AS screen_code,
+        {value} AS original_value FROM x WHERE {condition}"""
+        for column, code, value, condition in [
+            ("l_orderkey,l_linenumber", "is_unique", "concat(l_orderkey, '||', l_linenumber)", "repeated"),
+            ("l_partkey", "is_in_foreign_column", "CAST(l_partkey AS VARCHAR)", "orphan"),
+            ("l_quantity", "is_in_bounds", "CAST(l_quantity AS VARCHAR)", "beyond"),
+            ("l_returnflag", "is_in_list", "l_returnflag", "unlisted"),
+            ("l_shipdate", "is_not_lower_than", "CAST(l_shipdate AS VARCHAR)", "early"),
+        ]
+    ),
+)
+def screen_lines_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screened_lines(spark, sf_dir).failures()
+
+
 @query(
     "audit_table",
     f"""{AUDIT} SELECT *, metadata_audit_id = 1 AS metadata_audit_passed, {LOADED} AS metadata_loaded_at,
@@ -428,6 +484,25 @@ def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(name)
 
 
+@query(
+    "table_upsert",
+    f"""{V} SELECT event_id, CASE WHEN substr(batch_id, 1, 8) >= '20240115' THEN opens + 1 ELSE opens END AS opens,
+      substr(batch_id, 1, 8) AS metadata_batch_id FROM v""",
+)
+def table_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries that share some days, merged into a table that rewrites only the days at hand."""
+    tables = Tables(spark, shared_dir(spark, "tables"))
+    name = f"suite_{uuid.uuid4().hex}.silver.audit_visits"
+    rows = feed(spark, sf_dir).select("event_id", "opens", F.substring("batch_id", 1, 8).alias(BATCH))
+    days = [r[0] for r in rows.select(BATCH).distinct().collect()]
+    keys = ["event_id", BATCH]
+    first, second = [d for d in days if d < "20240120"], [d for d in days if d >= "20240115"]
+    tables.upsert(name, rows.where(F.col(BATCH) < "20240120"), keys, batches=first, partition_by=[BATCH])
+    changed = rows.where(F.col(BATCH) >= "20240115").withColumn("opens", F.col("opens") + 1)
+    tables.upsert(name, changed, keys, batches=second)
+    return tables.read(name)
+
+
 @query(
     "passed_rows",
     f"""{AUDIT} SELECT event_id, "Email", "FechaEnvio", "Opens", metadata_batch_id FROM a WHERE metadata_audit_id = 1""",

@@ -94,6 +94,7 @@ def test_two_runs_and_reruns(setup):
     ]
     assert rows(tables.read(TARGETS["visitor"]), "Email", "visitasTotales", "visitasMesActual") == [("ana@x.y", 3, 2), ("cyd@x.y", 1, 0)]
     assert tables.read(TARGETS["event_errors"]).count() == 6
+    assert dict(tables.read(TARGETS["visitor"]).dtypes)["visitasTotales"] == "int"
     before = state(tables, asset)
     full_run(second, asset, landing / "2")
     assert state(tables, asset) == before

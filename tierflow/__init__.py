@@ -11,7 +11,7 @@ from tierflow.operators.events import error_events
 from tierflow.operators.history import current_versions, scd2_actions, scd2_apply, scd2_rebuild, versions_at
 from tierflow.operators.keys import assign_ids, lookup_ids
 from tierflow.operators.metrics import ingestion_metrics, pending_batches
-from tierflow.operators.screening import failing_rows, failures, screen
+from tierflow.operators.screening import Screening, failing_rows, screen
 from tierflow.operators.skew import lookup_join
 from tierflow.operators.summary import visitor_summary
 from tierflow.operators.upsert import upsert
@@ -24,6 +24,7 @@ __all__ = [
     "Asset",
     "ColumnSpec",
     "Run",
+    "Screening",
     "TableSpec",
     "Tables",
     "assign_ids",
@@ -34,7 +35,6 @@ __all__ = [
     "error_events",
     "export",
     "failing_rows",
-    "failures",
     "hash_key",
     "ingestion_metrics",
     "list_to_json",

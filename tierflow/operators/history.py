@@ -65,8 +65,8 @@ def _rebuild_shuffled(
     return _finish(ended, key, version_ts, F.col("_next"), tracked)
 
 
-def _time_slices(changes: DataFrame, key: Sequence[str], version_ts: str) -> DataFrame:
-    """(_h, _cuts): the cut points of each hot key, as a small fixed table.
+def _time_cuts(changes: DataFrame, key: Sequence[str], version_ts: str) -> DataFrame:
+    """(_h, _cuts): the borders between the time slices of each hot key, as a small fixed table.
 
     Quantiles are collected (one array for each of at most 2,048 hot keys), because slices must
     be the same wherever the plan reads them.
@@ -74,8 +74,17 @@ def _time_slices(changes: DataFrame, key: Sequence[str], version_ts: str) -> Dat
     shares = F.lit([i / TIME_SLICES for i in range(1, TIME_SLICES)])
     micros = F.unix_micros(F.col(version_ts).cast("timestamp"))
     cuts = changes.groupBy(key_hash(key).alias("_h")).agg(F.percentile_approx(micros, shares, 1000).alias("_cuts"))
-    rows = [(r["_h"], sorted(set(r["_cuts"] or []))) for r in cuts.collect()]
-    return changes.sparkSession.createDataFrame(rows, "_h long, _cuts array<long>")
+    return changes.sparkSession.createDataFrame(cuts.collect(), "_h long, _cuts array<long>")
+
+
+def _slice_of(micros: Column, low: int = 0, high: int | None = None) -> Column:
+    """Number of cuts up to a time, by halving; plain comparisons, so it compiles."""
+    high = TIME_SLICES - 1 if high is None else high
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    reached = F.get("_cuts", F.lit(middle)) <= micros
+    return F.when(reached, _slice_of(micros, middle + 1, high)).otherwise(_slice_of(micros, low, middle))
 
 
 def _rebuild_sliced(
@@ -83,14 +92,14 @@ def _rebuild_sliced(
 ) -> DataFrame:
     """Histories of hot keys: versions within time slices, then stitched at the slice borders."""
     key = list(key)
-    cuts = _time_slices(changes, key, version_ts)
+    cuts = _time_cuts(changes, key, version_ts)
     micros = F.unix_micros(F.col(version_ts).cast("timestamp"))
     # One row per key and time, combined before the shuffle.
     one_per_time = changes.groupBy(*key, version_ts).agg(F.max_by(_state(tracked), F.struct(*tie)).alias(STATE))
     sliced = (
         one_per_time.withColumn("_h", key_hash(key))
         .join(F.broadcast(cuts), "_h")
-        .withColumn("_slice", F.size(F.filter("_cuts", lambda cut: cut <= micros)))
+        .withColumn("_slice", _slice_of(micros))
         .select(*key, "_slice", version_ts, STATE)
     )
     in_slice = Window.partitionBy(*key, "_slice").orderBy(version_ts)
@@ -101,7 +110,7 @@ def _rebuild_sliced(
         .drop("_previous")
         .withColumn("_next", F.lead(version_ts).over(in_slice))
     )
-    # At most TIME_SLICES rows per key from here on.
+    # At most TIME_SLICES rows per hot key from here on, few enough to send to every task.
     borders = starts.groupBy(*key, "_slice").agg(
         F.min_by(STATE, version_ts).alias("_entry"),
         F.max_by(STATE, version_ts).alias("_exit"),
@@ -117,7 +126,7 @@ def _rebuild_sliced(
         .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_slice").alias("_s"), "_opens", "_later")
     )
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)] + [F.col("_slice") == F.col("_s")]
-    kept = starts.join(stitched, same).where(~F.col("_first") | F.col("_opens"))
+    kept = starts.join(F.broadcast(stitched), same).where(~F.col("_first") | F.col("_opens"))
     return _finish(kept, key, version_ts, F.coalesce("_next", "_later"), tracked)
 
 

@@ -160,58 +160,62 @@ def _apply(
     )
 
 
-def audited_rows(
-    df: DataFrame,
-    plan: Plan,
-    key: Sequence[str],
-    batch: str | None = None,
-    references: References = {},
-    hot_rows: int = HOT_ROWS,
-    small_rows: int = SMALL_ROWS,
-    violations: DataFrame | None = None,
-) -> DataFrame:
-    """Rows with failing fields nulled and the pass flag; rows of repeated keys are discarded.
-
-    `violations` are the keys found by `key_violations`, if they are known already.
-    """
-    kept, flags = _with_flags(df, plan, batch, references, hot_rows, small_rows)
-    if any(p[1] == "is_primary_key" for p in plan):
-        repeated = key_violations(df, key, batch) if violations is None else violations
-        kept = lookup_join(kept, repeated, _scope(batch, key), "left_anti", hot_rows, df, small_rows)
-    return _apply(kept, df.columns, plan, key, flags).drop(FAILURES)
-
-
-def failures(
-    df: DataFrame,
-    plan: Plan,
-    key: Sequence[str],
-    batch: str | None = None,
-    references: References = {},
-    hot_rows: int = HOT_ROWS,
-    small_rows: int = SMALL_ROWS,
-    violations: DataFrame | None = None,
-) -> DataFrame:
-    """One row per failing field, with the record's key as delivered, and one per repeated key."""
-    flagged, flags = _with_flags(df, plan, batch, references, hot_rows, small_rows)
-    scope = [F.col(batch)] if batch else []
-    by_row = (
-        _apply(flagged, df.columns, plan, key, flags)
-        .where(~F.col(PASSED))
-        .select(*scope, F.explode(FAILURES).alias("f"))
-        .select(*scope, "f.*")
-    )
-    if not any(p[1] == "is_primary_key" for p in plan):
-        return by_row
-    repeated = repeated_keys(df, _scope(batch, key)) if violations is None else violations
-    return by_row.unionByName(
-        repeated.select(
+def _is_keyed(plan: Plan) -> bool:
+    return any(p[1] == "is_primary_key" for p in plan)
+
+
+class Screening:
+    """One screening of a frame: the looked-up flags and repeated keys, found once for both results."""
+
+    def __init__(
+        self,
+        df: DataFrame,
+        plan: Plan,
+        key: Sequence[str],
+        batch: str | None = None,
+        references: References = {},
+        hot_rows: int = HOT_ROWS,
+        small_rows: int = SMALL_ROWS,
+        violations: DataFrame | None = None,
+    ) -> None:
+        """`violations` are the keys found by `key_violations`, if they are known already."""
+        self.df, self.plan, self.key, self.batch = df, plan, list(key), batch
+        self.hot_rows, self.small_rows = hot_rows, small_rows
+        self.flagged, self.flags = _with_flags(df, plan, batch, references, hot_rows, small_rows)
+        if _is_keyed(plan) and violations is None:
+            violations = key_violations(df, key, batch)
+        self.violations = violations if _is_keyed(plan) else None
+
+    def _apply(self, rows: DataFrame) -> DataFrame:
+        return _apply(rows, self.df.columns, self.plan, self.key, self.flags)
+
+    def audited(self) -> DataFrame:
+        """Rows with failing fields nulled and the pass flag; rows of repeated keys are discarded."""
+        kept = self.flagged
+        if self.violations is not None:
+            scope = _scope(self.batch, self.key)
+            kept = lookup_join(kept, self.violations, scope, "left_anti", self.hot_rows, self.df, self.small_rows)
+        return self._apply(kept).drop(FAILURES)
+
+    def failures(self) -> DataFrame:
+        """One row per failing field, with the record's key as delivered, and one per repeated key."""
+        scope = [F.col(self.batch)] if self.batch else []
+        found = (
+            self._apply(self.flagged)
+            .where(~F.col(PASSED))
+            .select(*scope, F.explode(FAILURES).alias("f"))
+            .select(*scope, "f.*")
+        )
+        if self.violations is None:
+            return found
+        repeated = self.violations.select(
             *scope,
-            identifier(key).alias("record_identifier"),
-            F.lit(",".join(key)).alias("column_name"),
+            identifier(self.key).alias("record_identifier"),
+            F.lit(",".join(self.key)).alias("column_name"),
             F.lit("is_primary_key").alias("screen_code"),
-            identifier(key).alias("original_value"),
+            identifier(self.key).alias("original_value"),
         )
-    )
+        return found.unionByName(repeated)
 
 
 def screen(
@@ -224,9 +228,8 @@ def screen(
     small_rows: int = SMALL_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(audited rows, failures). Each reads `df` anew, pruned to the columns it needs."""
-    keyed = any(p[1] == "is_primary_key" for p in plan)
-    options = (references, hot_rows, small_rows, key_violations(df, key, batch) if keyed else None)
-    return audited_rows(df, plan, key, batch, *options), failures(df, plan, key, batch, *options)
+    screening = Screening(df, plan, key, batch, references, hot_rows, small_rows)
+    return screening.audited(), screening.failures()
 
 
 def failing_rows(

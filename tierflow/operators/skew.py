@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key with this many rows is too much for one task of a shuffled join or window.
-HOT_ROWS = 2_000_000
+HOT_ROWS = 10_000_000
 # The sketch keeps this many candidates in each slice; SLICES * TOP_PER_SLICE bounds the result.
 SLICES = 32
 TOP_PER_SLICE = 64

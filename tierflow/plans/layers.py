@@ -23,7 +23,7 @@ from tierflow.operators.conform import (
     with_comments,
 )
 from tierflow.operators.events import error_events
-from tierflow.operators.screening import References, audited_rows, failures
+from tierflow.operators.screening import References, Screening
 from tierflow.plans.spec import TableSpec, screen_plan
 
 
@@ -49,8 +49,8 @@ def audit_rows(
 ) -> DataFrame:
     """Audit-layer rows of raw-layer rows, for any number of batches at once."""
     cleaned = cleaned_rows(raw, spec, hook)
-    audited = audited_rows(cleaned, audit_plan(spec), spec.key, BATCH, references, violations=violations)
-    typed = with_audit_technical(cast_audit(audited, spec), loaded_at, spec.etl_module)
+    screening = Screening(cleaned, audit_plan(spec), spec.key, BATCH, references, violations=violations)
+    typed = with_audit_technical(cast_audit(screening.audited(), spec), loaded_at, spec.etl_module)
     ordered = [*spec.names, *AUDIT_TECHNICAL[:2], *RAW_TECHNICAL, *AUDIT_TECHNICAL[2:]]
     return with_comments(typed.select(*ordered), {**spec.comments, **TECHNICAL_COMMENTS})
 
@@ -64,8 +64,8 @@ def audit_events(
 ) -> DataFrame:
     """Error events of raw-layer rows."""
     cleaned = cleaned_rows(raw, spec, hook)
-    found = failures(cleaned, audit_plan(spec), spec.key, BATCH, references, violations=violations)
-    return error_events(found, BATCH, spec.catalog_name, spec.schema_name, spec.table_name)
+    screening = Screening(cleaned, audit_plan(spec), spec.key, BATCH, references, violations=violations)
+    return error_events(screening.failures(), BATCH, spec.catalog_name, spec.schema_name, spec.table_name)
 
 
 def passed_rows(audited: DataFrame) -> DataFrame:

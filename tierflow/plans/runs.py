@@ -11,14 +11,17 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tierflow.functions.cleaning import Hook
+from tierflow.functions.types import record
 from tierflow.operators.conform import BATCH, LOADED_AT, conform, require_not_null
+from tierflow.operators.events import EVENT_SCHEMA
 from tierflow.operators.export import events_differential, run_batches, statistic_differential, visitor_differential
 from tierflow.operators.history import VALIDITY, empty_history, scd2_changes
 from tierflow.operators.metrics import METRIC_KEY, ingestion_metrics, pending_batches, table_metrics
 from tierflow.operators.screening import key_violations
-from tierflow.operators.summary import visitor_summary
+from tierflow.operators.summary import FIRST_VISIT, LAST_VISIT, THIS_MONTH, THIS_YEAR, TOTAL, visitor_summary
 from tierflow.plans.governance import EVENT_ERRORS, HISTORY_BATCH_SCHEMA, HISTORY_BATCHES, INGESTIONS
 from tierflow.plans.layers import audit_events, audit_rows, cleaned_rows
 from tierflow.plans.spec import TableSpec
@@ -180,26 +183,35 @@ def summarize(run: Run, asset: Asset, name: str, at: str) -> None:
     run.tables.replace(visitor_summary(passed, asset.audit.key[0], at, run.rundate), name)
 
 
+def deliverables(asset: Asset) -> dict[str, tuple[T.StructType, list[str], list[str]]]:
+    """(schema, key, partition columns) of each published table; their keys hold each value once."""
+    spec = asset.audit
+    visitor = {spec.key[0]: "string", FIRST_VISIT: "timestamp", LAST_VISIT: "timestamp"}
+    statistic = {c.name: c.data_type for c in spec.columns}
+    return {
+        "visitor": (record(**visitor, **{c: "integer" for c in (TOTAL, THIS_YEAR, THIS_MONTH)}), spec.key[:1], []),
+        "statistic": (record(**statistic, **{BATCH: "string"}), [*spec.key, BATCH], [BATCH]),
+        "event_errors": (EVENT_SCHEMA, ["error_event_id", "batch_id"], ["batch_id"]),
+    }
+
+
+def create_deliverables(tables: Tables, asset: Asset, targets: Mapping[str, str]) -> None:
+    """Define the published tables that do not exist yet."""
+    for kind, (schema, _, partition_by) in deliverables(asset).items():
+        tables.create(targets[kind], schema, partition_by)
+
+
 def export(run: Run, asset: Asset, summary_name: str, targets: Mapping[str, str]) -> None:
     """Merge what the run touched into the deliverables `visitor`, `statistic` and `event_errors`."""
     tables, spec, key = run.tables, asset.audit, asset.audit.key
+    create_deliverables(tables, asset, targets)
     batches = run_batches(tables.read(INGESTIONS), run.rundate, spec)
     ids = [r[0] for r in batches.collect()]
     audited = tables.read(spec.name)
-    tables.upsert(
-        targets["visitor"], visitor_differential(tables.read(summary_name), audited, batches, key[0]), key[:1]
-    )
-    tables.upsert(
-        targets["statistic"],
-        statistic_differential(audited, batches, spec.names),
-        [*key, BATCH],
-        batches=ids,
-        partition_by=[BATCH],
-    )
-    tables.upsert(
-        targets["event_errors"],
-        events_differential(tables.read(EVENT_ERRORS), batches),
-        ["error_event_id", "batch_id"],
-        batches=ids,
-        partition_by=["batch_id"],
-    )
+    rows = {
+        "visitor": visitor_differential(tables.read(summary_name), audited, batches, key[0]),
+        "statistic": statistic_differential(audited, batches, spec.names),
+        "event_errors": events_differential(tables.read(EVENT_ERRORS), batches),
+    }
+    for kind, (_, keys, partition_by) in deliverables(asset).items():
+        tables.upsert(targets[kind], rows[kind], keys, batches=ids if partition_by else None)
