@@ -7,6 +7,7 @@ from tierflow.operators.conform import (
     column_differences,
     conform,
     conformed_names,
+    fail_on_null,
     null_counts,
     require_columns,
     require_not_null,
@@ -62,6 +63,9 @@ def test_conform_and_null_check(spark, tmp_path):
     assert raw.schema["email"].metadata == {"comment": "Visitor"}
     assert rows(null_counts(raw, ["email", "Opens"])) == [("Opens", 1), ("email", 0)]
     require_not_null(raw, ["email"])
+    assert fail_on_null(raw, ["email"]).count() == 1
+    with pytest.raises(Exception, match="Null value found in column: jyv"):
+        fail_on_null(raw, ["email", "jyv", "Opens"]).count()
     with pytest.raises(ValueError, match="Null value found in column: jyv, Opens"):
         require_not_null(raw, ["email", "jyv", "Opens"])
 

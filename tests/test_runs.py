@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +177,16 @@ def test_rejected_delivery_leaves_no_trace(setup):
     assert tables.read(INGESTIONS).isEmpty()
 
 
+def test_null_in_a_required_column_rejects_the_delivery(setup):
+    tables, asset, landing = setup
+    strict = replace(asset, raw=replace(asset.raw, columns=tuple(replace(c, is_nullable=c.name != "Opens") for c in asset.raw.columns)))
+    visits.write(landing / "4", "report_11.txt", "ana@x.y,,SI,08/02/2013 18:30,1,", "bob@x.y,,SI,08/02/2013 18:30,,")
+    run = Run(tables, "20130220_000000", "2013-02-20 00:00:00")
+    with pytest.raises(Exception, match="Null value found in column: Opens"):
+        process(run, strict, str(landing / "4"))
+    assert tables.read(asset.raw.name).isEmpty() and tables.read(INGESTIONS).isEmpty()
+
+
 def test_stream_ingests_each_file_once(setup, tmp_path):
     tables, asset, landing = setup
     arriving = tmp_path / "arriving"

@@ -102,6 +102,15 @@ def require_not_null(df: DataFrame, columns: Iterable[str]) -> None:
         raise ValueError(f"Null value found in column: {', '.join(broken)}")
 
 
+def fail_on_null(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """`df`, failing the job that reads it at the first NULL in a required column: no scan of its own."""
+    valid = F.lit(True)
+    for column in reversed(list(columns)):
+        error = F.raise_error(F.lit(f"Null value found in column: {column}")).cast("boolean")
+        valid = F.when(F.col(column).isNull(), error).otherwise(valid)
+    return df.where(valid)
+
+
 def _at(value: datetime | str | Column) -> Column:
     return value if isinstance(value, Column) else F.lit(value).cast("timestamp")
 

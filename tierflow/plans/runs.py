@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tierflow.functions.cleaning import Hook
 from tierflow.functions.types import record
-from tierflow.operators.conform import BATCH, LOADED_AT, conform, require_not_null
+from tierflow.operators.conform import BATCH, LOADED_AT, conform, fail_on_null
 from tierflow.operators.events import EVENT_SCHEMA
 from tierflow.operators.export import events_differential, run_batches, statistic_differential, visitor_differential
 from tierflow.operators.history import VALIDITY, empty_history, scd2_changes
@@ -67,8 +67,8 @@ def land_to_raw(run: Run, asset: Asset, files: DataFrame, batches: list[str]) ->
     spec, tables = asset.raw, run.tables
     delivered = read_files(tables.spark, files, asset.reader, spec.aliases, spec.names)
     raw = conform(delivered, spec, run.loaded_at)
-    require_not_null(raw, spec.required)
-    tables.write(raw, spec.name, spec.write_mode, batches)
+    # Checked while writing: delivered text is parsed once, and a failed write commits nothing.
+    tables.write(fail_on_null(raw, spec.required), spec.name, spec.write_mode, batches)
     # Conforming keeps every row, so rows delivered and rows written are the same count.
     written = tables.read(spec.name).where(F.col(BATCH).isin(batches))
     run.record(ingestion_metrics(written, written, tables.read(spec.name), BATCH, spec, run.rundate, run.loaded_at))

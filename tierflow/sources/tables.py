@@ -138,11 +138,16 @@ class Tables:
         """
         self.create(name, df.schema, [BATCH])
         batches = sorted(set(batches))
+        # Only a batch that has rows now can be left over by a write without rows for it.
+        present = self._batches_among(self.read(name), batches)
+        filled = self._batches_among(df, present) if present else set()
         self._insert_partitions(df, name, [BATCH])
-        filled = {r[0] for r in df.where(F.col(BATCH).isin(batches)).select(BATCH).distinct().collect()}
-        for batch in batches:
-            if batch not in filled:
-                self.clear_partition(name, {BATCH: batch})
+        for batch in sorted(present - filled):
+            self.clear_partition(name, {BATCH: batch})
+
+    @staticmethod
+    def _batches_among(df: DataFrame, batches: Iterable[str]) -> set[str]:
+        return {r[0] for r in df.where(F.col(BATCH).isin(list(batches))).select(BATCH).distinct().collect()}
 
     def _insert_partitions(self, df: DataFrame, name: str, partition_by: Sequence[str]) -> None:
         (
