@@ -45,6 +45,7 @@ LOWER[65:91] += 32
 # Bytes of a wide key: 96 bits, so that no two of 10^13 different strings are likely to meet.
 WIDE = 12
 KEYS_SCHEMA = "bucket int, block long, keys binary, counts binary"
+PLACES_SCHEMA = KEYS_SCHEMA + ", starts binary"
 MARKS_SCHEMA = "block long, bucket int, marks binary"
 
 
@@ -65,7 +66,7 @@ def pack(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"), block_b
     )
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 22
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
@@ -92,6 +93,17 @@ def pack(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text"), block_b
     return materialize(wanted.mapInArrow(fill, schema), "blocks")
 
 
+def slices(batches: Iterable[pa.RecordBatch], text: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of some batches in slices of bounded text."""
+    for batch in batches:
+        sizes = np.cumsum([0, *(len(x or b"") for x in batch.column(text).cast(pa.binary()).to_pylist())])
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(sizes, sizes[begin] + most, "right")) - 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def block_row(number: int, held: list[pa.RecordBatch], size: int) -> pa.RecordBatch:
     sink = pa.BufferOutputStream()
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
@@ -153,11 +165,11 @@ class Words:
     first: np.ndarray  # one more entry than documents
 
     @classmethod
-    def of(cls, text: Text) -> Words:
+    def of(cls, text: Text, separators: np.ndarray = SEPARATOR) -> Words:
         if not len(text.data):
             none = np.empty(0, np.int64)
             return cls(none, none, np.zeros(1, np.int64))
-        separator = SEPARATOR[text.data]
+        separator = separators[text.data]
         edges = np.flatnonzero(separator[1:] != separator[:-1]) + 1
         start = edges[0::2]
         return cls(start, edges[1::2], np.append(np.searchsorted(start, text.begin), len(start)))
@@ -287,7 +299,7 @@ class Keys:
     def rows(self, block: int, buckets: int) -> pa.RecordBatch:
         parts = self.parts(buckets)
         keys = [
-            self.high[s].tobytes() + (b"" if self.low is None else self.low[s].tobytes()) for _, s in parts
+            packed(self.high[s]) if self.low is None else self.high[s].tobytes() + self.low[s].tobytes() for _, s in parts
         ]
         counts = [self.counts[s].astype(np.uint32) for _, s in parts]
         return pa.record_batch(
@@ -308,6 +320,37 @@ class Keys:
         return marks
 
 
+def shortened(keys: np.ndarray, total: float) -> np.ndarray:
+    """Keys cut to the bits that so many need: two in 65,000 times their number agree by chance.
+
+    For counts whose use is only to rule out what occurs once.
+    """
+    spare = U(max(0, 64 - 16 - max(1, int(total)).bit_length()))
+    return keys >> spare << spare
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Keys in order, as steps of 4 bytes where they fit: in units of the bits that are in use."""
+    if not len(keys):
+        return b""
+    used = int(np.bitwise_or.reduce(keys))
+    spare = (used & -used).bit_length() - 1 if used else 0
+    units = keys >> U(spare)
+    steps = np.diff(units)
+    if len(steps) and int(steps.max()) < 1 << 32:
+        return bytes([spare]) + units[:1].tobytes() + steps.astype(np.uint32).tobytes()
+    return b"\xff" + keys.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, U)
+    if data[0] == 255:
+        return np.frombuffer(data, U, offset=1)
+    steps = np.frombuffer(data, np.uint32, offset=9).astype(U)
+    return np.cumsum(np.concatenate([np.frombuffer(data, U, 1, 1), steps]), dtype=U) << U(data[0])
+
+
 def packed_counts(counts: np.ndarray) -> bytes:
     """Counts of a block: nothing if all are 1."""
     return b"" if (counts == 1).all() else counts.tobytes()
@@ -319,9 +362,13 @@ def totals(table: pa.Table, wide: bool) -> pa.Table:
     The mark is the number of occurrences up to 3, and from there on 2 + log2 of it.
     """
     raw = table["keys"].to_pylist()
-    sizes = np.array([len(x) // (WIDE if wide else 8) for x in raw], np.int64)
-    high = np.concatenate([np.frombuffer(x, U, n) for x, n in zip(raw, sizes, strict=True)])
-    low = np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n) for x, n in zip(raw, sizes, strict=True)]) if wide else None
+    if wide:
+        sizes = np.array([len(x) // WIDE for x in raw], np.int64)
+        high = np.concatenate([np.frombuffer(x, U, n) for x, n in zip(raw, sizes, strict=True)])
+        low = np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n) for x, n in zip(raw, sizes, strict=True)])
+    else:
+        parts = [unpacked(x) for x in raw]
+        sizes, high, low = np.array([len(x) for x in parts], np.int64), np.concatenate(parts), None
     counts = np.concatenate(
         [np.frombuffer(c, np.uint32) if c else np.ones(n, np.uint32) for c, n in zip(table["counts"].to_pylist(), sizes, strict=True)]
     )
@@ -343,6 +390,34 @@ def count_keys(rows: DataFrame, wide: bool = False) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(lambda table: totals(table, wide), MARKS_SCHEMA)
 
 
+def with_places(batch: pa.RecordBatch, starts: np.ndarray, keys: Keys) -> pa.Table:
+    """Add to each row of wide keys the starts of their occurrences, in the order of the keys."""
+    rows = pa.Table.from_batches([batch])
+    order = np.argsort(keys.occurrence, kind="stable")
+    sorted_starts = starts[order].astype(np.int32)
+    ends = np.cumsum(keys.counts)
+    out, at, done = [], 0, 0
+    for raw in rows["keys"].to_pylist():
+        done += len(raw) // WIDE
+        end = int(ends[done - 1])
+        out.append(sorted_starts[at:end].tobytes())
+        at = end
+    return rows.append_column("starts", pa.array(out, pa.binary()))
+
+
+def repeated_places(table: pa.Table) -> pa.Table:
+    """The starts, per block, of windows that occur more than once."""
+    marks = totals(table.select(["bucket", "block", "keys", "counts"]), wide=True)["marks"].to_pylist()
+    out = []
+    for mark, raw, starts in zip(marks, table["counts"].to_pylist(), table["starts"].to_pylist(), strict=True):
+        repeated = np.frombuffer(mark, np.uint8) > 1
+        places = np.frombuffer(starts, np.int32)
+        if raw:
+            repeated = np.repeat(repeated, np.frombuffer(raw, np.uint32))
+        out.append(places[repeated].tobytes())
+    return pa.table({"block": table["block"], "starts": pa.array(out, pa.binary())})
+
+
 def each_block(blocks: DataFrame, work: Callable[[int, pa.Table], pa.RecordBatch | None], schema) -> DataFrame:
     """Apply `work(block, documents)` to every block."""
 

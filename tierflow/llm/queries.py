@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierflow.llm import substring_dedup
+from tierflow.llm import maximal_repeats, set_relations, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,3 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op3_substring_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op4_set_relations")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_relations.set_relations(table(spark, sf_dir, "documents"))
+
+
+@query("op6_maximal_repeats")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maximal_repeats.suffix_dedup(table(spark, sf_dir, "documents"))

@@ -74,7 +74,7 @@ def dedup_blocks(blocks: DataFrame, window: int, finish, schema: str) -> DataFra
 
     def seeds(block: int, table: pa.Table) -> pa.RecordBatch:
         _, words, hashes = words_of(table)
-        return b.Keys.of(anchors(hashes, words.first, anchor)[1]).rows(block, few)
+        return b.Keys.of(b.shortened(anchors(hashes, words.first, anchor)[1], n_bytes)).rows(block, few)
 
     def candidates(words: b.Words, hashes: np.ndarray, starts: np.ndarray) -> b.Keys:
         again = b.mixed(hashes + b.BASE_2)
@@ -86,13 +86,12 @@ def dedup_blocks(blocks: DataFrame, window: int, finish, schema: str) -> DataFra
     def extend(block: int, table: pa.Table, marks: pa.Table) -> pa.Table:
         _, words, hashes = words_of(table)
         at, found = anchors(hashes, words.first, anchor)
-        keys = b.Keys.of(found)
+        keys = b.Keys.of(b.shortened(found, n_bytes))
         repeated = at[(keys.marked(marks) > 1)[keys.occurrence]]
         starts = windows_with(repeated, words.first, len(words), window)
         keys = candidates(words, hashes, starts)
-        rows = pa.Table.from_batches([keys.rows(block, many)])
         # The places travel with the keys: the last pass need not find the anchors again.
-        return rows.append_column("starts", place_column(rows, starts, keys))
+        return b.with_places(keys.rows(block, many), starts, keys)
 
     def remove(block: int, table: pa.Table, answers: pa.Table) -> pa.Table:
         text = b.Text.of(table["text"])
@@ -102,38 +101,11 @@ def dedup_blocks(blocks: DataFrame, window: int, finish, schema: str) -> DataFra
         return finish(table, text, words, gone)
 
     marks = b.count_keys(b.each_block(blocks, seeds, b.KEYS_SCHEMA))
-    windows = b.with_answers(blocks, marks, extend, b.KEYS_SCHEMA + ", starts binary")
-    places = windows.groupBy("bucket").applyInArrow(repeated_places, "block long, starts binary")
+    windows = b.with_answers(blocks, marks, extend, b.PLACES_SCHEMA)
+    places = windows.groupBy("bucket").applyInArrow(b.repeated_places, "block long, starts binary")
     return b.with_answers(blocks, places, remove, schema)
 
 
-def place_column(rows: pa.Table, starts: np.ndarray, keys: b.Keys) -> pa.Array:
-    """For each row of keys the starts of its occurrences, in the order of the keys."""
-    order = np.argsort(keys.occurrence, kind="stable")
-    sorted_starts = starts[order].astype(np.int32)
-    ends = np.cumsum(keys.counts)
-    out, at, done = [], 0, 0
-    for raw in rows["keys"].to_pylist():
-        done += len(raw) // b.WIDE
-        end = int(ends[done - 1])
-        out.append(sorted_starts[at:end].tobytes())
-        at = end
-    return pa.array(out, pa.binary())
-
-
-def repeated_places(table: pa.Table) -> pa.Table:
-    """The starts, per block, of windows that occur more than once."""
-    marks = b.totals(table.select(["bucket", "block", "keys", "counts"]), wide=True)["marks"].to_pylist()
-    out = []
-    for mark, raw, starts in zip(marks, table["counts"].to_pylist(), table["starts"].to_pylist(), strict=True):
-        repeated = np.frombuffer(mark, np.uint8) > 1
-        places = np.frombuffer(starts, np.int32)
-        if raw:
-            repeated = np.repeat(repeated, np.frombuffer(raw, np.uint32))
-        out.append(places[repeated].tobytes())
-    return pa.table({"block": table["block"], "starts": pa.array(out, pa.binary())})
-
-
 def words_of(table: pa.Table) -> tuple[b.Text, b.Words, np.ndarray]:
     text = b.Text.of(table["text"])
     words = b.Words.of(text)
