@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierflow.llm import maximal_repeats, set_relations, substring_dedup
+from tierflow.llm import (
+    entropy_secrets,
+    greedy_tiling,
+    hash_tree,
+    line_frequency,
+    link_graph,
+    maximal_repeats,
+    oracles,
+    set_relations,
+    splitting_tree,
+    substring_dedup,
+    unigram_counts,
+)
+
+# Shards of the sharding query, and after growth by one.
+SHARDS = 16
+# A vocabulary file of a public tokenizer.
+VOCABULARY = os.environ.get("TOKENIZER_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +45,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_hash_tree", oracles.hash_tree(hash_tree.even_tree(SHARDS), hash_tree.even_tree(SHARDS + 1)))
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees = hash_tree.even_tree(SHARDS), hash_tree.even_tree(SHARDS + 1)
+    return hash_tree.hash_tree(table(spark, sf_dir, "documents"), *trees)
+
+
+@query("op2_unigram_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_counts.unigram_counts(table(spark, sf_dir, "documents"), unigram_counts.Vocabulary.read(VOCABULARY))
+
+
 @query("op3_substring_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
@@ -37,6 +66,31 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_relations.set_relations(table(spark, sf_dir, "documents"))
 
 
+@query("op5_line_frequency", oracles.line_frequency())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.line_frequency(table(spark, sf_dir, "documents"))
+
+
 @query("op6_maximal_repeats")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maximal_repeats.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op7_link_graph", oracles.link_graph())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.link_graph(table(spark, sf_dir, "pages"))
+
+
+@query("op8_splitting_tree", oracles.splitting_mix())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting_tree.splitting_mix(table(spark, sf_dir, "documents"))
+
+
+@query("op9_greedy_tiling")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return greedy_tiling.greedy_tiling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_entropy_secrets", oracles.entropy_secrets())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entropy_secrets.entropy_secrets(table(spark, sf_dir, "documents"))
