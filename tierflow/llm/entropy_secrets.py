@@ -35,6 +35,8 @@ HEX = r"[0-9a-f]+"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 # Kinds in order: name, pattern, group that must be long enough, least length.
 KINDS = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16))
+# Where a match that is too short cannot hide a longer one, it need not be found in the first place.
+SEARCH = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 ENTROPY = "entropy"
 
 WINDOW = 20
@@ -83,10 +85,10 @@ def matches(text: Column, pattern: str) -> Column:
 def base_spans(text: Column) -> Column:
     """(start, rank, end) of the spans of the base patterns."""
     parts = []
-    for rank, (_, pattern, group, least) in enumerate(KINDS):
+    for rank, (name, pattern, group, least) in enumerate(KINDS):
         # The wanted group of a match: a match is matched by its own pattern once more.
         value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)  # noqa: B023
-        long = F.filter(matches(text, pattern), lambda x: F.char_length(value(x["m"])) >= least)  # noqa: B023
+        long = F.filter(matches(text, SEARCH.get(name, pattern)), lambda x: F.char_length(value(x["m"])) >= least)  # noqa: B023
         parts.append(F.transform(long, lambda x: F.struct(x["start"], F.lit(rank).alias("rank"), x["end"])))  # noqa: B023
     return F.concat(*parts)
 

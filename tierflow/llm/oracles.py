@@ -215,12 +215,14 @@ def entropy_secrets() -> str:
     def found(name: str, pattern: str) -> str:
         p = quoted(pattern)
         return f"""{name}_list AS (
-  SELECT row, t, regexp_extract_all(t, {p}) AS found, regexp_split_to_array(t, {p}) AS pieces FROM texts WHERE regexp_matches(t, {p})),
+  SELECT row, regexp_extract_all(t, {p}) AS found, regexp_split_to_array(t, {p}) AS pieces FROM texts WHERE regexp_matches(t, {p})),
+{name}_each AS (
+  SELECT row, unnest(range(1, len(found) + 1)) AS i, unnest(found) AS m, unnest(list_transform(pieces[:len(found)], lambda x: length(x))) AS gap
+  FROM {name}_list),
 {name}_found AS (
   SELECT row, m, before + gap AS start, before + gap + length(m) AS stop FROM (
-    SELECT row, i, found[i] AS m, length(pieces[i]) AS gap,
-      coalesce(sum(length(pieces[i]) + length(found[i])) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-    FROM (SELECT row, found, pieces, unnest(range(1, len(found) + 1)) AS i FROM {name}_list)))"""
+    SELECT row, m, gap, coalesce(sum(gap + length(m)) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+    FROM {name}_each))"""
 
     parts = [found(name, pattern) for name, pattern, _, _ in e.KINDS] + [found("candidate", e.CANDIDATE)]
     base = " UNION ALL ".join(
