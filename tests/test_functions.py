@@ -103,7 +103,7 @@ def test_casts(spark):
 def test_cast_can_fail_the_job(spark):
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         values(spark, cast_declared(F.col("v"), "integer", on_error="fail"), ["x"])
-    with pytest.raises(ValueError, match="Invalid data type: decimal"):
+    with pytest.raises(ValueError, match="No such declared type: decimal"):
         declared_type("decimal")
     with pytest.raises(ValueError, match="on_error"):
         cast_declared(F.col("v"), "integer", on_error="skip")

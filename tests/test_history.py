@@ -186,3 +186,13 @@ def test_versions_at(spark):
     assert rows(versions_at(built, START + timedelta(days=1)), "a") == [("1",)]
     assert rows(versions_at(built, START + timedelta(days=2)), "a") == [("2",)]
     assert rows(versions_at(built, START - timedelta(days=1)), "a") == []
+
+
+def test_rebuild_does_not_depend_on_the_order_of_input(spark):
+    changes = [("k", 1, "b", 1), ("k", 1, "a", 1), ("k", 2, "c", 1)]
+    schema = "k string, t int, v string, tie int"
+    for rows_given in (changes, changes[::-1]):
+        df = spark.createDataFrame(rows_given, schema).withColumn("at", F.expr("timestamp_seconds(t)"))
+        for hot_rows in (1_000_000, 1):
+            built = scd2_rebuild(df, ["k"], ["v"], "at", ["tie"], hot_rows)
+            assert [r.v for r in built.orderBy("valid_from").collect()] == ["b", "c"]

@@ -31,13 +31,13 @@ def test_lookup_trims_and_compares_as_text(spark):
 def test_lookup_errors(spark):
     dim = dimension(spark, (7, "a", 1), (8, "a", 1))
     df = spark.createDataFrame([("a", 1)], "name string, version int")
-    with pytest.raises(Exception, match="Unicity violation"):
+    with pytest.raises(Exception, match="more than once"):
         lookup_ids(df, dim, ["name", "version"], "id").collect()
     other = spark.createDataFrame([("b", 1)], "name string, version int")
     assert rows(lookup_ids(other, dim, ["name", "version"], "id")) == [("b", 1, None)]
     for blank in (None, "  "):
         bad = spark.createDataFrame([(blank, 1)], "name string, version int")
-        with pytest.raises(Exception, match="cannot be null or empty"):
+        with pytest.raises(Exception, match="without a value"):
             lookup_ids(bad, dim, ["name", "version"], "id").collect()
 
 

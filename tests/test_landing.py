@@ -40,7 +40,7 @@ def test_values_stay_text(spark, tmp_path):
 def test_header_must_match_the_spec(spark, tmp_path):
     visits.write(tmp_path, "report_7.txt", "1", header="a")
     files = discover(spark, str(tmp_path))
-    with pytest.raises(ValueError, match="Missing column in dataframe: b; Missing column in metadata: a .*report_7"):
+    with pytest.raises(ValueError, match="Declared but not delivered: b; Delivered but not declared: a .*report_7"):
         read_files(spark, files, COMMA, {}, ["b"])
     with pytest.raises(ValueError, match="No files"):
         read_files(spark, files.where("batch_id = 'none'"))
@@ -64,9 +64,9 @@ def test_conform_and_null_check(spark, tmp_path):
     assert rows(null_counts(raw, ["email", "Opens"])) == [("Opens", 1), ("email", 0)]
     require_not_null(raw, ["email"])
     assert fail_on_null(raw, ["email"]).count() == 1
-    with pytest.raises(Exception, match="Null value found in column: jyv"):
+    with pytest.raises(Exception, match="Required but empty: jyv"):
         fail_on_null(raw, ["email", "jyv", "Opens"]).count()
-    with pytest.raises(ValueError, match="Null value found in column: jyv, Opens"):
+    with pytest.raises(ValueError, match="Required but empty: jyv, Opens"):
         require_not_null(raw, ["email", "jyv", "Opens"])
 
 

@@ -145,6 +145,107 @@ def test_run_reads_only_its_batches_for_the_history(setup, monkeypatch):
     assert rows(seen[0].select("metadata_batch_id").distinct()) == [("9",)]
 
 
+def history_of(tables, asset):
+    return rows(read_history(tables, asset.historic.name), "Email", "Opens", "is_current")
+
+
+def line(email, opens):
+    return f"{email},,SI,08/02/2013 18:30,{opens},"
+
+
+def test_steps_of_one_run_keep_each_others_closed_versions(setup, tmp_path):
+    """Three deliveries under one run id, each closing another key's version."""
+    tables, asset, _ = setup
+    run = Run(tables, "20130208_000000", "2013-02-08 20:00:00")
+    late = Run(tables, "20130208_000000", "2013-02-09 20:00:00")
+    visits.write(tmp_path / "a", "report_1.txt", line("ana@x.y", 1), line("bob@x.y", 1))
+    visits.write(tmp_path / "b", "report_2.txt", line("ana@x.y", 2))
+    visits.write(tmp_path / "c", "report_3.txt", line("bob@x.y", 2))
+    for step, folder in ((run, "a"), (late, "b"), (late, "c")):
+        process(step, asset, str(tmp_path / folder))
+    expected = [("ana@x.y", 1, False), ("ana@x.y", 2, True), ("bob@x.y", 1, False), ("bob@x.y", 2, True)]
+    assert history_of(tables, asset) == expected
+    process(late, asset, str(tmp_path / "b"))
+    runs.audit_to_historic(late, asset, ["3"])
+    assert history_of(tables, asset) == expected
+
+
+def test_micro_batches_keep_each_others_closed_versions(setup, tmp_path):
+    tables, asset, _ = setup
+    visits.write(tmp_path / "in", "report_1.txt", line("ana@x.y", 1), line("bob@x.y", 1))
+    first = Run(tables, "20130208_000000", "2013-02-08 20:00:00")
+    ingest_available(first, asset, str(tmp_path / "in"), str(tmp_path / "c"), max_files=1).awaitTermination()
+    visits.write(tmp_path / "in", "report_2.txt", line("ana@x.y", 2))
+    visits.write(tmp_path / "in", "report_3.txt", line("bob@x.y", 2))
+    second = Run(tables, "20130209_000000", "2013-02-09 20:00:00")
+    ingest_available(second, asset, str(tmp_path / "in"), str(tmp_path / "c"), max_files=1).awaitTermination()
+    assert history_of(tables, asset) == [("ana@x.y", 1, False), ("ana@x.y", 2, True), ("bob@x.y", 1, False), ("bob@x.y", 2, True)]
+
+
+def test_key_that_fails_when_screened_again_is_closed(setup, tmp_path):
+    tables, asset, _ = setup
+    visits.write(tmp_path / "in" / "a", "report_1.txt", line("ana@x.y", 15), line("bob@x.y", 1))
+    visits.write(tmp_path / "in" / "b", "report_2.txt", line("bob@x.y", 1))
+    process(Run(tables, "20130208_000000", "2013-02-08 20:00:00"), asset, str(tmp_path / "in"))
+    bounds = {"validation": "is_in_bounds", "min_allowed": 0, "max_allowed": 10}
+    columns = tuple(replace(c, validations=(bounds,)) if c.name == "Opens" else c for c in asset.audit.columns)
+    strict = replace(asset, audit=replace(asset.audit, columns=columns))
+    again = Run(tables, "20130209_000000", "2013-02-09 20:00:00")
+    runs.raw_to_audit(again, strict, ["1"])
+    runs.audit_to_historic(again, strict, ["1"])
+    assert history_of(tables, strict) == [("ana@x.y", 15, False), ("bob@x.y", 1, True)]
+
+
+def test_empty_delivery_is_recorded_once(setup, tmp_path):
+    tables, asset, _ = setup
+    visits.write(tmp_path / "a", "report_1.txt")
+    run = Run(tables, "20130208_000000", "2013-02-08 20:00:00")
+    assert process(run, asset, str(tmp_path / "a")) == ["1"]
+    assert rows(tables.read(INGESTIONS).where("batch_id = '1'"), "table_name", "initial_rows", "final_rows") == [
+        ("audit_visits", 0, 0),
+        ("raw_visits", 0, 0),
+    ]
+    assert process(run, asset, str(tmp_path / "a")) == []
+
+
+def test_file_without_a_batch_id_is_refused(setup, tmp_path):
+    tables, asset, _ = setup
+    visits.write(tmp_path / "a", "report.txt", line("ana@x.y", 1))
+    with pytest.raises(Exception, match="No batch id in the file name report.txt"):
+        process(Run(tables, "20130208_000000", "2013-02-08 20:00:00"), asset, str(tmp_path / "a"))
+    assert tables.read(INGESTIONS).isEmpty()
+
+
+def with_key(asset, *names):
+    def keyed(spec):
+        return replace(spec, columns=tuple(replace(c, is_primary_key=c.name.lower() in names) for c in spec.columns))
+
+    return replace(asset, raw=keyed(asset.raw), audit=keyed(asset.audit))
+
+
+def test_table_without_a_key(setup, tmp_path):
+    tables, asset, _ = setup
+    asset = with_key(asset)
+    visits.write(tmp_path / "a", "report_1.txt", line("ana@x.y", 1), line("ana@x.y", 1), line("bad", 1))
+    run = Run(tables, "20130208_000000", "2013-02-08 20:00:00")
+    runs.land_to_raw(run, asset, runs.discover(tables.spark, str(tmp_path / "a")), ["1"])
+    for _ in range(2):
+        runs.raw_to_audit(run, asset, ["1"])
+        assert rows(tables.read(asset.audit.name), "Email", "metadata_audit_id") == [("ana@x.y", 1), ("ana@x.y", 1), (None, 2)]
+    with pytest.raises(ValueError, match="no key"):
+        summarize(run, asset, GOLD, "FechaEnvio")
+
+
+def test_composite_key_in_summary_and_export(setup, tmp_path):
+    tables, asset, _ = setup
+    asset = with_key(asset, "email", "opens")
+    visits.write(tmp_path / "a", "report_1.txt", line("ana@x.y", 1), line("ana@x.y", 2))
+    visits.write(tmp_path / "a", "report_2.txt", line("ana@x.y", 2))
+    full_run(Run(tables, "20130208_000000", "2013-02-08 20:00:00"), asset, tmp_path / "a")
+    assert rows(tables.read(TARGETS["visitor"]), "Email", "Opens", "visitasTotales") == [("ana@x.y", 1, 1), ("ana@x.y", 2, 2)]
+    assert dict(tables.read(TARGETS["visitor"]).dtypes)["Opens"] == "int"
+
+
 def test_audit_again_updates_instead_of_adding(setup):
     tables, asset, landing = setup
     run = Run(tables, "20130208_000000", "2013-02-08 20:00:00")
@@ -172,7 +273,7 @@ def test_history_without_passed_rows_closes_everything(setup):
 def test_rejected_delivery_leaves_no_trace(setup):
     tables, asset, landing = setup
     visits.write(landing / "3", "report_10.txt", "1", header="other")
-    with pytest.raises(ValueError, match="Missing column"):
+    with pytest.raises(ValueError, match="Declared but not delivered"):
         process(Run(tables, "20130220_000000", "2013-02-20 00:00:00"), asset, str(landing / "3"))
     assert tables.read(INGESTIONS).isEmpty()
 
@@ -182,7 +283,7 @@ def test_null_in_a_required_column_rejects_the_delivery(setup):
     strict = replace(asset, raw=replace(asset.raw, columns=tuple(replace(c, is_nullable=c.name != "Opens") for c in asset.raw.columns)))
     visits.write(landing / "4", "report_11.txt", "ana@x.y,,SI,08/02/2013 18:30,1,", "bob@x.y,,SI,08/02/2013 18:30,,")
     run = Run(tables, "20130220_000000", "2013-02-20 00:00:00")
-    with pytest.raises(Exception, match="Null value found in column: Opens"):
+    with pytest.raises(Exception, match="Required but empty: Opens"):
         process(run, strict, str(landing / "4"))
     assert tables.read(asset.raw.name).isEmpty() and tables.read(INGESTIONS).isEmpty()
 

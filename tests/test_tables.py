@@ -36,7 +36,7 @@ def test_modes(spark, tables):
     assert rows(tables.read(NAME, "read_audit_passed"), "v") == [(1,)]
     with pytest.raises(ValueError, match="Unknown read mode"):
         tables.read(NAME, "read_some")
-    with pytest.raises(ValueError, match="Unsupported write mode"):
+    with pytest.raises(ValueError, match="No such way of writing"):
         tables.write(df, NAME, "append")
     with pytest.raises(ValueError, match="catalog.schema.table"):
         tables.table("only_a_table")
@@ -115,3 +115,17 @@ def test_csv_export(spark, tables, tmp_path):
     assert rows(back) == [("a,b", 'q"t', None), (None, " ", "x")]
     write_csv(df, str(tmp_path / "semi"), ";")
     assert spark.read.option("header", True).option("sep", ";").csv(str(tmp_path / "semi")).columns == ["a", "b", "c"]
+
+
+def test_rows_of_an_unlisted_batch_fail_the_write(spark, tables):
+    schema = "k int, metadata_batch_id string"
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], schema)
+    tables.overwrite_batches(old, "c.s.t", ["a", "b"])
+    new = spark.createDataFrame([(9, "a"), (9, "b")], schema)
+    with pytest.raises(Exception, match="Row outside the listed values of metadata_batch_id: b"):
+        tables.overwrite_batches(new, "c.s.t", ["a"])
+    with pytest.raises(Exception, match="Row outside the listed values"):
+        tables.upsert("c.s.t", new, ["k", "metadata_batch_id"], batches=["a"])
+    with pytest.raises(ValueError, match="needs an id"):
+        tables.overwrite_batches(new, "c.s.t", ["a", ""])
+    assert rows(tables.read("c.s.t")) == [(1, "a"), (2, "b"), (3, "b")]

@@ -26,7 +26,7 @@ def record(**columns: str) -> T.StructType:
 def declared_type(name: str) -> T.DataType:
     """Spark type for a declared type name; an unknown name is an error before any job runs."""
     if name not in DECLARED_TYPES:
-        raise ValueError(f"Invalid data type: {name}")
+        raise ValueError(f"No such declared type: {name}")
     return DECLARED_TYPES[name]
 
 

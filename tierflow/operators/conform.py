@@ -56,9 +56,9 @@ def require_columns(delivered: Iterable[str], declared: Iterable[str]) -> None:
     missing, extra = column_differences(delivered, declared)
     problems = []
     if missing:
-        problems.append(f"Missing column in dataframe: {', '.join(missing)}")
+        problems.append(f"Declared but not delivered: {', '.join(missing)}")
     if extra:
-        problems.append(f"Missing column in metadata: {', '.join(extra)}")
+        problems.append(f"Delivered but not declared: {', '.join(extra)}")
     if problems:
         raise ValueError("; ".join(problems))
 
@@ -99,14 +99,14 @@ def require_not_null(df: DataFrame, columns: Iterable[str]) -> None:
         return
     broken = [r["column_name"] for r in null_counts(df, columns).where("n_null > 0").collect()]
     if broken:
-        raise ValueError(f"Null value found in column: {', '.join(broken)}")
+        raise ValueError(f"Required but empty: {', '.join(broken)}")
 
 
 def fail_on_null(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """`df`, failing the job that reads it at the first NULL in a required column: no scan of its own."""
     valid = F.lit(True)
     for column in reversed(list(columns)):
-        error = F.raise_error(F.lit(f"Null value found in column: {column}")).cast("boolean")
+        error = F.raise_error(F.lit(f"Required but empty: {column}")).cast("boolean")
         valid = F.when(F.col(column).isNull(), error).otherwise(valid)
     return df.where(valid)
 

@@ -35,14 +35,19 @@ def of_batches(
 
 
 def visitor_differential(
-    visitor: DataFrame, audited: DataFrame, batches: DataFrame, key: str, batch_col: str = BATCH
+    visitor: DataFrame, audited: DataFrame, batches: DataFrame, key: str | Sequence[str], batch_col: str = BATCH
 ) -> DataFrame:
     """Summary rows of every key in the run's batches, whether its rows passed or not.
 
     The keys are made distinct before the join, so both sides hold each key once.
     """
-    touched = of_batches(audited.select(key, batch_col), batches, batch_col).select(key).distinct()
-    return visitor.join(touched, key, "left_semi")
+    keys = [key] if isinstance(key, str) else list(key)
+    touched = of_batches(audited.select(*keys, batch_col), batches, batch_col).select(*keys).distinct()
+    if len(keys) == 1:
+        return visitor.join(touched, keys, "left_semi")
+    # A part of a composite key may be NULL.
+    touched = touched.toDF(*[f"_k{i}" for i in range(len(keys))])
+    return visitor.join(touched, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left_semi")
 
 
 def statistic_differential(

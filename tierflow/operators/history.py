@@ -140,12 +140,12 @@ def scd2_rebuild(
 ) -> DataFrame:
     """The whole history from all delivered rows, in order of `version_ts`, not of arrival.
 
-    Of several rows with one key and time the highest by `tie` counts (by the tracked values if
-    none is given). A row equal to the one before it opens no version. Keys with a very long
+    Of several rows with one key and time the highest by `tie` counts, then by the tracked values. A row equal to the one before it opens no version. Keys with a very long
     history are built slice by slice in time, all others in one window.
     """
     key, tracked = _names(key, tracked)
-    tie = list(tie) or tracked or key
+    # The tracked values come last: whatever `tie` leaves open must not depend on the order of input.
+    tie = list(dict.fromkeys([*tie, *(tracked or key)]))
     dateless = F.raise_error(F.lit(f"Row without a version time in {version_ts}")).cast("boolean")
     changes = changes.where(F.when(F.col(version_ts).isNull(), dateless).otherwise(F.lit(True)))
     hot = hot_keys(changes, key, hot_rows)
@@ -233,6 +233,21 @@ def scd2_changes(
     )
 
 
+def close_absent(versions: DataFrame, present: DataFrame, key: Sequence[str], now: datetime | str) -> DataFrame:
+    """`versions` with the current ones closed whose key is not among `present` (distinct keys)."""
+    names = [f"_k{i}" for i in range(len(key))]
+    listed = present.select(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)]).withColumn("_present", F.lit(True))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(key, names, strict=True)]
+    gone = F.col("is_current") & F.col("_present").isNull()
+    joined = versions.join(listed, same, "left")
+    return joined.withColumns(
+        {
+            "valid_to": F.when(gone, F.lit(now).cast("timestamp")).otherwise(F.col("valid_to")),
+            "is_current": F.col("is_current") & ~gone,
+        }
+    ).select(*versions.columns)
+
+
 def scd2_apply(
     history: DataFrame,
     snapshot: DataFrame,

@@ -25,7 +25,7 @@ def _text(column: str) -> Column:
 def require_base_values(df: DataFrame, base: Sequence[str]) -> DataFrame:
     """`df`, failing the job at a NULL or blank base value. No extra scan."""
     blank = reduce(lambda a, b: a | b, [F.coalesce(F.trim(_text(c)), F.lit("")) == "" for c in base])
-    error = F.raise_error(F.lit(f"Base value cannot be null or empty: {', '.join(base)}")).cast("boolean")
+    error = F.raise_error(F.lit(f"Key part without a value: {', '.join(base)}")).cast("boolean")
     return df.where(F.when(blank, error).otherwise(F.lit(True)))
 
 
@@ -38,7 +38,7 @@ def _by_base(dimension: DataFrame, base: Sequence[str]) -> DataFrame:
 
 def _single_id(id_type: T.DataType, base: Sequence[str]) -> Column:
     """The id found by a lookup; a combination that the dimension holds twice fails the job."""
-    error = F.raise_error(F.lit(f"Unicity violation on surrogate key search: {', '.join(base)}"))
+    error = F.raise_error(F.lit(f"The dimension holds a key more than once: {', '.join(base)}"))
     return F.when(F.col("_n") > 1, error.cast(id_type)).otherwise(F.col("_id"))
 
 

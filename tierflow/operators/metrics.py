@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,16 +43,20 @@ def ingestion_metrics(
     spec: TableSpec,
     rundate: str,
     loaded_at: datetime | str,
+    batches: Iterable[str] = (),
 ) -> DataFrame:
     """One row per batch: rows read, rows written, and rows in the table afterwards.
 
+    `batches` are counted as well if they have no rows, so that an empty delivery is recorded.
     Both counts come from one aggregate, which carries one row per batch and task.
     """
     batch = F.col(batch_col).cast("string")
     seen = before.select(batch.alias("batch_id"), F.lit(True).alias("_read"))
     written = after.select(batch.alias("batch_id"), F.lit(False).alias("_read"))
+    listed = target.sparkSession.createDataFrame([(b, None) for b in sorted(set(batches))], "batch_id string, _read boolean")
     counted = (
         seen.unionByName(written)
+        .unionByName(listed)
         .groupBy("batch_id")
         .agg(
             F.count_if("_read").alias("initial_rows"),

@@ -31,9 +31,13 @@ GROUP_SCREENS = ("is_primary_key", "is_unique")
 
 
 def identifier(columns: Sequence[str]) -> Column:
-    """A record's key as text; the parts of a composite key are joined."""
+    """A record's key as text. Parts of a composite key are joined so that different keys stay
+    different: NULL is `\\N`, and separators within a part are escaped."""
     parts = [F.col(c).cast("string") for c in columns]
-    return parts[0] if len(parts) == 1 else F.concat_ws("||", *parts)
+    if len(parts) == 1:
+        return parts[0]
+    escaped = [F.regexp_replace(p, r"([\\|])", r"\\$1") for p in parts]
+    return F.concat_ws("||", *[F.coalesce(p, F.lit("\\N")) for p in escaped])
 
 
 def group_members(item: Screen) -> list[str]:
@@ -153,10 +157,11 @@ def _apply(
     values = [
         F.when(F.col(code_of[c]).isNull(), F.col(c)).alias(c) if c in code_of else F.col(c) for c in columns
     ]
+    # One entry per screened column, NULL where it passed: a plain array that is compiled and built once.
     return coded.select(
         *values,
         (~reduce(lambda a, b: a | b, failing, F.lit(False))).alias(PASSED),
-        (F.array_compact(F.array(*entries)) if entries else F.array().cast(FAILURE_TYPE)).alias(FAILURES),
+        (F.array(*entries) if entries else F.array().cast(FAILURE_TYPE)).alias(FAILURES),
     )
 
 
@@ -204,6 +209,7 @@ class Screening:
             self._apply(self.flagged)
             .where(~F.col(PASSED))
             .select(*scope, F.explode(FAILURES).alias("f"))
+            .where("f IS NOT NULL")
             .select(*scope, "f.*")
         )
         if self.violations is None:

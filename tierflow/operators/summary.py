@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,19 +20,22 @@ def run_period(rundate: str) -> tuple[int, int]:
     return int(rundate[0:4]), int(rundate[4:6])
 
 
-def visitor_summary(rows: DataFrame, key: str, at: str, rundate: str) -> DataFrame:
+def visitor_summary(rows: DataFrame, key: str | Sequence[str], at: str, rundate: str) -> DataFrame:
     """First and last visit and visit counts (all, run's year, run's month) per key.
 
+    Visits of an entity without a key are not counted; of a composite key one part is enough.
     One aggregate with conditional counts: a single exchange that carries one partial row per
     key and task, however many visits a key has.
     """
     year, month = run_period(rundate)
     in_year = F.year(at) == year
     in_month = in_year & (F.month(at) == month)
-    return rows.groupBy(key).agg(
+    keys = [key] if isinstance(key, str) else list(key)
+    known = F.coalesce(*[F.col(k).cast("string") for k in keys])
+    return rows.groupBy(*keys).agg(
         F.min(at).alias(FIRST_VISIT),
         F.max(at).alias(LAST_VISIT),
-        F.count(key).alias(TOTAL),
-        F.count(F.when(in_year, F.col(key))).alias(THIS_YEAR),
-        F.count(F.when(in_month, F.col(key))).alias(THIS_MONTH),
+        F.count(known).alias(TOTAL),
+        F.count(F.when(in_year, known)).alias(THIS_YEAR),
+        F.count(F.when(in_month, known)).alias(THIS_MONTH),
     )

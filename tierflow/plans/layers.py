@@ -39,17 +39,27 @@ def cleaned_rows(raw: DataFrame, spec: TableSpec, hook: Hook | None = None) -> D
     return named.transform(hook) if hook else named
 
 
+def audit_screening(
+    raw: DataFrame,
+    spec: TableSpec,
+    hook: Hook | None = None,
+    references: References = {},
+    violations: DataFrame | None = None,
+) -> Screening:
+    """The screening of raw-layer rows; rows and events can share one, so lookups are found once."""
+    return Screening(cleaned_rows(raw, spec, hook), audit_plan(spec), spec.key, BATCH, references, violations=violations)
+
+
 def audit_rows(
     raw: DataFrame,
     spec: TableSpec,
     loaded_at: datetime | str,
     hook: Hook | None = None,
     references: References = {},
-    violations: DataFrame | None = None,
+    screening: Screening | None = None,
 ) -> DataFrame:
     """Audit-layer rows of raw-layer rows, for any number of batches at once."""
-    cleaned = cleaned_rows(raw, spec, hook)
-    screening = Screening(cleaned, audit_plan(spec), spec.key, BATCH, references, violations=violations)
+    screening = screening or audit_screening(raw, spec, hook, references)
     typed = with_audit_technical(cast_audit(screening.audited(), spec), loaded_at, spec.etl_module)
     ordered = [*spec.names, *AUDIT_TECHNICAL[:2], *RAW_TECHNICAL, *AUDIT_TECHNICAL[2:]]
     return with_comments(typed.select(*ordered), {**spec.comments, **TECHNICAL_COMMENTS})
@@ -60,11 +70,10 @@ def audit_events(
     spec: TableSpec,
     hook: Hook | None = None,
     references: References = {},
-    violations: DataFrame | None = None,
+    screening: Screening | None = None,
 ) -> DataFrame:
     """Error events of raw-layer rows."""
-    cleaned = cleaned_rows(raw, spec, hook)
-    screening = Screening(cleaned, audit_plan(spec), spec.key, BATCH, references, violations=violations)
+    screening = screening or audit_screening(raw, spec, hook, references)
     return error_events(screening.failures(), BATCH, spec.catalog_name, spec.schema_name, spec.table_name)
 
 

@@ -6,6 +6,7 @@ thing it does: a run that failed midway is resumed by running it again.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
@@ -18,17 +19,16 @@ from tierflow.functions.types import record
 from tierflow.operators.conform import BATCH, LOADED_AT, conform, fail_on_null
 from tierflow.operators.events import EVENT_SCHEMA
 from tierflow.operators.export import events_differential, run_batches, statistic_differential, visitor_differential
-from tierflow.operators.history import VALIDITY, empty_history, scd2_changes
+from tierflow.operators.history import VALIDITY, close_absent, empty_history, scd2_changes
 from tierflow.operators.metrics import METRIC_KEY, ingestion_metrics, pending_batches, table_metrics
-from tierflow.operators.screening import key_violations
 from tierflow.operators.summary import FIRST_VISIT, LAST_VISIT, THIS_MONTH, THIS_YEAR, TOTAL, visitor_summary
 from tierflow.plans.governance import EVENT_ERRORS, HISTORY_BATCH_SCHEMA, HISTORY_BATCHES, INGESTIONS
-from tierflow.plans.layers import audit_events, audit_rows, cleaned_rows
+from tierflow.plans.layers import audit_events, audit_rows, audit_screening
 from tierflow.plans.spec import TableSpec
 from tierflow.sources.landing import COMMA, CsvReader, discover, read_files
 from tierflow.sources.tables import Tables
 
-# Partition column of a history table: the run that closed a version, OPEN for current ones.
+# Partition column of a history table: the step that closed a version, OPEN for current ones.
 CLOSED_BY = "metadata_closed_by"
 OPEN = "open"
 
@@ -55,9 +55,13 @@ class Run:
 
     def pending(self, batches: Iterable[str], spec: TableSpec) -> list[str]:
         """Of the given batches, those that this table has no metrics for."""
-        found = self.tables.spark.createDataFrame([(b,) for b in sorted(set(batches))], "batch_id string")
+        found = _named(self, batches)
         return sorted(r[0] for r in pending_batches(found, self.tables.read(INGESTIONS), spec).collect())
 
+    def step(self, batches: Iterable[str]) -> str:
+        """Name of one step of this run: the same when the step runs again, another for other batches."""
+        return f"{self.rundate}-{hashlib.md5(','.join(sorted(batches)).encode()).hexdigest()[:16]}"
+
     def record(self, metrics: DataFrame) -> None:
         self.tables.upsert(INGESTIONS, metrics, METRIC_KEY)
 
@@ -71,51 +75,63 @@ def land_to_raw(run: Run, asset: Asset, files: DataFrame, batches: list[str]) ->
     tables.write(fail_on_null(raw, spec.required), spec.name, spec.write_mode, batches)
     # Conforming keeps every row, so rows delivered and rows written are the same count.
     written = tables.read(spec.name).where(F.col(BATCH).isin(batches))
-    run.record(ingestion_metrics(written, written, tables.read(spec.name), BATCH, spec, run.rundate, run.loaded_at))
+    target = tables.read(spec.name)
+    run.record(ingestion_metrics(written, written, target, BATCH, spec, run.rundate, run.loaded_at, batches))
 
 
 def raw_to_audit(run: Run, asset: Asset, batches: list[str]) -> None:
     """Screen raw batches; merge the audited rows and the error events."""
     spec, tables = asset.audit, run.tables
     raw = tables.read(asset.raw.name).where(F.col(BATCH).isin(batches))
-    violations = key_violations(cleaned_rows(raw, spec, asset.hook), spec.key, BATCH) if spec.key else None
-    audited = audit_rows(raw, spec, run.loaded_at, asset.hook, asset.references, violations)
-    events = audit_events(raw, spec, asset.hook, asset.references, violations)
-    tables.upsert(
-        spec.name,
-        audited,
-        [*spec.key, BATCH],
-        created_col="metadata_created_at",
-        updated_col="metadata_updated_at",
-        at=run.loaded_at,
-        batches=batches,
-        partition_by=[BATCH],
-        rerun_null_keys=True,
-    )
+    screening = audit_screening(raw, spec, asset.hook, asset.references)
+    audited = audit_rows(raw, spec, run.loaded_at, asset.hook, asset.references, screening)
+    events = audit_events(raw, spec, asset.hook, asset.references, screening)
+    if spec.key:
+        tables.upsert(
+            spec.name,
+            audited,
+            [*spec.key, BATCH],
+            created_col="metadata_created_at",
+            updated_col="metadata_updated_at",
+            at=run.loaded_at,
+            batches=batches,
+            partition_by=[BATCH],
+            rerun_null_keys=True,
+        )
+    else:
+        # Without a key there is nothing to merge by: the batches are replaced.
+        created = F.lit(run.loaded_at).cast("timestamp")
+        tables.overwrite_batches(audited.withColumn("metadata_created_at", created), spec.name, batches)
     tables.upsert(
         EVENT_ERRORS, events, ["error_event_id", "batch_id"], batches=batches, partition_by=["batch_id"]
     )
-    kept = tables.read(spec.name).where(F.col(BATCH).isin(batches))
-    run.record(ingestion_metrics(raw, kept, tables.read(spec.name), BATCH, spec, run.rundate, run.loaded_at))
+    kept, target = tables.read(spec.name).where(F.col(BATCH).isin(batches)), tables.read(spec.name)
+    run.record(ingestion_metrics(raw, kept, target, BATCH, spec, run.rundate, run.loaded_at, batches))
 
 
 def audit_to_historic(run: Run, asset: Asset, batches: Iterable[str] | None = None, deletes: bool = True) -> None:
     """Bring the history up to the passed rows; only current versions are read and rewritten.
 
     With `batches`, only their rows are compared and keys without one stay as they are: a run
-    reads what it loaded, not the whole audit table. Without, all passed rows are compared and
-    keys that have none left are closed (unless `deletes` is off).
+    reads what it loaded, not the whole audit table. If one of them is in the history already, it
+    was screened again, and current keys that no passed row holds any more are closed; that takes
+    the keys of all passed rows. Without `batches`, all passed rows are compared and keys that have
+    none left are closed. `deletes` off closes none.
 
-    Versions closed by this run go to a partition of their own, so running it again replaces
-    them instead of adding to them.
+    Versions closed by a step go to a partition of their own, so running the step again replaces
+    them instead of adding to them, and other steps of the run keep theirs.
     """
     spec, tables, key = asset.historic, run.tables, asset.audit.key
-    passed = tables.read(asset.audit.name, "read_audit_passed")
+    passed = everything = tables.read(asset.audit.name, "read_audit_passed")
+    vanished = None
     if batches is None:
         batches = [r[0] for r in _audited_batches(run, asset).collect()]
     else:
-        batches, deletes = sorted(set(batches)), False
+        batches = sorted(set(batches))
+        known = pending_batches(_named(run, batches), tables.read(HISTORY_BATCHES), spec).count() < len(batches)
         passed = passed.where(F.col(BATCH).isin(batches))
+        vanished = everything.select(*key).distinct() if deletes and known else None
+        deletes = False
     snapshot = passed.withColumn("_batch_length", F.length(BATCH))
     if not tables.exists(spec.name):
         start = empty_history(snapshot, key, spec.tracked).withColumn(CLOSED_BY, F.lit(OPEN))
@@ -125,9 +141,11 @@ def audit_to_historic(run: Run, asset: Asset, batches: Iterable[str] | None = No
     # Batch ids are text: the shorter is the lower number.
     order = [LOADED_AT, "_batch_length", BATCH]
     versions = scd2_changes(current, snapshot, key, spec.tracked, run.loaded_at, order, deletes)
-    placed = versions.withColumn(CLOSED_BY, F.when(F.col("is_current"), OPEN).otherwise(run.rundate))
+    if vanished is not None:
+        versions = close_absent(versions, vanished, key, run.loaded_at)
+    placed = versions.withColumn(CLOSED_BY, F.when(F.col("is_current"), OPEN).otherwise(run.step(batches)))
     # Without passed rows no version stays current, and the open partition has to be emptied.
-    empties = deletes and passed.isEmpty()
+    empties = (deletes or vanished is not None) and everything.isEmpty()
     tables.write_partitions(placed, spec.name, ["is_current", CLOSED_BY])
     if empties:
         tables.clear_partition(spec.name, {"is_current": True, CLOSED_BY: OPEN})
@@ -137,6 +155,10 @@ def audit_to_historic(run: Run, asset: Asset, batches: Iterable[str] | None = No
     tables.upsert(HISTORY_BATCHES, tables.spark.createDataFrame(done, HISTORY_BATCH_SCHEMA), METRIC_KEY)
 
 
+def _named(run: Run, batches: Iterable[str]) -> DataFrame:
+    return run.tables.spark.createDataFrame([(b,) for b in sorted(set(batches))], "batch_id string")
+
+
 def _audited_batches(run: Run, asset: Asset) -> DataFrame:
     """Batches that the audit table has metrics for."""
     spec = asset.audit
@@ -180,16 +202,24 @@ def process(run: Run, asset: Asset, path: str) -> list[str]:
 def summarize(run: Run, asset: Asset, name: str, at: str) -> None:
     """Write the per-key summary of all passed rows."""
     passed = run.tables.read(asset.audit.name, "read_audit_passed")
-    run.tables.replace(visitor_summary(passed, asset.audit.key[0], at, run.rundate), name)
+    run.tables.replace(visitor_summary(passed, _entity(asset), at, run.rundate), name)
+
+
+def _entity(asset: Asset) -> list[str]:
+    """The key columns of the entities that gold and export are about."""
+    if not asset.audit.key:
+        raise ValueError(f"{asset.audit.name} has no key, so there is nothing to summarize by")
+    return list(asset.audit.key)
 
 
 def deliverables(asset: Asset) -> dict[str, tuple[T.StructType, list[str], list[str]]]:
     """(schema, key, partition columns) of each published table; their keys hold each value once."""
     spec = asset.audit
-    visitor = {spec.key[0]: "string", FIRST_VISIT: "timestamp", LAST_VISIT: "timestamp"}
+    types = {c.name: c.data_type for c in spec.columns}
+    visitor = {**{k: types[k] for k in _entity(asset)}, FIRST_VISIT: "timestamp", LAST_VISIT: "timestamp"}
     statistic = {c.name: c.data_type for c in spec.columns}
     return {
-        "visitor": (record(**visitor, **{c: "integer" for c in (TOTAL, THIS_YEAR, THIS_MONTH)}), spec.key[:1], []),
+        "visitor": (record(**visitor, **{c: "integer" for c in (TOTAL, THIS_YEAR, THIS_MONTH)}), list(spec.key), []),
         "statistic": (record(**statistic, **{BATCH: "string"}), [*spec.key, BATCH], [BATCH]),
         "event_errors": (EVENT_SCHEMA, ["error_event_id", "batch_id"], ["batch_id"]),
     }
@@ -203,13 +233,13 @@ def create_deliverables(tables: Tables, asset: Asset, targets: Mapping[str, str]
 
 def export(run: Run, asset: Asset, summary_name: str, targets: Mapping[str, str]) -> None:
     """Merge what the run touched into the deliverables `visitor`, `statistic` and `event_errors`."""
-    tables, spec, key = run.tables, asset.audit, asset.audit.key
+    tables, spec, key = run.tables, asset.audit, _entity(asset)
     create_deliverables(tables, asset, targets)
     batches = run_batches(tables.read(INGESTIONS), run.rundate, spec)
     ids = [r[0] for r in batches.collect()]
     audited = tables.read(spec.name)
     rows = {
-        "visitor": visitor_differential(tables.read(summary_name), audited, batches, key[0]),
+        "visitor": visitor_differential(tables.read(summary_name), audited, batches, key),
         "statistic": statistic_differential(audited, batches, spec.names),
         "event_errors": events_differential(tables.read(EVENT_ERRORS), batches),
     }

@@ -30,6 +30,14 @@ def batch_of(file_name: Column) -> Column:
     return F.regexp_extract(file_name, BATCH_PATTERN, 1)
 
 
+def with_batch(files: DataFrame) -> DataFrame:
+    """(path, file_name, batch_id, length); a file whose name holds no batch id fails the job."""
+    name = F.element_at(F.split("path", "/"), -1)
+    error = F.raise_error(F.concat(F.lit("No batch id in the file name "), name))
+    batch = F.when(batch_of(name) == "", error).otherwise(batch_of(name))
+    return files.select("path", name.alias("file_name"), batch.alias("batch_id"), "length")
+
+
 def discover(spark: SparkSession, path: str, file_glob: str = "*") -> DataFrame:
     """(path, file_name, batch_id, length) of the files below `path`; contents are not read."""
     listed = (
@@ -40,8 +48,7 @@ def discover(spark: SparkSession, path: str, file_glob: str = "*") -> DataFrame:
         .load(path)
         .select("path", "length")
     )
-    name = F.element_at(F.split("path", "/"), -1)
-    return listed.select("path", name.alias("file_name"), batch_of(name).alias("batch_id"), "length")
+    return with_batch(listed)
 
 
 def _first_line(path: str) -> str:

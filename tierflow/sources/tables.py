@@ -127,17 +127,18 @@ class Tables:
     ) -> None:
         """Write by mode; `batches` are the ids this write stands for, empty ones included."""
         if write_mode not in WRITE_MODES:
-            raise ValueError(f"Unsupported write mode: {write_mode}")
+            raise ValueError(f"No such way of writing: {write_mode}")
         self.overwrite_batches(df, name, batches)
 
     def overwrite_batches(self, df: DataFrame, name: str, batches: Iterable[str]) -> None:
         """Replace exactly the given batches by the rows of `df`; other batches stay as they are.
 
-        A listed batch without rows ends up empty. Rows are rebalanced by batch before the
+        A row of another batch fails the write. A listed batch without rows ends up empty. Rows are rebalanced by batch before the
         write: small batches make one file, a large one is split over many tasks.
         """
         self.create(name, df.schema, [BATCH])
         batches = sorted(set(batches))
+        df = self._only(df, BATCH, batches)
         # Only a batch that has rows now can be left over by a write without rows for it.
         present = self._batches_among(self.read(name), batches)
         filled = self._batches_among(df, present) if present else set()
@@ -145,6 +146,17 @@ class Tables:
         for batch in sorted(present - filled):
             self.clear_partition(name, {BATCH: batch})
 
+    @staticmethod
+    def _only(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
+        """`df`, failing the job that reads it at a row outside the listed partitions: no scan of its own."""
+        if not all(values):
+            raise ValueError("A batch needs an id")
+        error = F.concat(F.lit(f"Row outside the listed values of {column}: "), F.coalesce(F.col(column).cast("string"), F.lit("NULL")))
+        listed = F.coalesce(F.col(column).isin(list(values)), F.lit(False))
+        # In the column itself: a filter could be moved below the joins that leave the row out.
+        checked = F.when(listed, F.col(column)).otherwise(F.raise_error(error).cast(df.schema[column].dataType))
+        return df.withColumn(column, checked)
+
     @staticmethod
     def _batches_among(df: DataFrame, batches: Iterable[str]) -> set[str]:
         return {r[0] for r in df.where(F.col(BATCH).isin(list(batches))).select(BATCH).distinct().collect()}
@@ -222,7 +234,8 @@ class Tables:
         """Merge `source` into a table, which is created if missing.
 
         If the table is partitioned by a key column and `batches` lists its values in the
-        source, only those partitions are read and rewritten. `rerun_null_keys` is for a source
+        source, only those partitions are read and rewritten; a source row of another partition
+        fails the write. `rerun_null_keys` is for a source
         that holds whole batches: rows with a NULL key replace those of an earlier merge of the
         same batches; without it a NULL key is an error.
         """
@@ -242,6 +255,7 @@ class Tables:
         if batches is not None and partitions and set(partitions) <= set(keys):
             ids = sorted(set(batches))
             part = target.where(F.col(partitions[0]).isin(ids))
+            source = self._only(source, partitions[0], ids)
             self._insert_partitions(upsert(part, source, keys, **options), name, partitions)
         else:
             self.replace(upsert(target, source, keys, **options), name)

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tierflow.functions.types import record
 from tierflow.plans.runs import Asset, Run, process_files
 from tierflow.session import configure
-from tierflow.sources.landing import batch_of
+from tierflow.sources.landing import with_batch
 
 FILE_SCHEMA = record(path="string", modificationTime="timestamp", length="long", content="binary")
 
@@ -22,8 +21,7 @@ def file_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
     reader = reader.option("recursiveFileLookup", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    name = F.element_at(F.split("path", "/"), -1)
-    return reader.load(path).select("path", name.alias("file_name"), batch_of(name).alias("batch_id"), "length")
+    return with_batch(reader.load(path))
 
 
 def ingest_available(
@@ -37,7 +35,8 @@ def ingest_available(
     """Process all files that arrived since the last call, then stop.
 
     The checkpoint remembers seen files. A micro-batch that is repeated after a failure is
-    harmless: each layer skips the batches it has metrics for, and its writes replace.
+    harmless: each layer skips the batches it has metrics for, and its writes replace. Versions
+    that a micro-batch closes stay apart from those of others, though all carry the run's id.
     """
 
     def step(files: DataFrame, _: int) -> None:
