@@ -882,3 +882,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivered rows through conforming, cleaning, screening and key check to the visitor summary."""
     rows = audit_rows(raw(spark, sf_dir), f.AUDIT, f.LOADED_AT, f.HOOK)
     return visitor_summary(rows.where(F.col(PASSED)), "Email", "FechaEnvio", f.RUNDATE)
+
+
+import suite.runs  # noqa: E402,F401  registers the queries over whole runs

@@ -180,6 +180,9 @@ def process_files(run: Run, asset: Asset, files: DataFrame) -> list[str]:
     Each layer takes the batches that it has not recorded: a batch whose audit or history step
     failed is caught up by the next run, although it has landed already.
     """
+    nameless = files.where("batch_id = ''").select("file_name").first()
+    if nameless:
+        raise ValueError(f"No batch id in the file name {nameless[0]}")
     found = [r[0] for r in files.select("batch_id").distinct().collect()]
     new = run.pending(found, asset.raw)
     if new:

@@ -31,11 +31,9 @@ def batch_of(file_name: Column) -> Column:
 
 
 def with_batch(files: DataFrame) -> DataFrame:
-    """(path, file_name, batch_id, length); a file whose name holds no batch id fails the job."""
+    """(path, file_name, batch_id, length); a name that holds no batch id gives an empty one."""
     name = F.element_at(F.split("path", "/"), -1)
-    error = F.raise_error(F.concat(F.lit("No batch id in the file name "), name))
-    batch = F.when(batch_of(name) == "", error).otherwise(batch_of(name))
-    return files.select("path", name.alias("file_name"), batch.alias("batch_id"), "length")
+    return files.select("path", name.alias("file_name"), batch_of(name).alias("batch_id"), "length")
 
 
 def discover(spark: SparkSession, path: str, file_glob: str = "*") -> DataFrame:
