@@ -89,8 +89,8 @@ def test_hot_keys_and_lookup_join(spark):
     lookup = spark.range(0, 3000, 2).select(F.col("id").alias("k"), F.lit(True).alias("hit")).unionByName(
         spark.createDataFrame([(-1, True)], "k long, hit boolean")
     )
-    assert len(hot_keys(df, ["k"], 900)) == 2
-    assert hot_keys(df, ["k"], 1001) == []
+    assert hot_keys(df, ["k"], 900).count() == 2
+    assert hot_keys(df, ["k"], 1001) is None
     for how in ("left", "inner", "left_semi", "left_anti"):
         split = lookup_join(df, lookup, ["k"], how, hot_rows=900)
         plain = df.join(lookup, ["k"], how)
@@ -100,17 +100,24 @@ def test_hot_keys_and_lookup_join(spark):
         lookup_join(df, lookup, ["k"], "full")
 
 
-def test_hot_rows_do_not_shuffle(spark):
-    """In the split plan the rows of hot keys meet their lookup rows without an exchange."""
+def test_hot_rows_are_dealt_over_several_tasks(spark):
+    """One join serves all keys; the rows of a hot key are spread by a salt."""
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         lookup = spark.range(3000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
-        plan = lookup_join(df, lookup, ["k"], "left", hot_rows=900)._jdf.queryExecution().executedPlan().toString()
+        joined = lookup_join(df, lookup, ["k"], "left", hot_rows=100)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        largest = joined.withColumn("task", F.spark_partition_id()).groupBy("task").count().agg(F.max("count")).first()[0]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 1
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert plan.count("SortMergeJoin") == 1 and "_salt" in plan
+    assert joined.count() == 3000 and joined.where("v = 1").count() == 3000
+    # The key alone has 1,001 rows.
+    assert largest < 1000
 
 
 @pytest.mark.parametrize("small_rows", [100, 1])

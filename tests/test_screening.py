@@ -155,3 +155,22 @@ def test_composite_keys_with_nulls_stay_apart(spark):
     _, failures = screen(df, [("v", "is_in_bounds", {"min_allowed": 0, "max_allowed": 9})], ["p", "q"])
     events = error_events(failures.withColumn("b", F.lit("1")), "b", "c", "s", "t")
     assert events.select("error_event_id").distinct().count() == events.count() == 7
+
+
+def test_hot_keys_do_not_multiply_the_scans(spark, tmp_path):
+    """With hot keys forced, another looked-up screen adds no scan of the rows."""
+    spark.range(3000).selectExpr("id", "id % 3 AS a", "id % 2 AS b", "if(id < 2000, 0, id) AS c").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    allowed = spark.createDataFrame([(0,), (1,)], "v long")
+
+    def screened(columns):
+        plan = [(c, "is_in_foreign_column", {"table": "t", "reference": "v"}) for c in columns]
+        audited, failures = screen(df, plan, ["id"], references={"t": allowed}, hot_rows=500, small_rows=0)
+        plan_text = audited._jdf.queryExecution().sparkPlan().toString()
+        return plan_text.count(str(tmp_path / "rows")), audited, failures
+
+    one, three = screened("a"), screened("abc")
+    assert one[0] == three[0] == 1
+    assert three[1].count() == 3000
+    plain = screen(df, [(c, "is_in_foreign_column", {"table": "t", "reference": "v"}) for c in "abc"], ["id"], references={"t": allowed})
+    assert rows(three[1]) == rows(plain[0]) and rows(three[2]) == rows(plain[1])

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tierflow.operators.skew import HOT_ROWS, hot_keys, key_hash
+from tierflow.operators.skew import HOT_ROWS, hot_keys, key_hash, sent
+from tierflow.session import materialize
 from tierflow.plans.spec import OPEN_END
 
 VALIDITY = ["is_current", "valid_from", "valid_to"]
@@ -66,15 +67,14 @@ def _rebuild_shuffled(
 
 
 def _time_cuts(changes: DataFrame, key: Sequence[str], version_ts: str) -> DataFrame:
-    """(_h, _cuts): the borders between the time slices of each hot key, as a small fixed table.
+    """(_h, _cuts): the borders between the time slices of each hot key.
 
-    Quantiles are collected (one array for each of at most 2,048 hot keys), because slices must
-    be the same wherever the plan reads them.
+    Written out, because slices must be the same wherever the plan reads them.
     """
     shares = F.lit([i / TIME_SLICES for i in range(1, TIME_SLICES)])
     micros = F.unix_micros(F.col(version_ts).cast("timestamp"))
     cuts = changes.groupBy(key_hash(key).alias("_h")).agg(F.percentile_approx(micros, shares, 1000).alias("_cuts"))
-    return changes.sparkSession.createDataFrame(cuts.collect(), "_h long, _cuts array<long>")
+    return materialize(cuts.select("_h", F.col("_cuts").cast("array<bigint>").alias("_cuts")), "time-cuts")
 
 
 def _slice_of(micros: Column, low: int = 0, high: int | None = None) -> Column:
@@ -98,7 +98,7 @@ def _rebuild_sliced(
     one_per_time = changes.groupBy(*key, version_ts).agg(F.max_by(_state(tracked), F.struct(*tie)).alias(STATE))
     sliced = (
         one_per_time.withColumn("_h", key_hash(key))
-        .join(F.broadcast(cuts), "_h")
+        .join(sent(cuts), "_h")
         .withColumn("_slice", _slice_of(micros))
         .select(*key, "_slice", version_ts, STATE)
     )
@@ -110,7 +110,7 @@ def _rebuild_sliced(
         .drop("_previous")
         .withColumn("_next", F.lead(version_ts).over(in_slice))
     )
-    # At most TIME_SLICES rows per hot key from here on, few enough to send to every task.
+    # At most TIME_SLICES rows per hot key from here on.
     borders = starts.groupBy(*key, "_slice").agg(
         F.min_by(STATE, version_ts).alias("_entry"),
         F.max_by(STATE, version_ts).alias("_exit"),
@@ -126,7 +126,7 @@ def _rebuild_sliced(
         .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_slice").alias("_s"), "_opens", "_later")
     )
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)] + [F.col("_slice") == F.col("_s")]
-    kept = starts.join(F.broadcast(stitched), same).where(~F.col("_first") | F.col("_opens"))
+    kept = starts.join(sent(materialize(stitched, "stitched-slices")), same).where(~F.col("_first") | F.col("_opens"))
     return _finish(kept, key, version_ts, F.coalesce("_next", "_later"), tracked)
 
 
@@ -149,11 +149,13 @@ def scd2_rebuild(
     dateless = F.raise_error(F.lit(f"Row without a version time in {version_ts}")).cast("boolean")
     changes = changes.where(F.when(F.col(version_ts).isNull(), dateless).otherwise(F.lit(True)))
     hot = hot_keys(changes, key, hot_rows)
-    if not hot:
+    if hot is None:
         return _rebuild_shuffled(changes, key, tracked, version_ts, tie)
-    is_hot = key_hash(key).isin(hot)
-    return _rebuild_shuffled(changes.where(~is_hot), key, tracked, version_ts, tie).unionByName(
-        _rebuild_sliced(changes.where(is_hot), key, tracked, version_ts, tie)
+    listed = sent(hot.select("_h"))
+    by_hash = changes.withColumn("_h", key_hash(key))
+    few, many = by_hash.join(listed, "_h", "left_anti").drop("_h"), by_hash.join(listed, "_h", "left_semi").drop("_h")
+    return _rebuild_shuffled(few, key, tracked, version_ts, tie).unionByName(
+        _rebuild_sliced(many, key, tracked, version_ts, tie)
     )
 
 

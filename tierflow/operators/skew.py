@@ -1,10 +1,11 @@
 """Joins and groups that stay balanced when one key holds a large share of the rows.
 
-A join that shuffles by key sends all rows of a key to one task. `hot_keys` finds keys too
-large for that with one narrow scan (a frequent-items sketch, merged in parallel), and
-`lookup_join` takes their rows out of the shuffle. No key is ever dropped, and a key the
-sketch misses is still joined, on the shuffled side. (Spark's own skew handling does not apply
-where one side is an aggregate by the join key, which is the usual case here.)
+A join that shuffles by key sends all rows of a key to one task. `hot_keys` counts the rows of
+each key (one row per key and task crosses the network) and writes down the keys too large for
+that; `lookup_join` deals their rows over several parts by a salt and repeats their lookup row once
+per part, in the one join that serves all keys. Rows are read once, whatever the number of hot
+keys, which has no limit. (Spark's own skew handling does not apply where one side is an aggregate
+by the join key, which is the usual case here.)
 """
 
 from __future__ import annotations
@@ -14,12 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierflow.session import materialize
+
 # A key with this many rows is too much for one task of a shuffled join or window.
 HOT_ROWS = 10_000_000
-# The sketch keeps this many candidates in each slice; SLICES * TOP_PER_SLICE bounds the result.
-SLICES = 32
-TOP_PER_SLICE = 64
-TRACKED_PER_SLICE = 4096
 # A side that is sent to every task as a whole has at most this many rows and bytes (as JSON).
 SMALL_ROWS = 100_000
 SMALL_BYTES = 32 * 1024 * 1024
@@ -37,21 +36,23 @@ def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of the keys with at least `hot_rows` rows, 2,048 at most.
+def sent(df: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
+    """A written frame, marked to go to every task if it measures small."""
+    return F.broadcast(df) if is_small(df, small_rows) else df
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """(_h, _parts): keys by hash with at least `hot_rows` rows, and the parts their rows are dealt over.
 
     Counts the rows first (no column is read): with fewer than `hot_rows` there is nothing to
-    find. Then one job reads the key columns. Each task sends one small sketch per slice, so
-    neither the shuffle nor the result grows with the number of keys.
+    find. None if no key is hot.
     """
     if df.count() < hot_rows:
-        return []
-    hashed = df.select(key_hash(keys).alias("h"))
-    sketches = hashed.groupBy(F.pmod("h", F.lit(SLICES)).alias("slice")).agg(
-        F.expr(f"approx_top_k(h, {TOP_PER_SLICE}, {TRACKED_PER_SLICE})").alias("top")
-    )
-    found = sketches.select(F.explode("top").alias("t")).where(F.col("t.count") >= hot_rows)
-    return sorted(row[0] for row in found.select("t.item").collect())
+        return None
+    counts = df.select(key_hash(keys).alias("_h")).groupBy("_h").agg(F.count("*").alias("_n"))
+    parts = F.ceil(F.col("_n") / hot_rows).cast("long") + 1
+    found = materialize(counts.where(F.col("_n") >= hot_rows).select("_h", parts.alias("_parts")), "hot-keys")
+    return None if found.isEmpty() else found
 
 
 def lookup_join(
@@ -66,8 +67,8 @@ def lookup_join(
     """Join `rows` to a lookup that holds each key at most once, whatever the spread of keys.
 
     With `small_rows`, a lookup that measures small goes to every task and nothing shuffles.
-    Otherwise rows of hot keys (or of a frequent NULL) stay where they are and meet only the
-    lookup rows of those keys, at most 2,048, while all other rows join by shuffle.
+    Otherwise one join by key and salt serves all rows; only hot keys (or a frequent NULL) have
+    more than one salt.
 
     Hot keys are looked for in `like` if given: a frame with the same keys that is cheaper to
     scan than `rows`.
@@ -77,13 +78,18 @@ def lookup_join(
     keys = list(keys)
     if small_rows is not None and is_small(lookup, small_rows):
         return rows.join(F.broadcast(lookup), keys, how)
-    hot = hot_keys(rows if like is None else like, keys, hot_rows)
-    if not hot:
+    found = hot_keys(rows if like is None else like, keys, hot_rows)
+    if found is None:
         return rows.join(lookup, keys, how)
-    is_hot = key_hash(keys).isin(hot)
-    shuffled = rows.where(~is_hot).join(lookup.where(~is_hot), keys, how)
-    in_place = rows.where(is_hot).join(F.broadcast(lookup.where(is_hot)), keys, how)
-    return in_place.unionByName(shuffled)
+    hot = sent(found)
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    salted = rows.withColumn("_h", key_hash(keys)).join(hot, "_h", "left")
+    salted = salted.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), parts)).drop("_h", "_parts")
+    again = sent(found.select(F.col("_h").alias("_of"), F.col("_parts").alias("_times")))
+    times = F.coalesce("_times", F.lit(1).cast("long"))
+    repeated = lookup.join(again, key_hash(keys) == F.col("_of"), "left")
+    repeated = repeated.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), times - 1))).drop("_of", "_times")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def semi_join(
