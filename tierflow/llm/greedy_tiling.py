@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts and benchmark items become words: runs of letters and digits, A-Z lower-cased. Rolling
+Texts and benchmark items become words: runs of letters and digits in lower case, accented ones
+included. Rolling
 Karp-Rabin hashes of every `min_match` words are joined with those of the benchmark; the seeds that
 a document shares with an item grow into longest matches. Tiling then repeats: mark the longest
 match whose words are unmarked on both sides; cut what it overlaps; until nothing of `min_match`
@@ -25,6 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,13 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[i for i in range(128) if not chr(i).isalnum()]] = True
 
 
+def folded_words(texts: pa.Array) -> tuple[b.Words, np.ndarray]:
+    """The words of some texts and their hashes, whatever the case."""
+    text = b.Text.of(pa.compute.utf8_lower(texts))
+    words = b.Words.of(text, SEPARATOR)
+    return words, b.word_hashes(text, words)
+
+
 @dataclass
 class Items:
     """A part of the benchmark: words of all items, and where each seed stands."""
@@ -55,9 +64,7 @@ class Items:
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str | None]], min_match: int) -> Items:
-        text = b.Text.of(pa.array([r[1] for r in rows], pa.string()))
-        words = b.Words.of(text, SEPARATOR)
-        hashes = b.word_hashes(text, words, lower=True)
+        words, hashes = folded_words(pa.array([r[1] for r in rows], pa.string()))
         places = np.flatnonzero(b.within(words.first, len(words), min_match))
         seeds = b.window_hashes(hashes, min_match)[places]
         order = np.argsort(seeds, kind="stable")
@@ -155,9 +162,7 @@ def tile_part(docs: DataFrame, part: DataFrame, min_match: int, coverage: int) -
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         for batch in b.slices(batches, 1):
-            text = b.Text.of(batch.column(1))
-            words = b.Words.of(text, SEPARATOR)
-            hashes = b.word_hashes(text, words, lower=True)
+            words, hashes = folded_words(batch.column(1))
             found = list(tilings(items, hashes, words.first, min_match, coverage))
             ids = batch.column(0).cast(pa.int64()).take(pa.array([f[0] for f in found], pa.int64()))
             columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(2, 6)]
@@ -189,9 +194,7 @@ def decontaminated(
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in b.slices(batches, text_at):
-                text = b.Text.of(batch.column(text_at))
-                words = b.Words.of(text, SEPARATOR)
-                hashes = b.word_hashes(text, words, lower=True)
+                words, hashes = folded_words(batch.column(text_at))
                 clean = np.ones(batch.num_rows, bool)
                 clean[[f[0] for f in tilings(items, hashes, words.first, min_match, coverage)]] = False
                 yield batch.filter(pa.array(clean))
