@@ -20,7 +20,26 @@ def test_discovery_and_headers(spark, tmp_path):
     visits.write(tmp_path / "in" / "sub", "report_08_late.txt", header="﻿email,jk")
     found = discover(spark, str(tmp_path / "in"))
     assert rows(found, "file_name", "batch_id") == [("report_08_late.txt", "08"), ("report_7.txt", "7")]
-    assert rows(headers(found), "header") == [("email,jk",), (visits.HEADER,)]
+    assert sorted(headers(spark, [r.path for r in found.collect()]).values()) == ["email,jk", visits.HEADER]
+
+
+def test_paths_with_blanks_and_large_files(spark, tmp_path):
+    folder = tmp_path / "in coming%20x"
+    visits.write(folder, "report_7.txt", *[f"{i},é" for i in range(20_000)], header="a,b c")
+    visits.write(folder, "report_8 b.txt", "1,2", header="b c,a")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = read_files(spark, discover(spark, str(folder)))
+        assert df.count() == 20_001 and rows(df.where("a = '2'"), "bc") == [("1",), ("é",)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_file_without_a_header(spark, tmp_path):
+    visits.write(tmp_path, "report_7.txt", "1", header="a")
+    (tmp_path / "report_8.txt").write_text("\n1\n")
+    with pytest.raises(ValueError, match="no header line"):
+        read_files(spark, discover(spark, str(tmp_path)))
 
 
 def test_files_with_swapped_columns_are_matched_by_name(spark, tmp_path):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only: sizing (executors, memory, shuffle partitions) belongs to the cluster.
@@ -44,13 +43,6 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system that holds a path or URI, and the path within it."""
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path[len("file:") :]
-    return fs.FileSystem.from_uri(path)
-
-
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write an intermediate to the shared folder and go on from there.
 

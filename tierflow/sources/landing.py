@@ -10,6 +10,7 @@ import csv
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +19,10 @@ from pyspark.sql import types as T
 
 from tierflow.operators.conform import BATCH, conformed_names, require_columns
 from tierflow.operators.profiling import column_summary, key_summary, value_counts
-from tierflow.session import configure, file_system
+from tierflow.session import configure
 
 # The batch id is the second `_` part of the file's stem: report_7.txt -> 7.
 BATCH_PATTERN = r"^[^_.]*_([^_.]+)"
-# A header line is looked for in growing steps of this many bytes.
-HEADER_STEP = 65536
 
 
 def batch_of(file_name: Column) -> Column:
@@ -49,27 +48,32 @@ def discover(spark: SparkSession, path: str, file_glob: str = "*") -> DataFrame:
     return with_batch(listed)
 
 
-def _first_line(path: str) -> str:
-    system, location = file_system(path)
-    with system.open_input_stream(location) as stream:
-        head = b""
-        while b"\n" not in head:
-            step = stream.read(HEADER_STEP)
-            if not step:
-                break
-            head += step
-    return head.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
-
-
-def _read_headers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _first_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first line of each file whose beginning this task reads."""
+    seen: set[str] = set()
     for frame in frames:
-        yield frame.assign(header=[_first_line(p) for p in frame["path"]])
+        first = frame[~frame["path"].isin(seen)].drop_duplicates("path")
+        seen.update(first["path"])
+        if len(first):
+            yield first[["path", "header"]]
+
 
+def headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """The header line of each file, read by Spark: any file system that it reads will do.
 
-def headers(files: DataFrame) -> DataFrame:
-    """`files` with each file's header line; tasks open the files and read no further than that."""
-    spread = files.repartition(F.col("path"))
-    return spread.mapInPandas(_read_headers, T.StructType([*files.schema.fields, T.StructField("header", T.StringType())]))
+    A text scan keeps the first line of the splits at a file's beginning; nothing is shuffled.
+    """
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.regexp_replace("value", "^\ufeff", "").alias("header"),
+        F.col("_metadata.file_block_start").alias("start"),
+    )
+    first = lines.where("start = 0").select("path", "header").mapInPandas(_first_lines, "path string, header string")
+    # File metadata holds a URI; readers take plain paths.
+    found = {unquote(r["path"]): r["header"] for r in first.toLocalIterator()}
+    if len(found) < len(set(paths)):
+        raise ValueError("A delivered file has no header line")
+    return found
 
 
 @dataclass(frozen=True)
@@ -114,10 +118,11 @@ def read_files(
     headers lack is NULL for their files.
     """
     groups: dict[str, list[str]] = {}
-    for row in headers(files).select("path", "header").toLocalIterator():
-        groups.setdefault(row["header"], []).append(row["path"])
-    if not groups:
+    paths = [r["path"] for r in files.select("path").toLocalIterator()]
+    if not paths:
         raise ValueError("No files to read")
+    for path, header in headers(spark, paths).items():
+        groups.setdefault(header, []).append(path)
     frames = []
     for header, paths in sorted(groups.items()):
         names = reader.columns(header)

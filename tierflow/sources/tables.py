@@ -16,14 +16,13 @@ from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 from typing import Any
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierflow.operators.conform import BATCH, PASSED
 from tierflow.operators.upsert import upsert
-from tierflow.session import configure, file_system
+from tierflow.session import configure
 
 READ_MODES = ("read_all", "read_partition", "read_audit_passed")
 WRITE_MODES = ("overwrite_partition",)
@@ -212,11 +211,13 @@ class Tables:
         """Delete the folders that earlier whole-table writes left; no reader may still use them."""
         detail = self.spark.sql(f"DESCRIBE EXTENDED {self.table(name)}").where("col_name = 'Location'").first()
         current = detail["data_type"].rstrip("/").rsplit("/", 1)[-1]
-        system, base = file_system(f"{self.root}/{name.replace('.', '/')}")
-        old = [i.path for i in system.get_file_info(fs.FileSelector(base)) if i.base_name != current]
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        base = hadoop.Path(f"{self.root}/{name.replace('.', '/')}")
+        system = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        old = [s.getPath() for s in system.listStatus(base) if s.getPath().getName() != current]
         for path in old:
-            system.delete_dir(path)
-        return old
+            system.delete(path, True)
+        return [path.toString() for path in old]
 
     def upsert(
         self,
