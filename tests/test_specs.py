@@ -1,6 +1,7 @@
 import pytest
 
 from tests.conftest import rows
+from tierflow.plans import governance
 from tierflow.plans.governance import (
     CATALOGS,
     DETAILS,
@@ -147,3 +148,9 @@ def test_screen_plan_of_relational_screens():
     ]
     with pytest.raises(ValueError, match="No such declared type"):
         TableSpec("c", "s", "t", (ColumnSpec("a", "money"),))
+
+
+def test_every_governance_column_has_a_comment(tables):
+    governance.init_governance(tables, "analytics", "someone", "2025-01-01 00:00:00")
+    for name, comments in governance.COMMENTS.items():
+        assert set(comments) == set(tables.read(name).columns) == set(tables.comments(name)), name

@@ -102,8 +102,10 @@ def assign_ids(
     )
     # Read twice below, for the ranks and for the sizes of the groups.
     matched = materialize(matched, "key-values")
-    in_group = Window.partitionBy("_group", "is_new").orderBy(*(order or base))
-    numbered = matched.withColumn("_rank", F.row_number().over(in_group))
+    # Only new values are ranked; known ones, as a rule the most, are not sorted.
+    in_group = Window.partitionBy("_group").orderBy(*(order or base))
+    ranked = matched.where("is_new").withColumn("_rank", F.row_number().over(in_group))
+    numbered = ranked.unionByName(matched.where("NOT is_new").withColumn("_rank", F.lit(None).cast("int")))
     # One row per group: the running total needs a single task, whatever the number of new keys.
     sizes = matched.where("is_new").groupBy("_group").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)

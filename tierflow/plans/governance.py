@@ -88,34 +88,88 @@ HISTORY_BATCH_SCHEMA = record(
 # New columns are numbered in groups of one table and this many positions.
 COLUMNS_PER_GROUP = 1000
 
+WRITE_MODES_USED = "How it is written: overwrite_partition, merge_incremental or historic"
+MEDAL = "Layer: bronze, silver or gold"
+NAMES = {
+    "catalog_name": "Catalog, a domain and its environment",
+    "schema_name": "Schema within the catalog",
+    "table_name": "Table within the schema",
+}
 COMMENTS: dict[str, Mapping[str, str]] = {
-    CATALOGS: {"catalog_id": "Catalog key", "catalog_name": "Domain and environment", "location": "Where it is kept"},
-    SCHEMAS: {"schema_id": "Schema key", "catalog_id": "Catalog the schema belongs to"},
+    CATALOGS: {
+        "catalog_id": "Catalog key",
+        "catalog_name": "Domain and environment",
+        "domain": "Business domain",
+        "environment": "dev or prod",
+        "description": "What the catalog is for",
+        "location": "Where it is kept",
+        "created_at": "When it was set up",
+        "owner": "Who answers for it",
+    },
+    SCHEMAS: {
+        "schema_id": "Schema key",
+        "catalog_id": "Catalog the schema belongs to",
+        "schema_name": "Schema within the catalog",
+        "description": "What the schema holds",
+        "created_at": "When it was set up",
+        "owner": "Who answers for it",
+    },
     TABLES: {
         "table_id": "Table key",
+        "schema_id": "Schema the table belongs to",
+        "table_name": "Table within the schema",
         "etl_module": "Module that fills the table",
-        "write_mode": "overwrite_partition, overwrite, merge or cdc",
-        "quality": "bronze, silver or gold",
+        "write_mode": WRITE_MODES_USED,
+        "quality": MEDAL,
+        "table_type": "Kind of table",
+        "version": "Number of this definition",
         "current_flag": "Whether this is the current entry",
-        "retention_policy": "permanent or temporary",
+        "valid_from": "When the entry came into force",
+        "valid_to": "When it ends, far ahead while it is current",
+        "description": "What the table holds",
+        "owner": "Who answers for it",
+        "retention_policy": "Whether rows are kept for good",
     },
     DETAILS: {
+        "table_id": "Table the column belongs to",
         "column_id": "Column key",
+        "column_name": "Column within the table",
         "rename_from": "Column name in the previous layer",
+        "data_type": "Declared type",
+        "ordinal_position": "Place in the table, from 1",
+        "is_primary_key": "Whether it is part of the key",
+        "is_nullable": "Whether it may be empty",
+        "is_partition": "Whether the table is partitioned by it",
+        "is_pii": "Whether it holds personal data",
         "validations": "Screens as JSON text",
         "track_changes": "Whether a change opens a new version",
+        "comment": "What the column holds",
     },
     INGESTIONS: {
+        "table_id": "Table key",
+        **NAMES,
         "rundate": "Run that loaded the batch",
+        "batch_id": "Batch, or all for a table kept as a whole",
+        "loaded_at": "Load time of the run",
+        "etl_module": "Module that fills the table",
+        "write_mode": WRITE_MODES_USED,
         "initial_rows": "Rows read for the batch",
         "final_rows": "Rows written for the batch",
         "accumulated_rows": "Rows in the table after the run",
+        "quality": MEDAL,
     },
     EVENT_ERRORS: {
         "error_event_id": "Hash of what failed",
+        "batch_id": "Batch of the failing record",
+        "screen_code": "Screen that failed",
+        **NAMES,
+        "column_name": "Column that failed",
         "record_identifier": "Key of the failing record",
         "original_value": "Value before it was set to NULL",
+        "replaced_value": "Value put in its place",
+        "error_condition": "State of the event",
     },
+    HISTORY_BATCHES: {**NAMES, "batch_id": "Batch that the history holds", "rundate": "Run that applied it"},
 }
 
 
@@ -140,13 +194,13 @@ def init_governance(tables: Tables, subdomain: str, owner: str, created_at: str)
     spark = tables.spark
     tables.replace(spark.createDataFrame(catalogs, CATALOG_SCHEMA), CATALOGS)
     tables.replace(spark.createDataFrame(schemas, SCHEMA_SCHEMA), SCHEMAS)
-    tables.create(TABLES, TABLE_SCHEMA)
-    tables.create(DETAILS, DETAIL_SCHEMA)
-    tables.create(INGESTIONS, METRIC_SCHEMA)
-    tables.create(EVENT_ERRORS, EVENT_SCHEMA, ["batch_id"])
-    tables.create(HISTORY_BATCHES, HISTORY_BATCH_SCHEMA)
-    for name, comments in COMMENTS.items():
-        tables.comment(name, comments)
+    tables.create(TABLES, TABLE_SCHEMA, (), COMMENTS[TABLES])
+    tables.create(DETAILS, DETAIL_SCHEMA, (), COMMENTS[DETAILS])
+    tables.create(INGESTIONS, METRIC_SCHEMA, (), COMMENTS[INGESTIONS])
+    tables.create(EVENT_ERRORS, EVENT_SCHEMA, ["batch_id"], COMMENTS[EVENT_ERRORS])
+    tables.create(HISTORY_BATCHES, HISTORY_BATCH_SCHEMA, (), COMMENTS[HISTORY_BATCHES])
+    for name in (CATALOGS, SCHEMAS):
+        tables.comment(name, COMMENTS[name])
 
 
 def reset(tables: Tables, names: list[str]) -> None:

@@ -89,8 +89,10 @@ class Tables:
         self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {database} LOCATION '{self.root}/_databases/{database.strip('`')}'")
         ordered = [f for f in schema.fields if f.name not in partition_by]
         ordered += [schema[c] for c in partition_by]
-        self._define(name, T.StructType(ordered), partition_by, self._new_location(name), description)
-        self.comment(name, comments)
+        # Comments are part of the definition: those of partition columns cannot be set later.
+        given = {c: {"comment": text} for c, text in comments.items()}
+        about = [T.StructField(f.name, f.dataType, f.nullable, {**f.metadata, **given.get(f.name, {})}) for f in ordered]
+        self._define(name, T.StructType(about), partition_by, self._new_location(name), description)
 
     def _define(
         self, name: str, schema: T.StructType, partition_by: Sequence[str], location: str, description: str | None = None
@@ -103,8 +105,11 @@ class Tables:
         )
 
     def comment(self, name: str, comments: Mapping[str, str]) -> None:
-        """Set column comments."""
+        """Set the comments of columns that the table is not partitioned by."""
+        partitions = self._partition_columns(name)
         for column, text in comments.items():
+            if column in partitions:
+                continue
             self.spark.sql(f"ALTER TABLE {self.table(name)} ALTER COLUMN `{column}` COMMENT {self._literal(text)}")
 
     def comments(self, name: str) -> dict[str, str]:
