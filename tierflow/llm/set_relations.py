@@ -275,12 +275,14 @@ def relate_apart(members: pa.Table, queries: pa.Table) -> pa.Table:
 
 def links_of(sets: DataFrame, part_sets: int, call_shingles: int) -> DataFrame:
     """(a, b): links whose components are those of all links."""
-    postings = sets.select("rid", F.explode("prefix").alias("token"))
+    postings = sets.select("rid", "n", F.explode("prefix").alias("token"))
     lists = postings.groupBy("token").agg(F.min("rid").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = postings.join(lists.select("token", "leader"), "token").select("leader", "rid").distinct()
+    members = postings.join(lists.select("token", "leader"), "token").select("leader", "rid", "n").distinct()
     members = materialize(members, "group-members")
-    parts = members.groupBy("leader").agg(F.count("*").alias("m"))
-    parts = parts.select("leader", F.ceil(F.col("m") / part_sets).cast("long").alias("parts"))
+    # A part has so many sets and about so many shingles at most, whatever the length of its texts.
+    parts = members.groupBy("leader").agg(F.greatest(F.count("*") / part_sets, F.sum("n") / call_shingles).alias("m"))
+    parts = parts.select("leader", F.ceil("m").cast("long").alias("parts"))
+    members = members.drop("n")
     placed = members.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")))
     # The leader is in every part of its group.
     lead = parts.where("parts > 1").select("leader", F.col("leader").alias("rid"), "parts", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
@@ -296,7 +298,8 @@ def links_of(sets: DataFrame, part_sets: int, call_shingles: int) -> DataFrame:
         return links
     # Large groups: what the leader does not reach meets every part, itself in parts of bounded size.
     n_apart = apart.groupBy("leader").agg(F.count("*").alias("m")).join(parts, "leader")
-    grid = n_apart.select("leader", "parts", F.ceil(F.col("m") / part_sets).cast("long").alias("rounds"))
+    # As many rounds as parts bound the queries by the same measure.
+    grid = n_apart.select("leader", "parts", F.least(F.col("parts"), F.col("m")).alias("rounds"))
     queries = apart.join(grid, "leader").withColumn("round", F.pmod(F.xxhash64("rid"), F.col("rounds")))
     queries = queries.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).select("leader", "part", "round", "rid")
     against = members.join(grid, "leader").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")))
