@@ -39,6 +39,7 @@ from tierflow.operators.profiling import (
     frequency_of_frequencies,
     key_frequencies,
     key_summary,
+    most_frequent,
     value_counts,
 )
 from tierflow.operators.screening import Screening, failing_rows
@@ -57,7 +58,7 @@ from tierflow.plans.governance import (
 from tierflow.plans.layers import audit_events, audit_rows, passed_rows
 from tierflow.plans.spec import SPEC_SCHEMA, layer_attributes, resolve_layers
 from tierflow.session import materialize, shared_dir
-from tierflow.sources.landing import discover, read_files
+from tierflow.sources.landing import SEMICOLON, discover, read_files
 from tierflow.sources.tables import Tables, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -524,6 +525,38 @@ def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(name)
 
 
+@query(
+    "table_sql",
+    """SELECT o_custkey, n_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey
+      JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' AND o_totalprice > 1000 GROUP BY o_custkey, n_name""",
+)
+def table_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables by name in SQL with bound values; one of them replaced as a whole before."""
+    tables, database = Tables(spark, shared_dir(spark, "tables")), f"suite_{uuid.uuid4().hex}.silver"
+    for name in ("orders", "customer", "nation"):
+        tables.replace(table(spark, sf_dir, name), f"{database}.{name}")
+    tables.replace(tables.read(f"{database}.orders").where("o_totalprice > 1000"), f"{database}.orders")
+    found = tables.sql(
+        """SELECT o_custkey, n_name, count(*) AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+          JOIN {nation} ON c_nationkey = n_nationkey WHERE o_orderstatus = :status GROUP BY o_custkey, n_name""",
+        {"status": "F"},
+        **{name: f"{database}.{name}" for name in ("orders", "customer", "nation")},
+    )
+    return materialize(found, "table-sql")
+
+
+@query(
+    "semicolon_round_trip",
+    "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment, substr(c_mktsegment, 1, 1) AS batch FROM customer",
+)
+def semicolon_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as text with another separator, a file group per segment."""
+    folder = shared_dir(spark, "reports")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    write_csv(rows.withColumn("batch", F.substring("c_mktsegment", 1, 1)), folder, ";")
+    return read_files(spark, discover(spark, folder, "*.csv"), SEMICOLON).select("c_custkey", "c_name", "c_mktsegment", "batch")
+
+
 @query(
     "table_upsert",
     f"""{V} SELECT event_id, CASE WHEN substr(batch_id, 1, 8) >= '20240115' THEN opens + 1 ELSE opens END AS opens,
@@ -751,15 +784,21 @@ def inspect_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- profile
 
-PROFILED = ["event_type", "user_id", "props"]
-COUNTS = "WITH c AS (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM events GROUP BY {c}" for c in PROFILED
+PROFILED = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+# Times and amounts in a form that both engines write alike.
+COUNTS = "WITH p AS (SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, CAST(value AS DECIMAL(18, 4)) AS value) FROM events), c AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM p GROUP BY {c}" for c in PROFILED
 ) + ")"
 
 
+def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = {"ts": F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "value": F.col("value").cast("decimal(18,4)")}
+    return value_counts(table(spark, sf_dir, "events").withColumns(written), PROFILED)
+
+
 @query("profile_values", f"{COUNTS} SELECT * FROM c")
 def profile_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return value_counts(table(spark, sf_dir, "events"), PROFILED)
+    return profiled(spark, sf_dir)
 
 
 @query(
@@ -768,7 +807,12 @@ def profile_values(spark: SparkSession, sf_dir: str) -> DataFrame:
       CAST(coalesce(sum(n) FILTER (value IS NULL), 0) AS BIGINT) AS n_null FROM c GROUP BY column_name""",
 )
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return column_summary(value_counts(table(spark, sf_dir, "events"), PROFILED))
+    return column_summary(profiled(spark, sf_dir))
+
+
+@query("profile_most_frequent", "SELECT user_id, count(ts) AS n FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def profile_most_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return most_frequent(key_frequencies(table(spark, sf_dir, "events"), "user_id", "ts"), "user_id")
 
 
 @query(

@@ -89,6 +89,7 @@ def run_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     if process(Run(tables, STEPS[0][2], STEPS[0][3]), asset, f"{folder}/landing/0"):
         raise ValueError("A delivery was landed twice")
     left = {kind: tables.read(name) for kind, name in named.items()} | {"history": read_history(tables, HISTORIC.name)}
+    left["passed"] = tables.read(f.AUDIT.name, "read_audit_passed")
     left = {kind: materialize(df, f"left-{kind}") for kind, df in left.items()}
     tables.drop([*named.values(), HISTORIC.name])
     return left
@@ -127,6 +128,11 @@ def run_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables_left(spark, sf_dir)["audit"].select(*AUDITED, "metadata_created_at")
 
 
+@query("run_passed", daily(f"{AUDIT} SELECT {AUDITED_SQL} FROM a WHERE metadata_audit_id = 1"))
+def run_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables_left(spark, sf_dir)["passed"].select(*AUDITED)
+
+
 @query("run_events", daily(f"{EVENTS} SELECT * FROM e"))
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables_left(spark, sf_dir)["events"]

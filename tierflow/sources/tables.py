@@ -127,22 +127,24 @@ class Tables:
     # ---- writing
 
     def write(
-        self, df: DataFrame, name: str, write_mode: str = "overwrite_partition", batches: Iterable[str] = ()
+        self, df: DataFrame, name: str, write_mode: str = "overwrite_partition", batches: Iterable[str] | None = None
     ) -> None:
-        """Write by mode; `batches` are the ids this write stands for, empty ones included."""
+        """Write by mode; `batches` are the ids this write stands for, empty ones included, if not just those of `df`."""
         if write_mode not in WRITE_MODES:
             raise ValueError(f"No such way of writing: {write_mode}")
         self.overwrite_batches(df, name, batches)
 
-    def overwrite_batches(self, df: DataFrame, name: str, batches: Iterable[str]) -> None:
+    def overwrite_batches(self, df: DataFrame, name: str, batches: Iterable[str] | None = None) -> None:
         """Replace exactly the given batches by the rows of `df`; other batches stay as they are.
 
-        A row of another batch fails the write. A listed batch without rows ends up empty. Rows are rebalanced by batch before the
+        A row of another batch fails the write. A listed batch without rows ends up empty. Without
+        a list, the batches that `df` has rows of are replaced. Rows are rebalanced by batch before the
         write: small batches make one file, a large one is split over many tasks.
         """
         self.create(name, df.schema, [BATCH])
-        batches = sorted(set(batches))
-        df = self._only(df, BATCH, batches)
+        if batches is not None:
+            df = self._only(df, BATCH, sorted(set(batches)))
+        batches = sorted(set(batches or ()))
         # Only a batch that has rows now can be left over by a write without rows for it.
         present = self._batches_among(self.read(name), batches)
         filled = self._batches_among(df, present) if present else set()
