@@ -115,6 +115,13 @@ def test_one_of_each(spark):
     assert kept == sorted([(2, "a b c d e f"), (9, ""), (9, ""), (8, "z"), (None, "n o")], key=repr)
 
 
+def test_one_of_each_tells_classes_apart_without_ids(spark):
+    texts = ["a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1].upper()), (5, texts[2]), (5, texts[3]), (5, texts[3])]
+    kept = sorted(((r.doc_id, r.text.lower()) for r in s.one_of_each(documents(spark, rows)).collect()), key=repr)
+    assert kept == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3])], key=repr)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(1, 30)] + [(5, 5)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

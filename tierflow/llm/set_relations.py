@@ -313,7 +313,11 @@ def links_of(sets: DataFrame, part_sets: int, call_shingles: int) -> DataFrame:
 
 
 def classes(blocks: DataFrame, part_sets: int = PART_SETS, call_shingles: int = CALL_SHINGLES) -> DataFrame:
-    """Per row: rid, doc_id, n_shingles and component_id, the least doc_id of its class."""
+    """Per row: rid, doc_id, n_shingles, component_id (the least doc_id of its class), and the class.
+
+    `class` is the row number of the class's root; rows without shingles have none. Least ids do not
+    tell classes apart: they may be NULL or repeated.
+    """
     docs = materialize(b.each_block(blocks, set_rows, DOC_SCHEMA), "document-sets")
     sets = indexed_sets(blocks, docs)
     roots = components(links_of(sets, part_sets, call_shingles))
@@ -321,25 +325,28 @@ def classes(blocks: DataFrame, part_sets: int = PART_SETS, call_shingles: int =
     named = standing.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "set-roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = named.join(least, "root").select("set_id", "component_id")
+    of_set = named.join(least, "root").select("set_id", "component_id", F.col("root").alias("class"))
     out = docs.join(of_set, "set_id", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "class")
 
 
 def set_relations(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles (size of its set) and component_id (least doc_id reachable by links)."""
-    return classes(b.pack(docs)).drop("rid")
+    return classes(b.pack(docs)).drop("rid", "class")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with one of each class: the least doc_id, NULL last. Texts without words all stay."""
+    """The documents with one of each class: the least doc_id, NULL last. Texts without words all stay.
+
+    Ids only choose who stays: classes without an id, or with one id, are classes of their own.
+    """
     columns = [c for c in docs.columns if c != "text"] + ["text"]
     blocks = b.pack(docs, tuple(columns))
     rows = materialize(classes(blocks), "document-classes")
-    # The class of a row: rows without a shingle are alone. A class without any doc_id shares NULL.
+    # Rows without a shingle are alone.
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "rid")
-    kept = rows.where("n_shingles > 0").groupBy("component_id").agg(F.min(order).alias("first")).select("first.rid")
+    kept = rows.where("n_shingles > 0").groupBy("class").agg(F.min(order).alias("first")).select("first.rid")
     kept = kept.unionByName(rows.where("n_shingles = 0").select("rid"))
     place = F.col("rid").bitwiseAND((1 << PLACE_BITS) - 1)
     places = kept.select(F.shiftright("rid", PLACE_BITS).alias("block"), place.alias("place"))
