@@ -51,3 +51,61 @@ def test_passing(spark):
     answers = q.line_frequency(docs, max_documents=20)
     key = lambda r: repr(r.doc_id)
     assert sorted(map(key, kept.collect())) == sorted(map(key, answers.where("kept").collect()))
+
+
+def without_frequent(rows, limit, min_left):
+    """(doc_id, text) of rows that pass by plain loops; repeated lines count as often as they stand."""
+    name = lambda line: " ".join(normal(line))
+    holders = defaultdict(set)
+    for doc_id, t, host in rows:
+        for line in t.split("\n"):
+            holders[host, name(line)].add((doc_id, t))
+    out = []
+    for doc_id, t, host in rows:
+        left = []
+        for line in t.split("\n"):
+            own = holders[host, name(line)]
+            first = min({i for i, _ in own}, key=lambda i: (i is None, i))
+            keepers = {x for i, x in own if i == first}
+            if not normal(line) or len({x for _, x in own}) <= limit or (doc_id == first and (len(keepers) == 1)):
+                left.append(line)
+        if 100 * len(normal(" ".join(left))) >= min_left * len(normal(t)):
+            out.append((doc_id, "\n".join(left)))
+    return out
+
+
+def test_frequent_lines_are_removed(spark):
+    body = lambda i, n=60: "\n".join(" ".join(f"own{i}x{j}y{k}" for k in range(6)) for j in range(n // 6))
+    head, foot = "Home\tNews  about us", "imprint and terms of use"
+    rows = [(i, f"{head}\n\n{body(i)}\n{foot.upper()}\n{head.lower()}\n", "a") for i in range(6)]
+    rows += [(None, f"{head}\n{body(50)}", "a"), (20, f"{head}\n{body(20)}", "b"), (21, f"{body(21)}\n{foot}", None)]
+    # One line fills most of the text by repetition: of different lines most is left, of the words little.
+    menu = " ".join(f"menu{k}" for k in range(20))
+    spread = lambda i: "\n".join(f"{menu}\n{' '.join(f'd{i}e{k}f{j}' for k in range(4))}" for j in range(12))
+    rows += [(30 + i, spread(i), "c") for i in range(7)]
+    docs = documents(spark, rows, clashing=True)
+    kept = q.cleaned(docs, max_documents=5, min_left=30)
+    assert kept.schema == docs.schema
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    failed = {r.doc_id for r in q.line_frequency(docs).where("base_failed").collect()}
+    want = [x for x in without_frequent(rows, 5, 30) if x[0] not in failed]
+    assert got == sorted(want, key=repr)
+    assert {i for i, _ in got} >= {0, 1, 2, 3, 4, 5, None, 20, 21}
+    assert (1, f"\n{body(1)}\n") in got and head in dict(got)[0] and head not in dict(got)[None]
+
+
+def test_repeated_lines_deplete_by_their_words(spark):
+    line = " ".join(f"menu{k}" for k in range(9))
+    unique = lambda i: " ".join(f"w{i}x{k}" for k in range(50))
+    # 36 of 86 words are the line's, but only 9 of its different lines' 59.
+    rows = [(i, f"{line}\n" * 4 + unique(i), "a") for i in range(7)]
+    docs = documents(spark, rows)
+    assert {r.doc_id for r in q.passing(docs, 5, 60).collect()} == set(range(7))
+    assert {r.doc_id for r in q.cleaned(docs, 5, 60).collect()} == {0}
+
+
+def test_without_an_id_one_document_keeps_its_line(spark):
+    line, body = "a line on every page", lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(None, f"{line}\n{body(i)}", "a") for i in range(7)] + [(None, f"{line}\n{body(0)}", "a")]
+    texts = [r.text for r in q.cleaned(documents(spark, rows), 5).collect()]
+    assert len(texts) == 8 and len({t for t in texts if line in t}) == 1

@@ -6,6 +6,10 @@ one with the least `doc_id`; so of a text that a host repeats endlessly one stay
 has too few words left is rejected. Documents of equal text count as one, whatever their ids, and
 `source` is the host; NULL is a host of its own.
 
+`line_frequency` gives the counts and verdicts per row, each different line of a document counted
+once. `cleaned` gives the documents with those lines really removed, and rejects those that have too
+few of their words left, repeated lines counted as often as they stand.
+
 Base rules apply as well: too short, or too much of the text made of repeated three-word windows.
 
 Only built-in functions run. The texts are read once into narrow rows (metrics, and hash and word
@@ -105,13 +109,22 @@ def frequent_lines(rows: DataFrame, max_documents: int) -> DataFrame:
     return counts.where(F.col("documents") > max_documents)
 
 
-def judged(docs: DataFrame, max_documents: int, min_left: int) -> DataFrame:
-    """Narrow rows with their verdict; (doc_id, host, content) tells rows of different verdicts apart."""
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def counted(docs: DataFrame, max_documents: int) -> tuple[DataFrame, DataFrame]:
+    """Narrow rows with a number, and the frequent lines (host, line, first)."""
     numbered = measured(docs).withColumn("row", F.monotonically_increasing_id())
     # Written once, so the row numbers are fixed.
     rows = materialize(numbered, "lines")
     frequent = materialize(frequent_lines(rows, max_documents), "frequent-lines")
-    frequent = frequent.select("host", "line", "first")
+    return rows, frequent.select("host", "line", "first")
+
+
+def judged(docs: DataFrame, max_documents: int, min_left: int) -> DataFrame:
+    """Narrow rows with their verdict; (doc_id, host, content) tells rows of different verdicts apart."""
+    rows, frequent = counted(docs, max_documents)
     if is_small(frequent):
         frequent = F.broadcast(frequent)
     lines = rows.select("row", "host", "doc_id", F.explode("lines").alias("l"))
@@ -123,7 +136,7 @@ def judged(docs: DataFrame, max_documents: int, min_left: int) -> DataFrame:
     all_words = F.aggregate("lines", F.lit(0).cast("long"), lambda s, x: s + x["words"])
     out = rows.select("*", all_words.alias("line_words")).join(gone, "row", "left")
     left = F.col("line_words") - F.coalesce("gone", F.lit(0))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = base_failed()
     return out.select(
         "doc_id",
         "host",
@@ -162,3 +175,68 @@ def passing(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int =
         & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_content"))
     )
     return docs.join(rejected, same, "left_anti")
+
+
+def removals(docs: DataFrame, max_documents: int) -> DataFrame:
+    """What changes, by (_doc_id, _host, _content): the hashes of lines to remove, or NULL where the base rules fail.
+
+    Of the documents with a frequent line one keeps it: the least id, NULL last, then the least content.
+    """
+    rows, frequent = counted(docs, max_documents)
+    good = rows.where(~base_failed())
+    lines = rows.select("host", "doc_id", "content", F.explode("lines.line").alias("line")).alias("a")
+    small = is_small(frequent)
+    f = (F.broadcast(frequent) if small else frequent).alias("f")
+    hit = F.col("a.host").eqNullSafe(F.col("f.host")) & (F.col("a.line") == F.col("f.line"))
+    first = F.col("a.doc_id").eqNullSafe(F.col("f.first"))
+    # Ids may be NULL or repeated, so several contents can hold the first id.
+    keepers = lines.join(f, hit & first).groupBy("f.host", "f.line", "f.first").agg(F.min("a.content").alias("keeper"))
+    keepers = materialize(keepers, "kept-lines")
+    k = (F.broadcast(keepers) if small else keepers).alias("f")
+    lines = good.select("host", "doc_id", "content", F.explode("lines.line").alias("line")).alias("a")
+    other = ~(first & (F.col("a.content") == F.col("f.keeper")))
+    gone = lines.join(k, hit & other).groupBy("a.doc_id", "a.host", "a.content").agg(F.collect_set("a.line").alias("_gone"))
+    failed = rows.where(base_failed()).select("doc_id", "host", "content").distinct()
+    out = gone.unionByName(failed.withColumn("_gone", F.lit(None).cast("array<bigint>")))
+    key = [F.col(c).alias(f"_{c}") for c in ("doc_id", "host", "content")]
+    return materialize(out.select(*key, "_gone", F.lit(True).alias("_found")), "removals")
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines of some hashes, wherever they stand; lines without a word stay."""
+
+    def parts(hashes: Column) -> Column:
+        # About as many parts as each has hashes, so that long lists are not searched from end to end.
+        n = F.ceil(F.sqrt(F.size(hashes))).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter(hashes, lambda h: F.pmod(h, n) == i))
+
+    def stays(p: Column, line: Column) -> Column:
+        found = let(F.xxhash64(normalised(line)), lambda h: F.array_contains(F.get(p, F.pmod(h, F.size(p)).cast("int")), h))
+        return ~(line.rlike(WORD) & found)
+
+    kept = let(parts(gone), lambda p: F.filter(F.split(text, "\n", -1), lambda line: stays(p, line)))
+    return F.array_join(kept, "\n")
+
+
+def cleaned(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int = MIN_LEFT) -> DataFrame:
+    """The documents without their host's frequent lines, but for those that fail or have too few words left.
+
+    Other columns than the text stay as they are, sizes of the text as well.
+    """
+    changes = removals(docs, max_documents)
+    if is_small(changes):
+        changes = F.broadcast(changes)
+    same = (
+        F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id"))
+        & F.col("source").cast("string").eqNullSafe(F.col("_host"))
+        & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_content"))
+    )
+    rows = docs.join(changes, same, "left").where(F.col("_found").isNull() | F.col("_gone").isNotNull())
+    n = lambda text: F.size(words(text))
+    new = let(
+        without_lines(F.col("text"), F.col("_gone")),
+        lambda t: F.when(100 * n(t) >= min_left * n(F.col("text")), t),
+    )
+    # A text that is depleted is NULL here; of the texts without a change none is: NULL fails the base rules.
+    rows = rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(new))
+    return rows.where(F.col("text").isNotNull()).select(*docs.columns)
