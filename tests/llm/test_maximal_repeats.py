@@ -92,6 +92,28 @@ def test_groups_hold_all_occurrences(spark):
     assert any({d for d, _ in members} == {0, 1, 2, 3, 4} for members in found.values())
 
 
+def test_groups_of_frequent_repeats(spark):
+    """Groups are the same whatever counts as frequent, and repeated rows are occurrences of their own."""
+    rng = random.Random(13)
+    shared = "".join(rng.choices("abcdefgh ", k=450))
+    rows = [(i, f"{i}-" + shared + f"-{i}") for i in range(12)] + [(20, "x" + shared)] * 3
+    blocks = pack(documents(spark, rows), block_bytes=2000)
+
+    def groups(hot):
+        found = defaultdict(list)
+        for r in m.repeats(blocks, 400, m.occurrences, m.GROUP_SCHEMA, with_groups=True, hot=hot).collect():
+            found[r.group_id, r.length, r.n_occurrences].append((r.doc_id, r.start))
+        assert all(len(places) == n for (_, _, n), places in found.items())
+        return Counter((length, tuple(sorted(places))) for (_, length, _), places in found.items())
+
+    assert groups(4) == groups(m.HOT) and groups(4)
+    found = defaultdict(list)
+    for r in m.repeat_groups(documents(spark, rows), 400).collect():
+        found[r.group_id, r.n_occurrences].append(r.doc_id)
+    assert all(len(ids) == n for (_, n), ids in found.items())
+    assert any(sorted(ids) == [*range(12), 20, 20, 20] for ids in found.values())
+
+
 def test_intervals_of_a_run():
     # Prefixes 0 5 5 3: the inner interval's left bytes differ, so do those of the whole.
     assert list(m.maximal_intervals([0, 5, 5, 3], [97, 98, 97, 97])) == [(5, 0, 2), (3, 0, 3)]

@@ -16,8 +16,10 @@ Repeats longer than a stretch appear as overlapping groups; merged spans show th
 
 Stretches are handled in portions by minimizer, so memory is bounded, but for a minimizer with a
 great many different stretches. From `HOT` stretches on, its strings are counted one by one by
-96-bit hash instead (merged per block, like the windows of `substring_dedup`): same answer, no
-group that grows with the input.
+96-bit hash instead (merged per block, like the windows of `substring_dedup`): same removed bytes,
+no group that grows with the input. Counts of strings of one length do not give maximal groups, so
+`repeat_groups` sends every stretch to its suffix array, whatever its minimizer: groups are whole,
+but all different stretches of one minimizer, and all occurrences, meet in one task there.
 
 NULL is an empty text. Repeated rows are occurrences of their own. A table without rows gives none.
 Only `doc_id` and `text` are read; other columns, whatever their names, do not matter.
@@ -318,8 +320,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Maximal repeat groups: a row per occurrence with its group, length and place in the document (bytes)."""
-    return repeats(b.pack(docs), length, occurrences, GROUP_SCHEMA, with_groups=True).distinct()
+    """Maximal repeat groups: a row per occurrence with its group, length and place in the document (bytes).
+
+    Repeated rows, and documents with one id, are occurrences of their own.
+    """
+    return repeats(b.pack(docs), length, occurrences, GROUP_SCHEMA, with_groups=True)
 
 
 def repeats(
@@ -342,7 +347,8 @@ def repeats(
         first, last, key, twice = runs
         keys = b.Keys.of(b.shortened(np.concatenate([key, key[twice]]), n_bytes))
         mark = keys.marked(marks)[keys.occurrence[: len(key)]]
-        sent = send(block, text, runs, np.flatnonzero((mark > 1) & (mark < hot_mark)), length, many)
+        by_count = (mark >= hot_mark) & (not with_groups)
+        sent = send(block, text, runs, np.flatnonzero((mark > 1) & ~by_count), length, many)
         rows = pa.table(
             {
                 "bucket": pa.array(list(sent), pa.int32()),
@@ -353,7 +359,7 @@ def repeats(
                 "size": pa.array([n for _, n in sent.values()], pa.int64()),
             }
         )
-        single = by_hash(block, text, first, last, np.flatnonzero(mark >= hot_mark), length, few)
+        single = by_hash(block, text, first, last, np.flatnonzero(by_count), length, few)
         bucket = pa.array(np.asarray(single["bucket"]) + many, pa.int32())
         single = single.set_column(0, "bucket", bucket).append_column("size", pa.array([0] * single.num_rows, pa.int64()))
         return pa.concat_tables([rows, single])
