@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tierflow.llm import (
+    conversation_oracles,
+    conversation_repair,
     entropy_secrets,
     greedy_tiling,
     hash_tree,
@@ -15,10 +17,12 @@ from tierflow.llm import (
     link_graph,
     maximal_repeats,
     oracles,
+    prefix_trie,
     set_relations,
     splitting_tree,
     substring_dedup,
     unigram_counts,
+    vector_packing,
 )
 
 # Shards of the sharding query, and after growth by one.
@@ -26,6 +30,9 @@ SHARDS = 16
 # A vocabulary file of a public tokenizer.
 VOCABULARY = os.environ.get("TOKENIZER_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
+# A tokenizer file of a public tokenizer.
+TOKENIZER = os.environ.get("TOKENIZER_JSON", "byte_bpe_50k.json")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +52,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    """The text of TOKENIZER: a path, or the name of a public file."""
+    path = TOKENIZER
+    if not os.path.exists(path):
+        import public_tokenizers
+
+        path = public_tokenizers.path(path)
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
 @query("op1_hash_tree", oracles.hash_tree(hash_tree.even_tree(SHARDS), hash_tree.even_tree(SHARDS + 1)))
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = hash_tree.even_tree(SHARDS), hash_tree.even_tree(SHARDS + 1)
@@ -94,3 +112,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_entropy_secrets", oracles.entropy_secrets())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_secrets.entropy_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op11_suffix_dawg", conversation_oracles.suffix_dawg())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.suffix_dawg(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_vector_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@query("op13_prefix_trie", conversation_oracles.prefix_trie())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
