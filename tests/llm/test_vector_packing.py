@@ -80,16 +80,34 @@ def test_no_documents(spark):
 
 def test_ids_do_not_depend_on_the_chunks(monkeypatch):
     monkeypatch.setattr(v, "CHUNK", 7)
-    words, tokenizer = v.Words(FILE), Tokenizer.from_str(FILE)
+    monkeypatch.setattr(v, "LONG_WORD", 40)
+    ids, tokenizer = v.Ids(FILE), Tokenizer.from_str(FILE)
+    assert ids.fast is not None
     rng = random.Random(0)
-    odd = ["a", "I'm", " ", "  ", "\n", "\t ", "é漢", " ", " x", "\x1c", "12.5%", "<|endoftext|>", "don't", "🙂", "x" * 30]
-    for _ in range(300):
+    odd = ["a", "I'm", " ", "  ", "\n", "\t ", "é漢", "\xa0", "\u2003 x", "\x1c", "12.5%", "<|endoftext|>", "don't", "🙂", "x" * 30, " " * 50]
+    for _ in range(400):
         text = "".join(rng.choice(odd) + " " * rng.randint(0, 1) for _ in range(rng.randint(0, 25)))
-        got = b""
-        for chunk in v.chunks(text):
-            words.learn([chunk])
-            got += words.ids(chunk)
-        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+        assert np.frombuffer(ids.whole(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_both_implementations_agree_on_settled_characters():
+    ids, tokenizer = v.Ids(FILE), Tokenizer.from_str(FILE)
+    points = [*range(0x530), *range(0x2010, 0x2028), 0x20AC, *range(0x3041, 0x3097), *range(0x30A1, 0x30FB), *range(0x4E00, 0x9FA6, 7), *range(0xAC00, 0xD7A4, 7)]
+    for c in map(chr, points):
+        text = f"a{c}b {c} 1{c}{c}2 {c}' {c}\n{c}."
+        assert ids.alike(text)
+        assert ids.fast.encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
+def test_other_tokenizers_have_one_implementation():
+    import json
+
+    content = json.loads(FILE)
+    assert v.ranked(content | {"normalizer": {"type": "NFC"}}) is None
+    assert v.ranked(content | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}) is None
+    model = content["model"]
+    assert v.ranked(content | {"model": model | {"merges": model["merges"][::-1]}}) is None
+    assert v.ranked(content) is not None
 
 
 def test_long_text_without_spaces(spark):
@@ -97,15 +115,6 @@ def test_long_text_without_spaces(spark):
     checked(v.pack_documents(documents(spark, docs), FILE).collect(), docs, v.Limits())
 
 
-def test_forgotten_words(monkeypatch):
-    monkeypatch.setattr(v, "REMEMBERED", 5)
-    words, tokenizer = v.Words(FILE), Tokenizer.from_str(FILE)
-    for text in ("one two three", "four five six seven", "one four"):
-        words.learn([text])
-        assert np.frombuffer(words.ids(text), "<u4").tolist() == tokenizer.encode(text).ids
-        assert len(words.known) <= 5
-
-
 # ---- whole examples --------------------------------------------------------------------------
 
 
