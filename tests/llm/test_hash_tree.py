@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from tests.llm.tables import documents
+from tests.llm.tables import documents, odd_documents
 from tierflow.llm import hash_tree as h
 from pyspark.sql import functions as F
 
@@ -70,3 +70,16 @@ def test_bad_weights_are_refused(spark):
         h.hash_tree(df, [h.Shard(0, 0, 0, 0.0)])
     with pytest.raises(ValueError):
         h.hash_tree(df, [h.Shard(0, 0, 0), h.Shard(0, 0, 0, 2.0)])
+
+
+def test_documents_keep_their_columns(spark):
+    """Shards and slots are those of the narrow rows, and nothing of the documents is lost."""
+    docs = documents(spark, odd_documents(), clashing=True)
+    trees = h.even_tree(5), h.even_tree(6)
+    out = h.sharded(docs, *trees)
+    narrow = h.hash_tree(docs, *trees)
+    assert sorted(map(repr, out.select(*narrow.columns).collect())) == sorted(map(repr, narrow.collect()))
+    assert out.columns[:7] == narrow.columns[:1] + ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    back = out.select(*[f"document_{c}" if c in ("size", "shard") else c for c in docs.columns]).toDF(*docs.columns)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, docs.collect()))
+    assert h.sharded(docs, trees[0]).where("grown_shard IS NOT NULL").count() == 0

@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tests.llm.tables import documents, odd_documents
 from tierflow.llm import line_frequency as q
 
@@ -92,6 +94,28 @@ def test_frequent_lines_are_removed(spark):
     assert got == sorted(want, key=repr)
     assert {i for i, _ in got} >= {0, 1, 2, 3, 4, 5, None, 20, 21}
     assert (1, f"\n{body(1)}\n") in got and head in dict(got)[0] and head not in dict(got)[None]
+    shuffled = q.cleaned(docs, max_documents=5, min_left=30, small_rows=0)
+    assert shuffled.schema == docs.schema
+    assert sorted(((r.doc_id, r.text) for r in shuffled.collect()), key=repr) == got
+
+
+def test_any_names(spark):
+    """Columns with the names that the stage itself uses, or would."""
+    names = ["_gone", "_doc_id", "_host", "_content", "_found", "_parts", "_cleaned", "_text", "__host", "Parts", "first", "keeper"]
+    docs = documents(spark, [(i, "a line on every page\n" + " ".join(f"w{i}x{k}" for k in range(60)), "a") for i in range(7)])
+    for name in names:
+        docs = docs.withColumn(name, F.lit("clash"))
+    for out in (q.cleaned(docs, 5), q.cleaned(docs, 5, small_rows=0), q.passing(docs, 5)):
+        assert out.columns == docs.columns and {tuple(r)[5:] for r in out.collect()} == {("clash",) * len(names)}
+        assert out.count() == 7
+
+
+def test_many_lines_of_a_host(spark):
+    """Lists of lines are searched in parts."""
+    lines = lambda i: "\n".join(f"common line {k}" for k in range(i, 120 + i))
+    rows = [(i, lines(i) + "\n" + " ".join(f"w{i}x{k}" for k in range(300)), "a") for i in range(9)]
+    got = sorted((r.doc_id, r.text) for r in q.cleaned(documents(spark, rows), 5, 0).collect())
+    assert got == without_frequent(rows, 5, 0)
 
 
 def test_repeated_lines_deplete_by_their_words(spark):

@@ -111,3 +111,24 @@ def test_mixed_documents(spark):
     times = Counter(r.doc_id for r in out.collect())
     assert {r.doc_id: r.taken for r in m.splitting_mix(docs).collect()} == {i: times[i] * (i % 7 + 1) for i in range(200)}
     assert m.mixed(documents(spark, [])).collect() == []
+
+
+def test_mixed_rows_of_any_names_and_blocks(spark):
+    """The mix in place takes each document as often as the draws do."""
+    rng = random.Random(7)
+    rows = [(i % 500, "w " * rng.randint(0, 40), rng.choice(["a", "a", "b", None, "c"])) for i in range(900)] + odd_documents()
+    docs = documents(spark, rows, clashing=True)
+    for name in ("_row", "document", "of", "k", "row", "room", "open", "time", "passes", "block_", "text_"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    key = lambda r: (r.doc_id, r.text, r.source)
+    for block_rows in (20, 1000):
+        out = m.mixed(docs, block_rows=block_rows)
+        assert out.dtypes == docs.dtypes
+        taken = Counter(map(key, out.collect()))
+        words = Counter()
+        for (doc_id, text, source), n in taken.items():
+            words[doc_id] += len((text or "").split()) * n
+        want = Counter()
+        for r in m.splitting_mix(docs, block_rows=block_rows).collect():
+            want[r.doc_id] += r.taken
+        assert +words == +want

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierflow.llm.words import aside, back
 from tierflow.session import materialize
 
 # Rows that one task numbers, and equal rows that one task writes out.
@@ -129,3 +130,26 @@ def hash_tree(docs: DataFrame, shards: Sequence[Shard], grown: Sequence[Shard] |
     rows = materialize(rows, "sharding")
     out = numbered(rows, "shard", ["doc_id", "size", "text_crc32"], rows.count(), len(shards))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def sharded(docs: DataFrame, shards: Sequence[Shard], grown: Sequence[Shard] | None = None) -> DataFrame:
+    """The documents with their shard: the columns of `hash_tree`, then those of `docs`.
+
+    Of `docs`, a column with the name of one of the former is called `document_<name>`. Texts move once,
+    to the sub-bucket that numbers them; equal rows travel as one with a count.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        *aside(docs),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+    )
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    rows = place(rows, key, {"shard": shards} | ({"grown_shard": grown} if grown else {}))
+    if not grown:
+        rows = rows.withColumn("grown_shard", F.lit(None).cast("int"))
+    out = numbered(rows, "shard", ["doc_id", "size", "text_crc32"], docs.count(), len(shards))
+    own = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    given = back(out, [f"document_{c}" if c in own else c for c in docs.columns])
+    return out.select("doc_id", *own[:2], F.lit("key").alias("law"), *own[3:], *[c for c, name in zip(given, docs.columns, strict=True) if name != "doc_id"])

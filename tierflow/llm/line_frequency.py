@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierflow.llm.words import BLANKS, WORD, let, lower_ascii, words
-from tierflow.operators.skew import is_small
+from tierflow.operators.skew import SMALL_ROWS, is_small, sent
 from tierflow.session import materialize
 
 MAX_DOCUMENTS = 100
@@ -160,83 +160,125 @@ def line_frequency(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left
     return judged(docs, max_documents, min_left).drop("host", "content")
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Names that `df` doesn't use, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def same_row(doc_id: str, host: str, content: str) -> Column:
+    """Whether a document is the one with these values."""
+    return (
+        F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id))
+        & F.col("source").cast("string").eqNullSafe(F.col(host))
+        & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(content))
+    )
+
+
 def passing(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int = MIN_LEFT) -> DataFrame:
     """The documents that are kept, with all their columns."""
+    names = own_names(docs, "_doc_id", "_host", "_content")
     rejected = judged(docs, max_documents, min_left).where(~F.col("kept"))
-    rejected = rejected.select(
-        F.col("doc_id").alias("_doc_id"), F.col("host").alias("_host"), F.col("content").alias("_content")
-    ).distinct()
-    rejected = materialize(rejected, "rejected")
-    if is_small(rejected):
-        rejected = F.broadcast(rejected)
-    same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id"))
-        & F.col("source").cast("string").eqNullSafe(F.col("_host"))
-        & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_content"))
+    rejected = rejected.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "host", "content"), names, strict=True)]).distinct()
+    return docs.join(sent(materialize(rejected, "rejected")), same_row(*names), "left_anti")
+
+
+# ---- lines removed ---------------------------------------------------------------------------
+
+
+def held_lines(docs: DataFrame) -> DataFrame:
+    """(host, doc_id, content, line): the hash of each different line of each document."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        F.col("source").cast("string").alias("host"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(text).alias("content"),
+        F.array_distinct(F.transform(lines_of(text), lambda line: F.xxhash64(normalised(line)))).alias("lines"),
     )
-    return docs.join(rejected, same, "left_anti")
+    return rows.select("host", "doc_id", "content", F.explode("lines").alias("line"))
 
 
-def removals(docs: DataFrame, max_documents: int) -> DataFrame:
-    """What changes, by (_doc_id, _host, _content): the hashes of lines to remove, or NULL where the base rules fail.
+def kept_lines(docs: DataFrame, max_documents: int) -> DataFrame:
+    """(host, line, first, keeper): the frequent lines, and the one document that keeps each. Written once.
 
-    Of the documents with a frequent line one keeps it: the least id, NULL last, then the least content.
+    That is the one with the least id, NULL last, and of those the one with the least content hash.
+    Counts combine before each shuffle.
     """
-    rows, frequent = counted(docs, max_documents)
-    good = rows.where(~base_failed())
-    lines = rows.select("host", "doc_id", "content", F.explode("lines.line").alias("line")).alias("a")
-    small = is_small(frequent)
-    f = (F.broadcast(frequent) if small else frequent).alias("f")
-    hit = F.col("a.host").eqNullSafe(F.col("f.host")) & (F.col("a.line") == F.col("f.line"))
-    first = F.col("a.doc_id").eqNullSafe(F.col("f.first"))
-    # Ids may be NULL or repeated, so several contents can hold the first id.
-    keepers = lines.join(f, hit & first).groupBy("f.host", "f.line", "f.first").agg(F.min("a.content").alias("keeper"))
-    keepers = materialize(keepers, "kept-lines")
-    k = (F.broadcast(keepers) if small else keepers).alias("f")
-    lines = good.select("host", "doc_id", "content", F.explode("lines.line").alias("line")).alias("a")
-    other = ~(first & (F.col("a.content") == F.col("f.keeper")))
-    gone = lines.join(k, hit & other).groupBy("a.doc_id", "a.host", "a.content").agg(F.collect_set("a.line").alias("_gone"))
-    failed = rows.where(base_failed()).select("doc_id", "host", "content").distinct()
-    out = gone.unionByName(failed.withColumn("_gone", F.lit(None).cast("array<bigint>")))
-    key = [F.col(c).alias(f"_{c}") for c in ("doc_id", "host", "content")]
-    return materialize(out.select(*key, "_gone", F.lit(True).alias("_found")), "removals")
+    holder = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    once = held_lines(docs).groupBy("host", "line", "content").agg(F.min(holder).alias("holder"))
+    keeper = F.min(F.struct("holder", "content")).alias("keeper")
+    counts = once.groupBy("host", "line").agg(F.count("*").alias("documents"), keeper)
+    out = counts.where(F.col("documents") > max_documents)
+    return materialize(out.select("host", "line", F.col("keeper.holder.doc_id").alias("first"), F.col("keeper.content").alias("keeper")), "kept-lines")
+
+
+def in_parts(lines: Column) -> Column:
+    """An array of (line, ...) as about as many parts as each then holds, so that none is searched from end to end."""
+    n = F.ceil(F.sqrt(F.size(lines))).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter(lines, lambda x: F.pmod(x["line"], n) == i))
+
+
+def without_lines(text: Column, parts: Column, doc_id: Column) -> Column:
+    """The text without the lines in `parts` that another document keeps, wherever they stand; lines without a word stay."""
 
+    def goes(own: Column, h: Column) -> Column:
+        part = F.get(parts, F.pmod(h, F.size(parts)).cast("int"))
+        return F.exists(part, lambda x: (x["line"] == h) & ~(x["first"].eqNullSafe(doc_id) & (x["keeper"] == own)))
 
-def without_lines(text: Column, gone: Column) -> Column:
-    """The text without the lines of some hashes, wherever they stand; lines without a word stay."""
+    def stays(own: Column, line: Column) -> Column:
+        return ~(line.rlike(WORD) & let(F.xxhash64(normalised(line)), lambda h: goes(own, h)))
 
-    def parts(hashes: Column) -> Column:
-        # About as many parts as each has hashes, so that long lists are not searched from end to end.
-        n = F.ceil(F.sqrt(F.size(hashes))).cast("int")
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter(hashes, lambda h: F.pmod(h, n) == i))
+    return F.array_join(let(F.xxhash64(text), lambda own: F.filter(F.split(text, "\n", -1), lambda line: stays(own, line))), "\n")
 
-    def stays(p: Column, line: Column) -> Column:
-        found = let(F.xxhash64(normalised(line)), lambda h: F.array_contains(F.get(p, F.pmod(h, F.size(p)).cast("int")), h))
-        return ~(line.rlike(WORD) & found)
 
-    kept = let(parts(gone), lambda p: F.filter(F.split(text, "\n", -1), lambda line: stays(p, line)))
-    return F.array_join(kept, "\n")
+def by_broadcast(docs: DataFrame, kept: DataFrame, parts: str) -> DataFrame:
+    """Documents with a column `parts`: the frequent lines of their host, which are few and go to all tasks."""
+    per_host = kept.groupBy("host").agg(F.collect_list(F.struct("line", "first", "keeper")).alias("all"))
+    per_host = materialize(per_host.select("host", in_parts(F.col("all")).alias("parts")), "lines-by-host")
+    (host,) = own_names(docs, "_host")
+    lookup = F.broadcast(per_host.select(F.col("host").alias(host), F.col("parts").alias(parts)))
+    return docs.join(lookup, F.col("source").cast("string").eqNullSafe(F.col(host)), "left")
 
 
-def cleaned(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int = MIN_LEFT) -> DataFrame:
+def by_shuffle(docs: DataFrame, kept: DataFrame, parts: str) -> DataFrame:
+    """Documents with a column `parts`: the frequent lines that each holds itself, met by line and then by document."""
+    names = own_names(docs, "_doc_id", "_host", "_content")
+    a, f = held_lines(docs).alias("a"), kept.alias("f")
+    hit = F.col("a.host").eqNullSafe(F.col("f.host")) & (F.col("a.line") == F.col("f.line"))
+    other = ~(F.col("a.doc_id").eqNullSafe(F.col("f.first")) & (F.col("a.content") == F.col("f.keeper")))
+    found = a.join(f, hit & other).groupBy("a.doc_id", "a.host", "a.content")
+    found = found.agg(F.collect_set(F.struct("f.line", "f.first", "f.keeper")).alias("all"))
+    found = found.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "host", "content"), names, strict=True)], in_parts(F.col("all")).alias(parts))
+    return docs.join(sent(materialize(found, "lines-by-document")), same_row(*names), "left")
+
+
+def cleaned(
+    docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int = MIN_LEFT, small_rows: int = SMALL_ROWS
+) -> DataFrame:
     """The documents without their host's frequent lines, but for those that fail or have too few words left.
 
-    Other columns than the text stay as they are, sizes of the text as well.
+    Other columns than the text stay as they are, sizes of the text as well, whatever their names.
+    While the frequent lines measure small, no text is shuffled; beyond that each document meets its own.
     """
-    changes = removals(docs, max_documents)
-    if is_small(changes):
-        changes = F.broadcast(changes)
-    same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id"))
-        & F.col("source").cast("string").eqNullSafe(F.col("_host"))
-        & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_content"))
-    )
-    rows = docs.join(changes, same, "left").where(F.col("_found").isNull() | F.col("_gone").isNotNull())
-    n = lambda text: F.size(words(text))
-    new = let(
-        without_lines(F.col("text"), F.col("_gone")),
-        lambda t: F.when(100 * n(t) >= min_left * n(F.col("text")), t),
-    )
-    # A text that is depleted is NULL here; of the texts without a change none is: NULL fails the base rules.
-    rows = rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(new))
-    return rows.where(F.col("text").isNotNull()).select(*docs.columns)
+    kept = kept_lines(docs, max_documents)
+    name, text = own_names(docs, "_parts", "_cleaned")
+    rows = (by_broadcast if is_small(kept, small_rows) else by_shuffle)(docs, kept, name)
+    parts = F.col(name)
+    doc_id = F.col("doc_id").cast("long")
+    w = words(F.coalesce(F.col("text"), F.lit("")))
+    short = lambda w, n: (n < MIN_WORDS) | (100 * repeat_words(w) > 50 * n)
+
+    def left_over(w: Column) -> Column:
+        enough = lambda t: 100 * F.size(words(t)) >= min_left * F.size(w)
+        new = let(without_lines(F.col("text"), parts, doc_id), lambda t: F.when(enough(t), F.array(t)))
+        return F.when(~short(w, F.size(w)), F.when(parts.isNull(), F.array("text")).otherwise(new))
+
+    # A rejected document has no text here; exploding leaves it out, and every text is worked on once.
+    rows = rows.select(*docs.columns, F.explode(let(w, left_over)).alias(text))
+    return rows.select(*[F.col(text).alias(c) if c == "text" else F.col(c) for c in docs.columns])

@@ -29,8 +29,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierflow.llm.words import words
-from tierflow.operators.skew import is_small
+from tierflow.llm.words import aside, back, words
+from tierflow.operators.skew import is_small, sent
 from tierflow.session import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -48,15 +48,24 @@ def hashed(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *columns)), 1, DIGITS), 16, 10).cast("long")
 
 
+def size_of(text: Column) -> Column:
+    return F.size(words(F.coalesce(text, F.lit("")))).cast("long")
+
+
+def row_hash() -> Column:
+    """The hash that places a document."""
+    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    return hashed("row", doc_id, F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
 def narrow(docs: DataFrame) -> DataFrame:
     """(row, doc_id, source, size, k): k is the hash that places a row. Written once."""
-    text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        F.size(words(text)).cast("long").alias("size"),
-        hashed("row", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text)).alias("k"),
+        size_of(F.col("text")).alias("size"),
+        row_hash().alias("k"),
     )
     return materialize(rows, "mixing-rows")
 
@@ -277,21 +286,50 @@ def splitting_mix(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of `docs`, a row for each time that a document is taken."""
-    columns = docs.columns
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), *columns)
-    kept = materialize(numbered, "mixing-documents")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = materialize(
-        kept.select(
-            F.col("_row").alias("row"),
-            F.col("source").cast("string").alias("source"),
-            F.size(words(text)).cast("long").alias("size"),
-            hashed("row", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text)).alias("k"),
-            F.col("doc_id").cast("long").alias("doc_id"),
-        ),
-        "mixing-rows",
+def cutoffs(blocks: DataFrame, sources: DataFrame, block_rows: int) -> DataFrame:
+    """A row per source: whole passes, the last whole block of the unfinished pass, and the block where the target falls.
+
+    Blocks stand in the order of their hash, so the last one tells of each whether the pass takes it.
+    """
+    place = F.struct(hashed("block", F.col("number"), F.col("block")).alias("h"), F.col("block"))
+    ends = blocks.groupBy("number").agg(
+        F.max("passes").alias("passes"),
+        F.max(F.when(F.col("last"), place)).alias("upto"),
+        F.max(F.when(F.col("room").isNotNull(), F.col("block"))).alias("open"),
+        F.max("room").alias("room"),
     )
-    taken, _ = draws(rows, **options)
-    return kept.join(taken.select(F.col("row").alias("_row")), "_row").select(*columns)
+    n_blocks = F.greatest(F.ceil(F.col("n_rows") / block_rows), F.lit(1)).cast("long").alias("blocks")
+    return materialize(sources.select("source", "number", n_blocks).join(ends, "number"), "mixing-cutoffs")
+
+
+def mixed(
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: int = SHARE, most: int = MOST, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """The mix itself: the columns of `docs`, a row for each time that a document is taken.
+
+    The documents stay where they are read: whether and how often a block is given follows from one
+    row per source. Only those of the blocks where the targets fall are written down to be chosen from.
+    Names of `docs` may be any.
+    """
+    rows = narrow(docs)
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
+    sources = materialize(targets(sizes, weights, share, most), "mixing-sources")
+    _, blocks = block_plan(rows, sources, block_rows)
+    lookup = sent(cutoffs(materialize(blocks, "mixing-blocks"), sources, block_rows))
+    document = docs.select(
+        *aside(docs),
+        size_of(F.col("text")).alias("size"),
+        F.col("source").cast("string").alias("of"),
+        row_hash().alias("k"),
+    )
+    placed = document.join(lookup, F.col("of").eqNullSafe(lookup.source)).withColumn("block", F.col("k") % F.col("blocks"))
+    place = F.struct(hashed("block", F.col("number"), F.col("block")).alias("h"), F.col("block"))
+    is_open = F.col("block").eqNullSafe(F.col("open"))
+    times = F.col("passes") + F.when(~is_open & (place <= F.col("upto")), 1).otherwise(0)
+    given = placed.where(times > 0).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    chosen = materialize(placed.where(is_open).withColumn("row", F.monotonically_increasing_id()), "mixing-open-blocks")
+    member = F.struct("size", "k", "row")
+    found = chosen.groupBy("number").agg(F.sort_array(F.collect_list(member), asc=False).alias("m"), F.first("room").alias("room"))
+    taken = found.select(F.explode(fitting(F.col("m"), F.col("room"))).alias("row"))
+    chosen = chosen.join(taken, "row", "left_semi")
+    return given.select(*back(given, docs.columns)).union(chosen.select(*back(chosen, docs.columns)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A word: characters other than space and the control characters from tab to carriage return.
@@ -13,6 +13,16 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def aside(df: DataFrame) -> list[Column]:
+    """All columns under names that clash with none (`_c0`, `_c1`, ...), to be carried along."""
+    return [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)]
+
+
+def back(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """The columns carried along, by their names again."""
+    return [df[f"_c{i}"].alias(c) for i, c in enumerate(names)]
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
