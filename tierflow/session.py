@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +37,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = tempfile.mkdtemp(prefix="tierflow-")
         spark.sparkContext.setCheckpointDir(base)
@@ -43,6 +45,25 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+# Intermediates that are written and not yet removed, by the path of their folder.
+_written: list[str] = []
+
+
+def written() -> list[str]:
+    """The folders of the intermediates that this process has written and not removed."""
+    return list(_written)
+
+
+def remove(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete intermediates that nothing reads any more, wherever they lie."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for folder in folders:
+        path = hadoop.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if folder in _written:
+            _written.remove(folder)
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write an intermediate to the shared folder and go on from there.
 
@@ -51,5 +72,6 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
