@@ -46,6 +46,7 @@ from tierflow.operators.screening import Screening, failing_rows
 from tierflow.operators.skew import SMALL_ROWS, lookup_join
 from tierflow.operators.summary import visitor_summary
 from tierflow.operators.upsert import upsert
+from tierflow.plans.keyed_history import KeyedHistory
 from tierflow.plans.governance import (
     CATALOG_SCHEMA,
     DETAIL_SCHEMA,
@@ -576,6 +577,23 @@ def table_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(name)
 
 
+@query(
+    "upsert_bucketed",
+    UPSERTED
+    + """CASE WHEN given THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+      CASE WHEN given THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+      CASE WHEN given THEN new_priority ELSE o_orderpriority END AS o_orderpriority FROM m""",
+)
+def upsert_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two merges into a table kept by key, the second of which leaves parts without its keys alone."""
+    tables, name = Tables(spark, shared_dir(spark, "tables")), f"suite_{uuid.uuid4().hex}.silver.orders"
+    known, new = known_orders(spark, sf_dir), new_orders(spark, sf_dir)
+    tables.create_keyed(name, known.schema, ["o_orderkey"], parts=16, buckets=4)
+    tables.merge(name, known, ["o_orderkey"])
+    tables.merge(name, new, ["o_orderkey"])
+    return tables.read_keyed(name)
+
+
 @query(
     "passed_rows",
     f"""{AUDIT} SELECT event_id, "Email", "FechaEnvio", "Opens", metadata_batch_id FROM a WHERE metadata_audit_id = 1""",
@@ -648,6 +666,16 @@ def history_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuilt(spark, sf_dir)
 
 
+HOT_REBUILD = REBUILD.replace("o_custkey", "o_orderpriority").replace("arg_max(o_orderstatus, o_orderkey)", "max(o_orderstatus)")
+
+
+@query("history_hot", f"{HOT_REBUILD} SELECT * FROM h")
+def history_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few keys with long histories, cut into slices of 50 rows: some 60 slices a key at the smallest scale."""
+    orders = table(spark, sf_dir, "orders")
+    return scd2_rebuild(orders, ["o_orderpriority"], ["o_orderstatus"], "o_orderdate", hot_rows=50)
+
+
 @query("history_current", f"{REBUILD} SELECT * FROM h WHERE is_current")
 def history_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_versions(rebuilt(spark, sf_dir))
@@ -672,6 +700,42 @@ def history_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applied(spark, sf_dir, BEFORE_1998, SINCE_1998)
 
 
+# (condition, time) of deliveries that each hold the orders of some years.
+DELIVERIES = [
+    ("o_orderdate < timestamp_ntz'1996-01-01'", "1996-01-01 00:00:00"),
+    ("o_orderdate >= timestamp_ntz'1996-01-01' AND o_orderdate < timestamp_ntz'1998-01-01'", "1998-01-01 00:00:00"),
+    (SINCE_1998, "2002-01-01 00:00:00"),
+]
+BY_DELIVERY = """WITH last AS (
+  SELECT o_custkey, CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN TIMESTAMP '1996-01-01'
+    WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN TIMESTAMP '1998-01-01' ELSE TIMESTAMP '2002-01-01' END AS o_orderdate,
+    arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus FROM orders GROUP BY ALL),""" + REBUILD.split("),", 1)[1]
+
+
+def kept_by_key(spark: SparkSession, sf_dir: str) -> KeyedHistory:
+    tables = Tables(spark, shared_dir(spark, "tables"))
+    history = KeyedHistory(tables, f"suite_{uuid.uuid4().hex}.silver.status", ["o_custkey"], ["o_orderstatus"])
+    history.create(table(spark, sf_dir, "orders").schema, parts=16, buckets=4)
+    for n, (condition, now) in enumerate(DELIVERIES):
+        history.apply(order_status(spark, sf_dir, condition), now, f"step-{n}", ORDERED)
+    return history
+
+
+@query("history_keyed", f"{BY_DELIVERY} SELECT * FROM h")
+def history_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deliveries into a history kept by key; who is not delivered stays."""
+    return kept_by_key(spark, sf_dir).read()
+
+
+@query(
+    "history_keyed_as_of",
+    f"{BY_DELIVERY} SELECT * FROM h WHERE valid_from <= TIMESTAMP '1999-07-01' AND TIMESTAMP '1999-07-01' < valid_to",
+)
+def history_keyed_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed versions of the months before are not read."""
+    return kept_by_key(spark, sf_dir).at("1999-07-01 00:00:00")
+
+
 @query("history_actions", applied_sql(EARLY, LATE) + "SELECT action, count(*) AS n FROM c GROUP BY action")
 def history_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, two = order_status(spark, sf_dir, BEFORE_1998), order_status(spark, sf_dir, SINCE_1998)

@@ -14,7 +14,7 @@ from suite import feed as f
 from suite.queries import AUDIT, EVENTS, GOLD, V, delivered, query
 from tierflow.operators.conform import BATCH
 from tierflow.plans.governance import EVENT_ERRORS, INGESTIONS, init_governance
-from tierflow.plans.runs import Asset, Run, export, process, read_history, summarize
+from tierflow.plans.runs import Asset, Run, export, process, read_history, summarize, summarize_batches
 from tierflow.plans.spec import ColumnSpec, TableSpec
 from tierflow.session import materialize, shared_dir
 from tierflow.sources.tables import Tables, write_csv
@@ -35,6 +35,7 @@ HISTORIC = TableSpec(
     ),
 )
 VISITOR = f"{f.CATALOG}.gold_analytics.visitor"
+VISITOR_KEPT, VISITOR_STATE = f"{VISITOR}_kept", f"{VISITOR}_state"
 TARGETS = {kind: f"published.analytics.{kind}" for kind in ("visitor", "statistic", "event_errors")}
 # (first day, last day, run id, load time)
 STEPS = [
@@ -72,6 +73,7 @@ def run_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     folder = shared_dir(spark, "runs")
     tables, asset = Tables(spark, f"{folder}/tables"), Asset(f.RAW, f.AUDIT, HISTORIC, f.HOOK)
     named = {"raw": f.RAW.name, "audit": f.AUDIT.name, "events": EVENT_ERRORS, "metrics": INGESTIONS, "gold": VISITOR}
+    named |= {"gold_kept": VISITOR_KEPT, "gold_state": VISITOR_STATE}
     named |= {f"export_{kind}": name for kind, name in TARGETS.items()}
     tables.drop([*named.values(), HISTORIC.name])
     init_governance(tables, "analytics", "suite", "2024-01-01 00:00:00")
@@ -85,6 +87,7 @@ def run_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         else:
             ingest_available(run, asset, path, f"{folder}/checkpoint").awaitTermination()
         summarize(run, asset, VISITOR, "FechaEnvio")
+        summarize_batches(run, asset, VISITOR_KEPT, "FechaEnvio", VISITOR_STATE)
         export(run, asset, VISITOR, TARGETS)
     if process(Run(tables, STEPS[0][2], STEPS[0][3]), asset, f"{folder}/landing/0"):
         raise ValueError("A delivery was landed twice")
@@ -186,6 +189,12 @@ def run_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables_left(spark, sf_dir)["gold"]
 
 
+@query("run_gold_by_batches", SUMMED)
+def run_gold_by_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary kept from one run to the next, of which each reads its own batches only."""
+    return tables_left(spark, sf_dir)["gold_kept"]
+
+
 @query("run_export_visitor", SUMMED)
 def run_export_visitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables_left(spark, sf_dir)["export_visitor"]

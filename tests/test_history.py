@@ -90,12 +90,7 @@ def test_rebuild_equals_row_at_a_time_model(spark, items):
 @given(items_strategy)
 def test_sliced_rebuild_equals_model(spark, items):
     """Every key counts as hot, and slices are so short that most versions cross their borders."""
-    before = history_module.TIME_SLICES
-    history_module.TIME_SLICES = 5
-    try:
-        assert rows(rebuild(spark, items, hot_rows=1)) == expected_history(items)
-    finally:
-        history_module.TIME_SLICES = before
+    assert rows(rebuild(spark, items, hot_rows=1)) == expected_history(items)
 
 
 def test_one_key_with_a_third_of_all_rows(spark):
@@ -111,6 +106,30 @@ def test_one_key_with_a_third_of_all_rows(spark):
     assert split.where("k = 'hot'").count() == 250
 
 
+@pytest.mark.parametrize("slices", [3, 64, 1000])
+def test_slices_follow_the_rows_of_a_key(spark, slices):
+    """A key with 4,000 rows and one with a tenth of them: as many slices as their rows ask for, of even size."""
+    size = -(-4000 // (slices - 1))
+    df = spark.range(4400).select(
+        F.when(F.col("id") < 4000, "long").otherwise("short").alias("k"),
+        (F.lit(START) + F.make_interval(mins=(F.col("id") * 37 % 4400).cast("int"))).alias("t"),
+        F.col("id").cast("int").alias("n"),
+        (F.col("id") * 37 % 4400 / 3).cast("int").cast("string").alias("a"),
+        F.lit(None).cast("string").alias("b"),
+    )
+    split = scd2_rebuild(df, ["k"], ["a", "b"], "t", ["n"], hot_rows=size)
+    assert rows(split) == rows(scd2_rebuild(df, ["k"], ["a", "b"], "t", ["n"]))
+    hot = history_module.hot_keys(df, ["k"], size)
+    most = hot.agg(F.max("_parts")).first()[0]
+    cuts = history_module._time_cuts(df, hot, ["k"], "t", most)
+    micros = F.unix_micros("t")
+    placed = df.withColumn("_h", history_module.key_hash(["k"])).join(cuts, "_h")
+    counts = placed.groupBy("k", history_module._slice_of(micros, most).alias("s")).count().collect()
+    per_key = {k: [r["count"] for r in counts if r.k == k] for k in ("long", "short")}
+    assert len(per_key["long"]) == -(-4000 // size) + 1
+    assert all(max(own) <= 2 * size for own in per_key.values() if own)
+
+
 def snapshot(spark, *values):
     return spark.createDataFrame(list(values), "k string, o int, a string, b string")
 
@@ -196,3 +215,33 @@ def test_rebuild_does_not_depend_on_the_order_of_input(spark):
         for hot_rows in (1_000_000, 1):
             built = scd2_rebuild(df, ["k"], ["v"], "at", ["tie"], hot_rows)
             assert [r.v for r in built.orderBy("valid_from").collect()] == ["b", "c"]
+
+
+def test_history_kept_by_key(spark, tables):
+    """Small deliveries: equal to applying each to the whole, and only their keys' parts change."""
+    from tests.test_tables import files_of
+    from tierflow.plans.keyed_history import KeyedHistory
+
+    schema = "k long, v string"
+    history = KeyedHistory(tables, "c.s.h", ["k"], ["v"])
+    history.create(spark.createDataFrame([], schema).schema, parts=16, buckets=2)
+    plain = empty_history(spark.createDataFrame([], schema), ["k"], ["v"])
+    first = spark.range(500).selectExpr("id AS k", "CAST(id % 5 AS STRING) AS v")
+    deliveries = [first, [(1, "x"), (2, "2"), (900, "new")], [(1, "y"), (900, None)], [(1, "y")], []]
+    for n, given in enumerate(deliveries):
+        snapshot = given if n == 0 else spark.createDataFrame(given, schema)
+        now = f"2024-0{n + 1}-15 00:00:00"
+        before = files_of(tables.read(history.current)) if n else set()
+        for _ in range(2):
+            # Again with the same step: nothing more changes.
+            history.apply(snapshot, now, f"step-{n}")
+        plain = spark.createDataFrame(scd2_apply(plain, snapshot, ["k"], ["v"], now, deletes=False).collect(), plain.schema)
+        assert rows(history.read()) == rows(plain), n
+        if n:
+            touched = tables.touched_parts(history.current, snapshot, ["k"])
+            kept = {f for f in before if not any(f"metadata_key_part={p}/" in f for p in touched)}
+            assert kept <= files_of(tables.read(history.current)) and len(touched) <= len(given)
+    for moment in ("2024-01-01 00:00:00", "2024-02-15 00:00:00", "2024-02-20 00:00:00", "2030-01-01 00:00:00"):
+        assert rows(history.at(moment)) == rows(versions_at(plain, moment))
+    plan = history.at("2024-03-01 00:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(metadata_ended_in" in plan and ">= 2024-03" in plan

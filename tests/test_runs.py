@@ -7,7 +7,7 @@ from tests import visits
 from tests.conftest import rows
 from tierflow.plans import runs
 from tierflow.plans.governance import EVENT_ERRORS, INGESTIONS, init_governance
-from tierflow.plans.runs import Run, export, process, read_history, summarize
+from tierflow.plans.runs import Run, export, process, read_history, summarize, summarize_batches
 from tierflow.streaming.ingest import ingest_available
 
 TARGETS = {"visitor": "out.db.visitor", "statistic": "out.db.statistic", "event_errors": "out.db.event_errors"}
@@ -303,3 +303,29 @@ def test_stream_ingests_each_file_once(setup, tmp_path):
         ("7", "20130208_000000"),
         ("8", "20130209_000000"),
     ]
+
+
+def test_summary_kept_by_batches(setup):
+    """Equal to the full summary after each run, screened-again batches and runs that stopped before it included."""
+    tables, asset, landing = setup
+    kept, state = f"{GOLD}_kept", f"{GOLD}_state"
+
+    def both(run):
+        summarize(run, asset, GOLD, "FechaEnvio")
+        summarize_batches(run, asset, kept, "FechaEnvio", state)
+        assert rows(tables.read(kept)) == rows(tables.read(GOLD))
+
+    first = Run(tables, "20130208_000000", "2013-02-08 20:00:00")
+    process(first, asset, str(landing / "1"))
+    both(first)
+    assert {r[0] for r in tables.read(state).select("metadata_batch_id").distinct().collect()} == {"7", "8"}
+    # This run stops before its summary; the next one catches up.
+    process(Run(tables, "20130301_000000", "2013-03-01 20:00:00"), asset, str(landing / "2"))
+    later = Run(tables, "20130305_000000", "2013-03-05 20:00:00")
+    both(later)
+    assert {r[0] for r in tables.read(state).select("metadata_batch_id").distinct().collect()} == {"7", "8", "9"}
+    # A batch is screened again by other rules.
+    strict = replace(asset, hook=lambda df: df.withColumn("Email", F.lit(None).cast("string")))
+    runs.raw_to_audit(Run(tables, "20130306_000000", "2013-03-06 20:00:00"), strict, ["8"])
+    both(Run(tables, "20130306_000000", "2013-03-06 20:00:00"))
+    both(Run(tables, "20130307_000000", "2013-03-07 20:00:00"))

@@ -129,3 +129,53 @@ def test_rows_of_an_unlisted_batch_fail_the_write(spark, tables):
     with pytest.raises(ValueError, match="needs an id"):
         tables.overwrite_batches(new, "c.s.t", ["a", ""])
     assert rows(tables.read("c.s.t")) == [(1, "a"), (2, "b"), (3, "b")]
+
+
+def keyed(spark, tables, n=2000, parts=8):
+    df = spark.range(n).selectExpr("id AS k", "id % 7 AS v", "CAST(NULL AS TIMESTAMP) AS t")
+    tables.create_keyed("c.s.keyed", df.schema, ["k"], parts=parts, buckets=4)
+    tables.merge("c.s.keyed", df, ["k"])
+    return df
+
+
+def files_of(df):
+    return {r[0] for r in df.selectExpr("_metadata.file_path").distinct().collect()}
+
+
+def test_merge_by_key_rewrites_the_parts_of_its_keys_only(spark, tables):
+    old = keyed(spark, tables)
+    assert rows(tables.read_keyed("c.s.keyed")) == rows(old)
+    before = files_of(tables.read("c.s.keyed"))
+    source = spark.createDataFrame([(5, 100), (5000, 200)], "k int, v int")
+    touched = tables.touched_parts("c.s.keyed", source, ["k"])
+    assert 0 < len(touched) <= 2
+    options = {"created_col": "t", "updated_col": "t", "at": "2024-01-01 00:00:00"}
+    tables.merge("c.s.keyed", source, ["k"], **options)
+    from tierflow.operators.upsert import upsert
+
+    assert rows(tables.read_keyed("c.s.keyed")) == rows(upsert(old, source, ["k"], **options))
+    after = files_of(tables.read("c.s.keyed"))
+    of_part = lambda files: {f for f in files if any(f"metadata_key_part={p}/" in f for p in touched)}
+    # The other parts' files are the same ones.
+    assert before - of_part(before) == after - of_part(after) and not of_part(before) & after
+
+
+def test_merge_by_key_does_not_shuffle_the_table(spark, tables):
+    keyed(spark, tables)
+    source = spark.createDataFrame([(5, 100)], "k long, v long")
+    merged = tables.merged_parts("c.s.keyed", source, ["k"])
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.split("\n") if "FileScan parquet" in line and "keyed" in line)
+    assert "Bucketed: true" in scan and "PartitionFilters: [metadata_key_part" in scan.replace("isnotnull(metadata_key_part#", "metadata_key_part#")
+    # One exchange: that of the source.
+    assert plan.split("+- == Initial")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_merge_by_key_fails_on_repeated_and_missing_keys(spark, tables):
+    keyed(spark, tables, 10)
+    for values, message in ([(1, 1), (1, 2)], "Several source rows"), ([(None, 1)], "NULL in a key"):
+        with pytest.raises(Exception, match=message):
+            tables.merge("c.s.keyed", spark.createDataFrame(values, "k long, v long"), ["k"])
+    assert tables.read("c.s.keyed").count() == 10
+    tables.merge("c.s.keyed", spark.createDataFrame([], "k long, v long"), ["k"])
+    assert tables.read("c.s.keyed").count() == 10

@@ -18,8 +18,6 @@ from tierflow.session import materialize
 from tierflow.plans.spec import OPEN_END
 
 VALIDITY = ["is_current", "valid_from", "valid_to"]
-# A key too large for one task is cut into this many time slices of about equal size.
-TIME_SLICES = 64
 STATE = "_state"
 
 
@@ -66,40 +64,45 @@ def _rebuild_shuffled(
     return _finish(ended, key, version_ts, F.col("_next"), tracked)
 
 
-def _time_cuts(changes: DataFrame, key: Sequence[str], version_ts: str) -> DataFrame:
+def _time_cuts(changes: DataFrame, hot: DataFrame, key: Sequence[str], version_ts: str, most: int) -> DataFrame:
     """(_h, _cuts): the borders between the time slices of each hot key.
 
+    A key has as many slices as `hot` gives it parts, so a slice stays near the size that makes a
+    key hot, however many rows the key has. All keys share one grid of quantiles, twice as fine as
+    the longest of them asks for, and each takes the points of it that its own number needs.
     Written out, because slices must be the same wherever the plan reads them.
     """
-    shares = F.lit([i / TIME_SLICES for i in range(1, TIME_SLICES)])
+    grid = 2 * most
+    shares = F.lit([i / grid for i in range(1, grid)])
     micros = F.unix_micros(F.col(version_ts).cast("timestamp"))
-    cuts = changes.groupBy(key_hash(key).alias("_h")).agg(F.percentile_approx(micros, shares, 1000).alias("_cuts"))
-    return materialize(cuts.select("_h", F.col("_cuts").cast("array<bigint>").alias("_cuts")), "time-cuts")
+    points = changes.groupBy(key_hash(key).alias("_h")).agg(F.percentile_approx(micros, shares, 10 * grid).alias("_points"))
+    numbers = F.sequence(F.lit(1).cast("long"), F.col("_parts") - 1)
+    cuts = F.transform(numbers, lambda i: F.get("_points", F.floor(i * grid / F.col("_parts")).cast("int") - 1).cast("long"))
+    return materialize(points.join(sent(hot), "_h").select("_h", cuts.alias("_cuts")), "time-cuts")
 
 
-def _slice_of(micros: Column, low: int = 0, high: int | None = None) -> Column:
-    """Number of cuts up to a time, by halving; plain comparisons, so it compiles."""
-    high = TIME_SLICES - 1 if high is None else high
-    if low == high:
-        return F.lit(low)
-    middle = (low + high) // 2
-    reached = F.get("_cuts", F.lit(middle)) <= micros
-    return F.when(reached, _slice_of(micros, middle + 1, high)).otherwise(_slice_of(micros, low, middle))
+def _slice_of(micros: Column, most: int) -> Column:
+    """Number of cuts up to a time, by halving."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(most.bit_length()))])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) <= micros, at + step).otherwise(at)
+    )
 
 
 def _rebuild_sliced(
-    changes: DataFrame, key: Sequence[str], tracked: Sequence[str], version_ts: str, tie: Sequence[str]
+    changes: DataFrame, hot: DataFrame, key: Sequence[str], tracked: Sequence[str], version_ts: str, tie: Sequence[str]
 ) -> DataFrame:
     """Histories of hot keys: versions within time slices, then stitched at the slice borders."""
     key = list(key)
-    cuts = _time_cuts(changes, key, version_ts)
+    most = hot.agg(F.max("_parts")).first()[0]
+    cuts = _time_cuts(changes, hot, key, version_ts, most)
     micros = F.unix_micros(F.col(version_ts).cast("timestamp"))
     # One row per key and time, combined before the shuffle.
     one_per_time = changes.groupBy(*key, version_ts).agg(F.max_by(_state(tracked), F.struct(*tie)).alias(STATE))
     sliced = (
         one_per_time.withColumn("_h", key_hash(key))
         .join(sent(cuts), "_h")
-        .withColumn("_slice", _slice_of(micros))
+        .withColumn("_slice", _slice_of(micros, most))
         .select(*key, "_slice", version_ts, STATE)
     )
     in_slice = Window.partitionBy(*key, "_slice").orderBy(version_ts)
@@ -110,7 +113,7 @@ def _rebuild_sliced(
         .drop("_previous")
         .withColumn("_next", F.lead(version_ts).over(in_slice))
     )
-    # At most TIME_SLICES rows per hot key from here on.
+    # One row per hot key and slice from here on.
     borders = starts.groupBy(*key, "_slice").agg(
         F.min_by(STATE, version_ts).alias("_entry"),
         F.max_by(STATE, version_ts).alias("_exit"),
@@ -140,8 +143,9 @@ def scd2_rebuild(
 ) -> DataFrame:
     """The whole history from all delivered rows, in order of `version_ts`, not of arrival.
 
-    Of several rows with one key and time the highest by `tie` counts, then by the tracked values. A row equal to the one before it opens no version. Keys with a very long
-    history are built slice by slice in time, all others in one window.
+    Of several rows with one key and time the highest by `tie` counts, then by the tracked values. A
+    row equal to the one before it opens no version. Keys with `hot_rows` rows and more are built
+    slice by slice in time, with about that many rows a slice, all others in one window.
     """
     key, tracked = _names(key, tracked)
     # The tracked values come last: whatever `tie` leaves open must not depend on the order of input.
@@ -155,7 +159,7 @@ def scd2_rebuild(
     by_hash = changes.withColumn("_h", key_hash(key))
     few, many = by_hash.join(listed, "_h", "left_anti").drop("_h"), by_hash.join(listed, "_h", "left_semi").drop("_h")
     return _rebuild_shuffled(few, key, tracked, version_ts, tie).unionByName(
-        _rebuild_sliced(many, key, tracked, version_ts, tie)
+        _rebuild_sliced(many, hot, key, tracked, version_ts, tie)
     )
 
 

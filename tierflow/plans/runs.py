@@ -21,13 +21,25 @@ from tierflow.operators.events import EVENT_SCHEMA
 from tierflow.operators.export import events_differential, run_batches, statistic_differential, visitor_differential
 from tierflow.operators.history import VALIDITY, close_absent, empty_history, scd2_changes
 from tierflow.operators.metrics import METRIC_KEY, ingestion_metrics, pending_batches, table_metrics
-from tierflow.operators.summary import FIRST_VISIT, LAST_VISIT, THIS_MONTH, THIS_YEAR, TOTAL, visitor_summary
+from tierflow.operators.skew import SMALL_ROWS, lookup_join
+from tierflow.operators.summary import (
+    FIRST_VISIT,
+    LAST_VISIT,
+    THIS_MONTH,
+    THIS_YEAR,
+    TOTAL,
+    merged_summary,
+    partial_summary,
+    visitor_summary,
+)
 from tierflow.plans.governance import EVENT_ERRORS, HISTORY_BATCH_SCHEMA, HISTORY_BATCHES, INGESTIONS
 from tierflow.plans.layers import audit_events, audit_rows, audit_screening
 from tierflow.plans.spec import TableSpec
 from tierflow.sources.landing import COMMA, CsvReader, discover, read_files
 from tierflow.sources.tables import Tables
 
+# Column of partial summaries: when their batch was screened.
+SCREENED_AT = "screened_at"
 # Partition column of a history table: the step that closed a version, OPEN for current ones.
 CLOSED_BY = "metadata_closed_by"
 OPEN = "open"
@@ -208,6 +220,27 @@ def summarize(run: Run, asset: Asset, name: str, at: str) -> None:
     run.tables.replace(visitor_summary(passed, _entity(asset), at, run.rundate), name)
 
 
+def summarize_batches(run: Run, asset: Asset, name: str, at: str, state: str) -> None:
+    """`summarize` from partial summaries in the table `state`, which holds a partition per batch.
+
+    Passed rows are read of those batches only that were screened since their partial summary was
+    made, by this run or by one that failed before it came here; theirs replace the old ones.
+    """
+    tables, key, spec = run.tables, _entity(asset), asset.audit
+    passed = tables.read(spec.name, "read_audit_passed")
+    own = (F.col("catalog_name") == spec.catalog_name) & (F.col("schema_name") == spec.schema_name) & (F.col("table_name") == spec.table_name)
+    screened = tables.read(INGESTIONS).where(own).select(F.col("batch_id").alias(BATCH), F.col("loaded_at").alias(SCREENED_AT), "rundate")
+    since = screened
+    if tables.exists(state):
+        done = tables.read(state).select(BATCH, SCREENED_AT).distinct()
+        since = screened.where(F.col("rundate") == run.rundate).unionByName(screened.join(done, [BATCH, SCREENED_AT], "left_anti"))
+    batches = sorted({r[0] for r in since.select(BATCH).distinct().collect()})
+    partials = partial_summary(passed.where(F.col(BATCH).isin(batches)), key, at, BATCH)
+    partials = lookup_join(partials, screened.drop("rundate"), [BATCH], small_rows=SMALL_ROWS)
+    tables.overwrite_batches(partials, state, batches)
+    tables.replace(merged_summary(tables.read(state), key, run.rundate), name)
+
+
 def _entity(asset: Asset) -> list[str]:
     """The key columns of the entities that gold and export are about."""
     if not asset.audit.key:

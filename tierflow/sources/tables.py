@@ -16,7 +16,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,8 @@ from tierflow.operators.conform import BATCH, PASSED
 from tierflow.operators.upsert import upsert
 from tierflow.session import configure
 
+# Partition column of a table that is kept by key.
+KEY_PART = "metadata_key_part"
 READ_MODES = ("read_all", "read_partition", "read_audit_passed")
 WRITE_MODES = ("overwrite_partition",)
 
@@ -268,6 +270,68 @@ class Tables:
         else:
             self.replace(upsert(target, source, keys, **options), name)
 
+    # ---- tables kept by key
+
+    def create_keyed(self, name: str, schema: T.StructType, keys: Sequence[str], parts: int = 64, buckets: int = 64) -> None:
+        """Define a table whose rows lie by the hash of their key, in `parts` partitions of `buckets` buckets.
+
+        `merge` then rewrites only the parts that hold a key of the source, and reads them as they
+        lie. For large tables choose the parts by the share of the table that a source touches, and
+        buckets so that one fits a task.
+        """
+        if self.exists(name):
+            return
+        database = self.table(name).split(".")[0]
+        self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {database} LOCATION '{self.root}/_databases/{database.strip('`')}'")
+        columns = T.StructType([*schema.fields, T.StructField(KEY_PART, T.IntegerType())])
+        by = ", ".join(f"`{k}`" for k in keys)
+        self.spark.sql(
+            f"CREATE TABLE {self.table(name)} ({columns.toDDL()}) USING parquet PARTITIONED BY (`{KEY_PART}`) "
+            f"CLUSTERED BY ({by}) INTO {buckets} BUCKETS LOCATION '{self._new_location(name)}' "
+            f"TBLPROPERTIES ('key_parts' = '{parts}', 'key_buckets' = '{buckets}')"
+        )
+
+    def read_keyed(self, name: str) -> DataFrame:
+        """A table kept by key, without the column that places its rows."""
+        return self.read(name).drop(KEY_PART)
+
+    def _key_layout(self, name: str) -> tuple[int, int]:
+        properties = {r.key: r.value for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.table(name)}").collect()}
+        return int(properties["key_parts"]), int(properties["key_buckets"])
+
+    def key_part(self, name: str, keys: Sequence[str]) -> Column:
+        """The part in which a table kept by key has a row, by the types that the table has its keys in."""
+        types = dict(self.read(name).dtypes)
+        return F.pmod(F.xxhash64(*[F.col(k).cast(types[k]) for k in keys]), F.lit(self._key_layout(name)[0])).cast("int")
+
+    def touched_parts(self, name: str, source: DataFrame, keys: Sequence[str]) -> list[int]:
+        """The parts that hold a key of `source`: numbers, at most as many as the table has parts."""
+        return sorted(r[0] for r in source.select(self.key_part(name, keys).alias("p")).distinct().collect())
+
+    def merged_parts(self, name: str, source: DataFrame, keys: Sequence[str], **options: Any) -> DataFrame:
+        """The next state of the parts that hold a key of `source`, with the column that places the rows.
+
+        Of the table only these parts are read, bucket by bucket: it is not shuffled; the source is, to
+        the table's buckets.
+        """
+        types = dict(self.read_keyed(name).dtypes)
+        source = source.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in source.columns])
+        touched = self.touched_parts(name, source, keys)
+        target = self.read(name).where(F.col(KEY_PART).isin(touched)).drop(KEY_PART)
+        # The hash of a bucketed table and that of a shuffle are the same, so rows of a key meet where the table has them.
+        buckets = self._key_layout(name)[1]
+        merged = upsert(target, source.repartition(buckets, *keys), keys, **options)
+        return merged.withColumn(KEY_PART, self.key_part(name, keys))
+
+    def rewrite_parts(self, name: str, rows: DataFrame) -> None:
+        """Replace the parts that `rows` has rows of; `rows` may read the table."""
+        rows.select(*self.read(name).columns).write.insertInto(self.table(name).replace("`", ""), overwrite=True)
+        self.spark.catalog.refreshTable(self.table(name).replace("`", ""))
+
+    def merge(self, name: str, source: DataFrame, keys: Sequence[str], **options: Any) -> None:
+        """Merge `source` into a table kept by key: `upsert`, and its options, where the source has keys."""
+        self.rewrite_parts(name, self.merged_parts(name, source, keys, **options))
+
     def export_csv(self, name: str, path: str) -> None:
         """A deliverable as delimited text with a header; as many files as the table needs."""
         write_csv(self.read(name), path)
