@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,14 +40,15 @@ from tierflow.operators.profiling import (
     frequency_of_frequencies,
     key_frequencies,
     key_summary,
+    merged_profile,
     most_frequent,
+    profile_sketches,
     value_counts,
 )
 from tierflow.operators.screening import Screening, failing_rows
 from tierflow.operators.skew import SMALL_ROWS, lookup_join
 from tierflow.operators.summary import visitor_summary
 from tierflow.operators.upsert import upsert
-from tierflow.plans.keyed_history import KeyedHistory
 from tierflow.plans.governance import (
     CATALOG_SCHEMA,
     DETAIL_SCHEMA,
@@ -56,11 +58,14 @@ from tierflow.plans.governance import (
     seed_rows,
     table_rows,
 )
+from tierflow.plans.key_index import KeyIndex
+from tierflow.plans.keyed_history import KeyedHistory
 from tierflow.plans.layers import audit_events, audit_rows, passed_rows
 from tierflow.plans.spec import SPEC_SCHEMA, layer_attributes, resolve_layers
 from tierflow.session import materialize, shared_dir
 from tierflow.sources.landing import SEMICOLON, discover, read_files
 from tierflow.sources.tables import Tables, write_csv
+from tierflow.streaming.events import log_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -381,9 +386,44 @@ def error_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_log(spark, sf_dir)
 
 
+@query("events_once", f"{EVENTS} SELECT * FROM e")
+def events_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries of the event log that share half of it, taken in as a stream."""
+    folder = shared_dir(spark, "event-stream")
+    log = materialize(events_log(spark, sf_dir), "events")
+    schema = None
+    for day, share in ((1, "substr(error_event_id, 1, 1) < 'b'"), (2, "substr(error_event_id, 1, 1) > '4'")):
+        delivered = log.where(share).withColumn("arrived_at", F.lit(f"2024-02-0{day} 00:00:00").cast("timestamp"))
+        delivered.write.mode("append").parquet(f"{folder}/in")
+        schema = delivered.schema
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        log_once(stream, f"{folder}/log", f"{folder}/checkpoint", "arrived_at", "7 days").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/log").drop("arrived_at")
+
+
 # ---- keys
 
 
+@query(
+    "unique_across_batches",
+    """WITH b AS (SELECT o_custkey, o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS batch FROM orders),
+      f AS (SELECT o_custkey, min(batch) AS first_batch FROM b GROUP BY o_custkey)
+      SELECT o_orderkey, o_custkey, batch, first_batch FROM b JOIN f USING (o_custkey) WHERE batch <> first_batch""",
+)
+def unique_across_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of customers that an earlier year's batch delivered before, by an index of the customers."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").cast("string").alias("batch"))
+    index = KeyIndex(Tables(spark, shared_dir(spark, "tables")), f"suite_{uuid.uuid4().hex}.silver.customers", ["o_custkey"])
+    index.create(orders.schema, parts=8, buckets=4)
+    found = []
+    for years in ("batch < '1995'", "batch BETWEEN '1995' AND '1996'", "batch > '1996'"):
+        rows = orders.where(years)
+        # A delivery's own keys go in first, so repeats between its batches are found as well.
+        index.add(rows, "batch")
+        found.append(materialize(index.repeats(rows, "batch"), "repeats"))
+    return reduce(DataFrame.unionByName, found).select("o_orderkey", "o_custkey", "batch", "first_batch")
+
+
 @query(
     "hash_key",
     """SELECT c_custkey, md5(concat_ws('||', coalesce(n_name, ''), coalesce(c_mktsegment, ''), coalesce(c_name, ''),
@@ -1033,3 +1073,30 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 import suite.runs  # noqa: E402,F401  registers the queries over whole runs
+
+
+SKETCHED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@query(
+    "profile_merged",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, min(CAST({c} AS VARCHAR)) AS least,
+      max(CAST({c} AS VARCHAR)) AS greatest, true AS distinct_near, true AS median_near FROM orders"""
+        for c in SKETCHED
+    ),
+)
+def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches per year, merged: distinct values within 3 percent, the median within 2 percent of the ranks."""
+    orders = table(spark, sf_dir, "orders")
+    per_year = materialize(profile_sketches(orders.withColumn("year", F.year("o_orderdate")), SKETCHED, ["year"]), "sketches")
+    merged = materialize(merged_profile(per_year), "profile")
+    median = lambda c: merged.where(F.col("column_name") == c).select(F.col("quantiles")[0]).scalar()
+    checks = []
+    for c in SKETCHED:
+        number = c.endswith("key")
+        rank = F.avg((F.col(c) <= median(c)).cast("int")) if number else F.lit(0.5)
+        checks.append(orders.agg(F.lit(c).alias("column_name"), F.count_distinct(c).alias("exact"), rank.alias("rank")))
+    out = merged.join(reduce(DataFrame.unionByName, checks), "column_name")
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.03 * F.col("exact")
+    return out.select("column_name", "n_rows", "n_null", "least", "greatest", near.alias("distinct_near"), F.col("rank").between(0.48, 0.52).alias("median_near"))

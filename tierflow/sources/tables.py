@@ -295,14 +295,15 @@ class Tables:
         """A table kept by key, without the column that places its rows."""
         return self.read(name).drop(KEY_PART)
 
-    def _key_layout(self, name: str) -> tuple[int, int]:
+    def key_layout(self, name: str) -> tuple[int, int]:
+        """Parts and buckets of a table kept by key."""
         properties = {r.key: r.value for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.table(name)}").collect()}
         return int(properties["key_parts"]), int(properties["key_buckets"])
 
     def key_part(self, name: str, keys: Sequence[str]) -> Column:
         """The part in which a table kept by key has a row, by the types that the table has its keys in."""
         types = dict(self.read(name).dtypes)
-        return F.pmod(F.xxhash64(*[F.col(k).cast(types[k]) for k in keys]), F.lit(self._key_layout(name)[0])).cast("int")
+        return F.pmod(F.xxhash64(*[F.col(k).cast(types[k]) for k in keys]), F.lit(self.key_layout(name)[0])).cast("int")
 
     def touched_parts(self, name: str, source: DataFrame, keys: Sequence[str]) -> list[int]:
         """The parts that hold a key of `source`: numbers, at most as many as the table has parts."""
@@ -319,7 +320,7 @@ class Tables:
         touched = self.touched_parts(name, source, keys)
         target = self.read(name).where(F.col(KEY_PART).isin(touched)).drop(KEY_PART)
         # The hash of a bucketed table and that of a shuffle are the same, so rows of a key meet where the table has them.
-        buckets = self._key_layout(name)[1]
+        buckets = self.key_layout(name)[1]
         merged = upsert(target, source.repartition(buckets, *keys), keys, **options)
         return merged.withColumn(KEY_PART, self.key_part(name, keys))
 
