@@ -16,7 +16,8 @@ from suite import feed as f
 from suite.feed import feed, table
 from tierflow.functions.cleaning import clean_text, list_to_json
 from tierflow.functions.hashing import hash_key
-from tierflow.operators.conform import BATCH, PASSED, conform, null_counts
+from tierflow.functions.types import record
+from tierflow.operators.conform import BATCH, PASSED, column_difference_rows, conform, null_counts
 from tierflow.operators.events import error_events as error_event_rows
 from tierflow.operators.export import (
     events_differential,
@@ -64,6 +65,7 @@ from tierflow.plans.layers import audit_events, audit_rows, passed_rows
 from tierflow.plans.spec import SPEC_SCHEMA, layer_attributes, resolve_layers
 from tierflow.session import materialize, shared_dir
 from tierflow.sources.landing import SEMICOLON, discover, read_files
+from tierflow.sources.specs import read_specs, write_specs
 from tierflow.sources.tables import Tables, write_csv
 from tierflow.streaming.events import log_once
 
@@ -1100,3 +1102,51 @@ def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merged.join(reduce(DataFrame.unionByName, checks), "column_name")
     near = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.03 * F.col("exact")
     return out.select("column_name", "n_rows", "n_null", "least", "greatest", near.alias("distinct_near"), F.col("rank").between(0.48, 0.52).alias("median_near"))
+
+
+@query(
+    "spec_documents",
+    f"""{PARTS} SELECT asset, layer, column_name, rename_from, data_type, is_primary_key, is_nullable, is_pii, comment,
+      CAST(row_number() OVER (PARTITION BY asset, layer ORDER BY pos) AS INTEGER) AS ordinal_position FROM s""",
+)
+def specs_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specs written as one document per asset, read back and resolved."""
+    folder = shared_dir(spark, "assets")
+    write_specs(part_specs(spark, sf_dir), folder)
+    resolved = layer_attributes(resolve_layers(materialize(read_specs(spark, folder), "documents")))
+    return resolved.select(
+        "asset", "layer", "column_name", "rename_from", "data_type", "ordinal_position", "is_primary_key", "is_nullable", "is_pii", "comment"
+    )
+
+
+@query(
+    "spec_column_differences",
+    f"""{PARTS}, d AS (SELECT asset, column_name FROM s WHERE layer = 'raw'), a AS (SELECT asset, column_name FROM s WHERE layer = 'audit')
+      SELECT coalesce(d.asset, a.asset) AS asset, coalesce(d.column_name, a.column_name) AS column_name,
+        CASE WHEN a.asset IS NULL THEN 'delivered but not declared' ELSE 'declared but not delivered' END AS problem
+      FROM d FULL JOIN a ON d.asset = a.asset AND d.column_name = a.column_name WHERE d.asset IS NULL OR a.asset IS NULL""",
+)
+def spec_column_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the raw layers deliver against what the audit layers declare, for all assets."""
+    specs = part_specs(spark, sf_dir)
+    return column_difference_rows(specs.where("layer = 'raw'"), specs.where("layer = 'audit'"), ["asset"])
+
+
+@query(
+    "catalog_comments",
+    """SELECT lower(replace(p_brand, '#', '')) AS asset, concat('c', p_partkey) AS column_name,
+      CASE WHEN p_size > 25 THEN 'int' ELSE 'string' END AS data_type, p_name AS comment FROM part""",
+)
+def catalog_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table per asset, defined from its spec with a comment on each column, as the catalog has them."""
+    tables, database = Tables(spark, shared_dir(spark, "tables")), f"suite_{uuid.uuid4().hex}.bronze"
+    raw_layer = part_specs(spark, sf_dir).where("layer = 'raw'")
+    one = F.struct("ordinal_position", "column_name", "data_type", "comment")
+    assets = raw_layer.groupBy("asset").agg(F.sort_array(F.collect_list(one)).alias("columns")).collect()
+    names = {f"{database}.{a.asset}": a for a in assets}
+    for name, a in names.items():
+        schema = record(**{c.column_name: c.data_type for c in a["columns"]})
+        tables.create(name, schema, comments={c.column_name: c.comment for c in a["columns"]})
+    found = materialize(tables.comment_rows(names), "comments")
+    tables.drop(names)
+    return found.select(F.element_at(F.split("table_name", "[.]"), -1).alias("asset"), "column_name", "data_type", "comment")

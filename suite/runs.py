@@ -17,6 +17,7 @@ from tierflow.plans.governance import EVENT_ERRORS, INGESTIONS, init_governance
 from tierflow.plans.runs import Asset, Run, export, process, read_history, summarize, summarize_batches
 from tierflow.plans.spec import ColumnSpec, TableSpec
 from tierflow.session import materialize, shared_dir
+from tierflow.sources.landing import profile_files
 from tierflow.sources.tables import Tables, write_csv
 from tierflow.streaming.ingest import ingest_available
 
@@ -211,3 +212,20 @@ def run_export_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("run_export_events", daily(f"{EVENTS} SELECT * FROM e"))
 def run_export_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables_left(spark, sf_dir)["export_event_errors"]
+
+
+@query(
+    "file_profile",
+    daily(
+        f"""{V} SELECT batch_id AS metadata_batch_id, count(*) AS n_rows,
+      count(DISTINCT email) + CAST(max(CASE WHEN email IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_distinct FROM v GROUP BY batch_id"""
+    ),
+)
+def file_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and different visitors of each of the daily files, whose headers differ."""
+    folder = shared_dir(spark, "reports")
+    rows = delivered(spark, sf_dir).withColumn(BATCH, F.substring(BATCH, 1, 8))
+    late = F.col(BATCH) > "20240115"
+    deliver(spark, rows.where(~late), f"{folder}/early")
+    deliver(spark, rows.where(late).withColumnRenamed("jk", "fgh"), f"{folder}/late")
+    return profile_files(spark, folder, "email", aliases=f.RAW.aliases)["files"]

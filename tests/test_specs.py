@@ -154,3 +154,30 @@ def test_every_governance_column_has_a_comment(tables):
     governance.init_governance(tables, "analytics", "someone", "2025-01-01 00:00:00")
     for name, comments in governance.COMMENTS.items():
         assert set(comments) == set(tables.read(name).columns) == set(tables.comments(name)), name
+
+
+def test_specs_written_as_documents(spark, tmp_path):
+    """Read back they are the same rows, numbers in screens included."""
+    from tierflow.plans.spec import SPEC_SCHEMA
+    from tierflow.sources.specs import read_specs, write_specs
+
+    def spec(asset, layer, position, name, **given):
+        row = {"asset": asset, "domain": "d", "subdomain": "s p", "layer": layer, "ordinal_position": position, "column_name": name, "version": 1}
+        return tuple((row | given).get(c) for c in SPEC_SCHEMA.names)
+
+    specs = spark.createDataFrame(
+        [
+            spec("b", "raw", 1, "z", data_type="integer", is_primary_key=True),
+            spec("b", "raw", 2, "a", comment="It's: \"odd\"\nü"),
+            spec("b", "audit", 1, "Z", rename_from="z", validations='[{"validation":"is_in_bounds","min_allowed":0,"max_allowed":1.5}]'),
+            spec("a", "raw", 1, "only"),
+        ],
+        SPEC_SCHEMA,
+    )
+    write_specs(specs, str(tmp_path / "assets"))
+    back = read_specs(spark, str(tmp_path / "assets"))
+    import json
+
+    plain = lambda df: sorted((repr({**r.asDict(), "validations": json.loads(r.validations or "null")}) for r in df.collect()))
+    assert plain(back) == plain(specs)
+    assert sorted(p.name for p in (tmp_path / "assets").rglob("*.yml")) == ["a.yml", "b.yml"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -51,6 +51,16 @@ def column_differences(delivered: Iterable[str], declared: Iterable[str]) -> tup
     return missing, extra
 
 
+def column_difference_rows(delivered: DataFrame, declared: DataFrame, by: Sequence[str]) -> DataFrame:
+    """`column_differences` of many tables at once: (by, column_name, problem), one row per column on one side only."""
+    sides = delivered.select(*by, "column_name", F.lit(True).alias("given")).unionByName(
+        declared.select(*by, "column_name", F.lit(False).alias("given"))
+    )
+    found = sides.groupBy(*by, "column_name").agg(F.bool_or("given").alias("given"), F.bool_or(~F.col("given")).alias("declared"))
+    problem = F.when(F.col("given"), "delivered but not declared").otherwise("declared but not delivered")
+    return found.where(F.col("given") != F.col("declared")).select(*by, "column_name", problem.alias("problem"))
+
+
 def require_columns(delivered: Iterable[str], declared: Iterable[str]) -> None:
     """Both directions, all differences in one message, before any job runs."""
     missing, extra = column_differences(delivered, declared)

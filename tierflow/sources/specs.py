@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierflow.plans.spec import LAYERS, SPEC_SCHEMA
@@ -57,7 +58,7 @@ def spec_rows(text: str, path: str) -> list[dict]:
 
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        rows = [row for text, path in zip(frame["value"], frame["path"]) for row in spec_rows(text, path)]
+        rows = [row for text, path in zip(frame["value"], frame["path"]) for row in spec_rows(text, unquote(path))]
         yield pd.DataFrame(rows, columns=SPEC_SCHEMA.names, dtype=object)
 
 
@@ -73,3 +74,40 @@ def read_specs(spark: SparkSession, path: str) -> DataFrame:
         .select("value", F.col("_metadata.file_path").alias("path"))
     )
     return files.mapInPandas(_parse, SPEC_SCHEMA)
+
+
+def spec_documents(specs: DataFrame) -> DataFrame:
+    """(domain, subdomain, asset, document): spec rows as documents that `read_specs` reads, JSON being YAML.
+
+    An asset's columns meet in one row, as they do in its document; fields without a value are left out.
+    """
+    one = F.struct("ordinal_position", "column_name", F.struct(*COLUMN_FIELDS, "validations").alias("fields"))
+
+    def entry(c: Column) -> Column:
+        fields = [c["fields"][name].alias(name) for name in COLUMN_FIELDS]
+        return F.struct(c["column_name"], F.struct(*fields, F.parse_json(c["fields"]["validations"]).alias("validations")))
+
+    layers = specs.groupBy("asset", "domain", "subdomain", "layer").agg(
+        *[F.any_value(c).alias(c) for c in LAYER_FIELDS], F.sort_array(F.collect_list(one)).alias("columns")
+    )
+    schema = F.map_from_entries(F.transform("columns", entry)).alias("schema")
+    declared = layers.select("asset", "domain", "subdomain", "layer", F.struct(*LAYER_FIELDS, schema).alias("declared"))
+    by_layer = F.map_from_entries(F.collect_list(F.struct("layer", "declared"))).alias("layers")
+    assets = declared.groupBy("domain", "subdomain", "asset").agg(by_layer)
+    return assets.select("domain", "subdomain", "asset", F.to_json(F.struct(F.col("asset").alias("name"), "layers")).alias("document"))
+
+
+def write_specs(specs: DataFrame, path: str) -> None:
+    """Spec rows as one document per asset, `<path>/<domain>/<subdomain>/<asset>.yml`."""
+    spark, parts = specs.sparkSession, f"{path}-parts"
+    place = ["domain", "subdomain", "asset"]
+    spec_documents(specs).repartition(*place).write.partitionBy(*place).text(parts)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(parts)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for file in system.globStatus(hadoop.Path(f"{parts}/domain=*/subdomain=*/asset=*/*.txt")):
+        domain, subdomain, asset = [folder.split("=", 1)[1] for folder in file.getPath().toString().split("/")[-4:-1]]
+        folder = hadoop.Path(f"{path}/{domain}/{subdomain}")
+        system.mkdirs(folder)
+        system.rename(file.getPath(), hadoop.Path(folder, f"{asset}.yml"))
+    system.delete(root, True)

@@ -118,6 +118,15 @@ class Tables:
         columns = self.spark.catalog.listColumns(self.table(name).replace("`", ""))
         return {c.name: c.description for c in columns if c.description}
 
+    def comment_rows(self, names: Iterable[str]) -> DataFrame:
+        """(table_name, column_name, data_type, comment) of the columns of some tables, as the catalog has them."""
+        rows = [
+            (name, c.name, c.dataType, c.description)
+            for name in names
+            for c in self.spark.catalog.listColumns(self.table(name).replace("`", ""))
+        ]
+        return self.spark.createDataFrame(rows, "table_name string, column_name string, data_type string, comment string")
+
     def drop(self, names: Iterable[str]) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.table(name)}")
