@@ -4,10 +4,14 @@ Base spans come from three patterns. The method adds spans of candidate strings:
 20 characters that tokens are made of. A window of 20 characters slides over a candidate; the
 entropy of the characters in it is kept as the sum of c * log2 c over their counts c, in whole
 millionths, and each step changes that sum by the counts of the one character that leaves and the
-one that enters. What counts as high depends on the character class (hexadecimal, alphanumeric,
-with symbols). The span runs from the first to the last window that is high enough. The allow-list
-suppresses what is known to be harmless: UUIDs, words and numbers joined by punctuation, sample
-values; a candidate that overlaps a base span is not reported again.
+one that enters. What counts as high depends on the character class (hexadecimal, letters,
+alphanumeric, with symbols). The span runs from the first to the last window that is high enough.
+Base spans are cut out of it, and what remains is reported where it has 12 characters or more.
+
+The allow-list suppresses what is known to be harmless, and no more than that: a candidate that is
+a UUID as a whole; a window that names itself a sample, while the other windows of its candidate
+count; what remains of a span if it is words and numbers joined by punctuation, each word shorter
+than a window. Longer words are judged by their entropy.
 
 Only built-in functions run, without a shuffle: each text is handled where it is read. Places are
 counted in code points; they follow from the lengths of the matches and of the pieces between
@@ -41,14 +45,16 @@ ENTROPY = "entropy"
 
 WINDOW = 20
 MILLION = 1_000_000
-# Least bits per character of a window, by class.
-BITS = {"hex": 3.0, "alphanumeric": 3.7, "symbols": 3.8}
-# Harmless: UUIDs; words and numbers joined by punctuation; values that say they are samples.
-ALLOWED = (
-    r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"^[+/_=-]*([A-Za-z]+|[0-9]+)([+/_=-]+([A-Za-z]+|[0-9]+))*[+/_=-]*$",
-    r"([Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Ss][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|[Xx]{6}|[0]{8}|12345678)",
-)
+# Least characters of what base spans leave of a span.
+REST = 12
+# Least bits per character of a window, by the class of its candidate: pattern, bits.
+CLASSES = (("^[0-9A-Fa-f]+$", 3.0), ("^[A-Za-z]+$", 3.9), ("^[0-9A-Za-z]+$", 3.7), ("", 3.8))
+# Harmless as a whole candidate: UUIDs.
+UUID = r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+# Harmless in a window: it says that it is a sample.
+SAMPLE = r"([Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Ss][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|[Xx]{6}|[0]{8}|12345678)"
+# Harmless as what remains: words, each shorter than a window, and numbers joined by punctuation.
+NAMES = rf"^[+/_=-]*([A-Za-z]{{1,{WINDOW - 1}}}|[0-9]+)([+/_=-]+([A-Za-z]{{1,{WINDOW - 1}}}|[0-9]+))*[+/_=-]*$"
 
 
 def surprise(count: int) -> int:
@@ -96,11 +102,12 @@ def base_spans(text: Column) -> Column:
 def high_entropy(candidate: Column) -> Column:
     """(first, last) start of windows of high entropy, or NULL."""
     steps = F.array(*[F.lit(surprise(c + 1) - surprise(c)).cast("long") for c in range(WINDOW)])
-    limit = (
-        F.when(candidate.rlike("^[0-9A-Fa-f]+$"), most_sum(BITS["hex"]))
-        .when(candidate.rlike("^[0-9A-Za-z]+$"), most_sum(BITS["alphanumeric"]))
-        .otherwise(most_sum(BITS["symbols"]))
-    )
+    limit = F.when(F.lit(False), F.lit(None).cast("long"))
+    for pattern, bits in CLASSES:
+        limit = limit.when(candidate.rlike(pattern), F.lit(most_sum(bits)).cast("long"))
+
+    def high(total: Column, most: Column, at: Column) -> Column:
+        return (total <= most) & ~F.substring(candidate, at + 1, F.lit(WINDOW)).rlike(SAMPLE)
 
     def count(part: Column, c: Column) -> Column:
         return F.size(F.filter(part, lambda x: x == c))
@@ -112,12 +119,11 @@ def high_entropy(candidate: Column) -> Column:
             F.lit(0).cast("long"),
             lambda s, i: s + F.element_at(steps, 1 + count(F.slice(chars, 1, i - 1), F.get(chars, i - 1))),
         )
-        start = first.alias("sum"), limit.cast("long").alias("limit")
-        zero = F.struct(
-            *start,
-            F.when(first <= limit, F.lit(0)).cast("long").alias("first"),
-            F.when(first <= limit, F.lit(0)).cast("long").alias("last"),
-        )
+        def begin(s: Column) -> Column:
+            at = F.when(high(s["sum"], s["limit"], F.lit(0)), F.lit(0)).cast("long")
+            return F.struct(s["sum"].alias("sum"), s["limit"].alias("limit"), at.alias("first"), at.alias("last"))
+
+        zero = let(F.struct(first.alias("sum"), limit.alias("limit")), begin)
 
         def step(s: Column, i: Column) -> Column:
             # Between window i - 1 and window i: all but one character stay.
@@ -127,14 +133,16 @@ def high_entropy(candidate: Column) -> Column:
                 return s["sum"] - leaves + enters
 
             def next_state(total: Column) -> Column:
-                high = total <= s["limit"]
-                at = i.cast("long")
-                return F.struct(
-                    total.alias("sum"),
-                    s["limit"].alias("limit"),
-                    F.when(s["first"].isNotNull(), s["first"]).when(high, at).alias("first"),
-                    F.when(high, at).otherwise(s["last"]).alias("last"),
-                )
+                def found(here: Column) -> Column:
+                    at = i.cast("long")
+                    return F.struct(
+                        total.alias("sum"),
+                        s["limit"].alias("limit"),
+                        F.when(s["first"].isNotNull(), s["first"]).when(here, at).alias("first"),
+                        F.when(here, at).otherwise(s["last"]).alias("last"),
+                    )
+
+                return let(high(total, s["limit"], i), found)
 
             return let(let(F.slice(chars, i + 1, WINDOW - 1), change), next_state)
 
@@ -145,26 +153,40 @@ def high_entropy(candidate: Column) -> Column:
     return let(F.split(candidate, ""), slide)
 
 
-def suppressed(candidate: Column) -> Column:
-    allowed = F.lit(False)
-    for pattern in ALLOWED:
-        allowed = allowed | candidate.rlike(pattern)
-    return allowed
+def remains(span: Column, base: Column) -> Column:
+    """Array of (start, end): a span without the base spans, which are in order."""
+    inside = F.filter(base, lambda y: (y["start"] < span["end"]) & (span["start"] < y["end"]))
+    part = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+    zero = F.struct(span["start"].alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("parts"))
+    cut = F.aggregate(
+        inside,
+        zero,
+        lambda s, y: F.struct(
+            F.greatest(s["at"], y["end"]).alias("at"),
+            F.when(s["at"] < y["start"], F.concat(s["parts"], F.array(part(s["at"], y["start"])))).otherwise(s["parts"]).alias("parts"),
+        ),
+    )
+    return let(
+        cut, lambda s: F.when(s["at"] < span["end"], F.concat(s["parts"], F.array(part(s["at"], span["end"])))).otherwise(s["parts"])
+    )
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
-    """(start, rank, end) of candidates' windows of high entropy that overlap no base span."""
-    found = F.filter(matches(text, CANDIDATE), lambda x: ~suppressed(x["m"]))
-    scored = F.transform(found, lambda x: F.struct(x["start"], high_entropy(x["m"]).alias("at")))
-    spans = F.transform(
-        F.filter(scored, lambda x: x["at"]["first"].isNotNull()),
-        lambda x: F.struct(
-            (x["start"] + x["at"]["first"]).alias("start"),
-            F.lit(len(KINDS)).alias("rank"),
-            (x["start"] + x["at"]["last"] + WINDOW).alias("end"),
-        ),
-    )
-    return F.filter(spans, lambda x: ~F.exists(base, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    """(start, rank, end) of what base spans leave of candidates' windows of high entropy."""
+    found = F.filter(matches(text, CANDIDATE), lambda x: ~x["m"].rlike(UUID))
+    scored = F.transform(found, lambda x: F.struct(x["start"], x["m"], high_entropy(x["m"]).alias("at")))
+
+    def parts(x: Column) -> Column:
+        span = F.struct((x["start"] + x["at"]["first"]).alias("start"), (x["start"] + x["at"]["last"] + WINDOW).alias("end"))
+        left = F.filter(let(span, lambda s: remains(s, base)), lambda p: p["end"] - p["start"] >= REST)
+        # What remains is a part of the candidate: its place in there.
+        text_of = lambda p: F.substring(x["m"], p["start"] - x["start"] + 1, p["end"] - p["start"])
+        return F.transform(
+            F.filter(left, lambda p: ~text_of(p).rlike(NAMES)),
+            lambda p: F.struct(p["start"], F.lit(len(KINDS)).alias("rank"), p["end"]),
+        )
+
+    return F.flatten(F.transform(F.filter(scored, lambda x: x["at"]["first"].isNotNull()), parts))
 
 
 def joined(spans: Column) -> Column:

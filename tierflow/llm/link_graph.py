@@ -3,8 +3,11 @@
 Rules allow or block hosts and paths; the longest that fits decides. Hosts of pages that no rule
 fits are judged by their neighbours. Trust starts at hosts in proportion to their allowed pages
 and flows along links: a personalised PageRank. Distrust starts in proportion to the blocked pages
-and flows against the links, since who links to a blocked host is suspect. A host whose distrust
-exceeds its trust and the distrust of a host half of whose pages are blocked is blocked.
+and flows against the links, since who links to a blocked host is suspect: the same walk reversed,
+so that a host gets the mean distrust of what its links lead to. That mean does not depend on how
+many others link there too. A host is blocked if its distrust exceeds its trust and either reaches
+that of a host half of whose pages are blocked, or has from its links alone what a host would have
+all of whose links lead to such hosts.
 
 The graph has one edge per pair of hosts with the number of links; links within a host do not
 count. Partial counts combine before every shuffle, and ranks are joined to aggregated edges, so a
@@ -34,7 +37,7 @@ LINK = r"""[Hh][Rr][Ee][Ff]\s*=\s*["']?(?:[Hh][Tt][Tt][Pp][Ss]?:)?//([^/?#"'\s>]
 DAMPING = 0.7
 ROUNDS = 16
 ROUNDS_PER_WRITE = 4
-# The share of blocked pages that makes a host without neighbours blocked.
+# The share of blocked pages that makes a host without neighbours blocked, and who links to such hosts only.
 BLOCKED_SHARE = 0.5
 
 
@@ -85,10 +88,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """Personalised PageRank: (host, rank) from (host, seed) along (source, target, links)."""
-    out = edges.groupBy("source").agg(F.sum("links").alias("all"))
-    shares = edges.join(out, "source").select("source", "target", (F.col("links") / F.col("all")).alias("share"))
+def spread(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, divided_by: str = "source") -> DataFrame:
+    """Personalised PageRank: (host, rank) from (host, seed) along (source, target, links).
+
+    Each `source` divides its rank over its links; divided by `target`, each target takes the mean instead.
+    """
+    out = edges.groupBy(divided_by).agg(F.sum("links").alias("all"))
+    shares = edges.join(out, divided_by).select("source", "target", (F.col("links") / F.col("all")).alias("share"))
     shares = materialize(shares, "host-edges")
     start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("base")).where("base > 0")
     rank = start.withColumnRenamed("base", "rank")
@@ -116,14 +122,20 @@ def host_scores(
     else:
         against = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "links")
         trust = spread(hosts.select("host", F.col("trust").alias("seed")), edges, damping, rounds)
-        distrust = spread(hosts.select("host", F.col("distrust").alias("seed")), against, damping, rounds)
+        distrust = spread(hosts.select("host", F.col("distrust").alias("seed")), against, damping, rounds, "target")
     none = F.lit(0.0)
-    both = trust.select("host", F.col("rank").alias("t"), none.alias("d")).unionByName(
-        distrust.select("host", none.alias("t"), F.col("rank").alias("d"))
+    own = hosts.select("host", none.alias("t"), none.alias("d"), (F.col("distrust") * (1 - damping)).alias("o"))
+    parts = trust.select("host", F.col("rank").alias("t"), none.alias("d"), none.alias("o")).unionByName(
+        distrust.select("host", none.alias("t"), F.col("rank").alias("d"), none.alias("o"))
+    )
+    scores = parts.unionByName(own).groupBy("host").agg(
+        F.round(F.sum("t"), 9).alias("trust"),
+        F.round(F.sum("d"), 9).alias("distrust"),
+        F.round(F.sum("d") - F.sum("o"), 9).alias("linked"),
     )
-    scores = both.groupBy("host").agg(F.round(F.sum("t"), 9).alias("trust"), F.round(F.sum("d"), 9).alias("distrust"))
-    limit = round(BLOCKED_SHARE * (1 - damping), 9)
-    return scores.withColumn("blocked", (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= limit))
+    limit = BLOCKED_SHARE * (1 - damping)
+    suspect = (F.col("distrust") >= round(limit, 9)) | (F.col("linked") >= round(limit * damping, 9))
+    return scores.withColumn("blocked", (F.col("distrust") > F.col("trust")) & suspect)
 
 
 def link_graph(pages: DataFrame, rules: Sequence[Rule] = RULES, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:

@@ -112,10 +112,10 @@ def link_graph() -> str:
         )
         return f"CASE{cases} END"
 
-    def rounds(name: str, source: str, target: str) -> str:
+    def rounds(name: str, source: str, target: str, divided_by: str) -> str:
         steps = [
             f"""{name}_shares AS MATERIALIZED (
-  SELECT {source} AS source, {target} AS target, links / sum(links) OVER (PARTITION BY {source}) AS share FROM edges),
+  SELECT {source} AS source, {target} AS target, links / sum(links) OVER (PARTITION BY {divided_by}) AS share FROM edges),
 {name}_0 AS MATERIALIZED (SELECT host, {name} * {1 - g.DAMPING} AS rank FROM hosts WHERE {name} > 0)"""
         ]
         for n in range(1, g.ROUNDS + 1):
@@ -139,12 +139,15 @@ links AS (SELECT {host} AS source, unnest(regexp_extract_all(html, {quoted(g.LIN
 edges AS MATERIALIZED (
   SELECT source, target, count(*) AS links FROM (SELECT source, translate(link, {lower}) AS target FROM links)
   WHERE source <> target AND source <> '' GROUP BY source, target),
-{rounds("trust", "source", "target")},
-{rounds("distrust", "target", "source")},
+{rounds("trust", "source", "target", "source")},
+{rounds("distrust", "target", "source", "source")},
 scores AS (
-  SELECT host, round(sum(t), 9) AS t, round(sum(d), 9) AS d FROM (
-    SELECT host, rank AS t, 0.0::DOUBLE AS d FROM trust_{g.ROUNDS} UNION ALL SELECT host, 0.0, rank FROM distrust_{g.ROUNDS}) GROUP BY host),
-blocked AS (SELECT host AS bad FROM scores WHERE d > t AND d >= {round(g.BLOCKED_SHARE * (1 - g.DAMPING), 9)})
+  SELECT host, round(sum(t), 9) AS t, round(sum(d), 9) AS d, round(sum(d) - sum(o), 9) AS linked FROM (
+    SELECT host, rank AS t, 0.0::DOUBLE AS d, 0.0::DOUBLE AS o FROM trust_{g.ROUNDS}
+    UNION ALL SELECT host, 0.0, rank, 0.0 FROM distrust_{g.ROUNDS} UNION ALL SELECT host, 0.0, 0.0, distrust * {1 - g.DAMPING} FROM hosts) GROUP BY host),
+blocked AS (
+  SELECT host AS bad FROM scores
+  WHERE d > t AND (d >= {round(g.BLOCKED_SHARE * (1 - g.DAMPING), 9)} OR linked >= {round(g.BLOCKED_SHARE * (1 - g.DAMPING) * g.DAMPING, 9)}))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM judged LEFT JOIN blocked ON rule IS NULL AND host = bad"""
 
@@ -229,11 +232,7 @@ def entropy_secrets() -> str:
         f"SELECT row, start, {rank} AS rank, stop, '{name}' AS kind FROM {name}_found WHERE length(regexp_extract(m, {quoted(pattern)}, {group})) >= {least}"
         for rank, (name, pattern, group, least) in enumerate(e.KINDS)
     )
-    allowed = " OR ".join(f"regexp_matches(m, {quoted(p)})" for p in e.ALLOWED)
-    limits = (
-        f"CASE WHEN regexp_matches(m, '^[0-9A-Fa-f]+$') THEN {e.most_sum(e.BITS['hex'])}"
-        f" WHEN regexp_matches(m, '^[0-9A-Za-z]+$') THEN {e.most_sum(e.BITS['alphanumeric'])} ELSE {e.most_sum(e.BITS['symbols'])} END"
-    )
+    limits = f"CASE {' '.join(f'WHEN regexp_matches(m, {quoted(p)}) THEN {e.most_sum(bits)}' for p, bits in e.CLASSES)} END"
     counts = ", ".join(f"coalesce(count(*) FILTER (kind = '{k[0]}'), 0) AS n_{k[0]}" for k in e.KINDS)
     spans = "coalesce(string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, rank, stop), '')"
     return f"""
@@ -242,15 +241,26 @@ WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS
 base AS ({base}),
 windows AS (
   SELECT row, start, m, w, {limits} AS most, substr(m, w + 1, {e.WINDOW}) AS part
-  FROM (SELECT row, start, m, unnest(range(0, length(m) - {e.WINDOW} + 1)) AS w FROM candidate_found WHERE NOT ({allowed}))),
+  FROM (SELECT row, start, m, unnest(range(0, length(m) - {e.WINDOW} + 1)) AS w FROM candidate_found WHERE NOT regexp_matches(m, {quoted(e.UUID)}))),
 scored AS (
-  SELECT row, start, w, most, sum(({sums!r})[n + 1]) AS s FROM (
-    SELECT row, start, w, most, c, count(*) AS n FROM (SELECT row, start, w, most, unnest(string_split(part, '')) AS c FROM windows)
-    GROUP BY row, start, w, most, c) GROUP BY row, start, w, most),
+  SELECT row, start, w, most, part, sum(({sums!r})[n + 1]) AS s FROM (
+    SELECT row, start, w, most, part, c, count(*) AS n FROM (SELECT row, start, w, most, part, unnest(string_split(part, '')) AS c FROM windows)
+    GROUP BY row, start, w, most, part, c) GROUP BY row, start, w, most, part),
 high AS (
-  SELECT row, start + min(w) AS start, {len(e.KINDS)} AS rank, start + max(w) + {e.WINDOW} AS stop, '{e.ENTROPY}' AS kind
-  FROM scored WHERE s <= most GROUP BY row, scored.start),
-added AS (SELECT * FROM high WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.row = high.row AND base.start < high.stop AND high.start < base.stop)),
+  SELECT row, start + min(w) AS start, start + max(w) + {e.WINDOW} AS stop
+  FROM scored WHERE s <= most AND NOT regexp_matches(part, {quoted(e.SAMPLE)}) GROUP BY row, scored.start),
+-- What remains begins with the span or where a base span ends, outside of all of them, up to the next one.
+begins AS (
+  SELECT row, start, stop, start AS place FROM high UNION
+  SELECT high.row, high.start, high.stop, base.stop FROM high JOIN base ON base.row = high.row AND base.stop > high.start AND base.stop < high.stop),
+free AS (
+  SELECT * FROM begins WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.row = begins.row AND base.start <= begins.place AND begins.place < base.stop)),
+rests AS (
+  SELECT free.row, place, least(free.stop, coalesce(min(base.start), free.stop)) AS stop
+  FROM free LEFT JOIN base ON base.row = free.row AND base.start > free.place GROUP BY free.row, free.start, free.stop, place),
+added AS (
+  SELECT row, place AS start, {len(e.KINDS)} AS rank, stop, '{e.ENTROPY}' AS kind FROM rests JOIN texts USING (row)
+  WHERE stop - place >= {e.REST} AND NOT regexp_matches(substr(t, place + 1, stop - place), {quoted(e.NAMES)})),
 of_base AS (SELECT row, {counts}, {spans} AS text FROM base GROUP BY row),
 of_all AS (SELECT row, {spans} AS text FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY row)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
