@@ -11,6 +11,7 @@ the same documents under the same number even when an executor is lost and a tas
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,9 @@ from tierflow.session import materialize
 BLOCK_BYTES = 2 << 20
 # Hashes per reducer group: 8 MB, or 12 MB of the wide kind.
 KEYS_PER_BUCKET = 1 << 20
+# Words of more bytes than this are hashed one by one: in long strings, polynomials modulo 2^64 can be
+# made to collide whatever their base.
+LONG_WORD = 64
 # Bytes that are hashed at once; keeps the arrays of one step within the processor's cache.
 SLAB = 1 << 19
 
@@ -230,20 +234,26 @@ def window_hashes(values: np.ndarray, size: int, base: U = BASE) -> np.ndarray:
     return mixed((prefix[size:] - prefix[:n]) * powers(inverse, n))
 
 
-def word_hashes(text: Text, words: Words, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, with A-Z lower-cased if asked."""
+def word_hashes(text: Text, words: Words, lower: bool = False, base: U = BASE) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, with A-Z lower-cased if asked. Hashes of several letters differ by base."""
     out = np.empty(len(words), U)
     values = BYTE_VALUES[LOWER] if lower else BYTE_VALUES
     i = 0
     while i < len(words):
         j = max(i + 1, int(np.searchsorted(words.start, words.start[i] + SLAB)))
         origin = words.start[i]
-        prefix = sums(values[text.data[origin : words.end[j - 1]]])
+        prefix = sums(values[text.data[origin : words.end[j - 1]]], base)
         start, end = words.start[i:j] - origin, words.end[i:j] - origin
         # Length is mixed in so that no run of one byte equals a longer run of another.
-        out[i:j] = span_hashes(prefix, start, end) + mixed((end - start).astype(U))
+        out[i:j] = span_hashes(prefix, start, end, base) + mixed((end - start).astype(U))
         i = j
-    return mixed(out)
+    out = mixed(out)
+    key = int(base).to_bytes(8, "little")
+    for i in np.flatnonzero(words.end - words.start > LONG_WORD).tolist():
+        word = text.data[words.start[i] : words.end[i]]
+        word = LOWER[word] if lower else word
+        out[i] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8, key=key).digest(), "little")
+    return out
 
 
 def within(first: np.ndarray, n: int, size: int) -> np.ndarray:

@@ -1,15 +1,17 @@
 """Sharding by a hierarchical weighted hash tree.
 
-Shards stand in racks and racks in regions. Each shard draws `-ln(u) / weight` with `u` from the
-hash of key and shard; the least draw of a subtree is the draw of its root, which has the
-distribution of a single draw with the subtree's whole weight. A key descends: to the region with
-the least draw, there to the rack, there to the shard.
+Shards stand in racks and racks in regions. Every node draws `-ln(u) / weight`, with `u` from the
+hash of the key and the node's place and `weight` the sum of the shards below it. A key descends: to
+the region with the least draw, there to the rack with the least draw, there to the shard. Only the
+children of the nodes on the way are drawn, so the cost of a key is depth times fan-out.
 
-A draw depends on the key and its own shard only. A change of weights therefore changes draws in
-the subtrees that hold the changed shards and nowhere else: rows move into a grown subtree or out
-of a shrunken one, never between others, and within a grown subtree only into the shards that
-grew. (Draws per node that do not derive from the leaves would reshuffle a grown region's
-newcomers over all its shards.) The price is one hash per shard and key.
+A draw depends on the key, the node and its weight only. Where weights change below a node, draws
+change on the path to it and nowhere else: rows move into a heavier subtree or out of a lighter one,
+and no row moves between other subtrees.
+
+What a tree gains later is a generation of its own (`added`): the root draws for each region of each
+generation, by the weight that it had or gained then. A generation's draws never change, so growth
+moves rows into the added shards only, wherever they stand.
 
 Slots number the rows of a shard without gaps. They come from the counts of sub-buckets of each
 shard, so no task sees a whole shard; sub-buckets follow the number of rows.
@@ -21,7 +23,7 @@ blocks, however many they are. Only `doc_id` and `text` are read.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,11 @@ class Shard:
     rack: int
     number: int
     weight: float = 1.0
+    generation: int = 0
+
+
+# What tells the children of a node apart, from the root downwards.
+LEVELS = (("generation", "region"), ("rack",), ("number",))
 
 
 def even_tree(shards: int, per_rack: int = 4, per_region: int = 8) -> list[Shard]:
@@ -49,45 +56,69 @@ def even_tree(shards: int, per_rack: int = 4, per_region: int = 8) -> list[Shard
     return [Shard(i // per_region, i // per_rack, i) for i in range(shards)]
 
 
-def draw(key: Column, shard: Shard) -> Column:
-    digits = F.substring(F.md5(F.concat(key, F.lit(f":{shard.number}"))), 1, DIGITS)
-    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(16**DIGITS))
-    return -F.ln(u) / F.lit(shard.weight)
+def added(shards: Sequence[Shard], more: Sequence[Shard]) -> list[Shard]:
+    """The tree with more shards, or more weight of its shards, as its next generation."""
+    last = max((s.generation for s in shards), default=-1)
+    return [*shards, *(replace(s, generation=last + 1) for s in more)]
+
+
+def one_more(shards: Sequence[Shard], per_rack: int = 4, per_region: int = 8) -> list[Shard]:
+    """An even tree with its next shard."""
+    n = len(shards)
+    return added(shards, [Shard(n // per_region, n // per_rack, n)])
 
 
-def least(draws: Sequence[Column]) -> Column:
-    return draws[0] if len(draws) == 1 else F.least(*draws)
+@dataclass(frozen=True)
+class Node:
+    label: str
+    shards: tuple[Shard, ...]
+
+    @property
+    def weight(self) -> float:
+        return float(sum(s.weight for s in self.shards))
+
+    def children(self, depth: int) -> list[Node]:
+        groups: dict[tuple, list[Shard]] = {}
+        for shard in self.shards:
+            groups.setdefault(tuple(getattr(shard, f) for f in LEVELS[depth]), []).append(shard)
+        return [Node(".".join([self.label, *map(str, k)]), tuple(group)) for k, group in groups.items()]
+
+
+def draw(key: Column, node: Node) -> Column:
+    digits = F.substring(F.md5(F.concat(key, F.lit(f":{node.label}"))), 1, DIGITS)
+    u = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(16**DIGITS))
+    return -F.ln(u) / F.lit(node.weight)
 
 
-def descend(shards: Sequence[Shard], draws: dict[int, Column], levels: Sequence[str] = ("region", "rack", "number")) -> Column:
-    """The shard that a key reaches from a node that holds `shards`."""
-    level, below = levels[0], levels[1:]
-    children: dict[int, list[Shard]] = {}
-    for shard in shards:
-        children.setdefault(getattr(shard, level), []).append(shard)
-    inner = [F.lit(child) if not below else descend(group, draws, below) for child, group in children.items()]
-    if len(inner) == 1:
-        return inner[0]
-    of_child = [least([draws[s.number] for s in group]) for group in children.values()]
-    lowest = F.least(*of_child)
-    chosen = F.when(of_child[0] == lowest, inner[0])
-    for own, value in zip(of_child[1:-1], inner[1:-1], strict=True):
-        chosen = chosen.when(own == lowest, value)
-    return chosen.otherwise(inner[-1])
+def least(key: Column, children: Sequence[tuple[int, Node]]) -> Column:
+    """The number of the child with the least draw, the first one at a tie."""
+    if len(children) == 1:
+        return F.lit(children[0][0])
+    draws = [F.struct(draw(key, node), F.lit(i), F.lit(number).alias("number")) for i, (number, node) in enumerate(children)]
+    return F.array_min(F.array(*draws))["number"]
 
 
 def place(rows: DataFrame, key: Column, trees: dict[str, Sequence[Shard]]) -> DataFrame:
-    """Add a column per tree: the shard of each row."""
+    """Add a column per tree: the shard of each row. One column per level, so no draw is made twice."""
     for shards in trees.values():
-        if any(s.weight <= 0 for s in shards) or len({s.number for s in shards}) < len(shards):
+        if any(s.weight <= 0 for s in shards) or len({(s.number, s.generation) for s in shards}) < len(shards):
             raise ValueError("Shards need a positive weight and a number of their own")
-    every = {(s.number, s.weight): s for shards in trees.values() for s in shards}
-    names = {k: f"_draw_{i}" for i, k in enumerate(every)}
-    drawn = rows.select("*", *[draw(key, s).alias(names[k]) for k, s in every.items()])
     for name, shards in trees.items():
-        draws = {s.number: F.col(names[s.number, s.weight]) for s in shards}
-        drawn = drawn.withColumn(name, descend(shards, draws))
-    return drawn.drop(*names.values())
+        nodes, at = [Node("", tuple(shards))], None
+        for depth in range(len(LEVELS)):
+            below: list[Node] = []
+            chosen = None if at is None else F.when(F.lit(False), F.lit(None).cast("int"))
+            for i, node in enumerate(nodes):
+                inner = node.children(depth)
+                last = depth == len(LEVELS) - 1
+                numbers = [c.shards[0].number if last else len(below) + k for k, c in enumerate(inner)]
+                below += inner
+                value = least(key, list(zip(numbers, inner, strict=True)))
+                chosen = value if chosen is None else chosen.when(F.col(at) == i, value)
+            nodes, at = below, f"_{name}_{depth}"
+            rows = rows.withColumn(at, chosen)
+        rows = rows.withColumnRenamed(at, name).drop(*[f"_{name}_{d}" for d in range(len(LEVELS) - 1)])
+    return rows
 
 
 def numbered(rows: DataFrame, group: str, by: Sequence[str], n_rows: int, groups: int, slot: str = "slot") -> DataFrame:

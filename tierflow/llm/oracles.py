@@ -30,19 +30,26 @@ def quoted(text: str) -> str:
 # ---- sharding --------------------------------------------------------------------------------
 
 
-def draw(shard: h.Shard) -> str:
-    digits = f"substr(md5(key || ':{shard.number}'), 1, {h.DIGITS})"
-    return f"(-ln((('0x' || {digits})::BIGINT + 0.5::DOUBLE) / {float(16**h.DIGITS)!r}::DOUBLE) / {shard.weight!r}::DOUBLE)"
+def hash_tree(shards: list[h.Shard], grown: list[h.Shard]) -> str:
+    """Every node of both trees draws, on the way or not."""
+    names: dict[h.Node, str] = {}
 
+    def named(node: h.Node) -> str:
+        return names.setdefault(node, f"d{len(names)}")
 
-def hash_tree(shards: list[h.Shard], grown: list[h.Shard]) -> str:
-    """The least of all draws is the least at each level of the tree."""
-    every = {s.number: s for s in [*shards, *grown]}
-    columns = ", ".join(f"{draw(s)} AS d{n}" for n, s in every.items())
+    def draw(node: h.Node) -> str:
+        digits = f"substr(md5(key || ':{node.label}'), 1, {h.DIGITS})"
+        return f"(-ln((('0x' || {digits})::BIGINT + 0.5::DOUBLE) / {float(16**h.DIGITS)!r}::DOUBLE) / {node.weight!r}::DOUBLE)"
+
+    def below(node: h.Node, depth: int = 0) -> str:
+        if depth == len(h.LEVELS):
+            return str(node.shards[0].number)
+        children = node.children(depth)
+        lowest = f"least({', '.join(map(named, children))})"
+        return "CASE " + " ".join(f"WHEN {named(c)} = {lowest} THEN {below(c, depth + 1)}" for c in children) + " END"
 
-    def least(tree: list[h.Shard]) -> str:
-        lowest = f"least({', '.join(f'd{s.number}' for s in tree)})"
-        return "CASE " + " ".join(f"WHEN d{s.number} = {lowest} THEN {s.number}" for s in tree) + " END"
+    reached, after = below(h.Node("", tuple(shards))), below(h.Node("", tuple(grown)))
+    columns = ", ".join(f"{draw(node)} AS {name}" for node, name in names.items())
 
     crc = (
         f"list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::BIGINT)), "
@@ -51,7 +58,7 @@ def hash_tree(shards: list[h.Shard], grown: list[h.Shard]) -> str:
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(doc_id::VARCHAR, 'null') AS key FROM documents),
 drawn AS (SELECT doc_id, octet_length(encode(t)) + 1 AS size, xor({crc}, 4294967295) AS text_crc32, {columns} FROM texts),
-placed AS (SELECT doc_id, size, text_crc32, {least(shards)} AS shard, {least(grown)} AS grown_shard FROM drawn),
+placed AS (SELECT doc_id, size, text_crc32, {reached} AS shard, {after} AS grown_shard FROM drawn),
 bucketed AS (
   SELECT *, ('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), size::VARCHAR, text_crc32::VARCHAR)), 1, 8))::BIGINT
     % (SELECT greatest(1, ceil(count(*) / {len(shards) * h.SLOT_ROWS}.0))::BIGINT FROM documents) AS bucket

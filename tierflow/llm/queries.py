@@ -63,10 +63,12 @@ def tokenizer_file() -> str:
         return file.read()
 
 
-@query("op1_hash_tree", oracles.hash_tree(hash_tree.even_tree(SHARDS), hash_tree.even_tree(SHARDS + 1)))
+TREE = hash_tree.even_tree(SHARDS)
+
+
+@query("op1_hash_tree", oracles.hash_tree(TREE, hash_tree.one_more(TREE)))
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trees = hash_tree.even_tree(SHARDS), hash_tree.even_tree(SHARDS + 1)
-    return hash_tree.hash_tree(table(spark, sf_dir, "documents"), *trees)
+    return hash_tree.hash_tree(table(spark, sf_dir, "documents"), TREE, hash_tree.one_more(TREE))
 
 
 @query("op2_unigram_counts")

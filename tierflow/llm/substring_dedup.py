@@ -76,20 +76,21 @@ def dedup_blocks(blocks: DataFrame, window: int, finish, schema: str) -> DataFra
         _, words, hashes = words_of(table)
         return b.Keys.of(b.shortened(anchors(hashes, words.first, anchor)[1], n_bytes)).rows(block, few)
 
-    def candidates(words: b.Words, hashes: np.ndarray, starts: np.ndarray) -> b.Keys:
-        again = b.mixed(hashes + b.BASE_2)
+    def candidates(text: b.Text, words: b.Words, hashes: np.ndarray, starts: np.ndarray) -> b.Keys:
+        # The other 32 bits come from other hashes of the words, too.
+        again = b.word_hashes(text, words, base=b.BASE_2)
         return b.Keys.of(
             b.window_hashes(hashes, window)[starts],
             (b.window_hashes(again, window, b.BASE_2)[starts] >> b.U(32)).astype(np.uint32),
         )
 
     def extend(block: int, table: pa.Table, marks: pa.Table) -> pa.Table:
-        _, words, hashes = words_of(table)
+        text, words, hashes = words_of(table)
         at, found = anchors(hashes, words.first, anchor)
         keys = b.Keys.of(b.shortened(found, n_bytes))
         repeated = at[(keys.marked(marks) > 1)[keys.occurrence]]
         starts = windows_with(repeated, words.first, len(words), window)
-        keys = candidates(words, hashes, starts)
+        keys = candidates(text, words, hashes, starts)
         # The places travel with the keys: the last pass need not find the anchors again.
         return b.with_places(keys.rows(block, many), starts, keys)
 
