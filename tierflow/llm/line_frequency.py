@@ -6,14 +6,14 @@ one with the least `doc_id`; so of a text that a host repeats endlessly one stay
 has too few words left is rejected. Documents of equal text count as one, whatever their ids, and
 `source` is the host; NULL is a host of its own.
 
-`line_frequency` gives the counts and verdicts per row, each different line of a document counted
-once. `cleaned` gives the documents with those lines really removed, and rejects those that have too
-few of their words left, repeated lines counted as often as they stand.
+`line_frequency` gives the counts and verdicts per row, `cleaned` the documents with those lines really
+removed. Both reject by one rule: too few of a document's words left, each line counted as often as
+it stands.
 
 Base rules apply as well: too short, or too much of the text made of repeated three-word windows.
 
 Only built-in functions run. The texts are read once into narrow rows (metrics, and hash and word
-count of each different line), which are written to the shared folder; the rest works on those.
+count of each line), which are written to the shared folder; the rest works on those.
 Counts combine before each shuffle, so no line, however common, puts its rows into one task.
 
 NULL text has no words and fails the base rules. Repeated rows get equal answers. A table without
@@ -74,7 +74,7 @@ def normalised(line: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """Narrow rows: the metrics of each text, and hash and words of each different line."""
+    """Narrow rows: the metrics of each text, and hash and words of each line."""
     symbols = F.translate(F.col("text"), SYMBOLS, "")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -82,9 +82,8 @@ def measured(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
     rows = rows.select("*", words(F.col("text")).alias("w"), lines_of(F.col("text")).alias("l"))
-    distinct = F.transform(
-        F.array_distinct(F.transform("l", normalised)),
-        lambda line: F.struct(F.xxhash64(line).alias("line"), F.size(words(line)).alias("words")),
+    lines = F.transform(
+        F.transform("l", normalised), lambda line: F.struct(F.xxhash64(line).alias("line"), F.size(words(line)).alias("words"))
     )
     return rows.select(
         "doc_id",
@@ -95,7 +94,7 @@ def measured(docs: DataFrame) -> DataFrame:
         (F.char_length("text") - F.char_length(symbols)).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("w")).alias("n_repeat_words"),
-        distinct.alias("lines"),
+        lines.alias("lines"),
     )
 
 
@@ -153,10 +152,7 @@ def judged(docs: DataFrame, max_documents: int, min_left: int) -> DataFrame:
 
 
 def line_frequency(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int = MIN_LEFT) -> DataFrame:
-    """Per row: doc_id, the metrics, base_failed, kept, and n_words_left without the frequent lines.
-
-    `n_words_left` counts each different line of a document once.
-    """
+    """Per row: doc_id, the metrics, base_failed, kept, and n_words_left without the frequent lines."""
     return judged(docs, max_documents, min_left).drop("host", "content")
 
 

@@ -85,7 +85,7 @@ again AS (SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY row, wi
 repeated AS (
   SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY row),
 lines AS (
-  SELECT DISTINCT row, doc_id, host, md5(t) AS content, array_to_string(regexp_extract_all({lower}, '{WORD}'), ' ') AS line
+  SELECT row, doc_id, host, md5(t) AS content, array_to_string(regexp_extract_all({lower}, '{WORD}'), ' ') AS line
   FROM (SELECT row, doc_id, host, t, unnest(l) AS line FROM measured)),
 frequent AS (
   SELECT host, line, min(doc_id) AS first FROM lines GROUP BY host, line HAVING count(DISTINCT content) > {q.MAX_DOCUMENTS}),
