@@ -31,6 +31,7 @@ from tierflow.operators.history import (
     empty_history,
     scd2_actions,
     scd2_apply,
+    scd2_insert,
     scd2_rebuild,
     versions_at,
 )
@@ -778,6 +779,34 @@ def history_keyed_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_by_key(spark, sf_dir).at("1999-07-01 00:00:00")
 
 
+BETWEEN = DELIVERIES[1][0]
+
+
+@query("history_late", f"{REBUILD} SELECT * FROM h")
+def history_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of 1996 and 1997 arrive last."""
+    in_time = order_status(spark, sf_dir, f"NOT ({BETWEEN})")
+    late = order_status(spark, sf_dir, BETWEEN)
+    history = scd2_rebuild(in_time, **STATUS, version_ts="o_orderdate", tie=["o_orderkey"])
+    return scd2_insert(history, late, in_time, **STATUS, version_ts="o_orderdate", tie=["o_orderkey"])
+
+
+@query("history_keyed_late", f"{BY_DELIVERY} SELECT * FROM h")
+def history_keyed_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delivery of 1998 arrives after that of 2002, in a history kept by key."""
+    tables = Tables(spark, shared_dir(spark, "tables"))
+    history = KeyedHistory(tables, f"suite_{uuid.uuid4().hex}.silver.status", ["o_custkey"], ["o_orderstatus"])
+    history.create(table(spark, sf_dir, "orders").schema, parts=16, buckets=4)
+    first, between, last = (
+        order_status(spark, sf_dir, condition).withColumn("applied_at", F.lit(now).cast("timestamp"))
+        for condition, now in DELIVERIES
+    )
+    history.apply(first, DELIVERIES[0][1], "step-0", ORDERED)
+    history.apply(last, DELIVERIES[2][1], "step-2", ORDERED)
+    history.insert(between, first.unionByName(last), "applied_at", "step-1", ORDERED)
+    return history.read()
+
+
 @query("history_actions", applied_sql(EARLY, LATE) + "SELECT action, count(*) AS n FROM c GROUP BY action")
 def history_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, two = order_status(spark, sf_dir, BEFORE_1998), order_status(spark, sf_dir, SINCE_1998)

@@ -13,6 +13,7 @@ from tierflow.operators.history import (
     empty_history,
     scd2_actions,
     scd2_apply,
+    scd2_insert,
     scd2_rebuild,
     versions_at,
 )
@@ -245,3 +246,60 @@ def test_history_kept_by_key(spark, tables):
         assert rows(history.at(moment)) == rows(versions_at(plain, moment))
     plan = history.at("2024-03-01 00:00:00")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(metadata_ended_in" in plan and ">= 2024-03" in plan
+
+
+LATE_ITEMS = st.lists(
+    st.tuples(st.sampled_from(["x", "y", None]), st.integers(0, 9), st.integers(0, 99), st.sampled_from(["1", "2", None]), st.none(), st.booleans()),
+    max_size=25,
+    unique_by=lambda r: (r[0], r[1], r[2]),
+)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(items=LATE_ITEMS, hot_rows=st.sampled_from([2, 1_000_000]))
+def test_late_rows_are_put_between_versions(spark, items, hot_rows):
+    """Whatever part of the rows arrives late: equal to the rebuild of all."""
+    in_time, late = ([r[:5] for r in items if r[5] == flag] for flag in (False, True))
+    got = scd2_insert(rebuild(spark, in_time), changes(spark, late), changes(spark, in_time), ["k"], ["a", "b"], "t", ["n"], hot_rows)
+    assert rows(got) == expected_history(in_time + late)
+
+
+def test_late_rows_leave_closings_and_other_keys(spark):
+    day = lambda d: START + timedelta(days=d)
+    known = [("x", "1", False, day(0), day(4)), ("x", "2", False, day(6), day(8)), ("y", "1", True, day(0), END)]
+    kept = spark.createDataFrame(known, "k string, a string, is_current boolean, valid_from timestamp, valid_to timestamp")
+    given = spark.createDataFrame([("x", day(0), "1"), ("x", day(6), "2"), ("y", day(0), "1")], "k string, t timestamp, a string")
+    late = spark.createDataFrame([("x", day(2), "3"), ("x", day(9), "4"), ("x", day(5), "2")], "k string, t timestamp, a string")
+    want = [("x", "1", False, day(0), day(2)), ("x", "3", False, day(2), day(4)), ("x", "2", False, day(5), day(8)), ("x", "4", True, day(9), END), known[2]]
+    assert rows(scd2_insert(kept, late, given, ["k"], ["a"], "t")) == sorted(want, key=repr)
+    assert rows(scd2_insert(kept, late.limit(0), given, ["k"], ["a"], "t")) == sorted(known, key=repr)
+
+
+def test_late_delivery_to_a_history_kept_by_key(spark, tables):
+    """In whatever order deliveries come, run twice or not: the history of all in order."""
+    from tests.test_tables import files_of
+    from tierflow.plans.keyed_history import KeyedHistory
+
+    schema = "k long, v string"
+    one = [(k, str(k % 3)) for k in range(200)]
+    deliveries = [one, [(1, "x"), (2, "2"), (3, "q")], [(1, "x"), (2, "z"), (900, "n")], [(1, "1"), (3, "0"), (7, "w")]]
+    at = [f"2024-0{n + 1}-15 00:00:00" for n in range(4)]
+    frames = [spark.createDataFrame(d, schema).withColumn("at", F.lit(t).cast("timestamp")) for d, t in zip(deliveries, at)]
+    plain = empty_history(frames[0], ["k"], ["v"])
+    for frame, now in zip(frames, at):
+        plain = spark.createDataFrame(scd2_apply(plain, frame, ["k"], ["v"], now, deletes=False).collect(), plain.schema)
+    history = KeyedHistory(tables, "c.s.late", ["k"], ["v"])
+    history.create(spark.createDataFrame([], schema).schema, parts=16, buckets=2)
+    for n in (0, 3):
+        history.apply(frames[n], at[n], f"step-{n}")
+    before = files_of(tables.read(history.current))
+    seen = frames[0].unionByName(frames[3])
+    for n in (2, 1):
+        for _ in range(2):
+            history.insert(frames[n], seen, "at", f"step-{n}")
+        seen = seen.unionByName(frames[n])
+    assert rows(history.read()) == rows(plain)
+    touched = tables.touched_parts(history.current, frames[1].unionByName(frames[2]), ["k"])
+    assert {f for f in before if not any(f"metadata_key_part={p}/" in f for p in touched)} <= files_of(tables.read(history.current))
+    history.insert(frames[0].limit(0), seen, "at", "step-9")
+    assert rows(history.read()) == rows(plain)

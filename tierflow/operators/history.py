@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tierflow.operators.skew import HOT_ROWS, hot_keys, key_hash, sent
+from tierflow.operators.skew import HOT_ROWS, SMALL_ROWS, hot_keys, key_hash, lookup_join, sent
 from tierflow.session import materialize
 from tierflow.plans.spec import OPEN_END
 
@@ -34,6 +34,12 @@ def _names(key: Sequence[str], tracked: Sequence[str]) -> tuple[list[str], list[
     return list(key), [c for c in tracked if c not in key]
 
 
+def _dated(rows: DataFrame, version_ts: str) -> DataFrame:
+    """`rows`, failing the job that reads one without a time."""
+    dateless = F.raise_error(F.lit(f"Row without a version time in {version_ts}")).cast("boolean")
+    return rows.where(F.when(F.col(version_ts).isNull(), dateless).otherwise(F.lit(True)))
+
+
 def _finish(starts: DataFrame, key: Sequence[str], version_ts: str, next_ts: Column, tracked: Sequence[str]) -> DataFrame:
     return starts.select(
         *key,
@@ -150,8 +156,7 @@ def scd2_rebuild(
     key, tracked = _names(key, tracked)
     # The tracked values come last: whatever `tie` leaves open must not depend on the order of input.
     tie = list(dict.fromkeys([*tie, *(tracked or key)]))
-    dateless = F.raise_error(F.lit(f"Row without a version time in {version_ts}")).cast("boolean")
-    changes = changes.where(F.when(F.col(version_ts).isNull(), dateless).otherwise(F.lit(True)))
+    changes = _dated(changes, version_ts)
     hot = hot_keys(changes, key, hot_rows)
     if hot is None:
         return _rebuild_shuffled(changes, key, tracked, version_ts, tie)
@@ -163,6 +168,107 @@ def scd2_rebuild(
     )
 
 
+def _around_late(rows: DataFrame, key: Sequence[str], hot_rows: int) -> DataFrame:
+    """Of the rows of some keys, one per time: the late ones and those that follow one.
+
+    Keys with `hot_rows` rows and more are cut into time slices. The first row of a slice stays
+    too, in place of a look into the slice before: a row that changes nothing opens no version.
+    """
+    hot = hot_keys(rows, key, hot_rows)
+    one_per_time = rows.groupBy(*key, "_at").agg(F.max_by(STATE, "_order").alias(STATE), F.max("_late").alias("_late"))
+    if hot is None:
+        sliced = one_per_time.withColumn("_slice", F.lit(0))
+    else:
+        most = hot.agg(F.max("_parts")).first()[0]
+        many = rows.withColumn("_h", key_hash(key)).join(sent(hot.select("_h")), "_h", "left_semi").drop("_h")
+        cuts = sent(_time_cuts(many, hot, key, "_at", most))
+        number = F.coalesce(_slice_of(F.unix_micros("_at"), most), F.lit(0))
+        sliced = one_per_time.withColumn("_h", key_hash(key)).join(cuts, "_h", "left").withColumn("_slice", number)
+    in_slice = Window.partitionBy(*key, "_slice").orderBy("_at")
+    follows = F.coalesce(F.lag("_late").over(in_slice), F.col("_slice") > 0)
+    return sliced.withColumn("_needed", F.col("_late") | follows).where("_needed").select(*key, "_at", STATE)
+
+
+def split_versions(
+    history: DataFrame,
+    late: DataFrame,
+    delivered: DataFrame,
+    key: Sequence[str],
+    tracked: Sequence[str],
+    version_ts: str,
+    tie: Sequence[str] = (),
+    hot_rows: int = HOT_ROWS,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows that arrive late, put between the versions they fall into: (kept, replaced, built) versions.
+
+    `built` takes the place of `replaced`, which are the versions of the late keys that end at their
+    first late time or after it; `kept` and `replaced` have all columns of `history`. A late row
+    splits the version that holds its time. Its own lasts until the key's next delivered row, even
+    one that changed nothing when it came: therefore `delivered` gives the rows of all earlier
+    deliveries, of which only those of late keys since their first late time are looked at. Of
+    several rows with one key and time the highest by `tie` counts, then by the tracked values.
+    Closings without a successor stay where they are; a late row after one opens a version.
+    """
+    key, tracked = _names(key, tracked)
+    types = dict(history.dtypes)
+    tie = list(dict.fromkeys([*tie, *(tracked or key)]))
+
+    def shaped(rows: DataFrame, is_late: bool) -> DataFrame:
+        typed = {c: F.col(c).cast(types[c]) for c in [*key, *tracked]}
+        order = F.struct(*[typed.get(c, F.col(c)).alias(f"_o{i}") for i, c in enumerate(tie)])
+        state = F.struct(*[typed[c].alias(c) for c in tracked]) if tracked else _state(tracked)
+        return _dated(rows, version_ts).select(
+            *[typed[k].alias(k) for k in key],
+            F.col(version_ts).cast("timestamp").alias("_at"),
+            state.alias(STATE),
+            order.alias("_order"),
+            F.lit(is_late).alias("_late"),
+        )
+
+    # Keys go by their 64-bit hash here: a key that shares one is looked at in vain, and stays as it is.
+    new = shaped(late, True)
+    since = materialize(new.groupBy(key_hash(key).alias("_key")).agg(F.min("_at").alias("_since")), "late-keys")
+    first = since.agg(F.min("_since")).first()[0]
+    old = shaped(delivered, False).where(F.col("_at") >= F.lit(first).cast("timestamp")).withColumn("_key", key_hash(key))
+    old = lookup_join(old, since, ["_key"], "inner", hot_rows, small_rows=SMALL_ROWS).where("_at >= _since")
+    rows = materialize(old.drop("_key", "_since").unionByName(new), "late-rows")
+    points = _around_late(rows, key, hot_rows).withColumn("_rank", F.lit(2)).withColumn("_gone", F.lit(False))
+
+    known = lookup_join(history.withColumn("_key", key_hash(key)), since, ["_key"], "left", hot_rows, small_rows=SMALL_ROWS)
+    late_key = F.col("_since").isNotNull() & (F.col("is_current") | (F.col("valid_to") >= F.col("_since")))
+    kept = known.where(~late_key).select(*history.columns)
+    replaced = known.where(late_key).select(*history.columns)
+    # What begins at a time counts more than what ends there, and delivered rows more than both.
+    begin = F.struct(F.col("valid_from").alias("_at"), F.lit(1).alias("_rank"), F.lit(False).alias("_gone"))
+    end = F.struct(F.col("valid_to").alias("_at"), F.lit(0).alias("_rank"), F.lit(True).alias("_gone"))
+    borders = F.when(F.col("is_current"), F.array(begin)).otherwise(F.array(begin, end))
+    borders = replaced.select(*key, _state(tracked).alias(STATE), F.explode(borders).alias("_b")).select(*key, STATE, "_b.*")
+    states = [F.col(f"{STATE}.{c}").alias(c) for c in tracked]
+    events = borders.unionByName(points).select(*key, *states, "_at", "_rank", "_gone")
+    built = scd2_rebuild(events, key, [*tracked, "_gone"], "_at", ["_rank"], hot_rows)
+    return kept, replaced, built.where(~F.col("_gone")).select(*key, *tracked, *VALIDITY)
+
+
+def scd2_insert(
+    history: DataFrame,
+    late: DataFrame,
+    delivered: DataFrame,
+    key: Sequence[str],
+    tracked: Sequence[str],
+    version_ts: str,
+    tie: Sequence[str] = (),
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """`history` with late rows put where their times belong: the rebuild of `delivered` and `late`.
+
+    Versions of other keys, and those that ended before a key's first late row, stay as they are.
+    See `split_versions`.
+    """
+    key, tracked = _names(key, tracked)
+    kept, _, built = split_versions(history, late, delivered, key, tracked, version_ts, tie, hot_rows)
+    return kept.select(*key, *tracked, *VALIDITY).unionByName(built)
+
+
 def _compared(
     current: DataFrame,
     snapshot: DataFrame,

@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tierflow.operators.history import VALIDITY, scd2_changes, versions_at
+from tierflow.operators.history import VALIDITY, scd2_changes, split_versions, versions_at
+from tierflow.operators.skew import sent
+from tierflow.session import materialize
 from tierflow.sources.tables import KEY_PART, Tables
 
 ENDED_IN, CLOSED_BY = "metadata_ended_in", "metadata_closed_by"
@@ -75,6 +77,43 @@ class KeyedHistory:
         self.tables.write_partitions(marked, self.closed, [ENDED_IN, CLOSED_BY])
         self.tables.rewrite_parts(self.current, versions.where("is_current"))
 
+    def insert(self, late: DataFrame, delivered: DataFrame, version_ts: str, step: str, tie: Sequence[str] = ()) -> None:
+        """Put rows that arrive late between the versions into which their times fall.
+
+        `delivered` gives the rows of all earlier deliveries with the times at which they were
+        applied (see `split_versions`). Of the current versions the parts of the late keys are read and
+        rewritten; of the closed ones the months since the first late row are read and the partitions
+        that hold a replaced version are rewritten. New versions are written before the replaced ones
+        go, so that the step can run again after a failure at any point.
+        """
+        first = late.agg(F.min(F.col(version_ts).cast("timestamp"))).first()[0]
+        if first is None and late.isEmpty():
+            return
+        placed = [ENDED_IN, CLOSED_BY]
+        touched = self.tables.touched_parts(self.current, late, self.key)
+        known = self.tables.read(self.current).where(F.col(KEY_PART).isin(touched)).drop(KEY_PART)
+        known = known.withColumns({c: F.lit(None).cast("string") for c in placed})
+        ended = self.tables.read(self.closed).where(F.col(ENDED_IN) >= _month(F.lit(first).cast("timestamp")))
+        kept, replaced, built = split_versions(
+            known.unionByName(ended), late, delivered, self.key, self.tracked, version_ts, tie
+        )
+        left = materialize(replaced.where(F.col(CLOSED_BY).isNotNull()).select(*placed).distinct(), "replaced-partitions")
+        rest = kept.where(F.col(CLOSED_BY).isNotNull()).join(sent(left), placed, "left_semi").where(F.col(CLOSED_BY) != step)
+        rest = materialize(rest.select(*self.columns, *placed), "kept-versions")
+        part = self.tables.key_part(self.current, self.key)
+        now = kept.where("is_current").select(*self.columns).unionByName(built.where("is_current").select(*self.columns))
+        now = materialize(now.withColumn(KEY_PART, part), "current-versions")
+        marked = built.where(~F.col("is_current")).select(*self.columns)
+        marked = marked.withColumn(ENDED_IN, _month(F.col("valid_to"))).withColumn(CLOSED_BY, F.lit(step))
+        marked = materialize(marked, "closed-versions")
+        self.tables.write_partitions(marked, self.closed, placed)
+        self.tables.write_partitions(rest, self.closed, placed)
+        # Partitions of which nothing stays: at most one for each month and step.
+        filled = rest.select(*placed).unionByName(marked.select(*placed)).distinct()
+        for month, by in left.join(filled, placed, "left_anti").collect():
+            self.tables.clear_partition(self.closed, {ENDED_IN: month, CLOSED_BY: by})
+        self.tables.rewrite_parts(self.current, now)
+
     def read(self) -> DataFrame:
         """All versions."""
         return self.tables.read_keyed(self.current).unionByName(self.tables.read(self.closed).drop(ENDED_IN, CLOSED_BY))
