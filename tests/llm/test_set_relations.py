@@ -22,6 +22,7 @@ def shingles(text):
 def brute(rows):
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
+    n_links = [0] * len(rows)
 
     def find(i):
         while root[i] != i:
@@ -32,15 +33,23 @@ def brute(rows):
         for j in range(i):
             if x and sets[j] and 100 * len(x & sets[j]) >= 75 * len(x | sets[j]):
                 root[find(i)] = find(j)
+                n_links[i] += 1
+                n_links[j] += 1
     least = {}
     for i, (doc_id, _) in enumerate(rows):
         if doc_id is not None:
             least[find(i)] = min(least.get(find(i), doc_id), doc_id)
-    return sorted(((d, len(x), least.get(find(i))) for i, ((d, _), x) in enumerate(zip(rows, sets, strict=True))), key=repr)
+    each = enumerate(zip(rows, sets, strict=True))
+    return sorted(((d, len(x), least.get(find(i)), n_links[i]) for i, ((d, _), x) in each), key=repr)
+
+
+def without_links(rows):
+    return sorted((r[:3] for r in rows), key=repr)
 
 
 def got(df):
-    return sorted((tuple(r) for r in df.select("doc_id", "n_shingles", "component_id").collect()), key=repr)
+    columns = [c for c in ("doc_id", "n_shingles", "component_id", "n_links") if c in df.columns]
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
 
 
 def sample(seed):
@@ -66,7 +75,10 @@ def sample(seed):
 @pytest.mark.parametrize("seed", range(3))
 def test_equals_all_pairs(spark, seed):
     rows = sample(seed)
-    assert got(s.classes(pack(documents(spark, rows), block_bytes=3000))) == brute(rows)
+    blocks = pack(documents(spark, rows), block_bytes=3000)
+    assert got(s.classes(blocks, with_links=True)) == brute(rows)
+    if seed == 0:
+        assert got(s.classes(blocks)) == without_links(brute(rows))
 
 
 def test_groups_in_parts(spark):
@@ -78,7 +90,10 @@ def test_groups_in_parts(spark):
         rows.append((i, " ".join(base)))
         for _ in range(2):
             base[rng.randrange(len(base))] = f"n{rng.random()}"
-    assert got(s.classes(pack(documents(spark, rows), block_bytes=5000), part_sets=8)) == brute(rows)
+    rows += [(100 + i, rows[i][1]) for i in range(0, 60, 7)]
+    blocks = pack(documents(spark, rows), block_bytes=5000)
+    assert got(s.classes(blocks, part_sets=8, with_links=True)) == brute(rows)
+    assert got(s.classes(blocks, part_sets=8)) == without_links(brute(rows))
 
 
 def test_answers_are_derived_from_a_similar_query():

@@ -14,6 +14,10 @@ Two documents are linked when the sets of their five-word shingles have a Jaccar
    other add nothing and are skipped. Each other set is a query; if the query before it was highly
    similar, its answers are derived from that one's counts by the shingles in which they differ.
    Where a group has several parts, the sets that its leader does not reach meet every part.
+5. To count links, nothing is skipped for being connected already: every set of a group is a query.
+   A pair of sets that meets in several groups counts in that of the least leader they share, so a
+   query leaves out the positions that share a lesser one with it, and a part whose sets all share one
+   is left out as a whole. Parts of a group meet in pairs. A task gives a sum per set, no pairs.
 
 Components of the links come from alternating stars. Only documents with a shared shingle among
 their rare ones are moved after the count; no pairs of a group are written out.
@@ -160,8 +164,22 @@ def indexed_sets(blocks: DataFrame, docs: DataFrame) -> DataFrame:
 class Group:
     """The sets of a part of a group, ordered by size, with their index lists."""
 
-    def __init__(self, rids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]):
+    def __init__(
+        self,
+        rids: np.ndarray,
+        sizes: np.ndarray,
+        sets: list[np.ndarray],
+        copies: np.ndarray | None = None,
+        lower: list[np.ndarray] | None = None,
+    ):
         order = np.lexsort((rids, sizes))
+        if copies is not None and lower is not None:
+            self.copies, self.lower = copies[order], [lower[i] for i in order.tolist()]
+            self.leaders, names = np.unique(np.concatenate(self.lower), return_inverse=True)
+            at = np.repeat(np.arange(len(order)), np.fromiter(map(len, self.lower), np.int64, len(order)))
+            order_of_leaders = np.argsort(names, kind="stable")
+            self.held_by = at[order_of_leaders]
+            self.held_from = np.searchsorted(names[order_of_leaders], np.arange(len(self.leaders) + 1))
         self.rids, self.sizes = rids[order], sizes[order]
         sets = [sets[i] for i in order.tolist()]
         self.m = len(sets)
@@ -184,6 +202,28 @@ class Group:
         low = int(np.searchsorted(self.sizes, needed(size), "left"))
         return low, int(np.searchsorted(self.sizes, 4 * size // 3, "right"))
 
+    def met(self) -> bool:
+        """Whether all sets share a lesser leader, so that all pairs meet in its group."""
+        return bool((np.diff(self.held_from) == self.m).any())
+
+    def apart_from(self, lower: np.ndarray) -> np.ndarray:
+        """For each position, whether its set shares none of some lesser leaders."""
+        out = np.ones(self.m, bool)
+        at = np.searchsorted(self.leaders, lower)
+        at[at == len(self.leaders)] = 0
+        for k in at[self.leaders[at] == lower].tolist() if len(self.leaders) else []:
+            out[self.held_by[self.held_from[k] : self.held_from[k + 1]]] = False
+        return out
+
+    def counted(self, names: np.ndarray, size: int, lower: np.ndarray) -> np.ndarray:
+        """Positions of the sets linked to a query that share no lesser leader with it."""
+        low, high = self.reach(size)
+        mine = self.apart_from(lower)
+        if not mine[low:high].any():
+            return np.empty(0, np.int64)
+        found = self.answers(names, size)
+        return found[mine[found]]
+
     def histogram(self, names: np.ndarray, low: int, high: int) -> np.ndarray:
         """For the positions from low to high: how many of the shingles each set holds."""
         begin = np.searchsorted(self.lists, names * self.m + low)
@@ -236,6 +276,75 @@ def relate(leader: int, rids: np.ndarray, sizes: np.ndarray, sets: list[np.ndarr
     return links, [int(group.rids[i]) for i in range(group.m) if root(i) != root(top)]
 
 
+class Labels:
+    """Classes of numbered sets, merged by links; gives the links that merge something."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def join(self, i: int, others: np.ndarray) -> list[int]:
+        """The first of `others` of each class that i is not in yet, which is in i's class from now on."""
+        other = others[self.of[others] != self.of[i]]
+        labels, first = np.unique(self.of[other], return_index=True)
+        if len(labels):
+            self.of[np.isin(self.of, labels)] = self.of[i]
+        return other[first].tolist()
+
+
+def count_part(group: Group) -> list[tuple[int, int, int]]:
+    """All links within a part: those that connect (kind 0), and each set's number, copies included (2)."""
+    out = []
+    if group.met():
+        return out
+    labels = Labels(group.m)
+    for i in range(group.m):
+        found = group.counted(group.names[i], int(group.sizes[i]), group.lower[i])
+        found = found[found != i]
+        if len(found):
+            out += [(0, int(group.rids[i]), int(group.rids[j])) for j in labels.join(i, found)]
+            out.append((2, int(group.rids[i]), int(group.copies[found].sum())))
+    return out
+
+
+def counting_sets(table: pa.Table) -> tuple:
+    """What a group that counts is made of."""
+    lists = table["lower"].combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    ends = np.cumsum(np.asarray(lists.value_lengths(), np.int64))
+    lower = np.split(np.asarray(lists.flatten(), np.int64), ends[:-1])
+    return *sets_of(table), np.asarray(table["copies"], np.int64), lower
+
+
+def count_parts(table: pa.Table) -> pa.Table:
+    """All parts of one call, as `count_part` has them."""
+    rids, sizes, sets, copies, lower = counting_sets(table)
+    leader, part = np.asarray(table["leader"], np.int64), np.asarray(table["part"], np.int64)
+    order = np.lexsort((part, leader))
+    new = np.flatnonzero(np.append(True, (np.diff(leader[order]) != 0) | (np.diff(part[order]) != 0)))
+    out = []
+    for mine in np.split(order, new[1:]):
+        at = mine.tolist()
+        out += count_part(Group(rids[mine], sizes[mine], [sets[i] for i in at], copies[mine], [lower[i] for i in at]))
+    return link_table(out)
+
+
+def count_across(members: pa.Table, queries: pa.Table) -> pa.Table:
+    """All links between two parts of a group, as `count_part` has them."""
+    if not members.num_rows or not queries.num_rows:
+        return link_table([])
+    group = Group(*counting_sets(members))
+    labels = Labels(group.m + queries.num_rows)
+    numbers = np.zeros(group.m, np.int64)
+    out = []
+    for k, (rid, size, shingles, copies, lower) in enumerate(zip(*counting_sets(queries), strict=True)):
+        found = group.counted(group.named(shingles), int(size), lower)
+        if len(found):
+            out += [(0, int(rid), int(group.rids[j])) for j in labels.join(group.m + k, found)]
+            out.append((2, int(rid), int(group.copies[found].sum())))
+            numbers[found] += copies
+    return link_table(out + [(2, int(group.rids[j]), int(numbers[j])) for j in np.flatnonzero(numbers).tolist()])
+
+
 def sets_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     sets = [np.frombuffer(x, b.U) for x in table["shingles"].to_pylist()]
     return np.asarray(table["rid"], np.int64), np.asarray(table["n"], np.int64), sets
@@ -273,8 +382,8 @@ def relate_apart(members: pa.Table, queries: pa.Table) -> pa.Table:
     return link_table(out)
 
 
-def links_of(sets: DataFrame, part_sets: int, call_shingles: int) -> DataFrame:
-    """(a, b): links whose components are those of all links."""
+def groups_of(sets: DataFrame, part_sets: int, call_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Groups dealt into parts: (leader, rid) members, (leader, parts), places with a leader in every part, and calls."""
     postings = sets.select("rid", "n", F.explode("prefix").alias("token"))
     lists = postings.groupBy("token").agg(F.min("rid").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = postings.join(lists.select("token", "leader"), "token").select("leader", "rid", "n").distinct()
@@ -282,13 +391,19 @@ def links_of(sets: DataFrame, part_sets: int, call_shingles: int) -> DataFrame:
     # A part has so many sets and about so many shingles at most, whatever the length of its texts.
     parts = members.groupBy("leader").agg(F.greatest(F.count("*") / part_sets, F.sum("n") / call_shingles).alias("m"))
     parts = parts.select("leader", F.ceil("m").cast("long").alias("parts"))
+    # A set stands in as many groups as it has leaders.
+    total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     members = members.drop("n")
     placed = members.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")))
     # The leader is in every part of its group.
     lead = parts.where("parts > 1").select("leader", F.col("leader").alias("rid"), "parts", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
     placed = placed.unionByName(lead).dropDuplicates(["leader", "rid", "part"])
-    total = sets.agg(F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0))).first()[0]
-    calls = max(1, -(-2 * total // (8 * call_shingles)))
+    return members, parts, placed, max(1, -(-2 * total // call_shingles))
+
+
+def links_of(sets: DataFrame, part_sets: int, call_shingles: int) -> DataFrame:
+    """(a, b): links whose components are those of all links."""
+    members, parts, placed, calls = groups_of(sets, part_sets, call_shingles)
     bodies = sets.select("rid", "n", "shingles")
     full = placed.join(bodies, "rid").withColumn("call", F.pmod(F.xxhash64("leader", "part"), F.lit(calls)))
     found = materialize(full.groupBy("call").applyInArrow(relate_parts, LINK_SCHEMA), "set-links")
@@ -312,28 +427,74 @@ def links_of(sets: DataFrame, part_sets: int, call_shingles: int) -> DataFrame:
     return links.unionByName(materialize(more, "set-links").select("a", "b"))
 
 
-def classes(blocks: DataFrame, part_sets: int = PART_SETS, call_shingles: int = CALL_SHINGLES) -> DataFrame:
+def counted_links(sets: DataFrame, standing: DataFrame, part_sets: int, call_shingles: int) -> DataFrame:
+    """Rows of `count_part` for all groups: links (kind 0) whose components are those of all, and numbers (2)."""
+    members, parts, placed, calls = groups_of(sets, part_sets, call_shingles)
+    leaders = members.groupBy("rid").agg(F.collect_list("leader").alias("leaders"))
+    copies = standing.select(F.col("node").alias("rid"), "copies")
+    bodies = sets.select("rid", "n", "shingles").join(copies, "rid").join(leaders, "rid")
+    lower = F.filter("leaders", lambda x: x < F.col("leader")).alias("lower")
+    names = ["rid", "n", "shingles", "copies", lower]
+    full = placed.join(bodies, "rid").withColumn("call", F.pmod(F.xxhash64("leader", "part"), F.lit(calls)))
+    full = full.select("call", "leader", "part", *names)
+    found = materialize(full.groupBy("call").applyInArrow(count_parts, LINK_SCHEMA), "set-links")
+    several = parts.where("parts > 1")
+    if several.isEmpty():
+        return found
+    # Each two parts of a large group meet once; the leader has met every part already.
+    apart = members.join(several, "leader").where("rid <> leader")
+    apart = apart.withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("parts")))
+    apart = apart.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).where("mine <> other")
+    pair = [F.col("leader"), F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")]
+    full = apart.join(bodies, "rid").select(*pair, (F.col("mine") < F.col("other")).alias("first"), *names)
+    keys = ["leader", "low", "high"]
+    names = [*keys, "rid", "n", "shingles", "copies", "lower"]
+    ones = full.where("first").select(*names)
+    others = full.where("NOT first").select(*[F.col(c).alias(c) for c in names])
+    meet = ones.groupBy(*keys).cogroup(others.groupBy(*keys))
+    return found.unionByName(materialize(meet.applyInArrow(count_across, LINK_SCHEMA), "set-links"))
+
+
+def classes(
+    blocks: DataFrame, part_sets: int = PART_SETS, call_shingles: int = CALL_SHINGLES, with_links: bool = False
+) -> DataFrame:
     """Per row: rid, doc_id, n_shingles, component_id (the least doc_id of its class), and the class.
 
     `class` is the row number of the class's root; rows without shingles have none. Least ids do not
-    tell classes apart: they may be NULL or repeated.
+    tell classes apart: they may be NULL or repeated. `with_links` adds n_links, the number of other
+    rows linked with the row, those with an equal set included.
     """
     docs = materialize(b.each_block(blocks, set_rows, DOC_SCHEMA), "document-sets")
     sets = indexed_sets(blocks, docs)
-    roots = components(links_of(sets, part_sets, call_shingles))
-    standing = docs.where("n > 0").groupBy("set_id").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"))
+    standing = docs.where("n > 0").groupBy("set_id")
+    standing = standing.agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    if with_links:
+        standing = materialize(standing, "standing-copies")
+        found = counted_links(sets, standing, part_sets, call_shingles)
+        roots = components(found.where("kind = 0").select("a", "b"))
+        numbers = found.where("kind = 2").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
+        standing = standing.join(numbers, "node", "left")
+    else:
+        roots = components(links_of(sets, part_sets, call_shingles))
+        standing = standing.withColumn("others", F.lit(None).cast("long"))
     named = standing.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = materialize(named, "set-roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = named.join(least, "root").select("set_id", "component_id", F.col("root").alias("class"))
+    links = (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links")
+    of_set = named.join(least, "root").select("set_id", "component_id", F.col("root").alias("class"), links)
     out = docs.join(of_set, "set_id", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "class")
+    columns = ["rid", "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "class"]
+    n_links = F.when(F.col("n") > 0, F.col("links")).otherwise(0).alias("n_links")
+    return out.select(*columns, *([n_links] if with_links else []))
 
 
 def set_relations(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles (size of its set) and component_id (least doc_id reachable by links)."""
-    return classes(b.pack(docs)).drop("rid", "class")
+    """Per row: doc_id, n_shingles (size of its set), component_id (least doc_id reachable by links) and n_links.
+
+    n_links is the number of other rows that the row is linked with.
+    """
+    return classes(b.pack(docs), with_links=True).drop("rid", "class")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
