@@ -14,7 +14,7 @@ Two documents are linked when the sets of their five-word shingles have a Jaccar
    other add nothing and are skipped. Each other set is a query; if the query before it was highly
    similar, its answers are derived from that one's counts by the shingles in which they differ.
    Where a group has several parts, the sets that its leader does not reach meet every part.
-5. To count links, nothing is skipped for being connected already: every set of a group is a query.
+5. Where links are counted (an option), nothing is skipped for being connected already: every set of a group is a query.
    A pair of sets that meets in several groups counts in that of the least leader they share, so a
    query leaves out the positions that share a lesser one with it, and a part whose sets all share one
    is left out as a whole. Parts of a group meet in pairs. A task gives a sum per set, no pairs.
@@ -206,23 +206,33 @@ class Group:
         """Whether all sets share a lesser leader, so that all pairs meet in its group."""
         return bool((np.diff(self.held_from) == self.m).any())
 
-    def apart_from(self, lower: np.ndarray) -> np.ndarray:
-        """For each position, whether its set shares none of some lesser leaders."""
-        out = np.ones(self.m, bool)
-        at = np.searchsorted(self.leaders, lower)
-        at[at == len(self.leaders)] = 0
-        for k in at[self.leaders[at] == lower].tolist() if len(self.leaders) else []:
-            out[self.held_by[self.held_from[k] : self.held_from[k + 1]]] = False
-        return out
-
     def counted(self, names: np.ndarray, size: int, lower: np.ndarray) -> np.ndarray:
-        """Positions of the sets linked to a query that share no lesser leader with it."""
+        """Positions of the sets linked to a query that share no lesser leader with it.
+
+        Leaders that most sets hold are looked at first: sets that are linked share most leaders, so
+        few steps leave nothing where another group counts, and lists are short where this one does.
+        """
         low, high = self.reach(size)
-        mine = self.apart_from(lower)
-        if not mine[low:high].any():
-            return np.empty(0, np.int64)
-        found = self.answers(names, size)
-        return found[mine[found]]
+        known = np.empty(0, np.int64)
+        if len(self.leaders) and len(lower):
+            at = np.minimum(np.searchsorted(self.leaders, lower), len(self.leaders) - 1)
+            known = at[self.leaders[at] == lower]
+            known = known[np.argsort(self.held_from[known] - self.held_from[known + 1], kind="stable")]
+        apart = np.ones(self.m, bool)
+        found, step = None, 4
+        while len(known):
+            begin, times = self.held_from[known[:step]], self.held_from[known[:step] + 1] - self.held_from[known[:step]]
+            at = np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            apart[self.held_by[at]] = False
+            known, step = known[step:], 2 * step
+            if found is None:
+                if not apart[low:high].any():
+                    return np.empty(0, np.int64)
+                found = self.answers(names, size)
+            found = found[apart[found]]
+            if not len(found):
+                return found
+        return self.answers(names, size) if found is None else found
 
     def histogram(self, names: np.ndarray, low: int, high: int) -> np.ndarray:
         """For the positions from low to high: how many of the shingles each set holds."""
@@ -382,8 +392,8 @@ def relate_apart(members: pa.Table, queries: pa.Table) -> pa.Table:
     return link_table(out)
 
 
-def groups_of(sets: DataFrame, part_sets: int, call_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Groups dealt into parts: (leader, rid) members, (leader, parts), places with a leader in every part, and calls."""
+def groups_of(sets: DataFrame, part_sets: int, call_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups dealt into parts: (leader, rid, n) members, (leader, parts), and places with a leader in every part."""
     postings = sets.select("rid", "n", F.explode("prefix").alias("token"))
     lists = postings.groupBy("token").agg(F.min("rid").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = postings.join(lists.select("token", "leader"), "token").select("leader", "rid", "n").distinct()
@@ -391,19 +401,19 @@ def groups_of(sets: DataFrame, part_sets: int, call_shingles: int) -> tuple[Data
     # A part has so many sets and about so many shingles at most, whatever the length of its texts.
     parts = members.groupBy("leader").agg(F.greatest(F.count("*") / part_sets, F.sum("n") / call_shingles).alias("m"))
     parts = parts.select("leader", F.ceil("m").cast("long").alias("parts"))
-    # A set stands in as many groups as it has leaders.
-    total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    members = members.drop("n")
-    placed = members.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")))
+    placed = members.drop("n").join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")))
     # The leader is in every part of its group.
     lead = parts.where("parts > 1").select("leader", F.col("leader").alias("rid"), "parts", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
     placed = placed.unionByName(lead).dropDuplicates(["leader", "rid", "part"])
-    return members, parts, placed, max(1, -(-2 * total // call_shingles))
+    return members, parts, placed
 
 
 def links_of(sets: DataFrame, part_sets: int, call_shingles: int) -> DataFrame:
     """(a, b): links whose components are those of all links."""
-    members, parts, placed, calls = groups_of(sets, part_sets, call_shingles)
+    members, parts, placed = groups_of(sets, part_sets, call_shingles)
+    members = members.drop("n")
+    total = sets.agg(F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0))).first()[0]
+    calls = max(1, -(-2 * total // (8 * call_shingles)))
     bodies = sets.select("rid", "n", "shingles")
     full = placed.join(bodies, "rid").withColumn("call", F.pmod(F.xxhash64("leader", "part"), F.lit(calls)))
     found = materialize(full.groupBy("call").applyInArrow(relate_parts, LINK_SCHEMA), "set-links")
@@ -429,7 +439,11 @@ def links_of(sets: DataFrame, part_sets: int, call_shingles: int) -> DataFrame:
 
 def counted_links(sets: DataFrame, standing: DataFrame, part_sets: int, call_shingles: int) -> DataFrame:
     """Rows of `count_part` for all groups: links (kind 0) whose components are those of all, and numbers (2)."""
-    members, parts, placed, calls = groups_of(sets, part_sets, call_shingles)
+    members, parts, placed = groups_of(sets, part_sets, call_shingles)
+    # A set stands in as many groups as it has leaders.
+    total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    calls = max(1, -(-2 * total // call_shingles))
+    members = members.drop("n")
     leaders = members.groupBy("rid").agg(F.collect_list("leader").alias("leaders"))
     copies = standing.select(F.col("node").alias("rid"), "copies")
     bodies = sets.select("rid", "n", "shingles").join(copies, "rid").join(leaders, "rid")
@@ -489,12 +503,13 @@ def classes(
     return out.select(*columns, *([n_links] if with_links else []))
 
 
-def set_relations(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles (size of its set), component_id (least doc_id reachable by links) and n_links.
+def set_relations(docs: DataFrame, with_links: bool = False) -> DataFrame:
+    """Per row: doc_id, n_shingles (size of its set) and component_id (least doc_id reachable by links).
 
-    n_links is the number of other rows that the row is linked with.
+    `with_links` adds n_links, the number of other rows that the row is linked with. It asks every set of
+    every group, which costs far more than the classes: see the README.
     """
-    return classes(b.pack(docs), with_links=True).drop("rid", "class")
+    return classes(b.pack(docs), with_links=with_links).drop("rid", "class")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
