@@ -787,7 +787,7 @@ def history_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders of 1996 and 1997 arrive last."""
     in_time = order_status(spark, sf_dir, f"NOT ({BETWEEN})")
     late = order_status(spark, sf_dir, BETWEEN)
-    history = scd2_rebuild(in_time, **STATUS, version_ts="o_orderdate", tie=["o_orderkey"])
+    history = materialize(scd2_rebuild(in_time, **STATUS, version_ts="o_orderdate", tie=["o_orderkey"]), "status-history")
     return scd2_insert(history, late, in_time, **STATUS, version_ts="o_orderdate", tie=["o_orderkey"])
 
 
