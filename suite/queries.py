@@ -1171,11 +1171,14 @@ def catalog_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables, database = Tables(spark, shared_dir(spark, "tables")), f"suite_{uuid.uuid4().hex}.bronze"
     raw_layer = part_specs(spark, sf_dir).where("layer = 'raw'")
     one = F.struct("ordinal_position", "column_name", "data_type", "comment")
-    assets = raw_layer.groupBy("asset").agg(F.sort_array(F.collect_list(one)).alias("columns")).collect()
-    names = {f"{database}.{a.asset}": a for a in assets}
-    for name, a in names.items():
+    assets = materialize(raw_layer.groupBy("asset").agg(F.sort_array(F.collect_list(one)).alias("columns")), "assets")
+    found = []
+    # One asset at a time: neither this process nor the catalog holds the columns of all.
+    for a in assets.toLocalIterator():
+        name = f"{database}.{a.asset}"
         schema = record(**{c.column_name: c.data_type for c in a["columns"]})
         tables.create(name, schema, comments={c.column_name: c.comment for c in a["columns"]})
-    found = materialize(tables.comment_rows(names), "comments")
-    tables.drop(names)
+        found.append(materialize(tables.comment_rows([name]), "comments"))
+        tables.drop([name])
+    found = reduce(DataFrame.unionByName, found)
     return found.select(F.element_at(F.split("table_name", "[.]"), -1).alias("asset"), "column_name", "data_type", "comment")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from tierflow.functions.types import record
 from tierflow.operators.conform import with_comments
 from tierflow.sources.tables import write_csv
 
@@ -93,6 +94,23 @@ def test_comments(spark, tables):
     assert tables.comments("dev.bronze.other") == {"v": "from the spec"}
 
 
+def test_comment_rows_without_a_call_per_column(spark, tables, monkeypatch):
+    names = [f"c{i}" for i in range(2000)]
+    wide = record(**{c: "integer" for c in names})
+    tables.create("dev.bronze.wide", wide, comments={c: f"it's {c}" for c in names})
+    tables.create("dev.bronze.split", record(v="string", day="string"), ["day"], {"day": "Partition"})
+
+    def listed(*_):
+        raise AssertionError("A call per column")
+
+    monkeypatch.setattr(type(spark.catalog), "listColumns", listed)
+    found = rows(tables.comment_rows(["dev.bronze.wide", "dev.bronze.split"]))
+    expected = [("dev.bronze.wide", c, "int", f"it's {c}") for c in names]
+    expected += [("dev.bronze.split", "v", "string", None), ("dev.bronze.split", "day", "string", "Partition")]
+    assert found == sorted(expected, key=repr)
+    assert tables.comment_rows([]).collect() == []
+
+
 def test_clear_and_drop(spark, tables):
     tables.replace(spark.createDataFrame([(1,)], "v int"), NAME)
     tables.clear(NAME)

@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,7 +100,12 @@ class Tables:
     def _define(
         self, name: str, schema: T.StructType, partition_by: Sequence[str], location: str, description: str | None = None
     ) -> None:
-        partitioned = f"PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)})" if partition_by else ""
+        if not partition_by:
+            # The schema goes to the catalog as it is: the text of a table of many columns is slow to parse.
+            plain = self.table(name).replace("`", "")
+            self.spark.catalog.createTable(plain, location, "parquet", schema, description)
+            return
+        partitioned = f"PARTITIONED BY ({', '.join(f'`{c}`' for c in partition_by)})"
         about = f"COMMENT {self._literal(description)}" if description else ""
         self.spark.sql(
             f"CREATE TABLE {self.table(name)} ({schema.toDDL()}) USING parquet {partitioned} {about} "
@@ -120,12 +126,14 @@ class Tables:
 
     def comment_rows(self, names: Iterable[str]) -> DataFrame:
         """(table_name, column_name, data_type, comment) of the columns of some tables, as the catalog has them."""
-        rows = [
-            (name, c.name, c.dataType, c.description)
-            for name in names
-            for c in self.spark.catalog.listColumns(self.table(name).replace("`", ""))
-        ]
-        return self.spark.createDataFrame(rows, "table_name string, column_name string, data_type string, comment string")
+        empty = self.spark.createDataFrame([], "table_name string, column_name string, data_type string, comment string")
+        return reduce(DataFrame.unionByName, [self._described(name) for name in names], empty)
+
+    def _described(self, name: str) -> DataFrame:
+        """A table's columns as one frame, which stays in the catalog's process: a call per column would take its time."""
+        # After the columns, a description lists those of the partitions once more.
+        columns = self.spark.sql(f"DESCRIBE TABLE {self.table(name)}").limit(len(self.read(name).columns))
+        return columns.select(F.lit(name).alias("table_name"), F.col("col_name").alias("column_name"), "data_type", "comment")
 
     def drop(self, names: Iterable[str]) -> None:
         for name in names:
