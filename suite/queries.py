@@ -302,7 +302,7 @@ def screened_lines(spark: SparkSession, sf_dir: str) -> Screening:
     ]
     parts = table(spark, sf_dir, "part").where(FEW_KINDS)
     dated = lookup_join(lines, orders, ["l_orderkey"], "inner")
-    return Screening(dated, plan, ["l_orderkey"], references={"part": parts})
+    return Screening(dated, plan, ["l_orderkey"], references={"part": parts}, like=lines)
 
 
 @query(

@@ -2,8 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from tierflow.operators import skew
 from tierflow.operators.events import EVENT_SCHEMA, UNRESOLVED, error_events
-from tierflow.operators.screening import failing_rows, screen
+from tierflow.operators.screening import Screening, failing_rows, screen
 
 # A published event log (CSV) to check the ids against, if one is at hand.
 KEY_SCREEN = ("k", "is_primary_key", {})
@@ -174,3 +175,30 @@ def test_hot_keys_do_not_multiply_the_scans(spark, tmp_path):
     assert three[1].count() == 3000
     plain = screen(df, [(c, "is_in_foreign_column", {"table": "t", "reference": "v"}) for c in "abc"], ["id"], references={"t": allowed})
     assert rows(three[1]) == rows(plain[0]) and rows(three[2]) == rows(plain[1])
+
+
+def test_many_repeated_keys_move_no_rows_that_lie_by_key(spark):
+    data = [(i % 40, i % 3 if i % 7 else None, i) for i in range(200)] + [(None, 1, 200), (None, 1, 201), (99, 1, 202)]
+    df = spark.createDataFrame(data, "a int, b int, v int").repartition(4, "a")
+    plan = [("a,b", "is_unique", {"columns": ["a", "b"]})]
+    results = []
+    # Repeated keys sent to every task, counted beside the rows, and joined with hot keys dealt over salts.
+    for options in ({}, {"small_rows": 0}, {"small_rows": 0, "hot_rows": 2}):
+        screening = Screening(df, plan, ["v"], like=df.union(df), **options)
+        results.append((rows(screening.audited()), rows(screening.failures())))
+        if options == {"small_rows": 0}:
+            # `like` holds each key twice, and no key often enough to be hot.
+            text = screening.audited()._jdf.queryExecution().executedPlan().toString()
+            assert "Window" in text and "Join" not in text and text.count("Exchange") == 1
+    pairs = [(a, b) for a, b, _ in data if a is not None and b is not None]
+    assert sum(1 for _, _, _, passed in results[0][0] if not passed) == sum(1 for p in pairs if pairs.count(p) > 1) > 0
+    assert results[0] == results[1] == results[2]
+
+
+def test_keys_of_a_table_without_a_hot_one_are_not_counted_one_by_one(spark, monkeypatch):
+    counted = []
+    monkeypatch.setattr(skew, "materialize", lambda df, purpose: counted.append(purpose) or df)
+    df = spark.range(1000).selectExpr("id % 200 AS k")
+    assert skew.hot_keys(df, ["k"], 900) is None and not counted
+    many = df.union(spark.createDataFrame([(None,)] * 950, "k long"))
+    assert [tuple(r)[1] for r in skew.hot_keys(many, ["k"], 900).collect()] == [3] and counted == ["hot-keys"]

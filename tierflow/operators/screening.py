@@ -11,13 +11,13 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierflow.functions.checks import SCREEN_ORDER, fails
 from tierflow.operators.conform import PASSED
 from tierflow.session import materialize
-from tierflow.operators.skew import HOT_ROWS, SMALL_ROWS, lookup_join, repeated_keys
+from tierflow.operators.skew import HOT_ROWS, SMALL_ROWS, hot_keys, is_small, lookup_join, repeated_keys, salted_join
 
 Screen = tuple[str, str, Mapping[str, Any]]
 Plan = Sequence[Screen]
@@ -67,6 +67,26 @@ def key_violations(df: DataFrame, key: Sequence[str], batch: str | None = None)
     return materialize(repeated_keys(df, _scope(batch, key)), "repeated-keys")
 
 
+def _repeated(
+    df: DataFrame, repeated: DataFrame, keys: Sequence[str], flag: str, hot_rows: int, small_rows: int, like: DataFrame
+) -> tuple[DataFrame, Column]:
+    """A frame with all rows of `df`, and whether a row's key is among the repeated ones, which `flag` marks.
+
+    Many repeated keys are counted anew beside the rows: unlike a join with them, that moves no rows that
+    lie by a part of the key already. Hot keys are too large for that and are joined.
+    """
+    found = None
+    if not is_small(repeated, small_rows):
+        found = hot_keys(like, keys, hot_rows)
+        if found is None:
+            complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+            return df, complete & (F.count("*").over(Window.partitionBy(*keys)) > 1)
+    marked = F.coalesce(F.col(flag), F.lit(False))
+    if found is None:
+        return df.join(F.broadcast(repeated), list(keys), "left"), marked
+    return salted_join(df, repeated, keys, "left", found), marked
+
+
 def _with_flags(
     df: DataFrame,
     plan: Plan,
@@ -74,22 +94,23 @@ def _with_flags(
     references: References,
     hot_rows: int,
     small_rows: int = SMALL_ROWS,
+    like: DataFrame | None = None,
 ) -> tuple[DataFrame, dict[tuple[str, str], str]]:
     """Add one boolean column per screen that needs other rows or another table."""
     flags: dict[tuple[str, str], str] = {}
     delivered = df
+    like = df if like is None else like
     for item in plan:
         column, screen, params = item
         flag = f"_flag_{len(flags)}"
         if screen == "is_unique":
             keys = _scope(batch, group_members(item))
-            lookup = key_violations(delivered, group_members(item), batch).withColumn(flag, F.lit(True))
-            joined = lookup_join(df, lookup, keys, "left", hot_rows, like=delivered, small_rows=small_rows)
-            failing = F.coalesce(F.col(flag), F.lit(False))
+            repeated = key_violations(delivered, group_members(item), batch)
+            joined, failing = _repeated(df, repeated.withColumn(flag, F.lit(True)), keys, flag, hot_rows, small_rows, like)
         elif screen == "is_in_foreign_column":
             allowed = reference_values(params, references).withColumnRenamed("value", column)
             lookup = allowed.withColumn(flag, F.lit(True))
-            joined = lookup_join(df, lookup, [column], "left", hot_rows, like=delivered, small_rows=small_rows)
+            joined = lookup_join(df, lookup, [column], "left", hot_rows, like=like, small_rows=small_rows)
             failing = F.col(column).isNotNull() & F.col(flag).isNull()
         else:
             continue
@@ -182,11 +203,17 @@ class Screening:
         hot_rows: int = HOT_ROWS,
         small_rows: int = SMALL_ROWS,
         violations: DataFrame | None = None,
+        like: DataFrame | None = None,
     ) -> None:
-        """`violations` are the keys found by `key_violations`, if they are known already."""
+        """`violations` are the keys found by `key_violations`, if they are known already.
+
+        Hot keys are looked for in `like` if given: a frame that is cheaper to scan than `df`, with all its
+        keys at least as often.
+        """
         self.df, self.plan, self.key, self.batch = df, plan, list(key), batch
         self.hot_rows, self.small_rows = hot_rows, small_rows
-        self.flagged, self.flags = _with_flags(df, plan, batch, references, hot_rows, small_rows)
+        self.like = df if like is None else like
+        self.flagged, self.flags = _with_flags(df, plan, batch, references, hot_rows, small_rows, self.like)
         if _is_keyed(plan) and violations is None:
             violations = key_violations(df, key, batch)
         self.violations = violations if _is_keyed(plan) else None
@@ -199,7 +226,7 @@ class Screening:
         kept = self.flagged
         if self.violations is not None:
             scope = _scope(self.batch, self.key)
-            kept = lookup_join(kept, self.violations, scope, "left_anti", self.hot_rows, self.df, self.small_rows)
+            kept = lookup_join(kept, self.violations, scope, "left_anti", self.hot_rows, self.like, self.small_rows)
         return self._apply(kept).drop(FAILURES)
 
     def failures(self) -> DataFrame:
