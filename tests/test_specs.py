@@ -181,3 +181,40 @@ def test_specs_written_as_documents(spark, tmp_path):
     plain = lambda df: sorted((repr({**r.asDict(), "validations": json.dumps(json.loads(r.validations or "null"), sort_keys=True)}) for r in df.collect()))
     assert plain(back) == plain(specs)
     assert sorted(p.name for p in (tmp_path / "assets").rglob("*.yml")) == ["a.yml", "b.yml"]
+
+
+ODD = """
+layers:
+  audit: {schema: {B: {rename_from: b, comment: 'x << y & z'}, C: }, version: 2}
+  other: {schema: {q: {data_type: string}}}
+  historic:
+name: odd
+"""
+ANCHORED = "name: n\nlayers: {raw: {schema: {a: &c {data_type: string}, b: *c, d: {<<: *c, comment: x}, a: {comment: last}}}}"
+
+
+@pytest.mark.parametrize("text", [ODD, ANCHORED, "name: n\nlayers: {raw: {version: 1}}"])
+def test_columns_read_one_by_one_are_those_of_the_whole_document(text):
+    import yaml
+    from tierflow.sources import specs
+
+    document = yaml.safe_load(text)
+    whole = [(l, p, n, (c or {}).get("comment"), (c or {}).get("data_type")) for l, p, n, c in specs._whole_columns(document)]
+    found = list(specs.spec_rows(text, "d/s/t.yml"))
+    assert [(r["layer"], r["ordinal_position"], r["column_name"], r["comment"], r["data_type"]) for r in found] == whole
+    assert all((r["asset"], r["version"]) == (document["name"], document["layers"][r["layer"]].get("version")) for r in found)
+
+
+def test_a_long_document_is_not_held_as_a_whole():
+    import json
+    import tracemalloc
+    from tierflow.sources import specs
+
+    columns = {f"c{i}": {"data_type": "string", "comment": f"no {i}"} for i in range(3000)}
+    text = json.dumps({"name": "n", "layers": {"raw": {"schema": columns}}})
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in specs.spec_rows(text, "d/s/t.yml")) == len(columns)
+        assert tracemalloc.get_traced_memory()[1] < 10 * len(text)
+    finally:
+        tracemalloc.stop()
