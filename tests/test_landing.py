@@ -97,3 +97,17 @@ def test_profile_of_a_delivery(spark, tmp_path):
     assert rows(out["keys"]) == [(4, 2)]
     assert ("jyv", "2", 3) in rows(out["values"])
     assert rows(out["columns"]) == [("email", 4, 2, 1), ("jyv", 4, 2, 0)]
+
+
+def test_headers_of_many_files_are_read_in_one_job(spark, tmp_path):
+    paths = []
+    for i in range(20):
+        paths.append(str(tmp_path / f"report_{i}.csv"))
+        (tmp_path / f"report_{i}.csv").write_text(f"a,b{i}\n1,2\n")
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        found = headers(spark, paths)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(found.values()) == sorted(f"a,b{i}" for i in range(20)) and len(jobs) == 1

@@ -70,7 +70,8 @@ def headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
     )
     first = lines.where("start = 0").select("path", "header").mapInPandas(_first_lines, "path string, header string")
     # File metadata holds a URI; readers take plain paths.
-    found = {unquote(r["path"]): r["header"] for r in first.toLocalIterator()}
+    # One line per file, all files at once: an iterator would read them one after the other.
+    found = {unquote(r["path"]): r["header"] for r in first.collect()}
     if len(found) < len(set(paths)):
         raise ValueError("A delivered file has no header line")
     return found
