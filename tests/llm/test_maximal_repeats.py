@@ -118,3 +118,48 @@ def test_intervals_of_a_run():
     # Prefixes 0 5 5 3: the inner interval's left bytes differ, so do those of the whole.
     assert list(m.maximal_intervals([0, 5, 5, 3], [97, 98, 97, 97])) == [(5, 0, 2), (3, 0, 3)]
     assert list(m.maximal_intervals([0, 5, 3], [97, 97, 98])) == [(3, 0, 2)]
+
+
+def plain_repeats(strings, length):
+    """Maximal repeats of strings as {(length, places)}, and the bytes that they cover, one substring at a time."""
+    places = defaultdict(set)
+    for i, s in enumerate(strings):
+        for size in range(length, len(s) + 1):
+            for at in range(len(s) - size + 1):
+                places[s[at : at + size]].add((i, at))
+    groups = set()
+    for text, where in places.items():
+        before = {strings[i][at - 1] if at else None for i, at in where}
+        after = {strings[i][at + len(text)] if at + len(text) < len(strings[i]) else None for i, at in where}
+        if len(where) > 1 and (len(before) > 1 or None in before) and (len(after) > 1 or None in after):
+            groups.add((len(text), frozenset(where)))
+    gone = {(i, at + k) for text, where in places.items() if len(where) > 1 for i, at in where for k in range(len(text))}
+    return groups, gone
+
+
+@pytest.mark.parametrize("length", [64, 100])
+def test_repeats_of_strings(length):
+    rng = random.Random(length)
+    text = lambda n: bytes(rng.choices(b"ab\0", k=n))
+    passages = [text(length + 20), text(length + 5), b"xy" * length]
+    strings = {text(rng.randint(0, 15)) + rng.choice(passages)[rng.randint(0, 4) :] + text(rng.randint(0, 15)) for _ in range(12)}
+    strings = sorted(s for s in {*strings, text(length), text(3 * length)} if len(s) >= length)
+    which, begin, stop, found = m.repeats_of(strings, length)
+    groups, gone = plain_repeats(strings, length)
+    spans = zip(which.tolist(), begin.tolist(), stop.tolist(), strict=True)
+    assert {(i, at) for i, x, y in spans for at in range(x, y)} == gone
+    assert {(int(d), frozenset(zip(w.tolist(), p.tolist(), strict=True))) for d, w, p in found} == groups and groups
+
+
+def test_only_parts_that_may_repeat_reach_the_suffix_array(monkeypatch):
+    """Strings that share a gram but no string of the length cost no suffix array; others are cut to what they share."""
+    rng = random.Random(17)
+    text = lambda n: bytes(rng.choices(b"abcdefgh", k=n))
+    gram, shared, seen = text(32), text(410), []
+    array = m.suffix_array
+    monkeypatch.setattr(m, "suffix_array", lambda strings, length: seen.extend(strings) or array(strings, length))
+    apart = [text(360) + gram + text(370) for _ in range(20)]
+    assert [len(x) for x in m.repeats_of(apart, 400)] == [0, 0, 0, 0] and seen == []
+    which, begin, stop, _ = m.repeats_of([*apart, text(300) + b"1" + shared + b"2", b"3" + shared + b"4" + text(50)], 400)
+    assert seen == [shared, shared]
+    assert sorted(zip(which.tolist(), begin.tolist(), stop.tolist(), strict=True)) == [(20, 301, 711), (21, 1, 411)]
