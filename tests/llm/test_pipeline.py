@@ -9,6 +9,7 @@ import corpus_pipeline as p
 from tests.llm.tables import documents
 from tests.llm.test_greedy_tiling import brute as plain_tilings
 from tests.llm.test_set_relations import brute as plain_classes
+from tierflow.llm import splitting_tree
 from tierflow.session import written
 
 ITEM = "which of these planets is known to have the largest number of moons in the solar system today"
@@ -58,6 +59,18 @@ def test_stages(spark, tmp_path):
     assert docs.columns[7:] == ["text", "lang", "source", "n_chars"]
 
 
+def test_mixing_deals_the_documents_to_the_shards_of_the_tree(spark, tmp_path):
+    docs = documents(spark, [(i, t, s) for i, t, s in corpus() if i < 400])
+    rows = splitting_tree.narrow(docs)
+    ids = {r.row: r.doc_id for r in rows.collect()}
+    want = [[] for _ in range(splitting_tree.SHARDS)]
+    for d in sorted(splitting_tree.draws(rows)[0].collect(), key=lambda d: d.place):
+        want[d.shard].append(ids[d.row])
+    out = p.mixing(spark, docs, str(tmp_path))
+    assert [[r.doc_id for r in part] for part in out.select("doc_id").rdd.glom().collect()] == want
+    assert sum(map(bool, want)) > 1
+
+
 def test_run(spark, tmp_path):
     benchmark(spark, tmp_path)
     documents(spark, corpus()).write.parquet(f"{tmp_path}/documents.parquet")

@@ -132,3 +132,30 @@ def test_mixed_rows_of_any_names_and_blocks(spark):
         for r in m.splitting_mix(docs, block_rows=block_rows).collect():
             want[r.doc_id] += r.taken
         assert +words == +want
+
+
+def test_mixed_stands_in_the_shards_of_the_tree(spark, tmp_path):
+    """Each time that a document is taken it lies in the shard that the tree dealt it to, in the order of the shard."""
+    rng = random.Random(21)
+    rows = [(i, f"t{i} " + "w " * rng.randint(0, 40), rng.choice(["a", "a", "b", None, "c"])) for i in range(900)]
+    docs = documents(spark, rows)
+    by_row, draws, sources = mix_of(spark, rows, block_rows=20)
+    want = defaultdict(list)
+    for d in sorted(draws, key=lambda d: d.place):
+        want[d.shard].append(by_row[d.row].doc_id)
+    assert len(want) == m.SHARDS and {d["pass"] for d in draws} == {0, 1} and set(sources) == {"a", "b", None, "c"}
+    for pieces in (1, 3):
+        n_bytes = sum(len(t) for _, t, _ in rows)
+        out = m.mixed(docs, block_rows=20, piece_bytes=-(-n_bytes * 3 // (2 * m.SHARDS * pieces)))
+        assert out.rdd.getNumPartitions() == m.SHARDS * pieces
+        got = defaultdict(list)
+        for at, part in enumerate(out.select("doc_id").rdd.glom().collect()):
+            got[at // pieces] += [r.doc_id for r in part]
+        assert got == want
+        # Written, as the pipeline writes it, the files are the shards.
+        path = tmp_path / f"mix-{pieces}"
+        out.write.parquet(str(path))
+        for file in path.glob("part-*.parquet"):
+            shard = int(file.name.split("-")[1]) // pieces
+            ids = [r.doc_id for r in spark.read.parquet(str(file)).collect()]
+            assert ids and str(ids)[1:-1] in str(want[shard])

@@ -12,7 +12,8 @@ Output shards: a tree splits the quotas of all sources. A node with a number of
 of them to its left half as its shards there hold, and how many of each source is one draw from the
 multivariate hypergeometric distribution, that of a random hand out of an urn: the counts of a
 shuffle of all units, found without shuffling them. The leaves get disjoint ranges of each
-source's permuted units, and rows within a shard are ordered by hash.
+source's permuted units, and rows within a shard are ordered by hash. `mixed` returns the mix so
+dealt and ordered: shard after shard, each in pieces of bounded size.
 
 Only built-in functions run. Texts are read once into narrow rows; the rest works on those and on
 tables of blocks and sources. Everything follows from hashes of the rows, so reruns agree.
@@ -39,6 +40,8 @@ MOST = 2
 SHARDS = 16
 # Documents of a block, about.
 BLOCK_ROWS = 1000
+# Text of a piece of a shard, about: what one task orders.
+PIECE_BYTES = 32 << 20
 DIGITS = 15
 
 
@@ -59,12 +62,13 @@ def row_hash() -> Column:
 
 
 def narrow(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, source, size, k): k is the hash that places a row. Written once."""
+    """(row, doc_id, source, size, n_bytes, k): k is the hash that places a row. Written once."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         size_of(F.col("text")).alias("size"),
+        F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes"),
         row_hash().alias("k"),
     )
     return materialize(rows, "mixing-rows")
@@ -227,6 +231,25 @@ def splitting_tree(units: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     return leaves.select("number", "shard", (last - F.col("quota")).alias("first"), last.alias("last"))
 
 
+def unit_shards(blocks: DataFrame, shards: int) -> DataFrame:
+    """(number, block, pass, shard): each unit that is given, in the shard that the tree deals it to. Written once."""
+    extra = F.when(F.col("last") | F.col("room").isNotNull(), 1).otherwise(0)
+    passes = F.explode(F.expr("sequence(0L, passes + CASE WHEN last OR room IS NOT NULL THEN 0L ELSE -1L END)"))
+    given = blocks.where(F.col("passes") + extra > 0).select("number", "block", passes.alias("pass"))
+    quotas = given.groupBy("number").agg(F.count("*").alias("units"))
+    ranges = splitting_tree(quotas, shards).where("last > first")
+    places = ranges.select("number", "shard", F.explode(F.expr("sequence(first, last - 1)")).alias("position"))
+    permuted = Window.partitionBy("number").orderBy(hashed("unit", F.col("number"), F.col("pass"), F.col("block")), "pass", "block")
+    units = given.withColumn("position", (F.row_number().over(permuted) - 1).cast("long"))
+    units = units.join(places, ["number", "position"]).select("number", "block", "pass", "shard")
+    return materialize(units, "mixing-units")
+
+
+def place_of(k: Column, turn: Column) -> Column:
+    """What orders the rows of a shard."""
+    return hashed("place", k, turn)
+
+
 def draws(
     rows: DataFrame,
     weights: Sequence[int] = WEIGHTS,
@@ -243,16 +266,7 @@ def draws(
     sources = materialize(targets(sizes, weights, share, most), "mixing-sources")
     dealt, blocks = block_plan(rows, sources, block_rows)
     blocks = materialize(blocks, "mixing-blocks")
-    extra = F.when(F.col("last") | F.col("room").isNotNull(), 1).otherwise(0)
-    passes = F.explode(F.expr("sequence(0L, passes + CASE WHEN last OR room IS NOT NULL THEN 0L ELSE -1L END)"))
-    given = blocks.where(F.col("passes") + extra > 0).select("number", "block", passes.alias("pass"))
-    quotas = given.groupBy("number").agg(F.count("*").alias("units"))
-    ranges = splitting_tree(quotas, shards).where("last > first")
-    places = ranges.select("number", "shard", F.explode(F.expr("sequence(first, last - 1)")).alias("position"))
-    permuted = Window.partitionBy("number").orderBy(hashed("unit", F.col("number"), F.col("pass"), F.col("block")), "pass", "block")
-    units = given.withColumn("position", (F.row_number().over(permuted) - 1).cast("long"))
-    units = units.join(places, ["number", "position"]).select("number", "block", "pass", "shard")
-    units = materialize(units, "mixing-units")
+    units = unit_shards(blocks, shards)
     # In the block where a target falls, only the rows that fit.
     open_blocks = blocks.where("room IS NOT NULL").select("number", "block", "room", "passes")
     member = F.struct("size", "k", "row")
@@ -264,7 +278,7 @@ def draws(
     all_draws = dealt.select("row", "number", "block", "k").join(whole, ["number", "block"]).select("row", "k", "pass", "shard")
     cut = taken.join(units, ["number", "block", "pass"]).select("row", "pass", "shard")
     cut = cut.join(rows.select("row", "k"), "row").select("row", "k", "pass", "shard")
-    place = hashed("place", F.col("k"), F.col("pass"))
+    place = place_of(F.col("k"), F.col("pass"))
     return all_draws.unionByName(cut).select("row", "pass", "shard", place.alias("place")), sources
 
 
@@ -286,36 +300,51 @@ def splitting_mix(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def cutoffs(blocks: DataFrame, sources: DataFrame, block_rows: int) -> DataFrame:
-    """A row per source: whole passes, the last whole block of the unfinished pass, and the block where the target falls.
-
-    Blocks stand in the order of their hash, so the last one tells of each whether the pass takes it.
-    """
-    place = F.struct(hashed("block", F.col("number"), F.col("block")).alias("h"), F.col("block"))
-    ends = blocks.groupBy("number").agg(
-        F.max("passes").alias("passes"),
-        F.max(F.when(F.col("last"), place)).alias("upto"),
-        F.max(F.when(F.col("room").isNotNull(), F.col("block"))).alias("open"),
+def given_blocks(blocks: DataFrame, shards: int) -> DataFrame:
+    """A row per block that is given: its whole units as (pass, shard), and pass, shard and room where the target falls."""
+    partial = blocks.where("room IS NOT NULL").select("number", "block", F.col("passes").alias("pass"), "room")
+    units = unit_shards(blocks, shards).join(sent(partial), ["number", "block", "pass"], "left")
+    is_open = F.col("room").isNotNull()
+    given = units.groupBy("number", "block").agg(
+        F.collect_list(F.when(~is_open, F.struct("pass", "shard"))).alias("whole"),
+        F.max(F.when(is_open, F.col("pass"))).alias("pass"),
+        F.max(F.when(is_open, F.col("shard"))).alias("shard"),
         F.max("room").alias("room"),
     )
-    n_blocks = F.greatest(F.ceil(F.col("n_rows") / block_rows), F.lit(1)).cast("long").alias("blocks")
-    return materialize(sources.select("source", "number", n_blocks).join(ends, "number"), "mixing-cutoffs")
+    return materialize(given, "mixing-given")
+
+
+def in_order(rows: DataFrame, shards: int, pieces: int) -> DataFrame:
+    """Rows by `shard` and `place`: shard i in the partitions from i * pieces on, each with a range of places."""
+    piece = F.shiftright(F.shiftright("place", 30) * F.lit(pieces).cast("long"), 30)
+    return rows.repartitionById(shards * pieces, (F.col("shard") * pieces + piece).cast("int")).sortWithinPartitions("shard", "place")
 
 
 def mixed(
-    docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: int = SHARE, most: int = MOST, block_rows: int = BLOCK_ROWS
+    docs: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    share: int = SHARE,
+    most: int = MOST,
+    shards: int = SHARDS,
+    block_rows: int = BLOCK_ROWS,
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
-    """The mix itself: the columns of `docs`, a row for each time that a document is taken.
-
-    The documents stay where they are read: whether and how often a block is given follows from one
-    row per source. Only those of the blocks where the targets fall are written down to be chosen from.
-    Names of `docs` may be any.
+    """The mix itself: the columns of `docs`, a row for each time that a document is taken, in its output shards.
+
+    The tree deals the units of blocks to the shards, and a document goes where each unit of its block
+    goes. So the partitions hold the shards one after another, disjoint, each shuffled by the hash of
+    its rows; written, they are its files in that order. The texts move once, into their shard: blocks
+    are few and sent to the documents (beyond 100,000 of them both are shuffled by block). Only the
+    documents of the blocks where the targets fall are written down to be chosen from. Names of
+    `docs` may be any.
     """
     rows = narrow(docs)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     sources = materialize(targets(sizes, weights, share, most), "mixing-sources")
     _, blocks = block_plan(rows, sources, block_rows)
-    lookup = sent(cutoffs(materialize(blocks, "mixing-blocks"), sources, block_rows))
+    given = sent(given_blocks(materialize(blocks, "mixing-blocks"), shards))
+    n_blocks = F.greatest(F.ceil(F.col("n_rows") / block_rows), F.lit(1)).cast("long").alias("blocks")
+    lookup = sent(sources.select("source", "number", n_blocks))
     document = docs.select(
         *aside(docs),
         size_of(F.col("text")).alias("size"),
@@ -323,13 +352,17 @@ def mixed(
         row_hash().alias("k"),
     )
     placed = document.join(lookup, F.col("of").eqNullSafe(lookup.source)).withColumn("block", F.col("k") % F.col("blocks"))
-    place = F.struct(hashed("block", F.col("number"), F.col("block")).alias("h"), F.col("block"))
-    is_open = F.col("block").eqNullSafe(F.col("open"))
-    times = F.col("passes") + F.when(~is_open & (place <= F.col("upto")), 1).otherwise(0)
-    given = placed.where(times > 0).withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    chosen = materialize(placed.where(is_open).withColumn("row", F.monotonically_increasing_id()), "mixing-open-blocks")
+    placed = placed.join(given, ["number", "block"])
+    carried = [f"_c{i}" for i in range(len(docs.columns))]
+    whole = placed.select(*carried, "k", F.explode("whole").alias("unit")).select(*carried, "k", "unit.pass", "unit.shard")
+    chosen = placed.where("room IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
+    chosen = materialize(chosen.select(*carried, "row", "number", "size", "k", "pass", "shard", "room"), "mixing-open-blocks")
     member = F.struct("size", "k", "row")
     found = chosen.groupBy("number").agg(F.sort_array(F.collect_list(member), asc=False).alias("m"), F.first("room").alias("room"))
     taken = found.select(F.explode(fitting(F.col("m"), F.col("room"))).alias("row"))
-    chosen = chosen.join(taken, "row", "left_semi")
-    return given.select(*back(given, docs.columns)).union(chosen.select(*back(chosen, docs.columns)))
+    chosen = chosen.join(taken, "row", "left_semi").select(*carried, "k", "pass", "shard")
+    taken_rows = whole.unionByName(chosen).select(*carried, "shard", place_of(F.col("k"), F.col("pass")).alias("place"))
+    n_bytes = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    pieces = max(1, -(-n_bytes * share // (100 * shards * piece_bytes)))
+    out = in_order(taken_rows, shards, pieces)
+    return out.select(*back(out, docs.columns))
